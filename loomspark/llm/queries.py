@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import line_dedup
+from loomspark.llm import line_dedup, packing, token_output
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
+    "op5_token_output": token_output,
+    "op6_packing": packing,
 }
 
 
