@@ -89,7 +89,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     drops = scratch.write(hits.groupBy("__id").agg(F.collect_set("__h").alias("__drops")), "drops")
     scratch.drop("keys", "shared")
     rebuild = _rebuild_udf(min_chars)
-    out = docs.join(drops, "__id", "left").withColumn("__new", rebuild(text_bytes(text_col), F.col("__drops")))
+    out = docs.join(drops.hint("merge"), "__id", "left").withColumn("__new", rebuild(text_bytes(text_col), F.col("__drops")))
     names = [c for c in docs.columns if c not in ("__id", "n_lines", "n_dropped")]
     return out.select(*[F.col("__new.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], "__new.n_lines", "__new.n_dropped")
 
