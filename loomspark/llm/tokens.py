@@ -17,51 +17,99 @@ from array import array
 
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+# Letters up to U+00FF, then ASCII punctuation but the apostrophe: two pre-tokens under every split rule in use here.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte to the letter that byte-level vocabularies write for it: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder != "little":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Memo(dict):
     """Words to the bytes of their ids. Holds at most `most` words; begins anew where too many others turn up."""
 
-    def __init__(self, encode, prefix: str, most: int):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.prefix, self.most, self.others = encode, prefix, most, 0
+        self.encode, self.most, self.others = encode, most, 0
 
     def join(self, words: list) -> bytes:
+        out = list(map(self.get, words))
         try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
+            return b"".join(out)
+        except TypeError:
             pass
-        new = [w for w in set(words) if w not in self]
-        found = dict(zip(new, self.encode([self.prefix + (w.decode("utf-8", "replace") if isinstance(w, bytes) else w) for w in new])))
-        if len(self) + len(new) <= self.most:
-            self.update(found)
-            return b"".join(map(self.__getitem__, words))
-        self.others += len(new)
-        out = b"".join([found[w] if w in found else self[w] for w in words])
-        if self.others > 4 * self.most:
-            self.clear()
-            self.others = 0
-        return out
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = self.other(words[i])
+        return b"".join(out)
+
+    def other(self, word) -> bytes:
+        if word in self:
+            return self[word]
+        ids = self.encode(word)
+        if len(self) < self.most:
+            self[word] = ids
+        else:
+            self.others += 1
+            if self.others > 16 * self.most:
+                self.clear()
+                self.others = 0
+        return ids
 
 
 class Codec:
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    """Ids of whole texts. kind: "words" or "bytes", as above."""
+
+    def __init__(self, path: str, kind: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.bare, self.spaced = Memo(self._encode, "", most), Memo(self._encode, " ", most)
-        self.line_feed = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            a = array("I", e.ids)
-            if sys.byteorder != "little":
-                a.byteswap()
-            out.append(a.tobytes())
-        return out
+        self.model = self.tokenizer.model
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.plain_ok = not any(_PLAIN.fullmatch(t) for t in special)
+        self.runs = Memo(self._run, most)  # letters or punctuation, as the vocabulary writes them
+        self.bare = Memo(self._word, most)
+        self.spaced = Memo(lambda w: self._word(w, " "), most)
+        self.line_feed = self._full("\n")
+
+    def _full(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _run(self, run: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(run)])
+
+    def _word(self, word: str | bytes, space: str = "") -> bytes:
+        """A word that isn't plain goes through the whole tokenizer. A plain one is two runs: their letters are stable under
+        composition, lower-case one by one, and are looked up in the model as the vocabulary writes their bytes."""
+        if isinstance(word, bytes):
+            word = word.decode("utf-8", "replace")
+        found = _PLAIN.fullmatch(word) if self.plain_ok else None
+        if not found:
+            return self._full(space + word)
+        letters, marks = found.groups()
+        if self.kind == "words":
+            letters = letters.lower()
+        if letters.isascii():
+            letters = space and "\u0120" + letters or letters
+        else:
+            letters = (space + letters).encode().decode("latin-1").translate(_LETTERS)
+        ids = self.runs.get(letters) or self.runs.other(letters)
+        return ids + (self.runs.get(marks) or self.runs.other(marks)) if marks else ids
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
