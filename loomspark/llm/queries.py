@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import line_dedup, media, mixing, packing, token_output, topk
+from loomspark.llm import line_dedup, media, mixing, near_dedup, packing, token_output, topk
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
+    "op2_near_dedup": near_dedup,
     "op4_topk": topk,
     "op5_token_output": token_output,
     "op6_packing": packing,
