@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import line_dedup, media, mixing, near_dedup, packing, token_output, topk
+from loomspark.llm import line_dedup, media, mixing, near_dedup, packing, quality, token_output, topk, toxicity
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
@@ -14,7 +14,9 @@ _MODULES = {
     "op4_topk": topk,
     "op5_token_output": token_output,
     "op6_packing": packing,
+    "op7_quality": quality,
     "op8_mixing": mixing,
+    "op9_toxicity": toxicity,
     "op10_media": media,
 }
 
