@@ -43,19 +43,21 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
+        self.paths: dict[str, list[str]] = {}
+        self.made = 0
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{self.made}"
+        self.made += 1
         df.write.options(**options).parquet(path)
-        self.paths[name] = path
+        self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Remove the named tables (all, if none is named); only after their last reader has run."""
         for n in names or list(self.paths):
-            if n in self.paths:
-                delete_path(self.spark, self.paths.pop(n))
+            for path in self.paths.pop(n, []):
+                delete_path(self.spark, path)
 
 
 def keyed(df: DataFrame, id_col: str, key: str = "__id") -> DataFrame:
