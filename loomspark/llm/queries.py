@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import line_dedup, media, mixing, near_dedup, packing, quality, token_output, topk, toxicity
+from loomspark.llm import licenses, line_dedup, media, mixing, near_dedup, packing, quality, token_output, topk, toxicity
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_near_dedup": near_dedup,
+    "op3_licenses": licenses,
     "op4_topk": topk,
     "op5_token_output": token_output,
     "op6_packing": packing,
