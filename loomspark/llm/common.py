@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,18 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside, where rows are long or Python keeps several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def keyed(df: DataFrame, id_col: str, key: str = "__id") -> DataFrame:
     """With a non-null join key: a null id becomes the smallest long."""
     return df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))

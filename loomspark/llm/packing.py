@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, text_bytes
+from loomspark.llm.common import Scratch, arrow_rows, text_bytes
 from loomspark.llm.tokens import codec, vocabulary
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
@@ -108,7 +108,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 50_00
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
     kept = [c for c in pieces.columns if c not in ("uid", "bin", "grp", "done", "sequence_id", "offset")]
-    rows = scratch.write(pieces.select(*kept).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    with arrow_rows(spark, 2000):
+        rows = scratch.write(pieces.select(*kept).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     bad = rows.filter(F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity))
     if bad.limit(1).count():
         raise ValueError(f"lengths have to be between 1 and {capacity}")

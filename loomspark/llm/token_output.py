@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from loomspark.llm.common import Scratch, text_bytes
+from loomspark.llm.common import Scratch, arrow_rows, text_bytes
 from loomspark.llm.tokens import codec, vocabulary
 
 
@@ -68,6 +68,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
         ids.alias("ids"),
     )
     out = out.select("part", "row", id_col, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    with arrow_rows(docs.sparkSession, 2000):
+        _write(out, path, row_group_bytes, page_rows)
+
+
+def _write(out: DataFrame, path: str, row_group_bytes: int, page_rows: int) -> None:
     out.write.options(
         **{
             "compression": "zstd",

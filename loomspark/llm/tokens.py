@@ -52,14 +52,13 @@ class Memo(dict):
             return b"".join(out)
         except TypeError:
             pass
+        other = self.other
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = self.other(words[i])
+                out[i] = other(words[i])
         return b"".join(out)
 
     def other(self, word) -> bytes:
-        if word in self:
-            return self[word]
         ids = self.encode(word)
         if len(self) < self.most:
             self[word] = ids
@@ -74,7 +73,7 @@ class Memo(dict):
 class Codec:
     """Ids of whole texts. kind: "words" or "bytes", as above."""
 
-    def __init__(self, path: str, kind: str, most: int = 300_000):
+    def __init__(self, path: str, kind: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,7 +96,13 @@ class Codec:
         """A word that isn't plain goes through the whole tokenizer. A plain one is two runs: their letters are stable under
         composition, lower-case one by one, and are looked up in the model as the vocabulary writes their bytes."""
         if isinstance(word, bytes):
+            if word.isalpha() and self.plain_ok:
+                run = word.lower().decode() if self.kind == "words" else word.decode()
+                return self.runs.get(run) or self.runs.other(run)
             word = word.decode("utf-8", "replace")
+        elif space and word.isascii() and word.isalpha() and self.plain_ok and self.kind == "bytes":
+            run = "\u0120" + word
+            return self.runs.get(run) or self.runs.other(run)
         found = _PLAIN.fullmatch(word) if self.plain_ok else None
         if not found:
             return self._full(space + word)
