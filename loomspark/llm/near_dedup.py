@@ -18,7 +18,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -171,19 +171,9 @@ def _may_be_in(nodes: DataFrame, id_col: str, bits: int):
     return held(h)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24) -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id, kept.
-
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set has its distinct shingles of `words` words (with fewer
-    words, the whole sequence). Documents whose sets have 100 * intersection >= percent * union are linked; component_id is the smallest
-    id that links reach, and kept marks the rows with that id.
+def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
+    """Per row of docs: __id, __null, th (hash of the text), n, component; a written table."""
 
-    Null or empty text: an empty set, linked with nothing. A null id counts as smaller than all others and comes back null. Rows that repeat an id
-    are compared each by their own text. Other columns stay out. An empty table gives an empty table.
-
-    A link between different sets is found if both sketches share at least t values. Up to 0.75 k shingles that is certain; beyond, t lies six
-    standard deviations below what a pair at the threshold shares.
-    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     share = percent / 100
@@ -278,15 +268,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     reach = classes.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = reach.groupBy("comp").agg(F.min("min_id").alias("component"), F.count("*").alias("n_classes"))
     reach = scratch.write(hot_split_join(scratch.write(reach, "reach"), scratch.write(smallest, "smallest"), "comp", "n_classes").select("set_hash", "component", "rows"), "components")
-    full = facts.filter("n > 0").select("__id", "__null", "n", "set_hash")
-    out = hot_split_join(full, reach, "set_hash", "rows").select("__id", "__null", "n", "component")
-    none = facts.filter("n = 0").select("__id", "__null", "n", F.col("__id").alias("component"))
+    full = facts.filter("n > 0").select("__id", "__null", "th", "n", "set_hash")
+    out = hot_split_join(full, reach, "set_hash", "rows").select("__id", "__null", "th", "n", "component")
+    none = facts.filter("n = 0").select("__id", "__null", "th", "n", F.col("__id").alias("component"))
     out = scratch.write(out.unionByName(none), "result")
     scratch.drop(*[n for n in scratch.paths if n != "result"])
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id, kept.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set has its distinct shingles of `words` words (with fewer
+    words, the whole sequence). Documents whose sets have 100 * intersection >= percent * union are linked; component_id is the smallest
+    id that links reach, and kept marks the rows with that id.
+
+    Null or empty text: an empty set, linked with nothing. A null id counts as smaller than all others and comes back null. Rows that repeat an id
+    are compared each by their own text. Other columns stay out. An empty table gives an empty table.
+
+    A link between different sets is found if both sketches share at least t values. Up to 0.75 k shingles that is certain; beyond, t lies six
+    standard deviations below what a pair at the threshold shares.
+    """
+    out = _assigned(docs, words, percent, k, id_col, text_col, filter_bits)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(F.when(~F.col("__null"), F.col("__id")).alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("__id") == F.col("component")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, of rows that repeat it the one with the smallest text hash. All
+    documents without words stay, once for each id. The cases are those of near_duplicates; all columns are kept.
+    """
+    rows = _assigned(docs, words, percent, k, id_col, text_col, filter_bits)
+    stay = rows.filter("__id = component").groupBy("component", (F.col("n") == 0).alias("empty")).agg(F.min("th").alias("__th")).select(F.col("component").alias("__id"), "__th").distinct()
+    named = keyed(docs, id_col).withColumn("__th", F.xxhash64(text_bytes(text_col)))
+    first = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))
+    out = named.join(stay.hint("merge"), ["__id", "__th"]).withColumn("__k", first).filter("__k = 1")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs)
