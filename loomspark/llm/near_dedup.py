@@ -4,11 +4,12 @@
 2. A node keeps its k smallest hashes. Inverted lists of the retained values generate overlaps: two sets alike enough share at least
    t retained values, so it is enough to look at the rarest |sketch| - t + 1 values of each node (values that only one
    node has come first and cost nothing).
-3. Round one compares each member of a list with the list's most central node. Round two takes the lists whose members aren't
-   all connected and compares every pair across components, in blocks, rank by rank, until no pair is left.
-4. A pair is compared by its union sketch, then verified by the exact Jaccard coefficient of the full sets.
+3. Each member of a list meets the list's most central node; what these candidate pairs connect is a family. All pairs of a family whose shared retained
+   values (their union sketch) allow the threshold are verified by the exact Jaccard coefficient of the full sets, block against block, and a block gives only
+   a spanning forest of its links. In families beyond a size, the members are first verified against the central nodes alone; then only those outside the
+   family's main component meet all others.
 
-Nothing is emitted for pairs that are connected already, so large groups of copies cost their size, not its square.
+Nothing is emitted for pairs, so large groups of copies cost their size.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BinaryType, BooleanType
 
 from loomspark.llm.common import NULL_ID, Scratch, hot_split_join, keyed, text_bytes
 
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-SMALL_LIST = 64
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -86,20 +86,20 @@ def _verify_udf(words: int, percent: int):
     return linked
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) pairs to (node, comp): the smallest node of each connected component. Smallest neighbour's label and
     pointer jumping by turns; a written table for each step."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.write(both, "cc-edges").withColumnsRenamed({"a": "node", "b": "to"})
+    both = scratch.write(both, f"{name}-edges").withColumnsRenamed({"a": "node", "b": "to"})
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("comp"), F.count("*").alias("deg"))
-    labels = scratch.write(labels, "cc")
+    labels = scratch.write(labels, name)
     while True:
         near = hot_split_join(both.withColumnRenamed("node", "v").withColumnRenamed("to", "node"), labels, "node", "deg")
         best = near.groupBy("v").agg(F.min("comp").alias("best")).withColumnRenamed("v", "node")
         step = labels.join(best, "node").select("node", "deg", F.col("comp").alias("was"), F.least("comp", "best").alias("comp"))
         heads = step.select(F.col("node").alias("comp"), F.col("comp").alias("head"))
         jumped = step.join(heads, "comp").select("node", F.col("head").alias("comp"), "deg", (F.col("head") != F.col("was")).alias("moved"))
-        labels = scratch.write(jumped, "cc")
+        labels = scratch.write(jumped, name)
         if not labels.filter("moved").limit(1).count():
             return labels.select("node", "comp")
 
@@ -121,37 +121,79 @@ def _attach(pairs: DataFrame, table: DataFrame, value: str, names: tuple[str, st
     return salted.withColumn("__salt", F.col("__salt").cast("int")).join(mine.hint("merge"), "a").join(hubs.hint("merge"), ["b", "__salt"]).drop("__salt")
 
 
-def _block_udf(percent: int, slack: float, k: int, at_once: int):
+def _link_labels(link: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+    """Smallest place that links (rows x cols) reach from each of n places."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        from_cols = np.where(link, label[cols][None, :], n).min(axis=1, initial=n)
+        np.minimum.at(label, rows, from_cols)
+        from_rows = np.where(link, label[rows][:, None], n).min(axis=0, initial=n)
+        np.minimum.at(label, cols, from_rows)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _products(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, wide: int = 4096) -> np.ndarray:
+    """Intersection sizes of rows' sets with cols' sets, by slices of the values that two sets at least hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    keep = counts[code] > 1
+    code, owner = place[code[keep]], owner[keep]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    total = int(code[-1]) + 1 if len(code) else 0
+    for base in range(0, total, wide):
+        a, b = np.searchsorted(code, (base, base + wide))
+        part = np.zeros((len(sets), min(wide, total - base)), np.float32)
+        part[owner[a:b], code[a:b] - base] = 1
+        out += part[rows] @ part[cols].T
+    return out
+
+
+def _family_udf(percent: int, k: int, few: int):
     def compare(table: pa.Table) -> pa.Table:
-        """One block of outliers against one block of members of a list: for each outlier and other component, the at_once
-        best partners from the given rank on, of those whose union sketches may reach the threshold."""
-        left = table.column("outlier").to_numpy(zero_copy_only=False)
-        node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "n"))
-        lists = table.column("sketch").combine_chunks()
-        skip = table.column("skip")[0].as_py()
-        sketches = [x.values.to_numpy() for x in lists]
-        rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
+        """Blocks of families: spanning links between members, each (family, i, j) by itself."""
+        fam, node, comp, row, col = (table.column(c).to_numpy(zero_copy_only=False) for c in ("fam", "node", "comp", "is_row", "is_col"))
+        raw = table.column("full").to_pylist()
         out_a, out_b = [], []
-        for i in rows:
-            s = sketches[i]
-            near = [j for j in cols if comp[j] != comp[i] and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j])]
-            by_comp: dict[int, list] = {}
-            for j in near:
-                union = np.union1d(s, sketches[j])[:k]
-                both = np.intersect1d(s, sketches[j], assume_unique=True)
-                est = np.isin(union, both, assume_unique=True).sum() / len(union)
-                exact = size[i] <= k and size[j] <= k
-                if est >= percent / 100 - (1e-9 if exact else slack):
-                    by_comp.setdefault(int(comp[j]), []).append((-est, int(node[j])))
-            for found in by_comp.values():
-                for _, other in sorted(found)[skip : skip + at_once]:
-                    out_a.append(int(node[i]))
-                    out_b.append(other)
+        order = np.argsort(fam, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(fam[order])) + 1):
+            rows, cols = np.flatnonzero(row[own]), np.flatnonzero(col[own])
+            if not len(rows) or not len(cols):
+                continue
+            sets = [np.frombuffer(raw[i], np.int64) for i in own]
+            size = np.array([len(x) for x in sets])
+            shared = _products([x[:k] for x in sets], rows, cols)
+            nr, nc = size[rows][:, None], size[cols][None, :]
+            least = np.where(np.maximum(nr, nc) <= k, np.ceil(np.maximum(nr, nc) * percent / 100), few)
+            may = (shared >= least) & (100 * np.minimum(nr, nc) >= percent * np.maximum(nr, nc))
+            may &= (comp[own][rows][:, None] != comp[own][cols][None, :]) & (node[own][rows][:, None] != node[own][cols][None, :])
+            if not may.any():
+                continue
+            both = _products(sets, rows, cols)
+            link = may & (100 * both >= percent * (nr + nc - both))
+            label = _link_labels(link, rows, cols, len(own))
+            # a node may stand both as a row and as a column; its places are one node, which the links of both then join
+            for i in np.flatnonzero(label != np.arange(len(own))):
+                out_a.append(int(node[own[i]]))
+                out_b.append(int(node[own[label[i]]]))
         return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return compare
 
 
+def _full_udf(words: int):
+    @F.arrow_udf(BinaryType())
+    def full(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
+
+    return full
+
+
 def _may_be_in(nodes: DataFrame, id_col: str, bits: int):
     """A filter by id of fixed size: a bitmap of the nodes' id hashes. Lets rows through by chance, never keeps one out."""
     h = F.pmod(F.xxhash64(id_col), F.lit(bits)) + 1
@@ -171,7 +213,7 @@ def _may_be_in(nodes: DataFrame, id_col: str, bits: int):
     return held(h)
 
 
-def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
+def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str, filter_bits: int, family_rows: int = 4096) -> DataFrame:
     """Per row of docs: __id, __null, th (hash of the text), n, component; a written table."""
 
     spark = docs.sparkSession
@@ -200,7 +242,7 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
 
     heads = lists.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("alone", "node", "n")).alias("head")).filter("m > 1")
     heads = scratch.write(heads.select("v", "m", F.col("head.node").alias("b"), F.col("head.n").alias("bn")), "heads")
-    star = hot_split_join(lists, heads, "v", "m").filter((F.col("node") != F.col("b")) & (F.lit(100) * F.least("n", "bn") >= F.lit(percent) * F.greatest("n", "bn")))
+    star = hot_split_join(lists, heads, "v", "m").filter(F.col("node") != F.col("b"))
     star = scratch.write(star.select(F.col("node").alias("a"), "b").distinct(), "star")
 
     verified = _verify_udf(words, percent)
@@ -222,48 +264,45 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
         scratch.drop(f"{name}-texts", f"{name}-ends", f"{name}-pairs")
         return edges
 
-    likely = scratch.write(by_sketch(star, "star-est"), "likely")
-    edges = confirmed(likely.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "first")
-    labels = components(edges, scratch)
-
-    skip, at_once, big_left = 0, 4, True
-    while True:
-        own = lists.join(labels.hint("merge"), "node", "left").select("v", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        by_comp = scratch.write(own.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum(F.lit(1)).alias("w")), f"by-comp{skip}")
-        mixed = by_comp.groupBy("v").agg(F.sum("c").alias("m"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("comps > 1 and m > 2")
-        mixed = scratch.write(mixed, f"mixed{skip}")
-        members = scratch.write(hot_split_join(own, mixed, "v", "m"), f"members{skip}")
-        found = []
-        if skip == 0:
-            few_members = members.filter(F.col("m") <= SMALL_LIST)
-            other = few_members.select("v", F.col("node").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"))
-            near = F.lit(100) * F.least("n", "bn") >= F.lit(percent) * F.greatest("n", "bn")
-            pairs = few_members.join(other, "v").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("bc")) & near)
-            pairs = scratch.write(pairs.select(F.col("node").alias("a"), "b").distinct(), "cross")
-            found.append(by_sketch(pairs, "cross-est").select("a", "b"))
-        if big_left:
-            many = members.filter(F.col("m") > SMALL_LIST).join(nodes.select("node", "sketch").hint("merge"), "node")
-            block = lambda size: F.ceil(F.col("m") / size).cast("int")
-            spot = lambda size: F.pmod(F.xxhash64("node", F.lit(size)), block(size)).cast("int")
-            cols = ["v", "i", "j", "node", "comp", "n", "sketch", "outlier", "skip"]
-            rows_side = many.filter("comp <> main").withColumns({"outlier": F.lit(True), "i": spot(256), "j": F.explode(F.sequence(F.lit(0), block(1024) - 1)), "skip": F.lit(skip)}).select(*cols)
-            cols_side = many.withColumns({"outlier": F.lit(False), "j": spot(1024), "i": F.explode(F.sequence(F.lit(0), block(256) - 1)), "skip": F.lit(skip)}).select(*cols)
-            present = rows_side.select("v", "i").distinct()
-            cells = rows_side.unionByName(cols_side.join(present, ["v", "i"], "left_semi"))
-            found.append(cells.groupBy("v", "i", "j").applyInArrow(_block_udf(percent, 5 * spread, k, at_once), "a long, b long"))
-        pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tested = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"more{skip}")
-        scratch.drop(f"by-comp{skip}", f"members{skip}")
-        if not pairs.limit(1).count():
-            break
-        more = confirmed(pairs, f"more{skip}")
-        if more.limit(1).count():
-            edges = scratch.write(edges.unionByName(more), f"edges{skip}")
-            labels = components(edges, scratch)
-        skip += at_once
-        big_left = True
+    families = components(star, scratch, "families").withColumnRenamed("comp", "fam")
+    sizes = scratch.write(families.groupBy("fam").agg(F.count("*").alias("m")), "family-sizes")
+    big = sizes.filter(F.col("m") > family_rows)
+    start = F.col("node").alias("comp")
+    if big.limit(1).count():
+        inside = star.join(hot_split_join(families, sizes, "fam", "m").filter(F.col("m") > family_rows).select(F.col("node").alias("a")).hint("merge"), "a")
+        likely = scratch.write(by_sketch(scratch.write(inside, "inside"), "star-est"), "likely")
+        first = confirmed(likely.select("a", "b"), "first")
+        labels = components(first, scratch, "first-labels")
+        members = families.join(labels.hint("merge"), "node", "left").select("fam", "node", F.coalesce("comp", "node").alias("comp"))
+    else:
+        first = None
+        members = families.select("fam", "node", start)
+    members = scratch.write(members, "members")
+    ends = scratch.write(nodes.select("node", "__id", "th").join(members.select("node").hint("merge"), "node"), "family-ends")
+    texts = rows.filter(_may_be_in(ends, "__id", filter_bits)).withColumn("th", F.xxhash64("__t"))
+    texts = texts.join(ends.hint("merge"), ["__id", "th"]).select("node", _full_udf(words)(F.col("__t")).alias("full")).dropDuplicates(["node"])
+    whole = scratch.write(members.join(texts.hint("merge"), "node"), "whole")
+    main = members.groupBy("fam", "comp").agg(F.count("*").alias("c")).groupBy("fam").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"))
+    main = scratch.write(main, "main")
+    placed = scratch.write(hot_split_join(whole, main, "fam", "m"), "placed")
+    total = main.agg(F.sum("m")).first()[0] or 0
+    buckets = max(1, -(-total // 1000))
+    cols = ["fam", "i", "j", "node", "comp", "full", "is_row", "is_col"]
+    small = placed.filter(F.col("m") <= 512).withColumns({"i": F.pmod(F.xxhash64("fam"), F.lit(buckets)).cast("int"), "j": F.lit(-1), "is_row": F.lit(True), "is_col": F.lit(True)})
+    edges = small.select(*cols).groupBy("i", "j").applyInArrow(_family_udf(percent, k, few), "a long, b long")
+    large = placed.filter(F.col("m") > 512)
+    outside = F.col("comp") != F.col("main")
+    n_i, n_j = F.ceil((F.col("m") - F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / 512).cast("int"), F.ceil(F.col("m") / 1024).cast("int")
+    spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    as_rows = large.filter(outside | (F.col("c") == 1)).withColumns({"i": spot(n_i, 1), "j": F.explode(F.sequence(F.lit(0), n_j - 1)), "is_row": F.lit(True), "is_col": F.lit(False)})
+    as_cols = large.filter(n_i > 0).withColumns({"j": spot(n_j, 2), "i": F.explode(F.sequence(F.lit(0), n_i - 1)), "is_row": F.lit(False), "is_col": F.lit(True)})
+    cells = as_rows.select(*cols).unionByName(as_cols.select(*cols))
+    edges = edges.unionByName(cells.groupBy("fam", "i", "j").applyInArrow(_family_udf(percent, k, few), "a long, b long"))
+    if first is not None:
+        edges = edges.unionByName(first)
+    edges = scratch.write(edges.filter("a <> b"), "edges")
+    scratch.drop("whole", "placed", "family-ends")
+    labels = components(edges, scratch, "labels")
 
     reach = classes.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = reach.groupBy("comp").agg(F.min("min_id").alias("component"), F.count("*").alias("n_classes"))
@@ -276,7 +315,7 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24, family_rows: int = 4096) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set has its distinct shingles of `words` words (with fewer
@@ -286,19 +325,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     Null or empty text: an empty set, linked with nothing. A null id counts as smaller than all others and comes back null. Rows that repeat an id
     are compared each by their own text. Other columns stay out. An empty table gives an empty table.
 
-    A link between different sets is found if both sketches share at least t values. Up to 0.75 k shingles that is certain; beyond, t lies six
+    Families of more than family_rows members are verified in two steps (see above). A link between different sets is found if both sketches share at least t values. Up to 0.75 k shingles that is certain; beyond, t lies six
     standard deviations below what a pair at the threshold shares.
     """
-    out = _assigned(docs, words, percent, k, id_col, text_col, filter_bits)
+    out = _assigned(docs, words, percent, k, id_col, text_col, filter_bits, family_rows)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(F.when(~F.col("__null"), F.col("__id")).alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("__id") == F.col("component")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24, family_rows: int = 4096) -> DataFrame:
     """docs with one row of each component: that of the smallest id, of rows that repeat it the one with the smallest text hash. All
     documents without words stay, once for each id. The cases are those of near_duplicates; all columns are kept.
     """
-    rows = _assigned(docs, words, percent, k, id_col, text_col, filter_bits)
+    rows = _assigned(docs, words, percent, k, id_col, text_col, filter_bits, family_rows)
     stay = rows.filter("__id = component").groupBy("component", (F.col("n") == 0).alias("empty")).agg(F.min("th").alias("__th")).select(F.col("component").alias("__id"), "__th").distinct()
     named = keyed(docs, id_col).withColumn("__th", F.xxhash64(text_bytes(text_col)))
     first = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))
