@@ -48,12 +48,16 @@ def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int,
     return rows, idf, math.log(1 + n) + 1
 
 
+# Words too common in running text to look for; they stay outside the anchors first.
+COMMON = "the and of in to is or with are this that by all under mit a v".split()  # "mit" is a German word
+
+
 def anchors(weights: list[tuple[int, str, float]], threshold: float) -> list[str]:
     """Terms of which each unit within reach of a template holds one."""
     chosen: set[str] = set()
     for k in sorted({r[0] for r in weights}):
         rest = 0.0
-        for _, t, w in sorted((r for r in weights if r[0] == k), key=lambda r: (r[2], r[1])):
+        for _, t, w in sorted((r for r in weights if r[0] == k), key=lambda r: (COMMON.index(r[1]) if r[1] in COMMON else len(COMMON), r[2], r[1])):
             if rest + w * w < (threshold * 0.999) ** 2:
                 rest += w * w
             else:
