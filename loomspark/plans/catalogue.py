@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.plans import text_plans  # noqa: F401
+from loomspark.plans import graph_plans, text_plans  # noqa: F401
 from loomspark.plans.registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["seg_paragraphs"](spark, sf_dir)
+    return QUERIES["tree_segments"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
