@@ -230,10 +230,10 @@ def graph_merge(spark, d):
     return G.merge_windows(_mean(spark, d), starts).withColumn("w", F.round("w", 9))
 
 
-@query("graph_stitch", f"WITH {ATTN}, k AS (SELECT *, 1 - 0.5 * greatest(abs(i - 16.0), abs(j - 16.0)) / 16.0 AS wt FROM attn) SELECT layer::BIGINT AS layer, head::BIGINT AS head, i + window_idx * 16 AS i, j + window_idx * 16 AS j, round(sum(w * wt) / sum(wt), 9) AS w FROM k GROUP BY ALL")
+@query("graph_stitch", f"WITH {ATTN}, k AS (SELECT *, 1 - 0.5 * greatest(abs(i - 16.0), abs(j - 16.0)) / 16.0 AS wt FROM attn) SELECT layer::BIGINT AS layer, head::BIGINT AS head, i + window_idx * 16 AS i, j + window_idx * 16 AS j, round(sum(w * wt) / sum(wt), 12) AS w FROM k GROUP BY ALL")
 def graph_stitch(spark, d):
     r = G.stitch_windows(_attn(spark, d), 16, 32)
-    return _longs(r.withColumn("w", F.round("w", 9)), "layer", "head", "i", "j")
+    return _longs(r.withColumn("w", F.round("w", 12)), "layer", "head", "i", "j")
 
 
 @query("graph_dense_threshold", f"WITH {ATTN} SELECT window_idx, round(sum(w) / (32 * 32) + sqrt(greatest(sum(w * w) / (32 * 32) - pow(sum(w) / (32 * 32), 2), 0)), 7) AS threshold FROM mean GROUP BY window_idx")
