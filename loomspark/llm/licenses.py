@@ -109,14 +109,15 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     lengths = counts.groupBy("__id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     cosines = dots.filter("template IS NOT NULL").join(lengths, ["__id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
     own = cosines.groupBy("__id").agg(
-        F.max(F.struct("score", (-F.col("template")).alias("neg"))).alias("best"),
+        # bitwise_not turns an order round without overflow
+        F.max(F.struct("score", F.bitwise_not("template").alias("neg"))).alias("best"),
         F.max(F.col("unit") <= 0).alias("is_file"),
     )
-    own = scratch.write(own.select("__id", F.col("best.score").alias("score"), (-F.col("best.neg")).alias("template"), "is_file"), "own")
+    own = scratch.write(own.select("__id", F.col("best.score").alias("score"), F.bitwise_not("best.neg").alias("template"), "is_file"), "own")
 
     placed = rows.select("__id", _parent(F.col("path")).alias("dir")).join(own.hint("merge"), "__id", "left")
     placed = scratch.write(placed, "placed")
-    files = placed.filter("is_file").groupBy("dir").agg(F.max(F.struct("score", (-F.col("__id")).alias("neg"), "template")).alias("f"))
+    files = placed.filter("is_file").groupBy("dir").agg(F.max(F.struct("score", F.bitwise_not("__id").alias("neg"), "template")).alias("f"))
     dirs = placed.filter("template IS NULL").groupBy("dir").agg(F.count("*").alias("rows"))
     dirs = scratch.write(dirs, "dirs")
     segments = F.split("dir", "/", -1)
@@ -132,7 +133,7 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     mine = placed.filter("template IS NOT NULL").select("__id", name.alias("license"), "score", F.lit("own").alias("origin"), F.col("dir").alias("license_dir"), F.col("__id").alias("from_id"))
     without = placed.filter("template IS NULL").select("__id", "dir")
     taken = hot_split_join(without, nearest, "dir", "rows").withColumns({"template": F.col("near.f.template"), "score": F.col("near.f.score")})
-    taken = taken.select("__id", name.alias("license"), "score", F.lit("inherited").alias("origin"), F.col("near.up").alias("license_dir"), (-F.col("near.f.neg")).alias("from_id"))
+    taken = taken.select("__id", name.alias("license"), "score", F.lit("inherited").alias("origin"), F.col("near.up").alias("license_dir"), F.bitwise_not("near.f.neg").alias("from_id"))
     bare = dirs.join(nearest.select("dir"), "dir", "left_anti").select("dir", "rows")
     bare = scratch.write(bare, "bare")
     none = hot_split_join(without, bare, "dir", "rows").select("__id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score"), F.lit("none").alias("origin"), F.lit(None).cast("string").alias("license_dir"), F.lit(None).cast("long").alias("from_id"))
