@@ -108,7 +108,10 @@ def write_archives(rows: DataFrame, folder: str, name_col: str, data_col: str, a
             temp = f"{root}/.{uuid.uuid4().hex}"
             with store_fs.open_output_stream(temp) as f:
                 f.write(buffer.getbuffer())
-            store_fs.move(temp, f"{root}/part-{part:06d}-{made:04d}.zip")
+            final = f"{root}/part-{part:06d}-{made:04d}.zip"
+            if store_fs.get_file_info(final).type != fs.FileType.NotFound:  # of an attempt that was lost
+                store_fs.delete_file(final)
+            store_fs.move(temp, final)
             made += 1
             buffer, archive = io.BytesIO(), None
 
