@@ -97,8 +97,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         near = hot_split_join(both.withColumnRenamed("node", "v").withColumnRenamed("to", "node"), labels, "node", "deg")
         best = near.groupBy("v").agg(F.min("comp").alias("best")).withColumnRenamed("v", "node")
         step = labels.join(best, "node").select("node", "deg", F.col("comp").alias("was"), F.least("comp", "best").alias("comp"))
+        step = scratch.write(step, f"{name}-step")
         heads = step.select(F.col("node").alias("comp"), F.col("comp").alias("head"))
-        jumped = step.join(heads, "comp").select("node", F.col("head").alias("comp"), "deg", (F.col("head") != F.col("was")).alias("moved"))
+        heads = scratch.write(step.groupBy("comp").agg(F.count("*").alias("held")).join(heads, "comp"), f"{name}-heads")
+        jumped = hot_split_join(step, heads, "comp", "held").select("node", F.col("head").alias("comp"), "deg", (F.col("head") != F.col("was")).alias("moved"))
         labels = scratch.write(jumped, name)
         if not labels.filter("moved").limit(1).count():
             return labels.select("node", "comp")
