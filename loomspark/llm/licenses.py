@@ -99,12 +99,12 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id")
     rows = docs.select(key, F.col(text_col).alias("text"), F.coalesce(F.col(path_col), F.lit("")).alias("path"))
-    hits = rows.select("__id", "text").filter(F.col("text").rlike(pattern))
+    hits = scratch.write(rows.select("__id", "text").filter(F.col("text").rlike(pattern)), "hits")
     lines = hits.select("__id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).filter(F.col("line").rlike(pattern))
     units = lines.unionByName(hits.select("__id", F.lit(-1).alias("unit"), F.col("text").alias("line")))
     words = units.select("__id", "unit", F.explode(F.regexp_extract_all(_lower(F.col("line")), F.lit(f"({TERM})"))).alias("term"))
     counts = words.groupBy("__id", "unit", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term", "left")
-    counts = counts.select("__id", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other_idf))).alias("x"))
+    counts = scratch.write(counts.select("__id", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other_idf))).alias("x")), "counts")
     dots = counts.join(F.broadcast(table), "term", "left").groupBy("__id", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     lengths = counts.groupBy("__id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     cosines = dots.filter("template IS NOT NULL").join(lengths, ["__id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
