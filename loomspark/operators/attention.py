@@ -230,3 +230,34 @@ def adaptive_rank(spectra: DataFrame, target: float, least: int, most: int) -> D
     order = Window.partitionBy("id").orderBy("k")
     rows = spectra.withColumn("c", F.sum("s").over(order)).withColumn("t", F.sum("s").over(Window.partitionBy("id")))
     return rows.filter(F.col("c") >= F.col("t") * (1 - target)).groupBy("id").agg(F.greatest(F.lit(least), F.least(F.lit(most), F.min("k"))).alias("rank"))
+
+
+def layer_stats(attn: DataFrame, n: int, threshold: float = 0.1) -> DataFrame:
+    """layer, edges (cells over threshold), density (share of all n * n cells of all windows and heads)."""
+    blocks = attn.select("window_idx", "layer", "head").distinct().groupBy("layer").agg(F.count("*").alias("blocks"))
+    hits = attn.filter(F.col("w") > threshold).groupBy("layer").agg(F.count("*").alias("edges"))
+    return blocks.join(hits, "layer", "left").na.fill(0, ["edges"]).select("layer", "edges", (F.col("edges") / (F.col("blocks") * n * n)).alias("density"))
+
+
+def top_edges(attn: DataFrame, k: int = 5) -> DataFrame:
+    """window_idx, layer, rank, i, j, w: the strongest cells of each layer's head mean, off the diagonal."""
+    mean = attn.filter("i <> j").groupBy("window_idx", "layer", "i", "j").agg(F.round(F.avg("w"), 9).alias("w"))
+    rank = F.row_number().over(Window.partitionBy("window_idx", "layer").orderBy(F.desc("w"), "i", "j"))
+    return mean.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def constrained(scores: DataFrame, types: DataFrame, biases: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """window_idx, i, j, w: row softmax of scores (window_idx, i, j, s) plus their edge type's bias, cells without an edge pushed down by 1e4."""
+    rows = scores.join(types, ["window_idx", "i", "j"], "left").withColumn("edge_type", F.coalesce("edge_type", F.lit(0))).join(F.broadcast(biases.select("edge_type", "default_bias")), "edge_type", "left")
+    rows = rows.join(adjacency.select("window_idx", "i", "j", F.lit(1).alias("a")), ["window_idx", "i", "j"], "left")
+    rows = rows.withColumn("s", F.col("s") + F.coalesce("default_bias", F.lit(0.0)) - F.when(F.col("a").isNull(), 1e4).otherwise(0.0))
+    row = Window.partitionBy("window_idx", "i")
+    rows = rows.withColumn("x", F.exp(F.col("s") - F.max("s").over(row)))
+    return rows.select("window_idx", "i", "j", (F.col("x") / F.sum("x").over(row)).alias("w"))
+
+
+def window_segments(windows: DataFrame, segments: DataFrame) -> DataFrame:
+    """win_idx, pos (in the window), seg_idx: windows (win_idx, begin, end) meet segments (seg_idx, begin, end) where they overlap; the last segment wins, 0 where none is."""
+    pos = windows.select("win_idx", "begin", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("p"))
+    segs = segments.select("seg_idx", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("p")).groupBy("p").agg(F.max("seg_idx").alias("seg_idx"))
+    return pos.join(segs, "p", "left").select("win_idx", (F.col("p") - F.col("begin")).alias("pos"), F.coalesce("seg_idx", F.lit(0)).alias("seg_idx"))

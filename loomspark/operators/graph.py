@@ -254,3 +254,38 @@ def preorder(segments: DataFrame, tag: str = "KEEP") -> DataFrame:
     """doc_id, k, seg_id, content: tree pre-order of the segments with the tag."""
     kept = segments.filter(F.col("tag") == tag)
     return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_id")) - 1).alias("k"), "seg_id", "content")
+
+
+def gap_clusters(nodes: DataFrame, edges: DataFrame, cut, least: float = 0.6) -> DataFrame:
+    """cluster, members (sorted): components of more than one among nodes (id, cohesion) over least."""
+    kept = nodes.filter(F.col("cohesion") > least).select("id")
+    comps = connected_components(kept, induced(edges, kept), cut)
+    return comps.groupBy(F.col("comp").alias("cluster")).agg(F.array_sort(F.collect_list("id")).alias("members")).filter(F.size("members") > 1)
+
+
+def node_patterns(cells: DataFrame, n: int) -> DataFrame:
+    """mean, variance, threshold (mean plus deviation over all n * n cells), hubs (row or column sum over it), density (cells above 0)."""
+    stats = cells.agg((F.sum("w") / (n * n)).alias("mean"), (F.sum(F.col("w") * F.col("w")) / (n * n)).alias("sq"), (F.sum((F.col("w") > 0).cast("long")) / (n * n)).alias("density"))
+    stats = stats.withColumn("variance", F.col("sq") - F.col("mean") * F.col("mean")).withColumn("threshold", F.col("mean") + F.sqrt(F.greatest("variance", F.lit(0.0))))
+    out = cells.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("o"))
+    into = cells.groupBy(F.col("j").alias("id")).agg(F.sum("w").alias("n"))
+    sums = out.join(into, "id", "full").na.fill(0.0)
+    hubs = sums.crossJoin(F.broadcast(stats.select("threshold"))).filter("o > threshold OR n > threshold").agg(F.array_sort(F.collect_list("id")).alias("hubs"))
+    return stats.drop("sq").crossJoin(hubs)
+
+
+def top_by_incoming_type(edges: DataFrame, most: int = 3) -> DataFrame:
+    """edge_type, rank, id, n: the nodes with most incoming edges of each type."""
+    n = edges.groupBy(F.coalesce("edge_type", F.lit(0)).alias("edge_type"), F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("edge_type").orderBy(F.desc("n"), "id"))).filter(F.col("rank") <= most)
+
+
+def pipeline_ratios(segments: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, kept_ratio, compression (length of the new text over that of the old), edge_density (E / N^2), typed_edges.
+
+    segments: doc_id, tag; texts: doc_id, before, after.
+    """
+    s = segments.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg((F.col("tag") == "KEEP").cast("double")).alias("kept_ratio"))
+    e = edges.groupBy("doc_id").agg(F.count("*").alias("e"), F.sum((F.coalesce("edge_type", F.lit(0)) != 0).cast("long")).alias("typed_edges"))
+    rows = s.join(e, "doc_id", "left").na.fill(0, ["e", "typed_edges"]).join(texts, "doc_id")
+    return rows.select("doc_id", "kept_ratio", (F.length("after") / F.greatest(F.length("before"), F.lit(1))).alias("compression"), (F.col("e") / (F.col("n") * F.col("n"))).alias("edge_density"), "typed_edges")

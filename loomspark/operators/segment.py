@@ -143,3 +143,31 @@ register_segmenter("paragraphs", paragraphs)
 register_segmenter("isolate_code", isolate_code)
 register_segmenter("seedable_chunks", seedable_chunks)
 register_segmenter("fixed_chunks", fixed_chunks)
+
+
+def prompt_guided(docs: DataFrame, prompt: str, size: int = 512, stride: int = 256, least_alike: float = 0.7, least_change: float = 0.1) -> DataFrame:
+    """doc_id, start_token, end_token, confidence, relevance: full windows of tokens; a segment starts at a window that is less like the next
+    than least_alike while its likeness to the prompt changes by more than least_change. Likeness is the cosine of word sets.
+
+    Confidence is 1, or for segments longer than a window the likeness of 100 tokens at their start and at their middle; relevance is the mean likeness of contained windows
+    to the prompt (null where none is contained). A short text is one segment with confidence 1.
+    """
+    from loomspark.functions.text import words
+
+    rows = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
+    asked = word_set(F.lit(prompt))
+    set_of = lambda c: F.array_distinct(F.transform(c, F.lower))
+    wins = rows.filter(F.col("n") > size).select("doc_id", "ws", F.posexplode(F.sequence(F.lit(0), F.col("n") - size, F.lit(stride))).alias("k", "s"))
+    wins = wins.withColumn("set", set_of(F.slice("ws", F.col("s") + 1, F.lit(size)))).drop("ws")
+    order = Window.partitionBy("doc_id").orderBy("k")
+    wins = wins.withColumn("p", binary_cosine(F.col("set"), asked))
+    wins = wins.withColumns({"sim": binary_cosine(F.col("set"), F.lead("set").over(order)), "before": F.lag("p").over(order), "has_next": F.lead("k").over(order).isNotNull()})
+    cuts = wins.filter((F.col("k") >= 1) & F.col("has_next") & (F.col("sim") < least_alike) & (F.abs(F.col("p") - F.col("before")) > least_change))
+    starts = cuts.select("doc_id", F.col("s").alias("start_token")).unionByName(rows.select("doc_id", F.lit(0).alias("start_token"))).distinct()
+    spans = starts.join(rows, "doc_id").withColumn("end_token", F.coalesce(F.lead("start_token").over(Window.partitionBy("doc_id").orderBy("start_token")), F.col("n")))
+    mid = F.floor((F.col("start_token") + F.col("end_token")) / 2).cast("int")
+    inside = binary_cosine(set_of(F.slice("ws", F.col("start_token") + 1, F.lit(100))), set_of(F.slice("ws", mid + 1, F.lit(100))))
+    spans = spans.withColumn("confidence", F.when((F.col("n") > size) & (F.col("end_token") - F.col("start_token") > size), inside).otherwise(1.0)).drop("ws")
+    held = spans.join(wins.select("doc_id", "s", "p"), "doc_id", "left").filter(F.col("s").isNull() | ((F.col("s") >= F.col("start_token")) & (F.col("s") + size <= F.col("end_token"))))
+    rel = held.groupBy("doc_id", "start_token").agg(F.avg("p").alias("relevance"))
+    return spans.join(rel, ["doc_id", "start_token"], "left").select("doc_id", "start_token", "end_token", "confidence", "relevance")

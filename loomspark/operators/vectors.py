@@ -106,3 +106,13 @@ def range_pool(rows: DataFrame, ranges: DataFrame, position: str, vec: str, how:
 def mean_by_node(windows: DataFrame, node: str, vec: str) -> DataFrame:
     """Overlapping windows' embeddings of a node, averaged."""
     return scatter(windows, node, vec, "mean")
+
+
+def pooled_levels(tokens: DataFrame, levels: list[DataFrame], vec: str = "vec") -> list[DataFrame]:
+    """Means level by level: tokens (id, vec); each level (id, parent) groups the one below. Returns (id, vec) of each."""
+    out, below = [], tokens.select("id", vec)
+    for groups in levels:
+        flat = below.join(groups, "id").select("parent", F.posexplode(vec).alias("dim", "x")).groupBy("parent", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        below = flat.groupBy(F.col("parent").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias(vec))
+        out.append(below)
+    return out
