@@ -89,22 +89,25 @@ def adjacency_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(lists, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<bigint>")))
 
 
-def spread_sample(rows: DataFrame, order: list[str], most: int = 20) -> DataFrame:
-    """At most `most` rows at an even stride, for relation classification."""
-    n = F.count("*").over(Window.partitionBy())
-    k = F.row_number().over(Window.orderBy(*order)) - 1
-    step = F.greatest(F.floor(n / most), F.lit(1))
-    return rows.withColumn("__k", k).withColumn("__s", step).filter((F.col("__k") % F.col("__s") == 0) & (F.col("__k") / F.col("__s") < most)).drop("__k", "__s")
+def spread_sample(edges: DataFrame, most: int = 20, chunk: int = 1 << 16) -> DataFrame:
+    """At most `most` edges at an even stride of (src, dst), for relation classification. Places come from counts by chunks of src, then within one."""
+    rows = edges.withColumn("__c", F.floor(F.col("src") / chunk))
+    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy()
+    counts = counts.withColumns({"__base": F.coalesce(F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__s": F.greatest(F.floor(F.sum("__n").over(whole) / most), F.lit(1))})
+    inside = F.row_number().over(Window.partitionBy("__c").orderBy("src", "dst")) - 1
+    rows = rows.withColumn("__r", inside).join(counts.drop("__n"), "__c").withColumn("__k", F.col("__base") + F.col("__r"))
+    return rows.filter((F.col("__k") % F.col("__s") == 0) & (F.col("__k") / F.col("__s") < most)).drop("__c", "__r", "__base", "__s", "__k")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, out_degree, in_degree, and both over N - 1 (1 for a single node)."""
-    n = F.count("*").over(Window.partitionBy())
+    total = nodes.agg(F.count("*").alias("__n"))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
-    rows = nodes.select("id").join(out, "id", "left").join(into, "id", "left").na.fill(0)
-    share = lambda c: F.when(n == 1, F.lit(1.0)).otherwise(F.col(c) / (n - 1))
-    return rows.withColumns({"out_centrality": share("out_degree"), "in_centrality": share("in_degree")})
+    rows = nodes.select("id").join(out, "id", "left").join(into, "id", "left").na.fill(0).crossJoin(F.broadcast(total))
+    share = lambda c: F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.col(c) / (F.col("__n") - 1))
+    return rows.withColumns({"out_centrality": share("out_degree"), "in_centrality": share("in_degree")}).drop("__n")
 
 
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,13 +127,14 @@ def type_distribution(edges: DataFrame) -> DataFrame:
 
 def edge_info(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, n_in, n_out, types (of incoming edges), density = (in + out) / max(1, N - 1), hub if in + out > 2 E / N."""
-    n, e = F.count("*").over(Window.partitionBy()), edges.count()
+    totals = nodes.agg(F.count("*").alias("__n")).crossJoin(edges.agg(F.count("*").alias("__e")))
     by_type = edges.groupBy(F.col("dst").alias("id"), F.coalesce("edge_type", F.lit(0)).alias("t")).agg(F.count("*").alias("c"))
     into = by_type.groupBy("id").agg(F.sum("c").alias("n_in"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "c")))).alias("types"))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
     rows = nodes.select("id").join(into, "id", "left").join(out, "id", "left").withColumns({"n_in": F.coalesce("n_in", F.lit(0)), "n_out": F.coalesce("n_out", F.lit(0))})
     links = F.col("n_in") + F.col("n_out")
-    return rows.withColumns({"density": links / F.greatest(F.lit(1), n - 1), "hub": links > F.lit(2.0 * e) / n})
+    rows = rows.crossJoin(F.broadcast(totals))
+    return rows.withColumns({"density": links / F.greatest(F.lit(1), F.col("__n") - 1), "hub": links > F.lit(2.0) * F.col("__e") / F.col("__n")}).drop("__n", "__e")
 
 
 def classify(segments: DataFrame, importance: str = "importance", group: str = "doc_id") -> DataFrame:

@@ -256,7 +256,7 @@ def graph_dual(spark, d):
 
 @query("graph_relation_sample", f"WITH {E03}, k AS (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS k, greatest(count(*) OVER () // 20, 1) AS s FROM edges) SELECT src, dst, weight FROM k WHERE k % s = 0 AND k / s < 20")
 def graph_sample(spark, d):
-    return G.spread_sample(_pairs(spark, d), ["src", "dst"])
+    return G.spread_sample(_pairs(spark, d))
 
 
 @query("ana_degree_centrality", f"WITH {E03}, o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY src), i AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst), c AS (SELECT count(*) AS n FROM nodes) SELECT nodes.id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree, round(coalesce(o.n, 0) / (c.n - 1), 9) AS out_centrality, round(coalesce(i.n, 0) / (c.n - 1), 9) AS in_centrality FROM nodes LEFT JOIN o ON nodes.id = o.id LEFT JOIN i ON nodes.id = i.id, c")
