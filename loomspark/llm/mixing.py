@@ -166,12 +166,12 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_ti
     that of the new text.
     """
     scratch = Scratch(docs.sparkSession, "mix-documents")
-    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.monotonically_increasing_id().alias("uid"), word_count(text_bytes(text_col)).alias("__size"), shuffle_key(id_col, text_col).alias("__m"))
+    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.monotonically_increasing_id().alias("__uid"), word_count(text_bytes(text_col)).alias("__size"), shuffle_key(id_col, text_col).alias("__m"))
     written = scratch.write(named, "documents")
-    sized = written.select("uid", F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__m").alias("m"))
+    sized = written.select(F.col("__uid").alias("uid"), F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__m").alias("m"))
     _, spans = mix_spans(sized, weights, most_times, block)
-    once = spans.groupBy("uid", "times").agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
-    out = written.join(once.hint("merge"), "uid")
+    once = spans.groupBy(F.col("uid").alias("__uid"), F.col("times").alias("__times")).agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    out = written.join(once.hint("merge"), "__uid")
     text = F.when((F.col("__lo") == 0) & (F.col("__hi") >= F.col("__size")), F.col(text_col)).otherwise(_cut_udf()(text_bytes(text_col), F.col("__lo"), F.col("__hi")))
     out = out.withColumn("__text", text)
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

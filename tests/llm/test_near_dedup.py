@@ -81,5 +81,11 @@ def test_one_row_of_each_component_stays(spark, docs, hard_docs):
     assert set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def test_clashing_columns_stay(docs):
+    clash = docs.selectExpr("*", "1 AS node", "2 AS n", "3 AS kept", "4 AS component", "5 AS th")
+    out = N.drop_near_duplicates(clash)
+    assert out.columns == clash.columns and {(r.node, r.n, r.kept) for r in out.collect()} == {(1, 2, 3)}
+
+
 def test_empty_table(no_docs):
     assert N.near_duplicates(no_docs).count() == 0

@@ -81,6 +81,8 @@ def test_mix(spark, docs, hard_docs):
 def test_mixed_documents_hold_the_words_taken(spark, docs):
     df = docs.filter("doc_id IS NULL OR doc_id <> 19")
     taken = sum(r.taken for r in mixing.mix_counts(df, block=16).collect())
+    clash = df.selectExpr("*", "1 AS uid", "2 AS size", "3 AS times", "4 AS m", "5 AS src")
+    assert mixing.mix_documents(clash, block=16).columns == clash.columns
     rows = mixing.mix_documents(df, block=16).collect()
     assert sum(len(r.text.split()) for r in rows) == taken
     assert set(rows[0].asDict()) == set(docs.columns) and all(r.n_chars == len(r.text) for r in rows)
