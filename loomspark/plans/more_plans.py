@@ -170,7 +170,7 @@ def att_bias_evolution(spark, d):
     return AP._longs(A.bias(pos, 12, "TOPIC_EVOLUTION").withColumn("bias", F.round("bias", 6)), "i", "j")
 
 
-@query("att_bias_reference", "WITH pos(pos) AS (VALUES (2), (9)), r AS (SELECT unnest(range(12)) AS x) SELECT pos AS i, x AS j, 0.3::DOUBLE AS bias FROM pos JOIN r ON x < pos")
+@query("att_bias_reference", "WITH pos(pos) AS (VALUES (2), (9)), r AS (SELECT unnest(range(12)) AS x) SELECT pos::BIGINT AS i, x AS j, 0.3::DOUBLE AS bias FROM pos JOIN r ON x < pos")
 def att_bias_reference(spark, d):
     return AP._longs(A.bias(spark.createDataFrame([(2,), (9,)], "pos int"), 12, "REFERENCE"), "i", "j")
 
