@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,27 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows for this session, unless it has set its own: whole texts make long rows, and JVM and
+    Python each hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def give_back_memory() -> None:
+    """Free heap pages to the system after a large task, since its Python worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
         self.paths: dict[str, list[str]] = {}
@@ -62,18 +81,6 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Smaller Arrow batches for what runs inside, where rows are long or Python keeps several copies of a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def keyed(df: DataFrame, id_col: str, key: str = "__id") -> DataFrame:
     """With a non-null join key: a null id becomes the smallest long."""
     return df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import give_back_memory, small_batches
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, max_rows: int, max_chars: int, id_col: str, text_col: str) -> DataFrame:
     """text and label of at most max_rows labelled rows, chosen by a hash of their ids, so alike on every run.
@@ -29,9 +31,12 @@ def train_in_one_task(sample: DataFrame, train: Callable[[list, np.ndarray], obj
     def run(table: pa.Table) -> pa.Table:
         # sorted, so that the order in which rows arrive doesn't matter
         rows = sorted(zip(table.column("text").to_pylist(), table.column("label").to_pylist()))
-        model = train([t for t, _ in rows], np.array([y for _, y in rows], float))
-        return pa.table([pa.array([pickle.dumps(model, 5)], pa.binary())], ["model"])
+        model = pickle.dumps(train([t for t, _ in rows], np.array([y for _, y in rows], float)), 5)
+        del table, rows
+        give_back_memory()
+        return pa.table([pa.array([model], pa.binary())], ["model"])
 
+    small_batches(sample.sparkSession)
     found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else None
 

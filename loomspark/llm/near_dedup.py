@@ -55,7 +55,7 @@ def _facts_udf(words: int, k: int):
             s = shingle_set(t.as_py(), words)
             sizes.append(len(s))
             hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sketches.append(s[:k])
+            sketches.append(s[:k].copy())  # a slice would keep the whole set
             at.append(at[-1] + min(len(s), k))
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sketches) if sketches else [], pa.int64()))
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), lists], fields=list(kind))

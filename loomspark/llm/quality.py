@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loomspark.llm.common import text_bytes
+from loomspark.llm.common import small_batches, text_bytes
 from loomspark.llm.learning import held_out, labelled_sample, sigmoid, train_in_one_task
 
 WORDS = 1 << 16
@@ -59,8 +59,8 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = np.fromiter((zlib.crc32(w) & (WORDS - 1) for w in own), np.int64, len(own))
     at = WORDS + np.arange(len(STATS)) * (BINS + 1)
     bins = np.minimum((np.array(stats) * BINS).astype(np.int64), BINS - 1)
-    index = np.concatenate([h, at, at + 1 + bins])
-    value = np.concatenate([np.full(len(own), len(own) ** -0.5 if own else 0.0), stats, np.full(len(STATS), 0.5)])
+    index = np.concatenate([h, at, at + 1 + bins]).astype(np.int32)
+    value = np.concatenate([np.full(len(own), len(own) ** -0.5 if own else 0.0), stats, np.full(len(STATS), 0.5)]).astype(np.float32)
     return index, value
 
 
@@ -121,7 +121,7 @@ def _packed(model: dict) -> dict:
     return {"w0": float(model["w0"]), "w": model["w"].astype(np.float32), "v": model["v"].astype(np.float32)}
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, usable, max_rows: int = 12_000, max_chars: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train_quality(docs: DataFrame, labels: DataFrame, usable, max_rows: int = 8_000, max_chars: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The model, from at most max_rows labelled rows with usable true and texts of at most max_chars characters. Without such rows every score is 0.5."""
     sample = labelled_sample(docs, labels, label_col, usable, max_rows, max_chars, id_col, text_col)
     return train_in_one_task(sample, train) or train([], np.zeros(0))
@@ -130,6 +130,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable, max_rows: int = 12
 def score_quality(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All rows and columns of docs plus score_col, from 0 to 1, of the whole text (null: as empty). A column of that name is replaced."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         out: list[np.ndarray] = [np.zeros(0)]

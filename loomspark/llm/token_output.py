@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from loomspark.llm.common import Scratch, arrow_rows, text_bytes
+from loomspark.llm.common import Scratch, small_batches, text_bytes
 from loomspark.llm.tokens import codec, vocabulary
 
 
@@ -57,6 +57,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
     order of their texts' hashes. Only id_col and text_col are read; other columns, whatever their names, stay out.
     An empty table gives files without rows.
     """
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias(id_col), text_bytes(text_col).alias("__text"))
     ordered = named.withColumn("__tie", F.xxhash64("__text"))
     ordered = ordered.repartitionByRange(F.col(id_col), F.col("__tie")).sortWithinPartitions(id_col, "__tie")
@@ -68,11 +69,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
         ids.alias("ids"),
     )
     out = out.select("part", "row", id_col, F.size("ids").cast("long").alias("n_tokens"), "ids")
-    with arrow_rows(docs.sparkSession, 2000):
-        _write(out, path, row_group_bytes, page_rows)
-
-
-def _write(out: DataFrame, path: str, row_group_bytes: int, page_rows: int) -> None:
     out.write.options(
         **{
             "compression": "zstd",

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loomspark.llm.common import text_bytes
+from loomspark.llm.common import small_batches, text_bytes
 from loomspark.llm.learning import held_out, labelled_sample, logistic, sigmoid, train_in_one_task
 
 LETTERS = 64
@@ -219,6 +219,7 @@ def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text", score_c
     """All rows and columns of docs plus score_col, from 0 to 1, of the whole text (null: as empty). A column of that name is replaced."""
     import hashlib
 
+    small_batches(docs.sparkSession)
     key = hashlib.md5(model["table"].tobytes()).digest()
 
     @F.arrow_udf(DoubleType())
