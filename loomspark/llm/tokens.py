@@ -19,6 +19,7 @@ _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 # Letters up to U+00FF, then ASCII punctuation but the apostrophe: two pre-tokens under every split rule in use here.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+_STOPS = frozenset(".,;:!?")
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -52,10 +53,19 @@ class Memo(dict):
             return b"".join(out)
         except TypeError:
             pass
-        other = self.other
+        encode, room = self.encode, self.most - len(self)
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = other(words[i])
+                w = words[i]
+                out[i] = ids = encode(w)
+                if room > 0:
+                    self[w] = ids
+                    room -= 1
+                else:
+                    self.others += 1
+        if self.others > 16 * self.most:
+            self.clear()
+            self.others = 0
         return b"".join(out)
 
     def other(self, word) -> bytes:
@@ -80,7 +90,8 @@ class Codec:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.model = self.tokenizer.model
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.plain_ok = not any(_PLAIN.fullmatch(t) for t in special)
+        if any(_PLAIN.fullmatch(t) for t in special):
+            raise ValueError("a special token that is a plain word isn't supported")
         self.runs = Memo(self._run, most)  # letters or punctuation, as the vocabulary writes them
         self.bare = Memo(self._word, most)
         self.spaced = Memo(lambda w: self._word(w, " "), most)
@@ -95,26 +106,31 @@ class Codec:
     def _word(self, word: str | bytes, space: str = "") -> bytes:
         """A word that isn't plain goes through the whole tokenizer. A plain one is two runs: their letters are stable under
         composition, lower-case one by one, and are looked up in the model as the vocabulary writes their bytes."""
-        if isinstance(word, bytes):
-            if word.isalpha() and self.plain_ok:
-                run = word.lower().decode() if self.kind == "words" else word.decode()
-                return self.runs.get(run) or self.runs.other(run)
-            word = word.decode("utf-8", "replace")
-        elif space and word.isascii() and word.isalpha() and self.plain_ok and self.kind == "bytes":
-            run = "\u0120" + word
-            return self.runs.get(run) or self.runs.other(run)
-        found = _PLAIN.fullmatch(word) if self.plain_ok else None
-        if not found:
-            return self._full(space + word)
-        letters, marks = found.groups()
+        w = word if word.__class__ is str else word.decode("utf-8", "replace")
+        letters, marks = w, ""
+        if not w.isalpha():
+            letters, marks = w[:-1], w[-1:]
+            if marks not in _STOPS or not letters.isalpha():
+                found = _PLAIN.fullmatch(w)
+                if not found:
+                    return self._full(space + w)
+                letters, marks = found.groups()
         if self.kind == "words":
             letters = letters.lower()
         if letters.isascii():
-            letters = space and "\u0120" + letters or letters
+            if space:
+                letters = "\u0120" + letters
         else:
+            try:
+                letters.encode("latin-1")  # what lies beyond may compose or change its length with its case
+            except UnicodeEncodeError:
+                return self._full(space + w)
             letters = (space + letters).encode().decode("latin-1").translate(_LETTERS)
-        ids = self.runs.get(letters) or self.runs.other(letters)
-        return ids + (self.runs.get(marks) or self.runs.other(marks)) if marks else ids
+        runs = self.runs
+        ids = runs.get(letters)
+        if ids is None:
+            ids = runs.other(letters)
+        return ids + (runs.get(marks) or runs.other(marks)) if marks else ids
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
