@@ -1,6 +1,7 @@
-"""License scans: sparse TF-IDF cosine of lines and whole texts to templates, then inheritance by directory.
+"""License scans: sparse TF-IDF cosine of lines, windows and whole texts to templates, then inheritance by directory.
 
-Only DataFrame functions. Units are all lines of a text and the text itself. A unit can reach the threshold only if it holds
+Only DataFrame functions. Units are all lines of a text, the text itself, and around anchors the windows of as many terms as a template
+has, whatever the line breaks; a window meets templates of its own length. A unit can reach the threshold only if it holds
 one of the anchors: for every template the terms without anchors carry less than the threshold's share of its length
 (Cauchy-Schwarz), so the regular expression over anchors loses nothing. A row that names a licence has its own; any other row
 takes that of the nearest directory above it that holds a licence file, resolved once for each directory.
@@ -16,31 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import NULL_ID, Scratch, hot_split_join
+from loomspark.llm.license_templates import NOTICES, TEMPLATES, TEXTS, TITLES, TWO_CLAUSES
 
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This source code form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("proprietary", "All rights reserved."),
-]
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
-    """(template, term, weight / length) of each, the terms' idf, and that of any other term."""
+    """(template, term, weight / length) of each, the terms' idf, and that of any other term. Beside NOTICES further templates leave the
+    idf as it is: many wordings of a licence don't make its words less telling."""
     counts = [Counter(re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))) for _, text in templates]
-    df = Counter(t for c in counts for t in c)
-    n = len(templates)
-    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in sorted(df.items())}
+    plain = set(NOTICES) <= set(templates)
+    df = Counter(t for k, c in enumerate(counts) if not plain or templates[k] in NOTICES for t in c)
+    n = len(NOTICES) if plain else len(templates)
+    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in sorted({t for c in counts for t in c})}
     rows = []
     for k, c in enumerate(counts):
         length = math.sqrt(sum((f * idf[t]) ** 2 for t, f in c.items()))
@@ -49,20 +39,72 @@ def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int,
 
 
 # Words too common in running text to look for; they stay outside the anchors first.
-COMMON = "the and of in to is or with are this that by all under mit a v".split()  # "mit" is a German word
+COMMON = "the and of in to is or with are this that by all under mit a v from into your any for be at you it not may can if was its do so as on one use used file free work form 1 2 3 2.0 4.0 without person persons provided published must above following list other code library name names program version software copy copies source public general either later option found file conditions terms subject international".split()  # "mit" is a German word
+CHUNK, FINE = 1024, 16  # terms a chunk; windows shorter than FINE start at every term, others at every eighth of their length and where a template's term fits
 
 
-def anchors(weights: list[tuple[int, str, float]], threshold: float) -> list[str]:
-    """Terms of which each unit within reach of a template holds one."""
-    chosen: set[str] = set()
+def template_anchors(weights: list[tuple[int, str, float]], threshold: float) -> dict[int, set[str]]:
+    """Per template the terms of which each unit within its reach holds one."""
+    chosen: dict[int, set[str]] = {}
     for k in sorted({r[0] for r in weights}):
         rest = 0.0
         for _, t, w in sorted((r for r in weights if r[0] == k), key=lambda r: (COMMON.index(r[1]) if r[1] in COMMON else len(COMMON), r[2], r[1])):
             if rest + w * w < (threshold * 0.999) ** 2:
                 rest += w * w
             else:
-                chosen.add(t)
-    return sorted(chosen)
+                chosen.setdefault(k, set()).add(t)
+    return chosen
+
+
+def anchors(weights: list[tuple[int, str, float]], threshold: float) -> list[str]:
+    """Terms of which each unit within reach of any template holds one."""
+    return sorted(set().union(*template_anchors(weights, threshold).values()))
+
+
+def _any_of(terms: list[str]) -> str:
+    """A regular expression for the terms, by first letters, since a plain list of so many is slow."""
+    heads = sorted({t[0] for t in terms})
+    rest = lambda h: sorted((re.escape(t[1:]) for t in terms if t[0] == h), key=len, reverse=True)
+    return "|".join(f"{re.escape(h)}(?:{'|'.join(rest(h))})" for h in heads)
+
+
+def _terms(text: str) -> list[str]:
+    return re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def _windows(hits: DataFrame, templates: list[tuple[str, str]], weights: list[tuple[int, str, float]], threshold: float) -> DataFrame:
+    """__id, n, unit, term: the terms of each window of n terms from term number unit on that lies around an anchor."""
+    places: dict[str, set[tuple[int, int]]] = {}
+    longest = 1
+    for k, found in template_anchors(weights, threshold).items():
+        ts = _terms(templates[k][1])
+        if templates[k] in TITLES:
+            continue
+        longest = max(longest, len(ts))
+        for o, t in enumerate(ts):
+            if t in found:
+                places.setdefault(t, set()).update({(len(ts), -1)} if len(ts) < FINE else {(len(ts), -1), (len(ts), o)})
+    if not places:
+        return hits.select("__id", F.lit(0).alias("n"), F.lit(0).alias("unit"), "text").filter("false").withColumnRenamed("text", "term")
+    known = F.array(*map(F.lit, sorted(places)))
+    entry = lambda e: F.struct(F.lit(e[0]).alias("n"), F.lit(e[1]).alias("o"))
+    table = F.create_map(*[x for t in sorted(places) for x in (F.lit(t), F.array(*map(entry, sorted(places[t]))))])
+
+    def starts(at: Column, e: Column) -> Column:
+        step = F.when(e["n"] < FINE, 1).otherwise(F.floor(e["n"] / 8).cast("int"))
+        grid = F.transform(F.sequence(F.lit(0), F.floor(e["n"] / step).cast("int")), lambda k: (F.floor(at / step).cast("int") - k) * step)
+        return F.transform(F.when(e["o"] >= 0, F.array(at - e["o"])).otherwise(grid), lambda s: F.struct(e["n"].alias("n"), s.alias("s")))
+
+    rows = hits.select("__id", F.regexp_extract_all(_lower(F.col("text")), F.lit(f"({TERM})")).alias("terms"))
+    rows = rows.filter(F.size("terms") > 0).select("__id", "terms", F.explode(F.sequence(F.lit(0), F.size("terms") - 1, F.lit(CHUNK))).alias("base"))
+    rows = rows.select("__id", "base", F.slice("terms", F.col("base") + 1, F.lit(CHUNK + longest)).alias("part"))
+    at = F.filter(F.transform("part", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_contains(known, x["t"]))
+    found = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(F.element_at(table, x["t"]), lambda e: starts(x["i"], e)))))
+    inside = lambda w: (w["s"] >= 0) & (w["s"] < CHUNK) & (w["s"] + w["n"] <= F.size("part"))
+    rows = rows.select("__id", "base", "part", F.array_distinct(F.filter(found, inside)).alias("found")).filter(F.size("found") > 0)
+    each = F.transform("found", lambda w: F.struct(w["n"].alias("n"), (F.col("base") + w["s"]).alias("unit"), F.slice("part", w["s"] + 1, w["n"]).alias("terms")))
+    rows = rows.select("__id", F.explode(each).alias("w"))
+    return rows.select("__id", "w.n", "w.unit", F.explode("w.terms").alias("term"))
 
 
 def _values(rows: list[tuple]) -> str:
@@ -81,8 +123,10 @@ def _parent(path: Column) -> Column:
 def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str]] | None = None, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, license, score (6 decimals), origin ("own", "inherited", "none"), license_dir, license_id.
 
-    A row's own licence is the template with the highest cosine, at least threshold, over its lines and its whole text; ties go
-    to the earlier template. The row is a licence file of its directory if its first line or whole text reaches the threshold. Of several in a directory
+    A row's own licence is the template with the highest cosine, at least threshold, over its lines, its windows and its whole text; ties go
+    to the earlier template, and "proprietary" is for rows that name no other licence, since licence texts reserve rights too. TITLES count
+    as whole lines and whole texts only. The row is a licence file of its directory if its first line or whole text reaches the threshold, if its
+    best window is its very start, or if a text that grants a licence (TEXTS) begins within its first 40 terms. Of several in a directory
     the highest score counts, then the smallest id. A row without its own takes that of the nearest directory on its path that has a
     licence file, its own directory first, the root ("") last.
 
@@ -93,27 +137,33 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     scratch = Scratch(spark, "licenses")
     templates = templates or TEMPLATES
     weights, idf, other_idf = template_weights(templates)
-    table = spark.sql(f"SELECT * FROM VALUES {_values(weights)} AS t(template, term, weight)")
+    size = [-1 if t in TITLES else len(_terms(t[1])) for t in templates]
+    table = spark.sql(f"SELECT * FROM VALUES {_values([(*w, size[w[0]]) for w in weights])} AS t(template, term, weight, size)")
     terms = spark.sql(f"SELECT * FROM VALUES {_values(sorted(idf.items()))} AS t(term, idf)")
-    pattern = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(re.escape(a) for a in anchors(weights, threshold)) + ")(?![A-Za-z0-9])"
+    pattern = "(?i)(?<![A-Za-z0-9])(?:" + _any_of(anchors(weights, threshold)) + ")(?![A-Za-z0-9])"
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id")
     rows = docs.select(key, F.col(text_col).alias("text"), F.coalesce(F.col(path_col), F.lit("")).alias("path"))
     hits = scratch.write(rows.select("__id", "text").filter(F.col("text").rlike(pattern)), "hits")
     lines = hits.select("__id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).filter(F.col("line").rlike(pattern))
     units = lines.unionByName(hits.select("__id", F.lit(-1).alias("unit"), F.col("text").alias("line")))
-    words = units.select("__id", "unit", F.explode(F.regexp_extract_all(_lower(F.col("line")), F.lit(f"({TERM})"))).alias("term"))
-    counts = words.groupBy("__id", "unit", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term", "left")
-    counts = scratch.write(counts.select("__id", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other_idf))).alias("x")), "counts")
-    dots = counts.join(F.broadcast(table), "term", "left").groupBy("__id", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    lengths = counts.groupBy("__id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    cosines = dots.filter("template IS NOT NULL").join(lengths, ["__id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
+    words = units.select("__id", F.lit(0).alias("n"), "unit", F.explode(F.regexp_extract_all(_lower(F.col("line")), F.lit(f"({TERM})"))).alias("term"))
+    words = words.unionByName(_windows(hits, templates, weights, threshold))
+    counts = words.groupBy("__id", "n", "unit", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term", "left")
+    counts = scratch.write(counts.select("__id", "n", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other_idf))).alias("x")), "counts")
+    meets = (F.col("c.term") == F.col("t.term")) & ((F.col("n") == 0) | (F.col("n") == F.col("size")))
+    dots = counts.alias("c").join(F.broadcast(table.alias("t")), meets).groupBy("__id", "n", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count("*").alias("shared"))
+    dots = dots.filter("shared > 1").drop("shared")  # one word alone ("mit", "from") names no licence
+    lengths = counts.groupBy("__id", "n", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    cosines = dots.join(lengths, ["__id", "n", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
+    named = ~F.col("template").isin([k for k, (t, _) in enumerate(templates) if t == "proprietary"])
+    grants = F.col("template").isin([k for k, t in enumerate(templates) if t in TEXTS or t in TWO_CLAUSES]) & (F.col("unit") < 40)
     own = cosines.groupBy("__id").agg(
         # bitwise_not turns an order round without overflow
-        F.max(F.struct("score", F.bitwise_not("template").alias("neg"))).alias("best"),
-        F.max(F.col("unit") <= 0).alias("is_file"),
+        F.max(F.struct(named.alias("named"), "score", F.bitwise_not("template").alias("neg"), (F.col("unit") <= 0).alias("first"))).alias("best"),
+        F.max(F.when(F.col("n") == 0, F.col("unit") <= 0).otherwise(grants)).alias("is_file"),
     )
-    own = scratch.write(own.select("__id", F.col("best.score").alias("score"), F.bitwise_not("best.neg").alias("template"), "is_file"), "own")
+    own = scratch.write(own.select("__id", F.col("best.score").alias("score"), F.bitwise_not("best.neg").alias("template"), (F.col("is_file") | F.col("best.first")).alias("is_file")), "own")
 
     placed = rows.select("__id", _parent(F.col("path")).alias("dir")).join(own.hint("merge"), "__id", "left")
     placed = scratch.write(placed, "placed")
@@ -149,12 +199,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    weights, idf, other = template_weights(TEMPLATES)
+    weights, idf, other = template_weights(NOTICES)
     plain = lambda rows: ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
     return rf"""
 WITH weights(template, term, weight) AS (VALUES {plain(weights)}),
 idfs(term, idf) AS (VALUES {plain(sorted(idf.items()))}),
-names(template, license) AS (VALUES {plain([(k, t) for k, (t, _) in enumerate(TEMPLATES)])}),
+names(template, license) AS (VALUES {plain([(k, t) for k, (t, _) in enumerate(NOTICES)])}),
 rows AS (
   SELECT doc_id, coalesce(text, '') AS text,
          concat_ws('/', source, lang, floor(doc_id / 1000)::BIGINT::VARCHAR, floor(doc_id / 100)::BIGINT::VARCHAR) AS dir

@@ -70,3 +70,82 @@ def test_scores_match_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, path string")
     assert L.scan_licenses(df, "path").count() == 0
+
+
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+CLAUSES = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.
+"""
+HOLDER = "Copyright (c) 2024, Acme\nAll rights reserved.\n\n"
+FILES = [
+    ("MIT", "MIT License\n\nCopyright (c) 2024 Acme\n\n" + MIT_GRANT),
+    ("MIT", "Copyright (c) 2024 Acme\n\n" + MIT_GRANT),
+    ("BSD-2-Clause", HOLDER + CLAUSES + AS_IS),
+    ("BSD-3-Clause", HOLDER + CLAUSES + THIRD + AS_IS),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("Apache-2.0", "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n"),
+    ("ISC", "Copyright (c) 2024, Acme\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public\nLicense\n\nBy exercising the Licensed Rights\n"),
+]
+CODE = "import os\n\ndef run(path):\n    return os.listdir(path)\n" + "\n".join(f"x{k} = y{k} + z{k}" for k in range(60)) + "\n"
+HEADERS = [
+    ("MIT", "# SPDX-License-Identifier: MIT\n" + CODE),
+    ("GPL-2.0", CODE + "// SPDX-License-Identifier: GPL-2.0-or-later\n"),
+    ("proprietary", CODE + "// Copyright 2024 Acme. All rights reserved.\n"),
+    ("GPL-3.0", CODE + " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n"),
+    ("Apache-2.0", CODE + "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n"),
+]
+WRAPPED = [
+    ("MIT", CODE + "Released under the\nMIT License.\n" + CODE),
+    ("BSD-3-Clause", CODE + CLAUSES[:145] + CODE),
+    ("Apache-2.0", CODE + "Licensed under the Apache\nLicense, Version 2.0.\n" + CODE),
+    ("LGPL-3.0", CODE + "This work is licensed under the GNU Lesser\nGeneral Public License, version 3.\n" + CODE),
+    ("MIT", CODE + "Foo is released under the MIT license, see the LICENSE file for all that it says.\n" + CODE),
+]
+NEITHER = ["mit", "from\nmit", "The MIT has a library of books", "Er kam mit der Bahn\nund ging mit\nmit", "The licence fee rose in all versions of the plan", "SPDX-License-Identifier: Foo-1.0"]
+
+
+def scan(spark, texts):
+    df = spark.createDataFrame([(i, t, f"d{i}/x") for i, t in enumerate(texts)] + [(1000 + i, "plain", f"d{i}/sub/y") for i in range(len(texts))], "doc_id long, text string, path string")
+    got = {r.doc_id: (r.license, r.origin) for r in L.scan_licenses(df, "path").collect()}
+    return [got[i] for i in range(len(texts))], [got[1000 + i] for i in range(len(texts))]
+
+
+def test_license_files_pass_on(spark):
+    own, below = scan(spark, [t for _, t in FILES])
+    assert own == [(n, "own") for n, _ in FILES]
+    assert below == [(n, "inherited") for n, _ in FILES]
+
+
+def test_headers(spark):
+    own, below = scan(spark, [t for _, t in HEADERS] + NEITHER)
+    assert own == [(n, "own") for n, _ in HEADERS] + [(None, "none")] * len(NEITHER)
+    assert below[1:] == [(None, "none")] * (len(own) - 1)  # only the tag at the very start counts as a file
