@@ -9,6 +9,7 @@ takes that of the nearest directory above it that holds a licence file, resolved
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -86,9 +87,9 @@ def _windows(hits: DataFrame, templates: list[tuple[str, str]], weights: list[tu
                 places.setdefault(t, set()).update({(len(ts), -1)} if len(ts) < FINE else {(len(ts), -1), (len(ts), o)})
     if not places:
         return hits.select("__id", F.lit(0).alias("n"), F.lit(0).alias("unit"), "text").filter("false").withColumnRenamed("text", "term")
-    known = F.array(*map(F.lit, sorted(places)))
-    entry = lambda e: F.struct(F.lit(e[0]).alias("n"), F.lit(e[1]).alias("o"))
-    table = F.create_map(*[x for t in sorted(places) for x in (F.lit(t), F.array(*map(entry, sorted(places[t]))))])
+    # single literals: a column for each value takes seconds to build
+    known = F.split(F.lit(" ".join(sorted(places))), " ")
+    table = F.from_json(F.lit(json.dumps({t: [{"n": n, "o": o} for n, o in sorted(places[t])] for t in sorted(places)})), "map<string,array<struct<n:int,o:int>>>")
 
     def starts(at: Column, e: Column) -> Column:
         step = F.when(e["n"] < FINE, 1).otherwise(F.floor(e["n"] / 8).cast("int"))
@@ -101,8 +102,9 @@ def _windows(hits: DataFrame, templates: list[tuple[str, str]], weights: list[tu
     at = F.filter(F.transform("part", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_contains(known, x["t"]))
     found = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(F.element_at(table, x["t"]), lambda e: starts(x["i"], e)))))
     inside = lambda w: (w["s"] >= 0) & (w["s"] < CHUNK) & (w["s"] + w["n"] <= F.size("part"))
-    rows = rows.select("__id", "base", "part", F.array_distinct(F.filter(found, inside)).alias("found")).filter(F.size("found") > 0)
-    each = F.transform("found", lambda w: F.struct(w["n"].alias("n"), (F.col("base") + w["s"]).alias("unit"), F.slice("part", w["s"] + 1, w["n"]).alias("terms")))
+    rows = rows.select("__id", "base", "part", F.array_distinct(F.transform(F.filter(found, inside), lambda w: w["n"] * CHUNK + w["s"])).alias("found")).filter(F.size("found") > 0)
+    size, start = lambda w: F.floor(w / CHUNK).cast("int"), lambda w: w % CHUNK
+    each = F.transform("found", lambda w: F.struct(size(w).alias("n"), (F.col("base") + start(w)).alias("unit"), F.slice("part", start(w) + 1, size(w)).alias("terms")))
     rows = rows.select("__id", F.explode(each).alias("w"))
     return rows.select("__id", "w.n", "w.unit", F.explode("w.terms").alias("term"))
 
