@@ -133,7 +133,7 @@ def att_topk(spark, d):
 
 @query("att_views_grouping_sets", f"WITH {ATTN} SELECT window_idx, layer::BIGINT AS layer, head::BIGINT AS head, i, j, round(avg(w), 9) AS w FROM attn WHERE window_idx < 4 GROUP BY GROUPING SETS ((window_idx, i, j), (window_idx, head, i, j), (window_idx, layer, i, j))")
 def att_views(spark, d):
-    return _longs(A.views(_attn(spark, d).filter("window_idx < 4")).withColumn("w", F.round("w", 9)), "layer", "head", "i", "j")
+    return _longs(A.views(_attn(spark, d)).withColumn("w", F.round("w", 9)), "layer", "head", "i", "j")
 
 
 MAPPED = f"{ATTN}, map AS (SELECT window_idx, i AS tok, i // 8 AS seg FROM v), sizes AS (SELECT window_idx, seg, count(*) AS k, min(tok) AS first, max(tok) AS last FROM map GROUP BY ALL)"
