@@ -240,17 +240,24 @@ def four_cliques(edges: DataFrame) -> DataFrame:
     return t.join(d[0], "a").join(d[1], ["b", "d"]).join(d[2], ["c", "d"]).select("a", "b", "c", "d")
 
 
-def simplices(cells: DataFrame, n: int, threshold: float = 0.3) -> DataFrame:
-    """dim, members: vertices, edges and cliques of the symmetric mean over the threshold. Cliques of 3 and 4 only below n: none at n = 3, triangles alone at n = 4."""
+def simplices(cells: DataFrame, n: int, threshold: float = 0.3, group: str | None = None) -> DataFrame:
+    """With group, a column of cells, each group by itself: group, dim, members, its vertices being those that have cells; i and j below n. Else
+    dim, members: vertices, edges and cliques of the symmetric mean over the threshold. Cliques of 3 and 4 only below n: none at n = 3, triangles alone at n = 4."""
+    if group:
+        key = F.col(group).cast("long") * n
+        cells = cells.select((key + F.col("i")).alias("i"), (key + F.col("j")).alias("j"), "w")
     sym = cells.unionByName(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg((F.sum("w") / 2).alias("w"))
     e = sym.filter((F.col("w") > threshold) & (F.col("i") < F.col("j"))).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     spark = cells.sparkSession
-    out = spark.range(n).select(F.lit(0).alias("dim"), F.array(F.col("id").cast("long")).alias("members"))
+    vertices = sym.select(F.col("i").alias("id")).distinct() if group else spark.range(n)
+    out = vertices.select(F.lit(0).alias("dim"), F.array(F.col("id").cast("long")).alias("members"))
     out = out.unionByName(e.select(F.lit(1).alias("dim"), F.array(F.col("src").cast("long"), F.col("dst").cast("long")).alias("members")))
     for k, found in ((3, triangles), (4, four_cliques)):
         if k < min(n, 5):
             cols = [F.col(c).cast("long") for c in "abcd"[:k]]
             out = out.unionByName(found(e).select(F.lit(k - 1).alias("dim"), F.array(*cols).alias("members")))
+    if group:
+        out = out.select(F.floor(F.element_at("members", 1) / n).alias(group), "dim", F.transform("members", lambda x: x % n).alias("members"))
     return out
 
 

@@ -250,8 +250,7 @@ q AS (SELECT t.a, t.b, t.c, p.b AS d FROM t JOIN e p ON p.a = t.a JOIN e q ON q.
 SELECT 0::BIGINT AS dim, [x] AS members FROM (SELECT unnest(range(32)) AS x) UNION ALL SELECT 1, [a, b] FROM e UNION ALL SELECT 2, [a, b, c] FROM t UNION ALL SELECT 3, [a, b, c, d] FROM q""",
 )
 def ana_simplices(spark, d):
-    cells = _mean(spark, d).filter("window_idx = 0").select("i", "j", "w")
-    return _longs(G.simplices(cells, 32, 0.04), "dim")
+    return _longs(G.simplices(_mean(spark, d), 32, 0.04, "window_idx"), "dim")
 
 
 TOKENS = r"tk AS (SELECT doc_id, unnest(ws) AS tok, generate_subscripts(ws, 1) - 1 AS tok_idx FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents))"
