@@ -157,11 +157,15 @@ def att_token_patterns(spark, d):
 
 @query("att_constrained", f"WITH {AP.ATTN}, b(t, bias) AS (VALUES {case_values(list(enumerate(G.EDGE_BIAS)))}), s AS (SELECT window_idx, i, j, d + coalesce(b.bias, 0)::DOUBLE - CASE WHEN (i + j) % 3 = 0 OR i = j THEN 0 ELSE 10000 END AS s FROM p LEFT JOIN b ON b.t = (i * j) % 10 WHERE head = 0 AND window_idx < 4), xx AS (SELECT *, exp(s - max(s) OVER (PARTITION BY window_idx, i)) AS x FROM s) SELECT window_idx, i, j, round(x / sum(x) OVER (PARTITION BY window_idx, i), 7) AS w FROM xx")
 def att_constrained(spark, d):
-    v = tapes.table(spark, d, "embeddings").filter("vec_id < 128").select(F.floor(F.col("vec_id") / 32).alias("window_idx"), (F.col("vec_id") % 32).alias("i"), F.slice("embedding", 1, 32).alias("e"))
+    """Each head of a window is a window of its own to A.constrained."""
+    place = F.floor(F.col("vec_id") / 32) * tapes.HEADS
+    v = tapes.table(spark, d, "embeddings").select(F.explode(F.sequence(F.lit(0), F.lit(tapes.HEADS - 1))).alias("head"), place.alias("place"), (F.col("vec_id") % 32).alias("i"), "embedding")
+    v = v.select((F.col("place") + F.col("head")).alias("window_idx"), "i", F.slice("embedding", F.col("head") * 32 + 1, F.lit(32)).alias("e"))
     pairs = v.join(v.withColumnsRenamed({"i": "j", "e": "f"}), "window_idx").select("window_idx", "i", "j", F.round(X.dot(F.col("e"), F.col("f")), 6).alias("s"))
     types = pairs.select("window_idx", "i", "j", (F.col("i") * F.col("j") % 10).cast("int").alias("edge_type"))
     adj = pairs.filter("(i + j) % 3 = 0 OR i = j")
-    return A.constrained(pairs, types, G.edge_type_dim(spark), adj).withColumn("w", F.round("w", 7))
+    r = A.constrained(pairs, types, G.edge_type_dim(spark), adj)
+    return r.select(F.floor(F.col("window_idx") / tapes.HEADS).alias("window_idx"), (F.col("window_idx") % tapes.HEADS).alias("head"), "i", "j", F.round("w", 7).alias("w"))
 
 
 @query("att_bias_evolution", "WITH pos(pos) AS (VALUES (2), (9)), r AS (SELECT unnest(range(12)) AS x) SELECT a.x AS i, b.x AS j, round(sum(0.2), 6)::DOUBLE AS bias FROM pos JOIN r a ON a.x BETWEEN pos - 3 AND pos + 3 JOIN r b ON b.x BETWEEN pos - 3 AND pos + 3 GROUP BY ALL")
