@@ -66,9 +66,7 @@ def seg_prompt(spark, d):
 @query("win_context", f"WITH TAPES, {PACK}, k AS (SELECT doc_id, count(*) AS n, max(length(text)) AS m FROM WN GROUP BY doc_id) SELECT WN.doc_id, WN.win_idx, WN.text FROM WN JOIN k ON WN.doc_id = k.doc_id WHERE NOT (n = 1 AND m > 1500)")
 def win_context(spark, d):
     t = tapes.transcripts(spark, d)
-    r = W.context_windows(t)
-    long = _packed(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("m")).filter("n = 1 AND m > 1500")
-    return r.join(long.select("doc_id"), "doc_id", "left_anti").withColumn("win_idx", F.col("win_idx").cast("long"))
+    return W.context_windows(t).withColumn("win_idx", F.col("win_idx").cast("long"))
 
 
 @query("win_clean", r"SELECT page_id, CASE WHEN trim(html, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN '' ELSE regexp_replace(html, '\n{3,}', chr(10) || chr(10), 'g') END AS html, contains(html, '```') OR contains(html, '`') OR contains(html, 'def ') OR contains(html, 'class ') OR contains(html, 'import ') OR contains(html, 'from ') OR contains(html, '#!/') OR contains(html, '</') OR contains(html, '/>') OR contains(html, '{}') OR contains(html, '[]') OR contains(html, '()') AS code FROM pages")
