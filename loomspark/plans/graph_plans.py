@@ -186,7 +186,8 @@ _distribute_query("vec_distribute_gated", "1 / (1 + exp(-0.5)) * x + (1 - 1 / (1
 
 @query("vec_segment_pool", f"WITH {FLAT}, s AS (SELECT r AS seg, r * 37 AS b, r * 37 + 30 AS e FROM (SELECT unnest(range(13)) AS r)) SELECT seg, dim, round(avg(x), 6) AS value FROM flat JOIN s ON vec_id >= b AND vec_id < e GROUP BY ALL")
 def vec_segment_pool(spark, d):
-    ranges = spark.range(13).select(F.col("id").alias("seg"), (F.col("id") * 37).alias("begin"), (F.col("id") * 37 + 30).alias("end"))
+    last = tapes.table(spark, d, "embeddings").agg(F.max("vec_id").alias("last"))
+    ranges = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 37))).alias("id")).select(F.col("id").alias("seg"), (F.col("id") * 37).alias("begin"), (F.col("id") * 37 + 30).alias("end"))
     r = V.range_pool(tapes.table(spark, d, "embeddings"), ranges, "vec_id", "embedding")
     return r.select("seg", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 

@@ -34,13 +34,13 @@ def src_rules(spark, d):
 
 @query("src_listed_pieces", "SELECT vec_id, unnest(embedding) AS text, (generate_subscripts(embedding, 1) - 1)::BIGINT AS win_idx FROM embeddings WHERE vec_id < 20")
 def src_listed(spark, d):
-    r = tapes.listed_pieces(tapes.table(spark, d, "embeddings").filter("vec_id < 20"), "vec_id", "embedding")
+    r = tapes.listed_pieces(tapes.table(spark, d, "embeddings"), "vec_id", "embedding")
     return r.withColumn("win_idx", F.col("win_idx").cast("long"))
 
 
 @query("src_fetch_rows", "SELECT o_orderkey AS place, c_custkey AS id, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0")
 def src_fetch(spark, d):
-    ids = tapes.table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("id"))
+    ids = tapes.table(spark, d, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("id"))
     return H.fetch(tapes.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), ids)
 
 
