@@ -149,3 +149,8 @@ def test_headers(spark):
     own, below = scan(spark, [t for _, t in HEADERS] + NEITHER)
     assert own == [(n, "own") for n, _ in HEADERS] + [(None, "none")] * len(NEITHER)
     assert below[1:] == [(None, "none")] * (len(own) - 1)  # only the tag at the very start counts as a file
+
+
+def test_wrapped_and_embedded_notices(spark):
+    own, _ = scan(spark, [t for _, t in WRAPPED])
+    assert own == [(n, "own") for n, _ in WRAPPED]
