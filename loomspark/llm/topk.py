@@ -76,9 +76,11 @@ def _cell(k: int, step: int):
             if not base or not asked:
                 continue
             ids, mat = np.concatenate([b[0] for b in base]), np.concatenate([b[1] for b in base], axis=1)
-            largest = max(float(np.abs(mat).max(initial=0)), max(float(np.abs(m).max(initial=0)) for _, m in asked))
-            if largest * largest * max(dim, 1) < 2**52:
+            most = float(np.abs(mat).max(initial=0)) * max(float(np.abs(m).max(initial=0)) for _, m in asked) * max(dim, 1)
+            if most < 2**52:
                 mat = mat.astype(float)  # whole numbers of this size stay exact, and products run in BLAS
+            elif most >= 2**62:
+                mat = mat.astype(object)  # sums of any size
             squares = mat.astype(float) ** 2
             norms = [np.sqrt(squares[d:].sum(axis=0)) for d in range(0, max(dim, 1), step)]
             for qids, qmat in asked:
@@ -87,6 +89,8 @@ def _cell(k: int, step: int):
                     out_q += [int(qid)] * len(at)
                     out_v += ids[at].tolist()
                     out_s += [int(s) for s in score]
+                    if any(abs(s) >= 2**63 for s in out_s[len(out_s) - len(at) :]):
+                        raise OverflowError(f"a score of query {qid} doesn't fit a long")
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())], ["query_id", "vec_id", "score"])
 
     return search
@@ -98,7 +102,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     All rows of base but those with the query's own id are candidates; with fewer than k, all are returned. Ties go to
     the smaller id. Vectors that are null or hold null or non-finite components, and rows with a null id, take no part.
     Vectors meet only vectors of their own length. Rows that repeat an id are candidates each; of queries that repeat an
-    id one is asked. Components have to stay below 2^62 when scaled. Other columns stay out. Empty tables give no rows.
+    id one is asked. Sums of any size are exact; a scaled component of 2^62 or more, or one of the k highest scores beyond a long, is an error.
+    Other columns stay out. Empty tables give no rows.
     """
     spark = base.sparkSession
     scratch = Scratch(spark, "topk")
@@ -106,7 +111,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     def clean(df: DataFrame) -> DataFrame:
         finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
         out = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col)).filter(F.col("id").isNotNull() & F.col(vec_col).isNotNull() & finite)
-        return out.select("id", F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+        large = F.raise_error(F.concat(F.lit("a component is too large in vector "), F.col("id").cast("string"))).cast("long")
+        return out.select("id", F.transform(vec_col, lambda x: F.when(F.abs(x.cast("double") * scale) < 2.0**62, F.floor(x.cast("double") * scale)).otherwise(large)).alias("v"))
 
     base, queries = scratch.write(clean(base), "base"), scratch.write(clean(queries).dropDuplicates(["id"]), "queries")
     n_base, n_queries = max(1, math.ceil(base.count() / cell_base)), max(1, math.ceil(queries.count() / cell_queries))
