@@ -38,9 +38,22 @@ def test_top_k_huge_components_and_empty(spark):
     df = spark.createDataFrame([(0, [1e12, -1.0]), (1, [1e12, 2.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     with_big = topk.top_k(df.filter("vec_id <> 1"), df.filter("vec_id = 0")).collect()
     assert [(r.vec_id, r.score) for r in with_big] == [(2, int(256e12) * 256 - 256 * 256)]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_k(df, df.filter("vec_id = 0")).collect()
+    # the same large components where the sum itself fits
+    near = spark.createDataFrame([(0, [4e7, 4e7]), (1, [4e7, -4e7]), (2, [-4e7, 4e7]), (3, [4e7, 3e7])], "vec_id long, embedding array<double>").filter("vec_id < 3")
+    assert [(r.vec_id, r.score) for r in topk.top_k(near, near.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, 0), (2, 0)]
+    with pytest.raises(Exception, match="too large in vector"):
+        topk.top_k(spark.createDataFrame([(0, [1e17])], "vec_id long, embedding array<double>"), df).collect()
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_with_clashing_columns(spark):
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(4)], "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS v", "3 AS grp", "4 AS score", "5 AS rank")
+    got = topk.top_k(df, df.filter("vec_id = 0"), k=2).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 1, 65536), (2, 2, 65536)]
+
+
 def brute_mix(rows, weights=(1, 2, 3), most=3):
     """Water-filling by rounds."""
     size = {}
@@ -74,7 +87,7 @@ def test_mix(spark, docs, hard_docs):
     assert {r.source_size for r in got} == set(size.values())
     for s, t in target.items():
         own = [r for r in got if r.source_size == size[s] and abs(r.target - t) < 1e-6 * max(1, t)]
-        assert own and abs(sum(r.taken for r in own) - t) <= 1
+        assert own and abs(sum(r.taken for r in own) - t) <= max(4, 0.02 * t)
     assert all(0 <= r.taken <= 3 * r["size"] for r in got)
 
 
@@ -82,15 +95,41 @@ def test_mixed_documents_hold_the_words_taken(spark, docs):
     df = docs.filter("doc_id IS NULL OR doc_id <> 19")
     taken = sum(r.taken for r in mixing.mix_counts(df, block=16).collect())
     clash = df.selectExpr("*", "1 AS uid", "2 AS size", "3 AS times", "4 AS m", "5 AS src")
-    assert mixing.mix_documents(clash, block=16).columns == clash.columns
+    assert mixing.mix_documents(clash, block=16).columns == [*clash.columns, "slot"]
     rows = mixing.mix_documents(df, block=16).collect()
     assert sum(len(r.text.split()) for r in rows) == taken
-    assert set(rows[0].asDict()) == set(docs.columns) and all(r.n_chars == len(r.text) for r in rows)
+    assert set(rows[0].asDict()) == {*docs.columns, "slot"} and all(r.n_chars == len(r.text) for r in rows)
+    assert [r.slot for r in rows] == sorted(r.slot for r in rows)
+
+
+def test_the_schedule_decides(spark, docs, monkeypatch):
+    """Counts and order come from the slots: another schedule, another mix."""
+    df = docs.filter("doc_id IS NULL OR doc_id <> 19")
+    plain = sorted(map(str, mixing.mix_counts(df, block=16).collect()))
+    made = mixing.schedule
+    halved = lambda spark, shares, slots: made(spark, shares, slots).filter("rank < 5")
+    monkeypatch.setattr(mixing, "schedule", halved)
+    assert sorted(map(str, mixing.mix_counts(df, block=16).collect())) != plain
+    back = lambda spark, shares, slots: made(spark, shares, slots).selectExpr("src", "rank", f"{slots} - 1 - slot AS slot")
+    monkeypatch.setattr(mixing, "schedule", back)
+    assert sorted(map(str, mixing.mix_counts(df, block=16).collect())) == plain
+    turned = [r.doc_id for r in mixing.mix_documents(df, block=16).collect()]
+    monkeypatch.setattr(mixing, "schedule", made)
+    assert [r.doc_id for r in mixing.mix_documents(df, block=16).collect()] != turned
+
+
+def test_cut_keeps_white_space(spark):
+    text = " a  b\tc\n\nd  "
+    df = spark.createDataFrame([(text, lo, hi, 4) for lo in range(4) for hi in range(lo + 1, 5)], "t string, lo long, hi long, size long")
+    got = {(r.lo, r.hi): r.x for r in df.select("*", mixing._words_of("t", "lo", "hi", "size").alias("x")).collect()}
+    assert got[0, 4] == text and all("".join(got[k, k + 1] for k in range(a, b)) == got[a, b] for a, b in got)
+    assert got[1, 3] == "  b\tc" and got[3, 4] == "\n\nd  "
 
 
 def test_schedule_is_even(spark):
-    sources = spark.createDataFrame([("a", 0, 100), ("b", 100, 300), ("c", 300, 1000)], "src string, lo long, hi long")
-    rows = mixing.schedule(spark, sources, 1000, chunk=64).collect()
+    at = [int(mixing.PERIOD * x) for x in (0, 0.1, 0.3, 1)]
+    shares = spark.createDataFrame([("a", at[0], at[1]), ("b", at[1], at[2]), ("c", at[2], at[3])], "src string, lo long, hi long")
+    rows = mixing.schedule(spark, shares, 1000, chunk=64).collect()
     assert len(rows) == 1000
     for src, share in (("a", 0.1), ("b", 0.2), ("c", 0.7)):
         slots = sorted(r.slot for r in rows if r.src == src)
