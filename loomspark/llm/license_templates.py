@@ -66,7 +66,6 @@ SPDX_GNU = [(f"{kind}-{v}", f"{kind}-{v}{end}") for kind, v in (("GPL", "2.0"),
 TITLES = [
     *[(name, f"SPDX-License-Identifier: {tag}") for name, tag in [*((s, s) for s in SPDX), *SPDX_GNU]],
     ("MIT", "MIT License"),
-    ("MIT", "The MIT License (MIT)"),
     ("ISC", "ISC License"),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-3-Clause", "BSD 3-Clause License"),

@@ -40,18 +40,19 @@ def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int,
 
 
 # Words too common in running text to look for; they stay outside the anchors first.
-COMMON = "the and of in to is or with are this that by all under mit a v from into your any for be at you it not may can if was its do so as on one use used file free work form 1 2 3 2.0 4.0 without person persons provided published must above following list other code library name names program version software copy copies source public general either later option found file conditions terms subject international".split()  # "mit" is a German word
+COMMON = "the and of in to is or with are this that by all under mit a v from into your any for be at you it not may can if was its do so as on one use used file free work form 1 2 3 2.0 4.0 without person persons provided published must above following list other code library name names program version software copy copies source public general either later option found file conditions terms subject international".split()
+FOREIGN = ["mit"]  # anchors that another language's running text is full of
 CHUNK, FINE = 1024, 16  # terms a chunk; windows shorter than FINE start at every term, others at every eighth of their length and where a template's term fits
 
 
 def template_anchors(weights: list[tuple[int, str, float]], threshold: float) -> dict[int, set[str]]:
-    """Per template the terms of which each unit within its reach holds one."""
+    """Per template the terms of which each unit within its reach holds one. One term alone names no licence, so the first to stay outside may be of any weight."""
     chosen: dict[int, set[str]] = {}
     for k in sorted({r[0] for r in weights}):
-        rest = 0.0
+        rest, outside = 0.0, 0
         for _, t, w in sorted((r for r in weights if r[0] == k), key=lambda r: (COMMON.index(r[1]) if r[1] in COMMON else len(COMMON), r[2], r[1])):
-            if rest + w * w < (threshold * 0.999) ** 2:
-                rest += w * w
+            if not outside or rest + w * w < (threshold * 0.999) ** 2:
+                rest, outside = rest + w * w, outside + 1
             else:
                 chosen.setdefault(k, set()).add(t)
     return chosen
@@ -62,11 +63,36 @@ def anchors(weights: list[tuple[int, str, float]], threshold: float) -> list[str
     return sorted(set().union(*template_anchors(weights, threshold).values()))
 
 
+def company(weights: list[tuple[int, str, float]], threshold: float) -> dict[str, set[str]]:
+    """FOREIGN anchors, each with the terms of which a unit that it leads to a template holds one as well."""
+    found: dict[str, set[str]] = {}
+    for k, chosen in template_anchors(weights, threshold).items():
+        own = {t: w * w for i, t, w in weights if i == k}
+        for anchor in chosen & set(FOREIGN):
+            mass, others = own[anchor], []
+            for t in sorted(own.keys() - {anchor}, key=lambda t: (COMMON.index(t) if t in COMMON else len(COMMON), own[t], t)):
+                if mass + own[t] < (threshold * 0.999) ** 2:
+                    mass += own[t]
+                else:
+                    others.append(t)
+            found.setdefault(anchor, set()).update(others)
+    return found
+
+
 def _any_of(terms: list[str]) -> str:
     """A regular expression for the terms, by first letters, since a plain list of so many is slow."""
     heads = sorted({t[0] for t in terms})
     rest = lambda h: sorted((re.escape(t[1:]) for t in terms if t[0] == h), key=len, reverse=True)
-    return "|".join(f"{re.escape(h)}(?:{'|'.join(rest(h))})" for h in heads)
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(f"{re.escape(h)}(?:{'|'.join(rest(h))})" for h in heads) + ")(?![A-Za-z0-9])"
+
+
+def _anchored(text: Column, weights: list[tuple[int, str, float]], threshold: float) -> Column:
+    """The text holds an anchor, and if that is a foreign word also one of its company."""
+    weak = company(weights, threshold)
+    found = text.rlike(_any_of(sorted(set(anchors(weights, threshold)) - weak.keys())))
+    for anchor, others in sorted(weak.items()):
+        found = found | (text.rlike(_any_of([anchor])) & text.rlike(_any_of(sorted(others))))
+    return found
 
 
 def _terms(text: str) -> list[str]:
@@ -74,35 +100,50 @@ def _terms(text: str) -> list[str]:
 
 
 def _windows(hits: DataFrame, templates: list[tuple[str, str]], weights: list[tuple[int, str, float]], threshold: float) -> DataFrame:
-    """__id, n, unit, term: the terms of each window of n terms from term number unit on that lies around an anchor."""
-    places: dict[str, set[tuple[int, int]]] = {}
-    longest = 1
+    """__id, n, unit, term: the terms of each window of n terms from term number unit on that lies around an anchor.
+
+    A cosine is at most the root of what the window's terms carry of the template's squared length; by that bound first whole chunks,
+    then single windows are left out.
+    """
+    least = (threshold * 0.999) ** 2
+    table, longest = [], 1
     for k, found in template_anchors(weights, threshold).items():
         ts = _terms(templates[k][1])
         if templates[k] in TITLES:
             continue
         longest = max(longest, len(ts))
-        for o, t in enumerate(ts):
-            if t in found:
-                places.setdefault(t, set()).update({(len(ts), -1)} if len(ts) < FINE else {(len(ts), -1), (len(ts), o)})
-    if not places:
+        places = {(t, o) for j, t in enumerate(ts) if t in found for o in ((-1,) if len(ts) < FINE else (-1, j))}
+        table.append({"n": len(ts), "terms": [{"t": t, "w": w * w} for i, t, w in weights if i == k], "at": [{"t": t, "o": o} for t, o in sorted(places)]})
+    if not table:
         return hits.select("__id", F.lit(0).alias("n"), F.lit(0).alias("unit"), "text").filter("false").withColumnRenamed("text", "term")
     # single literals: a column for each value takes seconds to build
-    known = F.split(F.lit(" ".join(sorted(places))), " ")
-    table = F.from_json(F.lit(json.dumps({t: [{"n": n, "o": o} for n, o in sorted(places[t])] for t in sorted(places)})), "map<string,array<struct<n:int,o:int>>>")
-
-    def starts(at: Column, e: Column) -> Column:
-        step = F.when(e["n"] < FINE, 1).otherwise(F.floor(e["n"] / 8).cast("int"))
-        grid = F.transform(F.sequence(F.lit(0), F.floor(e["n"] / step).cast("int")), lambda k: (F.floor(at / step).cast("int") - k) * step)
-        return F.transform(F.when(e["o"] >= 0, F.array(at - e["o"])).otherwise(grid), lambda s: F.struct(e["n"].alias("n"), s.alias("s")))
+    words = lambda key: F.split(F.lit(" ".join(sorted({e["t"] for x in table for e in x[key]}))), " ")
+    all_templates = F.from_json(F.lit(json.dumps(table)), "array<struct<n:int,terms:array<struct<t:string,w:double>>,at:array<struct<t:string,o:int>>>>")
+
+    def covers(held: Column, template: Column) -> Column:
+        return F.aggregate(template["terms"], F.lit(0.0), lambda sum, e: sum + F.when(F.array_contains(held, e["t"]), e["w"]).otherwise(F.lit(0.0))) >= least
+
+    def starts(at: Column, n: Column, o: Column) -> Column:
+        step = F.when(n < FINE, 1).otherwise(F.floor(n / 8).cast("int"))
+        grid = F.transform(F.sequence(F.lit(0), F.floor(n / step).cast("int")), lambda k: (F.floor(at / step).cast("int") - k) * step)
+        return F.when(o >= 0, F.array(at - o)).otherwise(grid)
+
+    def around(template: Column) -> Column:
+        """The template's windows in the chunk that can reach it, as n * CHUNK + start."""
+        n = template["n"]
+        own = lambda x: F.filter(template["at"], lambda a: a["t"] == x["t"])
+        spots = F.flatten(F.transform("at", lambda x: F.flatten(F.transform(own(x), lambda a: starts(x["i"], n, a["o"])))))
+        spots = F.filter(F.array_distinct(spots), lambda s: (s >= 0) & (s < CHUNK) & (s + n <= F.size("part")))
+        spots = F.transform(spots, lambda s: F.struct(s.alias("s"), F.slice("part", s + 1, n).alias("held")))
+        return F.transform(F.filter(spots, lambda s: covers(s["held"], template)), lambda s: n * CHUNK + s["s"])
 
     rows = hits.select("__id", F.regexp_extract_all(_lower(F.col("text")), F.lit(f"({TERM})")).alias("terms"))
     rows = rows.filter(F.size("terms") > 0).select("__id", "terms", F.explode(F.sequence(F.lit(0), F.size("terms") - 1, F.lit(CHUNK))).alias("base"))
     rows = rows.select("__id", "base", F.slice("terms", F.col("base") + 1, F.lit(CHUNK + longest)).alias("part"))
-    at = F.filter(F.transform("part", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_contains(known, x["t"]))
-    found = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(F.element_at(table, x["t"]), lambda e: starts(x["i"], e)))))
-    inside = lambda w: (w["s"] >= 0) & (w["s"] < CHUNK) & (w["s"] + w["n"] <= F.size("part"))
-    rows = rows.select("__id", "base", "part", F.array_distinct(F.transform(F.filter(found, inside), lambda w: w["n"] * CHUNK + w["s"])).alias("found")).filter(F.size("found") > 0)
+    rows = rows.withColumn("held", F.array_intersect("part", words("terms"))).withColumn("anchors", F.array_intersect("held", words("at"))).filter(F.size("anchors") > 0)
+    rows = rows.withColumn("near", F.filter(all_templates, lambda x: covers(F.col("held"), x))).filter(F.size("near") > 0)
+    rows = rows.withColumn("at", F.filter(F.transform("part", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_contains("anchors", x["t"])))
+    rows = rows.select("__id", "base", "part", F.array_distinct(F.flatten(F.transform("near", around))).alias("found")).filter(F.size("found") > 0)
     size, start = lambda w: F.floor(w / CHUNK).cast("int"), lambda w: w % CHUNK
     each = F.transform("found", lambda w: F.struct(size(w).alias("n"), (F.col("base") + start(w)).alias("unit"), F.slice("part", start(w) + 1, size(w)).alias("terms")))
     rows = rows.select("__id", F.explode(each).alias("w"))
@@ -142,12 +183,11 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     size = [-1 if t in TITLES else len(_terms(t[1])) for t in templates]
     table = spark.sql(f"SELECT * FROM VALUES {_values([(*w, size[w[0]]) for w in weights])} AS t(template, term, weight, size)")
     terms = spark.sql(f"SELECT * FROM VALUES {_values(sorted(idf.items()))} AS t(term, idf)")
-    pattern = "(?i)(?<![A-Za-z0-9])(?:" + _any_of(anchors(weights, threshold)) + ")(?![A-Za-z0-9])"
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id")
     rows = docs.select(key, F.col(text_col).alias("text"), F.coalesce(F.col(path_col), F.lit("")).alias("path"))
-    hits = scratch.write(rows.select("__id", "text").filter(F.col("text").rlike(pattern)), "hits")
-    lines = hits.select("__id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).filter(F.col("line").rlike(pattern))
+    hits = scratch.write(rows.select("__id", "text").filter(_anchored(F.col("text"), weights, threshold)), "hits")
+    lines = hits.select("__id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).filter(_anchored(F.col("line"), weights, threshold))
     units = lines.unionByName(hits.select("__id", F.lit(-1).alias("unit"), F.col("text").alias("line")))
     words = units.select("__id", F.lit(0).alias("n"), "unit", F.explode(F.regexp_extract_all(_lower(F.col("line")), F.lit(f"({TERM})"))).alias("term"))
     words = words.unionByName(_windows(hits, templates, weights, threshold))
