@@ -17,7 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     """text and label of at most max_rows labelled rows, chosen by a hash of their ids, so alike on every run.
 
     usable is a condition on labels' columns. Texts beyond max_chars stay out, so that the sample has at most max_rows * max_chars characters. Labels
-    other than 0 and 1, and null ids, aren't used.
+    other than 0 and 1, null ids and null texts aren't used; an id with both labels has 1, and of rows that repeat an id each counts.
     """
     chosen = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)  # the bound that makes the broadcast safe
