@@ -1,19 +1,22 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 1. Each document's word shingles are hashed once; its set's hash groups equal sets into classes, one node each.
-2. A node keeps its k smallest hashes. Inverted lists of the retained values generate overlaps: two sets alike enough share at least
-   t retained values, so it is enough to look at the rarest |sketch| - t + 1 values of each node (values that only one
-   node has come first and cost nothing).
-3. Each member of a list meets the list's most central node; what these candidate pairs connect is a family. All pairs of a family whose shared retained
-   values (their union sketch) allow the threshold are verified by the exact Jaccard coefficient of the full sets, block against block, and a block gives only
-   a spanning forest of its links. In families beyond a size, the members are first verified against the central nodes alone; then only those outside the
-   family's main component meet all others.
+2. A node keeps its k smallest hashes. Two sets alike enough share at least t retained values, so it is enough to list the rarest
+   |sketch| - t + 1 values of each node (values that only one node has come first and cost nothing). What these inverted lists connect is
+   a family, and families are gathered into cells of bounded rows and bytes.
+3. In a cell the members' inverted lists of retained values generate the overlap of each pair. Pairs that overlap enough, strongest first, are
+   filtered by the estimate from their union sketch, and verified by the exact Jaccard coefficient of the full sets. Pairs that
+   links join already are skipped, and a cell gives only a spanning forest of its links.
+4. A family that doesn't fit a cell first meets its lists' most central nodes alone, by the same estimate and exact check. Of what stays
+   apart the exact prefix rule over full sets leaves only nodes that share one of their rarest quarter of shingles with a node of another
+   component; these families, if they don't fit a cell either, are cut into blocks: those outside the main component meet all others.
 
 Nothing is emitted for pairs, so large groups of copies cost their size.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
-from loomspark.llm.common import NULL_ID, Scratch, hot_split_join, keyed, text_bytes
+from loomspark.llm.common import NULL_ID, Scratch, give_back_memory, hot_split_join, keyed, text_bytes
 
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -123,18 +126,37 @@ def _attach(pairs: DataFrame, table: DataFrame, value: str, names: tuple[str, st
     return salted.withColumn("__salt", F.col("__salt").cast("int")).join(mine.hint("merge"), "a").join(hubs.hint("merge"), ["b", "__salt"]).drop("__salt")
 
 
-def _link_labels(link: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
-    """Smallest place that links (rows x cols) reach from each of n places."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        from_cols = np.where(link, label[cols][None, :], n).min(axis=1, initial=n)
-        np.minimum.at(label, rows, from_cols)
-        from_rows = np.where(link, label[rows][:, None], n).min(axis=0, initial=n)
-        np.minimum.at(label, cols, from_rows)
-        label = label[label]
-        if (label == before).all():
-            return label
+def _overlaps(sketches: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """(rows x cols) numbers of values that two sketches share, from the inverted list of each value."""
+    owner = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    values = np.concatenate(sketches)
+    order = np.argsort(values, kind="stable")
+    owner, lists = owner[order], np.cumsum(np.append(False, np.diff(values[order]) != 0))
+    place = np.full((2, len(sketches)), -1)
+    place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
+    r, c = np.flatnonzero(place[0, owner] >= 0), np.flatnonzero(place[1, owner] >= 0)
+    held = np.bincount(lists[c], minlength=lists[-1] + 1)
+    begin, times = np.cumsum(held) - held, held[lists[r]]
+    out = np.zeros(len(rows) * len(cols), np.int32)
+    cuts = np.flatnonzero(np.diff(np.cumsum(times) // most)) + 1
+    for part in np.split(np.arange(len(r)), cuts):
+        n = times[part]
+        at = np.repeat(begin[lists[r[part]]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(place[0, owner[r[part]]], n) * len(cols) + place[1, owner[c[at]]], minlength=len(out)).astype(np.int32)
+    return out.reshape(len(rows), len(cols))
+
+
+def _estimates(padded: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Jaccard estimate of each pair: how much of the union's k smallest values both hold."""
+    out = np.empty(len(a))
+    for i in range(0, len(a), 4096):
+        both = np.sort(np.concatenate([padded[a[i : i + 4096]], padded[b[i : i + 4096]]], axis=1), axis=1)
+        real = both < np.iinfo(np.int64).max
+        again = np.zeros(both.shape, bool)
+        again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+        distinct = np.cumsum(real & ~again, axis=1)
+        out[i : i + 4096] = (again & (distinct <= k)).sum(axis=1) / np.maximum(np.minimum(distinct[:, -1], k), 1)
+    return out
 
 
 def _products(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, wide: int = 4096) -> np.ndarray:
@@ -156,34 +178,78 @@ def _products(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, wide:
     return out
 
 
-def _family_udf(percent: int, k: int, few: int):
+def spanning_links(sets: list[np.ndarray], label: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int, k: int) -> list[tuple[int, int]]:
+    """Links between rows and cols (places in sets) that join what label sets apart: enough of them to join all that links join."""
+    share, few, slack = percent / 100, *sketch_bounds(percent, k)
+    size = np.array([len(x) for x in sets])
+    sketches = [x[:k] for x in sets]
+    shared = _overlaps(sketches, rows, cols)
+    larger = np.maximum(size[rows][:, None], size[cols][None, :])
+    may = (shared >= np.where(larger <= k, np.ceil(larger * share), few)) & (100 * np.minimum(size[rows][:, None], size[cols][None, :]) >= percent * larger)
+    a, b = np.nonzero(may & (label[rows][:, None] != label[cols][None, :]))
+    if not len(a):
+        return []
+    order = np.argsort(-shared[a, b] / larger[a, b].clip(max=k), kind="stable")
+    a, b = a[order], b[order]
+    padded = np.full((len(sets), k), np.iinfo(np.int64).max)
+    for i, x in enumerate(sketches):
+        padded[i, : len(x)] = x
+    label = np.unique(label, return_inverse=True)[1]
+    parent = list(range(label.max() + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found, exact, step = [], None, len(sets)
+    while len(a):
+        now = np.fromiter(map(root, range(len(parent))), np.int64, len(parent))[label]
+        apart = now[rows[a]] != now[cols[b]]
+        a, b = a[apart], b[apart]
+        x, y, i, j = rows[a[:step]], cols[b[:step]], a[:step], b[:step]
+        whole = np.maximum(size[x], size[y]) <= k
+        likely = _estimates(padded, x, y, k) >= share - np.where(whole, 1e-9, slack)
+        if exact is None and likely.sum() > 16 * len(sets):
+            exact = _products(sets, rows, cols)
+        for p, q, v, w in zip(x[likely].tolist(), y[likely].tolist(), i[likely].tolist(), j[likely].tolist()):
+            if root(label[p]) != root(label[q]):
+                both = len(np.intersect1d(sets[p], sets[q], assume_unique=True)) if exact is None else int(exact[v, w])
+                if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                    found.append((p, q))
+                    parent[root(label[p])] = root(label[q])
+        a, b, step = a[step:], b[step:], 2 * step
+    return found
+
+
+def sketch_bounds(percent: int, k: int) -> tuple[int, float]:
+    """What two sets at the threshold share of k retained values at least, and how far an estimate lies below it at most: six and five
+    standard deviations."""
+    share = percent / 100
+    spread = (share * (1 - share) / k) ** 0.5
+    return int(k * (share - 6 * spread)), 5 * spread
+
+
+def _family_udf(percent: int, k: int):
     def compare(table: pa.Table) -> pa.Table:
-        """Blocks of families: spanning links between members, each (family, i, j) by itself."""
+        """Families of a cell, each by itself: spanning links between members."""
         fam, node, comp, row, col = (table.column(c).to_numpy(zero_copy_only=False) for c in ("fam", "node", "comp", "is_row", "is_col"))
-        raw = table.column("full").to_pylist()
+        raw = table.column("full").combine_chunks()
         out_a, out_b = [], []
         order = np.argsort(fam, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(fam[order])) + 1):
             rows, cols = np.flatnonzero(row[own]), np.flatnonzero(col[own])
-            if not len(rows) or not len(cols):
-                continue
-            sets = [np.frombuffer(raw[i], np.int64) for i in own]
-            size = np.array([len(x) for x in sets])
-            shared = _products([x[:k] for x in sets], rows, cols)
-            nr, nc = size[rows][:, None], size[cols][None, :]
-            least = np.where(np.maximum(nr, nc) <= k, np.ceil(np.maximum(nr, nc) * percent / 100), few)
-            may = (shared >= least) & (100 * np.minimum(nr, nc) >= percent * np.maximum(nr, nc))
-            may &= (comp[own][rows][:, None] != comp[own][cols][None, :]) & (node[own][rows][:, None] != node[own][cols][None, :])
-            if not may.any():
-                continue
-            both = _products(sets, rows, cols)
-            link = may & (100 * both >= percent * (nr + nc - both))
-            label = _link_labels(link, rows, cols, len(own))
-            # a node may stand both as a row and as a column; its places are one node, which the links of both then join
-            for i in np.flatnonzero(label != np.arange(len(own))):
-                out_a.append(int(node[own[i]]))
-                out_b.append(int(node[own[label[i]]]))
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            if len(rows) and len(cols):
+                sets = [np.frombuffer(raw[int(i)].as_buffer(), np.int64) for i in own]
+                # a node may stand both as a row and as a column; it has one label
+                for i, j in spanning_links(sets, comp[own], rows, cols, percent, k):
+                    out_a.append(int(node[own[i]]))
+                    out_b.append(int(node[own[j]]))
+        done = pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        del table, raw
+        give_back_memory()
+        return done
 
     return compare
 
@@ -196,8 +262,19 @@ def _full_udf(words: int):
     return full
 
 
-def _may_be_in(nodes: DataFrame, id_col: str, bits: int):
-    """A filter by id of fixed size: a bitmap of the nodes' id hashes. Lets rows through by chance, never keeps one out."""
+def _set_udf(words: int):
+    @F.arrow_udf("array<long>")
+    def values(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t.as_py(), words) for t in texts]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))
+
+    return values
+
+
+def _may_be_in(nodes: DataFrame, id_col: str, most_bits: int):
+    """A filter by id: a bitmap of the nodes' id hashes, 16 bits a node. Lets rows through by chance, never keeps one out. Beyond most_bits
+    (a bound on what each task is sent) it grows denser, and at last lets all rows through, which then only cost the shuffle."""
+    bits = min(most_bits, 1 << max(20, (16 * nodes.count()).bit_length()))
     h = F.pmod(F.xxhash64(id_col), F.lit(bits)) + 1
     found = nodes.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
     maps = np.zeros(bits // 8, np.uint8)
@@ -215,14 +292,13 @@ def _may_be_in(nodes: DataFrame, id_col: str, bits: int):
     return held(h)
 
 
-def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str, filter_bits: int, family_rows: int = 4096) -> DataFrame:
+def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str, filter_bits: int, cell_rows: int = 512, cell_bytes: int = 16 << 20) -> DataFrame:
     """Per row of docs: __id, __null, th (hash of the text), n, component; a written table."""
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     share = percent / 100
-    spread = (share * (1 - share) / k) ** 0.5
-    few = int(k * (share - 6 * spread))
+    few, slack = sketch_bounds(percent, k)
     rows = keyed(docs.select(id_col, text_col), id_col).select("__id", F.col(id_col).isNull().alias("__null"), text_bytes(text_col).alias("__t"))
     facts = rows.select("__id", "__null", F.xxhash64("__t").alias("th"), _facts_udf(words, k)(F.col("__t")).alias("f"))
     facts = scratch.write(facts.select(F.monotonically_increasing_id().alias("node"), "__id", "__null", "th", "f.*"), "facts")
@@ -231,6 +307,7 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
     classes = scratch.write(classes, "classes")
     nodes = facts.select("node", "__id", "th", "n", "sketch").join(classes.select("node").hint("merge"), "node")
     nodes = scratch.write(nodes, "nodes")
+    weight = F.lit(1 / cell_rows) + F.col("n") * F.lit(8 / cell_bytes)  # of a cell
 
     values = nodes.select("node", F.explode("sketch").alias("v"))
     shared = scratch.write(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
@@ -242,64 +319,77 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
     lists = per_node.withColumn("look", look).filter("look > 0").select("node", "n", (F.col("held") - F.size("vs")).alias("alone"), F.explode(F.slice("vs", F.lit(1), F.col("look").cast("int"))).alias("e"))
     lists = scratch.write(lists.select(F.col("e.v").alias("v"), "node", "n", "alone"), "lists")
 
-    heads = lists.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("alone", "node", "n")).alias("head")).filter("m > 1")
-    heads = scratch.write(heads.select("v", "m", F.col("head.node").alias("b"), F.col("head.n").alias("bn")), "heads")
+    heads = lists.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("alone", "node")).alias("head")).filter("m > 1")
+    heads = scratch.write(heads.select("v", "m", F.col("head.node").alias("b")), "heads")
     star = hot_split_join(lists, heads, "v", "m").filter(F.col("node") != F.col("b"))
     star = scratch.write(star.select(F.col("node").alias("a"), "b").distinct(), "star")
 
-    verified = _verify_udf(words, percent)
+    def texts_of(ends: DataFrame) -> DataFrame:
+        """node and __t of the nodes in ends (node, __id, th; written)."""
+        texts = rows.filter(_may_be_in(ends, "__id", filter_bits)).withColumn("th", F.xxhash64("__t"))
+        return texts.join(ends.hint("merge"), ["__id", "th"]).select("node", "__t").dropDuplicates(["node"])
+
+    def ends_of(members: DataFrame, name: str) -> DataFrame:
+        return scratch.write(nodes.select("node", "__id", "th").join(members.select("node").hint("merge"), "node"), name)
 
     def by_sketch(pairs: DataFrame, name: str) -> DataFrame:
         both = _attach(pairs, nodes.withColumn("p", F.struct("sketch", "n")), "p", ("pa", "pb"), scratch, name)
         both = both.select("a", "b", F.col("pa.sketch").alias("sa"), F.col("pb.sketch").alias("sb"), (F.greatest("pa.n", "pb.n") <= k).alias("whole"))
-        both = both.withColumn("est", _estimate(k))
-        return both.filter(F.col("est") >= F.lit(share) - F.when(F.col("whole"), 1e-9).otherwise(5 * spread)).select("a", "b", "est")
+        return both.filter(_estimate(k) >= F.lit(share) - F.when(F.col("whole"), 1e-9).otherwise(slack)).select("a", "b")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(pairs.select("a", "b"), f"{name}-pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        ends = scratch.write(nodes.select("node", "__id", "th").join(ends, "node"), f"{name}-ends")
-        texts = rows.filter(_may_be_in(ends, "__id", filter_bits)).withColumn("th", F.xxhash64("__t"))
-        texts = scratch.write(texts.join(ends.hint("merge"), ["__id", "th"]).select("node", "__t"), f"{name}-texts")
+        ends = ends_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-ends")
+        texts = scratch.write(texts_of(ends), f"{name}-texts")
         both = _attach(pairs, texts, "__t", ("ta", "tb"), scratch, name)
-        edges = scratch.write(both.filter(verified(F.col("ta"), F.col("tb"))).select("a", "b").distinct(), f"{name}-edges")
-        scratch.drop(f"{name}-texts", f"{name}-ends", f"{name}-pairs")
+        edges = scratch.write(both.filter(_verify_udf(words, percent)(F.col("ta"), F.col("tb"))).select("a", "b").distinct(), f"{name}-edges")
+        scratch.drop(f"{name}-texts", f"{name}-ends")
         return edges
 
-    families = components(star, scratch, "families").withColumnRenamed("comp", "fam")
-    sizes = scratch.write(families.groupBy("fam").agg(F.count("*").alias("m")), "family-sizes")
-    big = sizes.filter(F.col("m") > family_rows)
-    start = F.col("node").alias("comp")
-    if big.limit(1).count():
-        inside = star.join(hot_split_join(families, sizes, "fam", "m").filter(F.col("m") > family_rows).select(F.col("node").alias("a")).hint("merge"), "a")
-        likely = scratch.write(by_sketch(scratch.write(inside, "inside"), "star-est"), "likely")
-        first = confirmed(likely.select("a", "b"), "first")
+    families = components(star, scratch, "families").withColumnRenamed("comp", "fam").join(nodes.select("node", "n").hint("merge"), "node")
+    families = scratch.write(families.select("fam", "node", weight.alias("w")), "families-weighed")
+    sizes = scratch.write(families.groupBy("fam").agg(F.count("*").alias("m"), F.sum("w").alias("held")), "family-sizes")
+    sized = hot_split_join(families, sizes, "fam", "m").drop("m")
+    members = sized.filter("held <= 1").select("fam", "node", "w", F.col("node").alias("comp"))
+    first = None
+    if sizes.filter("held > 1").limit(1).count():
+        large = scratch.write(sized.filter("held > 1").select("fam", "node", "w"), "large")
+        pairs = star.join(large.select(F.col("node").alias("a")).hint("merge"), "a")
+        first = confirmed(scratch.write(by_sketch(scratch.write(pairs, "inside"), "star-est"), "likely"), "first")
         labels = components(first, scratch, "first-labels")
-        members = families.join(labels.hint("merge"), "node", "left").select("fam", "node", F.coalesce("comp", "node").alias("comp"))
-    else:
-        first = None
-        members = families.select("fam", "node", start)
+        large = scratch.write(large.join(labels.hint("merge"), "node", "left").select("fam", "node", "w", F.coalesce("comp", "node").alias("comp")), "labelled")
+        open_ = large.groupBy("fam").agg(F.count("*").alias("m"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
+        apart = scratch.write(hot_split_join(large, scratch.write(open_.select("fam", "m"), "open"), "fam", "m").select("node", "w", "comp"), "apart")
+        # the exact prefix rule: two sets alike enough share one of the n - need + 1 rarest shingles of each
+        whole = texts_of(ends_of(apart, "apart-ends")).select("node", F.explode(_set_udf(words)(F.col("__t"))).alias("v"))
+        whole = scratch.write(whole, "apart-values")
+        often = scratch.write(whole.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "apart-shared")
+        vs = hot_split_join(whole, often, "v", "df").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+        vs = vs.join(nodes.select("node", "n").hint("merge"), "node").withColumn("look", F.size("vs") - F.ceil(F.col("n") * percent / 100) + 1).filter("look > 0")
+        near = vs.select("node", F.explode(F.slice("vs", F.lit(1), F.col("look").cast("int"))).alias("e")).select("node", F.col("e.v").alias("v"))
+        near = scratch.write(near.join(apart.select("node", "comp").hint("merge"), "node"), "apart-lists")
+        heads = near.groupBy("v").agg(F.count("*").alias("m"), F.min("node").alias("b"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
+        again = hot_split_join(near, scratch.write(heads.select("v", "m", "b"), "apart-heads"), "v", "m").filter(F.col("node") != F.col("b"))
+        again = components(again.select(F.col("node").alias("a"), "b").distinct(), scratch, "apart-families").withColumnRenamed("comp", "fam")
+        members = members.unionByName(again.join(apart.hint("merge"), "node").select("fam", "node", "w", "comp"))
+        scratch.drop("apart-values", "apart-shared", "apart-ends")
     members = scratch.write(members, "members")
-    ends = scratch.write(nodes.select("node", "__id", "th").join(members.select("node").hint("merge"), "node"), "family-ends")
-    texts = rows.filter(_may_be_in(ends, "__id", filter_bits)).withColumn("th", F.xxhash64("__t"))
-    texts = texts.join(ends.hint("merge"), ["__id", "th"]).select("node", _full_udf(words)(F.col("__t")).alias("full")).dropDuplicates(["node"])
-    whole = scratch.write(members.join(texts.hint("merge"), "node"), "whole")
-    main = members.groupBy("fam", "comp").agg(F.count("*").alias("c")).groupBy("fam").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"))
+    full = texts_of(ends_of(members, "family-ends")).select("node", _full_udf(words)(F.col("__t")).alias("full"))
+    whole = scratch.write(members.join(full.hint("merge"), "node"), "whole")
+    main = members.groupBy("fam", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("cw")).groupBy("fam").agg(F.sum("c").alias("m"), F.sum("cw").alias("held"), F.max_by(F.struct("comp", "c", "cw"), F.struct("c", "comp")).alias("main"))
     main = scratch.write(main, "main")
     placed = scratch.write(hot_split_join(whole, main, "fam", "m"), "placed")
-    total = main.agg(F.sum("m")).first()[0] or 0
-    buckets = max(1, -(-total // 1000))
+    cells = max(1, math.ceil((main.filter("held <= 1").agg(F.sum("held")).first()[0] or 0) / 2))
     cols = ["fam", "i", "j", "node", "comp", "full", "is_row", "is_col"]
-    small = placed.filter(F.col("m") <= 512).withColumns({"i": F.pmod(F.xxhash64("fam"), F.lit(buckets)).cast("int"), "j": F.lit(-1), "is_row": F.lit(True), "is_col": F.lit(True)})
-    edges = small.select(*cols).groupBy("i", "j").applyInArrow(_family_udf(percent, k, few), "a long, b long")
-    large = placed.filter(F.col("m") > 512)
-    outside = F.col("comp") != F.col("main")
-    n_i, n_j = F.ceil((F.col("m") - F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / 512).cast("int"), F.ceil(F.col("m") / 1024).cast("int")
+    small = placed.filter("held <= 1").withColumns({"i": F.pmod(F.xxhash64("fam"), F.lit(cells)).cast("int"), "j": F.lit(-1), "is_row": F.lit(True), "is_col": F.lit(True)})
+    edges = small.select(*cols).groupBy("i", "j").applyInArrow(_family_udf(percent, k), "a long, b long")
+    large = placed.filter("held > 1")
+    several = F.col("main.c") > 1
+    n_i, n_j = F.ceil(F.col("held") - F.when(several, F.col("main.cw")).otherwise(0.0) + 1e-6).cast("int"), F.ceil(F.col("held") / 2).cast("int")
     spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    as_rows = large.filter(outside | (F.col("c") == 1)).withColumns({"i": spot(n_i, 1), "j": F.explode(F.sequence(F.lit(0), n_j - 1)), "is_row": F.lit(True), "is_col": F.lit(False)})
-    as_cols = large.filter(n_i > 0).withColumns({"j": spot(n_j, 2), "i": F.explode(F.sequence(F.lit(0), n_i - 1)), "is_row": F.lit(False), "is_col": F.lit(True)})
-    cells = as_rows.select(*cols).unionByName(as_cols.select(*cols))
-    edges = edges.unionByName(cells.groupBy("fam", "i", "j").applyInArrow(_family_udf(percent, k, few), "a long, b long"))
+    as_rows = large.filter((F.col("comp") != F.col("main.comp")) | ~several).withColumns({"i": spot(n_i, 1), "j": F.explode(F.sequence(F.lit(0), n_j - 1)), "is_row": F.lit(True), "is_col": F.lit(False)})
+    as_cols = large.withColumns({"j": spot(n_j, 2), "i": F.explode(F.sequence(F.lit(0), n_i - 1)), "is_row": F.lit(False), "is_col": F.lit(True)})
+    grid = as_rows.select(*cols).unionByName(as_cols.select(*cols))
+    edges = edges.unionByName(grid.groupBy("fam", "i", "j").applyInArrow(_family_udf(percent, k), "a long, b long"))
     if first is not None:
         edges = edges.unionByName(first)
     edges = scratch.write(edges.filter("a <> b"), "edges")
@@ -317,7 +407,7 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24, family_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 27, cell_rows: int = 512, cell_bytes: int = 16 << 20) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set has its distinct shingles of `words` words (with fewer
@@ -327,19 +417,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     Null or empty text: an empty set, linked with nothing. A null id counts as smaller than all others and comes back null. Rows that repeat an id
     are compared each by their own text. Other columns stay out. An empty table gives an empty table.
 
-    Families of more than family_rows members are verified in two steps (see above). A link between different sets is found if both sketches share at least t values. Up to 0.75 k shingles that is certain; beyond, t lies six
+    cell_rows and cell_bytes (of hashes) bound what meets in a task; they change no result. A link between different sets is found if both sketches share at least t values. Up to 0.75 k shingles that is certain; beyond, t lies six
     standard deviations below what a pair at the threshold shares.
     """
-    out = _assigned(docs, words, percent, k, id_col, text_col, filter_bits, family_rows)
+    out = _assigned(docs, words, percent, k, id_col, text_col, filter_bits, cell_rows, cell_bytes)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(F.when(~F.col("__null"), F.col("__id")).alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("__id") == F.col("component")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24, family_rows: int = 4096) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 27, cell_rows: int = 512, cell_bytes: int = 16 << 20) -> DataFrame:
     """docs with one row of each component: that of the smallest id, of rows that repeat it the one with the smallest text hash. All
     documents without words stay, once for each id. The cases are those of near_duplicates; all columns are kept.
     """
-    rows = _assigned(docs, words, percent, k, id_col, text_col, filter_bits, family_rows)
+    rows = _assigned(docs, words, percent, k, id_col, text_col, filter_bits, cell_rows, cell_bytes)
     stay = rows.filter("__id = component").groupBy("component", (F.col("n") == 0).alias("empty")).agg(F.min("th").alias("__th")).select(F.col("component").alias("__id"), "__th").distinct()
     named = keyed(docs, id_col).withColumn("__th", F.xxhash64(text_bytes(text_col)))
     first = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))

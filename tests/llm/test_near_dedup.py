@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from loomspark.llm import near_dedup as N
@@ -60,10 +61,10 @@ def test_hard_cases(spark, hard_docs):
     assert all(r.kept for r in raw if r.n_shingles == 0)
 
 
-@pytest.mark.parametrize("family_rows", [4096, 20])
-def test_families_in_one_step_and_in_two(spark, family_rows):
+@pytest.mark.parametrize("bounds", [{}, {"cell_rows": 20}, {"cell_bytes": 8000}, {"filter_bits": 1 << 20, "cell_rows": 5}])
+def test_families_that_fit_cells_and_others(spark, bounds):
     rows = families()
-    got, _ = run(spark, rows, family_rows=family_rows)
+    got, _ = run(spark, rows, **bounds)
     assert got == sorted(brute(rows), key=str)
 
 
@@ -73,6 +74,59 @@ def test_blocks_of_large_families(spark):
     assert got == sorted(brute(rows), key=str)
 
 
+def test_pages_that_share_boilerplate(spark):
+    """Half of each page is the same: one family of the sketches, none of them linked; some have near copies."""
+    rng = random.Random(8)
+    plate = " ".join(f"plate{k}" for k in range(40))
+    rows = [(k, plate + " " + " ".join(f"p{rng.randrange(10**9)}" for _ in range(35))) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " more") for k in range(0, 300, 30)]
+    got, _ = run(spark, rows, cell_rows=40)
+    assert got == sorted(brute(rows), key=str) and len({c for _, _, c in got}) == 300
+
+
+def test_very_long_texts_in_a_family(spark):
+    base = [f"w{k}" for k in range(30_000)]
+    rows = [(k, " ".join(base[: 30_000 - 1500 * k])) for k in range(8)] + [(8, " ".join(base[:300]))]
+    for options in ({}, {"cell_bytes": 100_000}):
+        got, _ = run(spark, rows, **options)
+        assert got == sorted(brute(rows), key=str)
+
+
+@pytest.mark.parametrize("words,percent", [(1, 50), (3, 90), (5, 100)])
+def test_other_words_and_thresholds(spark, words, percent, monkeypatch):
+    rows = [r for r in families(11, (3, 9), 30)]
+    got, _ = run(spark, rows, words=words, percent=percent, cell_rows=6)
+
+    def cut(text):
+        w = text.split()
+        return frozenset(tuple(w[j : j + words]) for j in range(max(1, len(w) - words + 1)))
+
+    sets = {r[0]: cut(r[1]) for r in rows}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert got == sorted(((i, len(sets[i]), comp[i]) for i in sets), key=str)
+
+
+def test_overlaps_and_estimates_against_plain_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, size=rng.integers(5, 200))) for _ in range(40)]
+    rows, cols = np.arange(0, 25), np.arange(15, 40)
+    sketches = [x[:64] for x in sets]
+    shared = N._overlaps(sketches, rows, cols, most=50)
+    assert all(shared[i, j] == len(set(sketches[r]) & set(sketches[c])) for i, r in enumerate(rows) for j, c in enumerate(cols))
+    padded = np.full((40, 64), np.iinfo(np.int64).max)
+    for i, x in enumerate(sketches):
+        padded[i, : len(x)] = x
+    a, b = rng.integers(0, 40, 200), rng.integers(0, 40, 200)
+    for p, q, est in zip(a, b, N._estimates(padded, a, b, 64)):
+        union = sorted({*sketches[p].tolist(), *sketches[q].tolist()})[:64]
+        assert est == len(set(union) & set(sketches[p].tolist()) & set(sketches[q].tolist())) / len(union)
+
+
 def test_one_row_of_each_component_stays(spark, docs, hard_docs):
     kept = N.drop_near_duplicates(docs).collect()
     ids = [r.doc_id for r in kept]
