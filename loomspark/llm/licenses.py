@@ -99,11 +99,11 @@ def _terms(text: str) -> list[str]:
     return re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))
 
 
-def _windows(hits: DataFrame, templates: list[tuple[str, str]], weights: list[tuple[int, str, float]], threshold: float) -> DataFrame:
+def _windows(hits: DataFrame, scratch: Scratch, templates: list[tuple[str, str]], weights: list[tuple[int, str, float]], threshold: float) -> DataFrame:
     """__id, n, unit, term: the terms of each window of n terms from term number unit on that lies around an anchor.
 
     A cosine is at most the root of what the window's terms carry of the template's squared length; by that bound first whole chunks,
-    then single windows are left out.
+    then single windows are left out. Both steps are written tables, or the optimizer would copy one's expressions into the loops of the next.
     """
     least = (threshold * 0.999) ** 2
     table, longest = [], 1
@@ -129,25 +129,24 @@ def _windows(hits: DataFrame, templates: list[tuple[str, str]], weights: list[tu
         return F.when(o >= 0, F.array(at - o)).otherwise(grid)
 
     def around(template: Column) -> Column:
-        """The template's windows in the chunk that can reach it, as n * CHUNK + start."""
+        """The template's windows in the chunk that can reach it."""
         n = template["n"]
         own = lambda x: F.filter(template["at"], lambda a: a["t"] == x["t"])
-        spots = F.flatten(F.transform("at", lambda x: F.flatten(F.transform(own(x), lambda a: starts(x["i"], n, a["o"])))))
+        at = F.filter(F.transform("part", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_contains("anchors", x["t"]))
+        spots = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(own(x), lambda a: starts(x["i"], n, a["o"])))))
         spots = F.filter(F.array_distinct(spots), lambda s: (s >= 0) & (s < CHUNK) & (s + n <= F.size("part")))
-        spots = F.transform(spots, lambda s: F.struct(s.alias("s"), F.slice("part", s + 1, n).alias("held")))
-        return F.transform(F.filter(spots, lambda s: covers(s["held"], template)), lambda s: n * CHUNK + s["s"])
+        found = F.transform(spots, lambda s: F.struct(n.alias("n"), (F.col("base") + s).alias("unit"), F.slice("part", s + 1, n).alias("terms")))
+        return F.filter(found, lambda w: covers(w["terms"], template))
 
     rows = hits.select("__id", F.regexp_extract_all(_lower(F.col("text")), F.lit(f"({TERM})")).alias("terms"))
     rows = rows.filter(F.size("terms") > 0).select("__id", "terms", F.explode(F.sequence(F.lit(0), F.size("terms") - 1, F.lit(CHUNK))).alias("base"))
     rows = rows.select("__id", "base", F.slice("terms", F.col("base") + 1, F.lit(CHUNK + longest)).alias("part"))
-    rows = rows.withColumn("held", F.array_intersect("part", words("terms"))).withColumn("anchors", F.array_intersect("held", words("at"))).filter(F.size("anchors") > 0)
-    rows = rows.withColumn("near", F.filter(all_templates, lambda x: covers(F.col("held"), x))).filter(F.size("near") > 0)
-    rows = rows.withColumn("at", F.filter(F.transform("part", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_contains("anchors", x["t"])))
-    rows = rows.select("__id", "base", "part", F.array_distinct(F.flatten(F.transform("near", around))).alias("found")).filter(F.size("found") > 0)
-    size, start = lambda w: F.floor(w / CHUNK).cast("int"), lambda w: w % CHUNK
-    each = F.transform("found", lambda w: F.struct(size(w).alias("n"), (F.col("base") + start(w)).alias("unit"), F.slice("part", start(w) + 1, size(w)).alias("terms")))
-    rows = rows.select("__id", F.explode(each).alias("w"))
-    return rows.select("__id", "w.n", "w.unit", F.explode("w.terms").alias("term"))
+    chunks = rows.select("*", F.array_intersect("part", words("terms")).alias("held"), F.array_intersect("part", words("at")).alias("anchors"))
+    chunks = scratch.write(chunks, "chunks").filter(F.size("anchors") > 0)
+    near = F.filter(all_templates, lambda x: covers(F.col("held"), x))
+    found = scratch.write(chunks.select("__id", F.array_distinct(F.flatten(F.transform(near, around))).alias("found")), "windows")
+    scratch.drop("chunks")
+    return found.select("__id", F.explode("found").alias("w")).select("__id", "w.n", "w.unit", F.explode("w.terms").alias("term"))
 
 
 def _values(rows: list[tuple]) -> str:
@@ -190,7 +189,7 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     lines = hits.select("__id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).filter(_anchored(F.col("line"), weights, threshold))
     units = lines.unionByName(hits.select("__id", F.lit(-1).alias("unit"), F.col("text").alias("line")))
     words = units.select("__id", F.lit(0).alias("n"), "unit", F.explode(F.regexp_extract_all(_lower(F.col("line")), F.lit(f"({TERM})"))).alias("term"))
-    words = words.unionByName(_windows(hits, templates, weights, threshold))
+    words = words.unionByName(_windows(hits, scratch, templates, weights, threshold))
     counts = words.groupBy("__id", "n", "unit", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term", "left")
     counts = scratch.write(counts.select("__id", "n", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other_idf))).alias("x")), "counts")
     meets = (F.col("c.term") == F.col("t.term")) & ((F.col("n") == 0) | (F.col("n") == F.col("size")))
