@@ -31,7 +31,7 @@ DECAY = 0.6
 GAPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
 SPREADS = range(2, 7)  # of the bytes of a subsequence: a + b
 LOW = -2.0  # the score of a sentence that isn't there
-BYTES = 1 << 18  # of texts that are read at once
+BYTES = 1 << 16  # of texts that are read at once: their sums fit the processor's cache
 STATS = 6
 
 _KIND = np.zeros(256, np.uint8)  # 0: letters, digits, bytes of other scripts
@@ -87,17 +87,21 @@ class Words:
             return [self.codes[left : right + 1]]
         return [self.codes[a : min(a + SPAN + 1, right) + 1] for a in range(left, right - SPAN // 2, SPAN // 2)]
 
-    def scores(self, table: np.ndarray) -> np.ndarray:
-        """<x, table> of each window, -inf where there is none; the largest of a long word's parts."""
+    def scores(self, *tables: np.ndarray) -> list[np.ndarray]:
+        """<x, table> of each window for each table, -inf where there is none; the largest of a long word's parts."""
         left, right, there = self.windows()
-        sums = running_sums(self.codes, table)
         long = there & (right - left > SPAN + 1)
-        short = there & ~long
-        out = np.where(short, window_sums(sums, left, np.where(short, right, left)), -np.inf)
-        for k, i in zip(*np.nonzero(long)):
-            a = np.arange(left[k, i], right[k, i] - SPAN // 2, SPAN // 2)
-            out[k, i] = window_sums(sums, a, np.minimum(a + SPAN + 1, right[k, i])).max()
-        return out
+        short = np.flatnonzero(there & ~long)
+        a, b = left.ravel()[short], right.ravel()[short]
+        found = []
+        for sums in running_sums(self.codes, tables):
+            out = np.full(left.shape, -np.inf)
+            out.ravel()[short] = window_sums(sums, a, b)
+            for k, i in zip(*np.nonzero(long)):
+                at = np.arange(left[k, i], right[k, i] - SPAN // 2, SPAN // 2)
+                out[k, i] = window_sums(sums, at, np.minimum(at + SPAN + 1, right[k, i])).max()
+            found.append(out)
+        return found
 
     def keys(self) -> np.ndarray:
         """A hash of each window's codes: a polynomial modulo 2^64, from running sums."""
@@ -110,23 +114,28 @@ class Words:
             return (total[right + 1] - total[left]) * down[left]
 
 
-def running_sums(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """(spreads x places + 1): the weights of all subsequences of a spread that begin before a place."""
+def running_sums(codes: np.ndarray, tables: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """For each table (spreads x places + 1): the weights of all subsequences of a spread that begin before a place."""
     n = len(codes)
     padded = np.concatenate([codes, np.zeros(6, codes.dtype)])
-    out = np.zeros((len(SPREADS), n + 1))
+    out = [np.zeros((len(SPREADS), n + 1)) for _ in tables]
     for a in (1, 2, 3):
         two = (padded[:n] * LETTERS + padded[a : a + n]) * LETTERS
         for b in (1, 2, 3):
-            out[a + b - 2, 1:] += DECAY ** (a + b - 2) * table[two + padded[a + b : a + b + n]]
-    return np.cumsum(out, axis=1)
+            at = two + padded[a + b : a + b + n]
+            for sums, table in zip(out, tables):
+                sums[a + b - 2, 1:] += table.take(at)
+    for sums in out:
+        for d in SPREADS:
+            np.cumsum(sums[d - 2] * DECAY ** (d - 2), out=sums[d - 2])
+    return out
 
 
 def window_sums(sums: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     total = np.zeros(left.shape)
     for d in SPREADS:
         stop = np.maximum(right - d + 1, left)
-        total += sums[d - 2][stop] - sums[d - 2][left]
+        total += sums[d - 2].take(stop) - sums[d - 2].take(left)
     return total / _NORM[right - left + 1]
 
 
@@ -223,11 +232,14 @@ def _first_table(batches: list[Words], toxic: list[np.ndarray]) -> np.ndarray:
     found = []
     for b, (words, lab) in enumerate(zip(batches, toxic)):
         key = words.keys()[0]
-        _, once = np.unique(np.c_[key, words.doc.astype(np.uint64)], axis=0, return_index=True) if len(key) else (None, np.zeros(0, np.int64))
+        order = np.lexsort((words.doc, key))
+        once = order[np.append(True, (key[order][1:] != key[order][:-1]) | (words.doc[order][1:] != words.doc[order][:-1]))] if len(key) else order
         found.append((key[once], lab[words.doc[once]], np.full(len(once), b), once))
     key, lab, batch, at = (np.concatenate(c) for c in zip(*found))
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    pos, neg = np.bincount(inverse, lab == 1), np.bincount(inverse, lab == 0)
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+    first = order[starts]
+    pos, neg = (np.add.reduceat((lab[order] == y).astype(float), starts) if len(key) else np.zeros(0) for y in (1, 0))
     spans = [batches[b].spans(batches[b].begin[i] - 1, batches[b].end[i])[0] for b, i in zip(batch[first].tolist(), at[first].tolist())]
     odds_pos, odds_neg = np.zeros(SIZE), np.zeros(SIZE)
     for k in range(0, len(spans), 8192):
@@ -252,7 +264,7 @@ def _picked(batches: list[Words], toxic: list[np.ndarray], table: np.ndarray, us
     windows: hard ones, and others spread over all."""
     positive, owner, hard, spread, docs = [], [], [], [], 0
     for words, lab, own in zip(batches, toxic, usable):
-        f = words.scores(table)
+        f = words.scores(table)[0]
         left, right, there = words.windows()
         row = np.arange(len(words.doc))
         isbad = lab[words.doc] == 1 if len(words.doc) else np.zeros(0, bool)
@@ -279,19 +291,39 @@ def _picked(batches: list[Words], toxic: list[np.ndarray], table: np.ndarray, us
     return positive, np.array(owner), list(unique.values())
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys. By sorting, since hash tables of so many keys are slow."""
+    keys = np.sort(keys, axis=None)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted ones."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(keys.shape, bool)
+
+
 def _usable(batches: list[Words], toxic: list[np.ndarray]) -> list[np.ndarray]:
     """Windows that may be witnesses: no clean document holds them, and several words are in two toxic documents at least. A toxic document
     without such a word may give any of its words."""
     keys = [words.keys() for words in batches]
-    of = lambda y: [(k[t := words.windows()[2] & (lab[words.doc] == y)], np.broadcast_to(words.doc, t.shape)[t] + (b << 20)) for b, (words, lab, k) in enumerate(zip(batches, toxic, keys)) if len(words.doc)]
-    clean = np.unique(np.concatenate([np.unique(k) for k, _ in of(0)]))
-    pairs = np.concatenate([np.unique(np.c_[k, d.astype(np.uint64)], axis=0) for k, d in of(1)])
-    seen, times = np.unique(pairs[:, 0], return_counts=True)
-    twice = seen[times > 1]
+    clean, toxic_keys, docs = [], [], []
+    for b, (words, lab, k) in enumerate(zip(batches, toxic, keys)):
+        there, bad = words.windows()[2], lab[words.doc] == 1
+        clean.append(_distinct(k[there & ~bad]))
+        own = there & bad
+        toxic_keys.append(k[own])
+        docs.append(np.broadcast_to(words.doc, own.shape)[own].astype(np.int64) + (b << 20))
+    known = _distinct(np.concatenate(clean))
+    key, doc = np.concatenate(toxic_keys), np.concatenate(docs)
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    first = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
+    key = key[first]
+    twice = _distinct(key[1:][key[1:] == key[:-1]])
     out = []
     for words, k in zip(batches, keys):
-        own = ~np.isin(k, clean)
-        own[1:] &= np.isin(k[1:], twice)
+        own = ~_among(k, known)
+        own[1:] &= _among(k[1:], twice)
         none = np.bincount(words.doc, own.any(axis=0), words.texts) == 0
         own[0] |= none[words.doc]
         out.append(own)
@@ -319,12 +351,12 @@ def machine(batches: list[Words], toxic: list[np.ndarray], landmarks: int, round
     return table, bias
 
 
-def document_stats(words: Words, table: np.ndarray, bias: float) -> np.ndarray:
-    """Per text: the scores of its three worst sentences and of its second worst word, how much lies above -1/2, and its number of words."""
+def document_stats(words: Words, scores: np.ndarray) -> np.ndarray:
+    """Per text, from its windows' scores: those of its three worst sentences and of its second worst word, how much lies above -1/2, and its number of words."""
     out = np.tile([LOW, LOW, LOW, LOW, 0.0, 0.0], (words.texts, 1))
     if not len(words.doc):
         return out
-    best = np.maximum(words.scores(table).max(axis=0) + bias, LOW)
+    best = np.maximum(scores.max(axis=0), LOW)
     starts = np.flatnonzero(np.append(True, (words.sentence[1:] != words.sentence[:-1]) | (words.doc[1:] != words.doc[:-1])))
     worst, owner = np.maximum.reduceat(best, starts), words.doc[starts]
     order = np.lexsort((-worst, owner))
@@ -367,7 +399,7 @@ def train(texts: list[bytes], labels: np.ndarray, landmarks: int = 256, rounds:
         own = [texts[i] for i in fit]
         table, bias = machine([Words([own[i] for i in p]) for p in _cut(own)], [labels[fit][p] for p in _cut(own)], landmarks, rounds, cost)
         other = [texts[i] for i in rest]
-        stats = np.concatenate([document_stats(Words([other[i] for i in p]), table, bias) for p in _cut(other)])
+        stats = np.concatenate([document_stats(w := Words([other[i] for i in p]), w.scores(table)[0] + bias) for p in _cut(other)])
         models.append({"table": table, "bias": bias, "doc": logistic(stats, labels[rest], ridge=0.1).tolist()})
     return models
 
@@ -383,7 +415,9 @@ def score_texts(texts: list[bytes], models: list[dict]) -> np.ndarray:
     out = np.zeros(len(texts))
     for p in _cut(texts) if texts else []:
         words = Words([texts[i] for i in p])
-        out[p] = np.mean([sigmoid(np.c_[document_stats(words, m["table"], m["bias"]), np.ones(len(p))] @ np.array(m["doc"])) for m in models], axis=0)
+        scores = words.scores(*[m["table"] for m in models])
+        stats = [document_stats(words, s + m["bias"]) for s, m in zip(scores, models)]
+        out[p] = np.mean([sigmoid(np.c_[s, np.ones(len(p))] @ np.array(m["doc"])) for s, m in zip(stats, models)], axis=0)
     return out
 
 
