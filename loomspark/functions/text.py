@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\r\x0b\x0c"
 BREAK = "\n\n"
+# fixed values
 CODE_STARTS = ["def", "class", "function", "import", "from", "var", "let", "const", "public", "private", "return"]
 
 
@@ -67,3 +68,10 @@ def dot(a: Column, b: Column) -> Column:
 def ordered_join(order: list[Column | str], text: Column, separator: str) -> Column:
     """Aggregate: text values joined in the order of other columns."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("__text")))), lambda r: r["__text"]), separator)
+
+
+def keyword_overlap(text: Column, content: Column) -> Column:
+    """Words that the last 100 of a text share with the first 50 of another, over ten, at most .3."""
+    last, first = words(F.lower(text)), words(F.lower(content))
+    tail = F.slice(last, F.greatest(F.size(last) - 99, F.lit(1)), F.lit(100))
+    return F.least(F.size(F.array_intersect(F.array_distinct(tail), F.array_distinct(F.slice(first, 1, 50)))) / F.lit(10.0), F.lit(0.3))

@@ -58,3 +58,13 @@ def tracked_segments(decisions: DataFrame) -> DataFrame:
     spans = decisions.groupBy("doc_id", "seg").agg(F.min("tok_idx").alias("begin"), (F.max("tok_idx") + 1).alias("end"))
     every = decisions.groupBy("doc_id").agg(F.max("seg").alias("m")).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("seg"))
     return every.join(spans, ["doc_id", "seg"], "left").na.fill(0, ["begin", "end"])
+
+
+def segment_mask(mapping: DataFrame, seg: int) -> DataFrame:
+    """mapping plus in_segment: whether the token is of that segment; a token without a segment isn't."""
+    return mapping.withColumn("in_segment", F.coalesce(F.col("seg_idx") == seg, F.lit(False)))
+
+
+def multi_level(mapping: DataFrame) -> DataFrame:
+    """doc_id, tok_idx, levels: each token's segments by level, a map, from rows (doc_id, tok_idx, level, seg_idx) of distinct levels."""
+    return mapping.groupBy("doc_id", "tok_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "seg_idx")))).alias("levels"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values
 BIAS = {"BOUNDARY": -0.5, "SPEAKER_BOUNDARY": -1.0, "REFERENCE": 0.3, "TOPIC_EVOLUTION": 0.2}
 EPS = 1e-10
 
@@ -49,8 +50,11 @@ def consolidate(boundaries: DataFrame, least: float = 0.2) -> DataFrame:
     return rows.filter(F.col("strength") > least)
 
 
-def greedy_segments(boundaries: DataFrame, group: list[str], least: int = 50) -> DataFrame:
-    """group, ord, start, end, confidence: a segment closes at a boundary at least `least` after its start; the last is open (-1, .8), or the only one (1.0)."""
+def greedy_segments(boundaries: DataFrame, group: list[str], least: int = 50, groups: DataFrame | None = None) -> DataFrame:
+    """group, ord, start, end, confidence: a segment closes at a boundary at least `least` after its start; the last is open (end -1, confidence .8).
+
+    Groups that `groups` names and that have no boundary are one open segment of confidence 1.
+    """
     rows = boundaries.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("long").alias("p"), "strength"))).alias("bs"))
     seg = "array<struct<start:bigint,end:bigint,confidence:double>>"
     start = F.struct(F.array().cast(seg).alias("out"), F.lit(0).cast("long").alias("s"))
@@ -60,7 +64,11 @@ def greedy_segments(boundaries: DataFrame, group: list[str], least: int = 50) ->
         return F.when(b["p"] - a["s"] >= least, F.struct(F.concat(a["out"], F.array(made)).alias("out"), b["p"].alias("s"))).otherwise(a)
 
     last = lambda a: F.concat(a["out"], F.array(F.struct(a["s"].alias("start"), F.lit(-1).cast("long").alias("end"), F.lit(0.8).alias("confidence"))))
-    return rows.select(*group, F.posexplode(F.aggregate("bs", start, step, last)).alias("ord", "x")).select(*group, "ord", "x.*")
+    out = rows.select(*group, F.posexplode(F.aggregate("bs", start, step, last)).alias("ord", "x")).select(*group, "ord", "x.*")
+    if groups is None:
+        return out
+    whole = groups.select(*group).distinct().join(rows.select(*group), group, "left_anti")
+    return out.unionByName(whole.select(*group, F.lit(0).alias("ord"), F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"), F.lit(1.0).alias("confidence")))
 
 
 def entropy(cells: DataFrame, n: DataFrame, group: list[str]) -> DataFrame:
@@ -88,12 +96,27 @@ def coherence(entropies: DataFrame) -> DataFrame:
     return entropies.groupBy("window_idx").agg((1 / (1 + F.coalesce(F.var_pop("entropy"), F.lit(0.0)))).alias("coherence"))
 
 
+def window_patterns(attn: DataFrame, sizes: DataFrame, heads: int, layers: int) -> DataFrame:
+    """window_idx, entropies (of the layers, in order), coherence, paths (the strongest cells of the layers' mean: i, j, w)."""
+    e = entropy(attn, sizes, ["window_idx", "layer"])
+    per = e.groupBy("window_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("layer", "entropy"))), lambda r: r["entropy"]).alias("entropies"))
+    paths = dominant_paths(layer_mean(attn, layers), heads).groupBy("window_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "i", "j", "w"))), lambda r: F.struct(r["i"].alias("i"), r["j"].alias("j"), r["w"].alias("w"))).alias("paths"))
+    return per.join(coherence(e), "window_idx").join(paths, "window_idx")
+
+
 def views(attn: DataFrame) -> DataFrame:
     """window_idx, layer, head, i, j, w: means over layers and heads, over layers, and over heads in one pass of grouping sets."""
-    attn.createOrReplaceTempView("__attn")
-    return attn.sparkSession.sql(
-        "SELECT window_idx, layer, head, i, j, avg(w) AS w FROM __attn GROUP BY GROUPING SETS ((window_idx, i, j), (window_idx, head, i, j), (window_idx, layer, i, j))"
-    )
+    keys = ["window_idx", "layer", "head", "i", "j"]
+    sets = [[F.col(c) for c in keys if c not in out] for out in (("layer", "head"), ("layer",), ("head",))]
+    return attn.groupingSets(sets, *keys).agg(F.avg("w").alias("w"))
+
+
+def picked_layers(attn: DataFrame) -> DataFrame:
+    """view (first, middle, last), window_idx, head, i, j, w of those of a window's layers; the middle one is number n // 2. A layer may be several."""
+    ids = attn.select("window_idx", "layer").distinct().groupBy("window_idx").agg(F.array_sort(F.collect_list("layer")).alias("ls"))
+    at = lambda name, k: F.struct(F.lit(name).alias("view"), F.element_at("ls", k).alias("layer"))
+    chosen = ids.select("window_idx", F.explode(F.array(at("first", F.lit(1)), at("middle", (F.floor(F.size("ls") / 2) + 1).cast("int")), at("last", F.lit(-1)))).alias("p")).select("window_idx", "p.*")
+    return attn.join(chosen, ["window_idx", "layer"]).select("view", "window_idx", "head", "i", "j", "w")
 
 
 def cohesion(cells: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -118,6 +141,39 @@ def cross_level(token_node: DataFrame) -> DataFrame:
     return best.groupBy("window_idx", (-F.col("b.neg")).alias("node")).agg(F.count("*").alias("tokens"), F.avg("b.w").alias("mean_max"))
 
 
+def cohesion_summary(cohesions: DataFrame) -> DataFrame:
+    """window_idx, overall, variance, least, most of the segments' cohesion; windows without segments of two tokens have no row."""
+    c = F.col("cohesion")
+    return cohesions.groupBy("window_idx").agg(F.avg(c).alias("overall"), F.var_pop(c).alias("variance"), F.min(c).alias("least"), F.max(c).alias("most"))
+
+
+def cross_summary(token_node: DataFrame, mapping: DataFrame) -> DataFrame:
+    """window_idx, mean, most, consistency, strength of cells (window_idx, tok, node, w), which should be all tokens by all nodes.
+
+    Consistency is the mean attention of a node's own tokens (window_idx, tok, seg) to it, summed over nodes of two tokens or more, over the number of nodes; strength the mean of
+    each token's largest cell.
+    """
+    per = token_node.groupBy("window_idx", "tok").agg(F.max("w").alias("m")).groupBy("window_idx").agg(F.avg("m").alias("strength"))
+    stats = token_node.groupBy("window_idx").agg(F.avg("w").alias("mean"), F.max("w").alias("most"), F.count_distinct("node").alias("nodes"))
+    own = token_node.join(mapping.select("window_idx", "tok", F.col("seg").alias("node")), ["window_idx", "tok", "node"])
+    own = own.groupBy("window_idx", "node").agg(F.avg("w").alias("a"), F.count("*").alias("c")).filter("c > 1").groupBy("window_idx").agg(F.sum("a").alias("a"))
+    rows = stats.join(per, "window_idx").join(own, "window_idx", "left")
+    return rows.select("window_idx", "mean", "most", (F.coalesce("a", F.lit(0.0)) / F.col("nodes")).alias("consistency"), "strength")
+
+
+def dual_results(patterns: DataFrame, cross: DataFrame, cohesions: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """One row over all windows: means of the node patterns, cross-level patterns and window cohesions, sums of hubs, and the flags of what was there.
+
+    patterns: of graph.node_patterns; cross: of cross_summary; cohesions: of cohesion_summary; boundaries: of merge_near. Means of nothing are null.
+    """
+    o = F.col("overall")
+    a = patterns.agg(F.avg("mean").alias("mean_node_attention"), F.avg("clustering").alias("mean_clustering"), F.avg("density").alias("mean_density"), F.coalesce(F.sum("hubs"), F.lit(0)).alias("total_hubs"), F.avg("largest").alias("avg_component_size"), F.count("*").alias("windows_processed"))
+    b = cross.agg(F.avg("mean").alias("mean_cross_attention"), F.avg("consistency").alias("mean_consistency"), F.avg("strength").alias("mean_strength"), (F.count("*") > 0).alias("has_cross_attention"))
+    c = cohesions.agg(F.avg(o).alias("mean_cohesion"), F.var_pop(o).alias("cohesion_variance"), F.min(o).alias("min_cohesion"), F.max(o).alias("max_cohesion"))
+    d = boundaries.agg(F.count("*").alias("dual_boundary_count"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d).withColumn("has_node_attention", F.col("windows_processed") > 0)
+
+
 def transitions(mapping: DataFrame) -> DataFrame:
     """window_idx, position, from_seg, to_seg: where a token's segment differs from the one before."""
     prev = F.lag("seg").over(Window.partitionBy("window_idx").orderBy("tok"))
@@ -137,9 +193,15 @@ def weak_links(node_cells: DataFrame, mapping: DataFrame, n: DataFrame) -> DataF
 
 
 def merge_near(boundaries: DataFrame, group: list[str], near: int = 5) -> DataFrame:
-    """group, position, strength, type, n: a boundary joins the group whose first lies at most `near` before it; the largest strength, the types joined by +."""
+    """group, position, strength, type, n: a boundary joins the group whose first lies at most `near` before it; the largest strength, the types joined by +.
+
+    Chains are cut first at gaps of more than `near`, where a new group always begins, so that only a chain's boundaries meet in an array.
+    """
+    by_place = Window.partitionBy(*group).orderBy("position", "type", "strength")
+    gap = F.col("position") - F.lag("position").over(by_place) > near
+    rows = boundaries.withColumn("__new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("__chain", F.sum("__new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct(F.col("position").cast("long").alias("p"), "type", "strength")
-    rows = boundaries.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("bs"))
+    rows = rows.groupBy(*group, "__chain").agg(F.array_sort(F.collect_list(item)).alias("bs"))
     one = "struct<p:bigint,strength:double,types:array<string>,n:int>"
     start = F.struct(F.array().cast(f"array<{one}>").alias("out"), F.lit(None).cast(one).alias("cur"))
 
@@ -225,6 +287,78 @@ def low_rank(attn: DataFrame, ratio: float = 0.3, most: int = 64, by_mass: bool
     return attn.groupBy("window_idx", "layer", "head").applyInArrow(_svd(ratio, most, by_mass), schema)
 
 
+def spectra(attn: DataFrame) -> DataFrame:
+    """window_idx, layer, head, k (from 1), s: the singular values of each matrix in falling order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, w = (table[c].to_numpy() for c in ("i", "j", "w"))
+        m = np.zeros((int(i.max()) + 1, int(j.max()) + 1))
+        m[i, j] = w
+        s = np.linalg.svd(m, compute_uv=False)
+        keys = {c: pa.array([table[c][0].as_py()] * len(s), table.schema.field(c).type) for c in ("window_idx", "layer", "head")}
+        return pa.table([*keys.values(), pa.array(np.arange(1, len(s) + 1), pa.int32()), pa.array(s)], [*keys, "k", "s"])
+
+    return attn.groupBy("window_idx", "layer", "head").applyInArrow(run, "window_idx long, layer int, head int, k int, s double")
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def _truncated(scores: np.ndarray, ratio: float, most: int) -> np.ndarray:
+    u, s, v = np.linalg.svd(scores, full_matrices=False)
+    r = min(max(1, int(min(scores.shape) * ratio)), most)
+    return (u[:, :r] * s[:r]) @ v[:r]
+
+
+def blockwise_attention(vectors: DataFrame, heads: int, block: int = 64, adaptive: bool = True, most: int = 256) -> DataFrame:
+    """window_idx, i, out: low-rank attention of each window's vectors (window_idx, i, vec) to themselves in blocks.
+
+    A pair of blocks keeps .3 of its ranks on the diagonal and .1 off it, or .2 everywhere if not adaptive (at least one, at most `most`); a block's outputs over all
+    key blocks are summed. Vectors of a window are of one length, a multiple of heads.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["i"].to_numpy())
+        lists = table["vec"].combine_chunks()
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), heads, -1)[order].transpose(1, 0, 2)
+        out = np.zeros_like(x)
+        n, d = x.shape[1:]
+        for a in range(0, n, block):
+            for b in range(0, n, block):
+                ratio = (0.3 if a == b else 0.1) if adaptive else 0.2
+                for h in range(heads):
+                    q, k = x[h, a : a + block], x[h, b : b + block]
+                    out[h, a : a + block] += _softmax(_truncated(q @ k.T / np.sqrt(d), ratio, most)) @ k
+        flat = out.transpose(1, 0, 2).reshape(n, -1)
+        at = pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32())
+        return pa.table([pa.array([table["window_idx"][0].as_py()] * n, pa.int64()), pa.array(table["i"].to_numpy()[order], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat.ravel()))], ["window_idx", "i", "out"])
+
+    rows = vectors.select(F.col("window_idx").cast("long").alias("window_idx"), F.col("i").cast("long").alias("i"), F.transform("vec", lambda v: v.cast("double")).alias("vec"))
+    return rows.groupBy("window_idx").applyInArrow(run, "window_idx long, i long, out array<double>")
+
+
+def constrained_low_rank(scores: DataFrame, ratio: float = 0.1, most: int = 256) -> DataFrame:
+    """window_idx, i, j, w: the mean over heads of the row softmax of each head's scores (window_idx, head, i, j, s; with their bias and mask), cut to the share
+    `ratio` of their ranks. Cells that are absent score 0."""
+
+    def run(table: pa.Table) -> pa.Table:
+        heads, i, j, s = (table[c].to_numpy() for c in ("head", "i", "j", "s"))
+        n = int(max(i.max(), j.max())) + 1
+        total = np.zeros((n, n))
+        for h in np.unique(heads):
+            m = np.zeros((n, n))
+            own = heads == h
+            m[i[own], j[own]] = s[own]
+            total += _softmax(_truncated(m, ratio, most))
+        a, b = np.indices((n, n)).reshape(2, -1)
+        return pa.table([pa.array([table["window_idx"][0].as_py()] * (n * n), pa.int64()), pa.array(a), pa.array(b), pa.array((total / len(np.unique(heads))).ravel())], ["window_idx", "i", "j", "w"])
+
+    rows = scores.select(*[F.col(c).cast("long").alias(c) for c in ("window_idx", "head", "i", "j")], "s")
+    return rows.groupBy("window_idx").applyInArrow(run, "window_idx long, i long, j long, w double")
+
+
 def adaptive_rank(spectra: DataFrame, target: float, least: int, most: int) -> DataFrame:
     """id, rank: the smallest k whose singular values (id, k from 1, s in falling order) sum to 1 - target of all, within bounds."""
     order = Window.partitionBy("id").orderBy("k")
@@ -246,11 +380,16 @@ def top_edges(attn: DataFrame, k: int = 5) -> DataFrame:
     return mean.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def constrained_scores(scores: DataFrame, types: DataFrame, biases: DataFrame, adjacency: DataFrame, keys: list[str]) -> DataFrame:
+    """scores (keys, i, j, s) plus their edge type's bias, cells without an edge pushed down by 1e4."""
+    rows = scores.join(types, [*keys, "i", "j"], "left").withColumn("edge_type", F.coalesce("edge_type", F.lit(0))).join(F.broadcast(biases.select("edge_type", "default_bias")), "edge_type", "left")
+    rows = rows.join(adjacency.select(*keys, "i", "j", F.lit(1).alias("a")), [*keys, "i", "j"], "left")
+    return rows.select(*keys, "i", "j", (F.col("s") + F.coalesce("default_bias", F.lit(0.0)) - F.when(F.col("a").isNull(), 1e4).otherwise(0.0)).alias("s"))
+
+
 def constrained(scores: DataFrame, types: DataFrame, biases: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """window_idx, i, j, w: row softmax of scores (window_idx, i, j, s) plus their edge type's bias, cells without an edge pushed down by 1e4."""
-    rows = scores.join(types, ["window_idx", "i", "j"], "left").withColumn("edge_type", F.coalesce("edge_type", F.lit(0))).join(F.broadcast(biases.select("edge_type", "default_bias")), "edge_type", "left")
-    rows = rows.join(adjacency.select("window_idx", "i", "j", F.lit(1).alias("a")), ["window_idx", "i", "j"], "left")
-    rows = rows.withColumn("s", F.col("s") + F.coalesce("default_bias", F.lit(0.0)) - F.when(F.col("a").isNull(), 1e4).otherwise(0.0))
+    """window_idx, i, j, w: row softmax of the constrained scores (window_idx, i, j, s)."""
+    rows = constrained_scores(scores, types, biases, adjacency, ["window_idx"])
     row = Window.partitionBy("window_idx", "i")
     rows = rows.withColumn("x", F.exp(F.col("s") - F.max("s").over(row)))
     return rows.select("window_idx", "i", "j", (F.col("x") / F.sum("x").over(row)).alias("w"))

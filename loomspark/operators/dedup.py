@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import strip, words
 from loomspark.operators.segment import sections
 
+# fixed values
 FILLERS = ["the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
 FENCE = r"```[\s\S]*?```"
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.skew import hot_split_join
+
+# fixed values: edge types in the order of their codes, and the bias of each
 EDGE_TYPES = ["NO_RELATION", "EXPLAINS", "ELABORATES", "CONTRADICTS", "IS_EXAMPLE_OF", "IS_CONSEQUENCE_OF", "DEPENDS_ON", "SUMMARIZES", "REFERENCES", "CONTINUES"]
 EDGE_BIAS = [0.0, 0.05, 0.03, -0.1, 0.04, 0.06, 0.08, 0.07, 0.02, 0.01]
 
@@ -59,10 +63,34 @@ def stitch_windows(cells: DataFrame, stride: int, size: int) -> DataFrame:
     return rows.groupBy("layer", "head", "i", "j").agg((F.sum(F.col("w") * F.col("wt")) / F.sum("wt")).alias("w"))
 
 
-def dual_level_edges(node_cells: DataFrame, token_cells: DataFrame, least: float = 0.1) -> DataFrame:
-    """i, j, weight = (2 node + token) / 3 for cells off the diagonal with node attention over least; a missing token cell is 0."""
+def dual_level_edges(node_cells: DataFrame, token_cells: DataFrame, least: float = 0.1, types: DataFrame | None = None) -> DataFrame:
+    """i, j, weight = (2 node + token) / 3, edge_type for cells off the diagonal with node attention over least. A missing token cell is 0, as is a
+    missing type (types: i, j, edge_type)."""
     t = token_cells.select("i", "j", F.col("w").alias("tok"))
-    return node_cells.filter((F.col("i") != F.col("j")) & (F.col("w") > least)).join(t, ["i", "j"], "left").select("i", "j", ((2 * F.col("w") + F.coalesce("tok", F.lit(0.0))) / 3).alias("weight"))
+    rows = node_cells.filter((F.col("i") != F.col("j")) & (F.col("w") > least)).join(t, ["i", "j"], "left")
+    if types is not None:
+        rows = rows.join(types.select("i", "j", F.col("edge_type").alias("__t")), ["i", "j"], "left")
+    kind = F.coalesce("__t", F.lit(0)) if types is not None else F.lit(0)
+    return rows.select("i", "j", ((2 * F.col("w") + F.coalesce("tok", F.lit(0.0))) / 3).alias("weight"), kind.cast("int").alias("edge_type"))
+
+
+def node_strengths(segments: DataFrame, node_cells: DataFrame, n: int, cohesion: DataFrame | None = None) -> DataFrame:
+    """segments (i) plus strength, the mean of a row's n cells (0 without any), and cohesion (0 where none is known)."""
+    out = segments.join(node_cells.groupBy("i").agg((F.sum("w") / n).alias("strength")), "i", "left").na.fill(0.0, ["strength"])
+    if cohesion is None:
+        return out.withColumn("cohesion", F.lit(0.0))
+    return out.join(cohesion.select("i", "cohesion"), "i", "left").na.fill(0.0, ["cohesion"])
+
+
+def attention_edges(cells: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """src, dst, weight of the cells over the threshold."""
+    return cells.filter(F.col("w") > threshold).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("w").alias("weight"))
+
+
+def dual_adjacency(node_cells: DataFrame, windows: int, n: int) -> DataFrame:
+    """i, j, w (summed over windows and layers, over the number of windows), linked: over mean plus deviation of all n * n cells. Cells i, j < n."""
+    w = node_cells.filter((F.col("i") < n) & (F.col("j") < n)).groupBy("i", "j").agg((F.sum("w") / windows).alias("w"))
+    return w.crossJoin(F.broadcast(dense_threshold(w, n))).select("i", "j", "w", (F.col("w") > F.col("threshold")).alias("linked"))
 
 
 def dense_threshold(cells: DataFrame, n: Column | int, group: list[str] | None = None) -> DataFrame:
@@ -81,12 +109,20 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def adjacency_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, neighbours (both directions, duplicates kept, sorted)."""
+def adjacency_lists(nodes: DataFrame, edges: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
+    """id, part, neighbours (both directions, duplicates kept, sorted). A hub's come in parts by hash, each of about part_rows; others have part 0 alone."""
     e = induced(edges, nodes)
     both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    lists = both.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
-    return nodes.join(lists, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<bigint>")))
+    lists = listed_by(both, "src", "dst", part_rows).withColumnsRenamed({"src": "id", "dst": "neighbours"})
+    return nodes.join(lists, "id", "left").withColumns({"neighbours": F.coalesce("neighbours", F.array().cast("array<bigint>")), "part": F.coalesce("part", F.lit(0))})
+
+
+def listed_by(rows: DataFrame, key: str, value: str, part_rows: int) -> DataFrame:
+    """key, part, value (sorted array): a key with more than part_rows rows in several parts by hash of the value."""
+    parts = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > part_rows).select(key, F.ceil(F.col("__n") / part_rows).cast("int").alias("__p"))
+    split = rows.join(F.broadcast(parts), key, "left")  # no more than one in part_rows of all rows
+    part = F.coalesce(F.pmod(F.xxhash64(value), F.col("__p")).cast("int"), F.lit(0))
+    return split.withColumn("part", part).groupBy(key, "part").agg(F.array_sort(F.collect_list(value)).alias(value))
 
 
 def spread_sample(edges: DataFrame, most: int = 20, chunk: int = 1 << 16) -> DataFrame:
@@ -186,6 +222,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     return edges.select("graph_id", "src", "dst", "weight").unionByName(named).groupBy("graph_id").applyInArrow(_ranks(damping, iterations, tol, directed), "graph_id long, id long, importance double")
 
 
+def ranked(nodes: DataFrame, edges: DataFrame, cut, damping: float = 0.85, iterations: int = 20, directed: bool = False, most_rows: int = 5_000_000) -> DataFrame:
+    """graph_id, id, importance: graphs of up to most_rows nodes and edges one a task, each larger one by joins."""
+    rows = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).unionByName(edges.groupBy("graph_id").agg(F.count("*").alias("n"))).groupBy("graph_id").agg(F.sum("n").alias("n"))
+    large = [r.graph_id for r in rows.filter(F.col("n") > most_rows).collect()]  # as many as graphs of that size fit the data
+    if not large:
+        return pagerank(nodes, edges, damping, iterations, None, directed)
+    other = ~F.col("graph_id").isin(large)
+    out = pagerank(nodes.filter(other), edges.filter(other), damping, iterations, None, directed)
+    for g in large:
+        own = F.col("graph_id") == g
+        r = pagerank_shuffled(nodes.filter(own).select("id"), edges.filter(own), lambda df, k, g=g: cut(df, f"{g}-{k}"), damping, iterations, directed)
+        out = out.unionByName(r.select(F.lit(g).cast("long").alias("graph_id"), "id", "importance"))
+    return out
+
+
 def pagerank_shuffled(nodes: DataFrame, edges: DataFrame, cut, damping: float = 0.85, iterations: int = 20, directed: bool = False) -> DataFrame:
     """id, importance of one large graph by joins; cut(df, k) writes each step's ranks to the shared folder and reads them back."""
     e = edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight"))
@@ -204,40 +255,84 @@ def pagerank_shuffled(nodes: DataFrame, edges: DataFrame, cut, damping: float =
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:
-    """id, comp (smallest id that edges reach, either way). Smallest neighbour and pointer jumping by turns until nothing moves;
-    cut(df, k) writes each step to the shared folder and reads it back."""
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), -1)
-    labels, k = nodes.select("id", F.col("id").alias("comp"), F.lit(True).alias("moved")), 0
+    """id, comp (smallest id that edges among nodes reach, either way; a node without edges is its own). Ids of any ordered type, none null.
+
+    The smallest neighbour's label and pointer jumping by turns until nothing moves. Hubs and the labels of large components are split
+    from the other keys, so neither meets in a task. cut(df, step) writes a step to the shared folder and reads it back.
+    """
+    e = induced(edges.select("src", "dst").filter("src <> dst"), nodes.select("id").distinct())
+    both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("comp"), F.count("*").alias("deg")), "labels")
+    k = 0
     while True:
-        near = both.join(labels.select(F.col("id").alias("dst"), "comp"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
+        near = hot_split_join(both.withColumnsRenamed({"src": "v", "dst": "id"}), labels, "id", "deg").groupBy("v").agg(F.min("comp").alias("near"))
+        step = labels.join(near.withColumnRenamed("v", "id"), "id").select("id", "deg", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        step = cut(step, f"{k}-step")
         heads = step.select(F.col("id").alias("comp"), F.col("comp").alias("head"))
-        labels = cut(step.join(heads, "comp").select("id", F.col("head").alias("comp"), (F.col("head") != F.col("was")).alias("moved")), k)
+        heads = cut(step.groupBy("comp").agg(F.count("*").alias("held")).join(heads, "comp"), f"{k}-heads")
+        jumped = hot_split_join(step, heads, "comp", "held").select("id", "deg", F.col("head").alias("comp"), (F.col("head") != F.col("was")).alias("moved"))
+        labels = cut(jumped, f"{k}")
         k += 1
         if not labels.filter("moved").limit(1).count():
-            return labels.select("id", "comp")
+            return nodes.select("id").distinct().join(labels.select("id", "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+
+
+def _oriented(edges: DataFrame) -> DataFrame:
+    """u, v: each undirected edge (src, dst in any order, loops left out) once, from the end of lower degree (ties by id), so that no node
+    has more than about the root of twice the edges."""
+    e = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    deg = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    e = e.join(deg.withColumnsRenamed({"id": "src", "n": "a"}), "src").join(deg.withColumnsRenamed({"id": "dst", "n": "b"}), "dst")
+    one, other = (F.struct(F.col(n).alias("n"), F.col(c).alias("i")) for n, c in (("a", "src"), ("b", "dst")))
+    return e.select(F.least(one, other).alias("from"), F.greatest(one, other).alias("at")).select(F.col("from.i").alias("u"), F.col("at.i").alias("v"), "at")
+
 
+def _triangles(e: DataFrame) -> DataFrame:
+    """u, v, w in the order of orientation."""
+    vw = e.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    wedges = e.select("u", "v", F.col("at").alias("x")).join(e.select("u", F.col("v").alias("w"), F.col("at").alias("y")), "u").filter("x < y").drop("x", "y")
+    return wedges.join(vw, ["v", "w"]).select("u", "v", "w")
 
-def clustering(cells: DataFrame) -> DataFrame:
-    """id, k, coefficient of nodes with at least two out-neighbours (a loop counts as a neighbour): directed edges among neighbours over k (k - 1)."""
-    a = cells.select(F.col("i").alias("id"), F.col("j").alias("x"))
-    b = cells.select(F.col("i").alias("id"), F.col("j").alias("y"))
-    wedges = a.join(b, "id").filter("x <> y")
-    closed = wedges.join(cells.select(F.col("i").alias("x"), F.col("j").alias("y")), ["x", "y"]).groupBy("id").agg(F.count("*").alias("closed"))
-    k = a.groupBy("id").agg(F.count("*").alias("k")).filter("k >= 2")
-    return k.join(closed, "id", "left").select("id", "k", (F.coalesce("closed", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).alias("coefficient"))
+
+def _sorted(rows: DataFrame, cols: list[str]) -> DataFrame:
+    s = F.array_sort(F.array(*cols))
+    return rows.select(*[s[i].alias("abcd"[i]) for i in range(len(cols))])
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """a < b < c of the undirected edges (src < dst)."""
-    ab, bc, ac = (edges.select(F.col("src").alias(x), F.col("dst").alias(y)) for x, y in ("ab", "bc", "ac"))
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
+    """a < b < c of the undirected edges. Wedges are made at the end of lowest degree only."""
+    return _sorted(_triangles(_oriented(edges)), ["u", "v", "w"])
 
 
 def four_cliques(edges: DataFrame) -> DataFrame:
-    t = triangles(edges)
-    d = [edges.select(F.col("src").alias(x), F.col("dst").alias("d")) for x in "abc"]
-    return t.join(d[0], "a").join(d[1], ["b", "d"]).join(d[2], ["c", "d"]).select("a", "b", "c", "d")
+    """a < b < c < d, from triangles and the oriented neighbours of their first node."""
+    e = _oriented(edges)
+    ends = lambda a, b: e.select(F.col("u").alias(a), F.col("v").alias(b))
+    t = _triangles(e).join(ends("u", "x"), "u").filter("x <> v AND x <> w")
+    t = t.join(ends("v", "x"), ["v", "x"], "left_semi").join(ends("w", "x"), ["w", "x"], "left_semi")
+    return _sorted(t, ["u", "v", "w", "x"])
+
+
+def clustering(cells: DataFrame, group: str | None = None) -> DataFrame:
+    """id, k, coefficient of nodes with at least two out-neighbours (a loop counts as a neighbour): directed edges among neighbours over k (k - 1).
+
+    Counted on the triangles of the undirected edges, so a hub's neighbours don't meet pair by pair. Cells (i, j) should be distinct. With group, a long column of
+    cells, each group by itself: ids are then structs of group and id.
+    """
+    at = lambda c: F.struct(group, F.col(c).alias("id")) if group else F.col(c)
+    rows = cells.select(at("i").alias("i"), at("j").alias("j"))
+    k = rows.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("k")).filter("k >= 2")
+    pairs = rows.filter("i <> j").select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") < F.col("j")).cast("int").alias("up")).groupBy("lo", "hi").agg(F.max("up").alias("up"), F.max(1 - F.col("up")).alias("down"))
+    t = triangles(pairs.select(F.col("lo").alias("src"), F.col("hi").alias("dst")))
+    for x, y in ("ab", "ac", "bc"):
+        t = t.join(pairs.select(F.col("lo").alias(x), F.col("hi").alias(y), F.col("up").alias(x + y), F.col("down").alias(y + x)), [x, y])
+    each = [F.struct(F.col(c).alias("id"), (F.col(c + x) * F.col(c + y) * (F.col(x + y) + F.col(y + x))).alias("n")) for c, x, y in ("abc", "bac", "cab")]
+    closed = t.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    loops = rows.filter("i = j").select(F.col("i").alias("id"))
+    out = rows.filter("i <> j").join(loops.withColumnRenamed("id", "i"), "i", "left_semi")
+    back = out.join(rows.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1).alias("n")), ["i", "j"], "left")
+    closed = closed.unionByName(back.select(F.col("i").alias("id"), (1 + F.coalesce("n", F.lit(0))).alias("n")))
+    return k.join(closed.groupBy("id").agg(F.sum("n").alias("closed")), "id", "left").select("id", "k", (F.coalesce("closed", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).alias("coefficient"))
 
 
 def simplices(cells: DataFrame, n: int, threshold: float = 0.3, group: str | None = None) -> DataFrame:
@@ -267,22 +362,76 @@ def preorder(segments: DataFrame, tag: str = "KEEP") -> DataFrame:
     return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_id")) - 1).alias("k"), "seg_id", "content")
 
 
+def preorder_edges(nodes: DataFrame, edges: DataFrame, root: str = "0") -> DataFrame:
+    """doc_id, k, id: depth-first pre-order from the root over all edges, a node's links in their order (edges: doc_id, src, dst, ord). One
+    document a task; nodes that the root doesn't reach are left out."""
+
+    def walk(key: tuple, nodes_of: pd.DataFrame, edges_of: pd.DataFrame) -> pd.DataFrame:
+        links: dict = {}
+        for r in edges_of.sort_values(["ord", "dst"]).itertuples():
+            links.setdefault(r.src, []).append(r.dst)
+        known, seen, stack, out = set(nodes_of.id), set(), [root], []
+        while stack:
+            node = stack.pop()
+            if node in seen or node not in known:
+                continue
+            seen.add(node)
+            out.append(node)
+            stack += reversed(links.get(node, []))
+        return pd.DataFrame({"doc_id": [key[0]] * len(out), "k": range(len(out)), "id": out})
+
+    return nodes.select("doc_id", "id").groupBy("doc_id").cogroup(edges.select(F.col("doc_id").alias("doc"), "src", "dst", "ord").groupBy("doc")).applyInPandas(walk, "doc_id long, k long, id string")
+
+
 def gap_clusters(nodes: DataFrame, edges: DataFrame, cut, least: float = 0.6) -> DataFrame:
-    """cluster, members (sorted): components of more than one among nodes (id, cohesion) over least."""
+    """cluster, id: components of more than one among nodes (id, cohesion) over least, a row for each member."""
     kept = nodes.filter(F.col("cohesion") > least).select("id")
-    comps = connected_components(kept, induced(edges, kept), cut)
-    return comps.groupBy(F.col("comp").alias("cluster")).agg(F.array_sort(F.collect_list("id")).alias("members")).filter(F.size("members") > 1)
+    comps = connected_components(kept, edges, cut)
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("n")).filter("n > 1")
+    return comps.join(sizes, "comp").select(F.col("comp").alias("cluster"), "id")
 
 
-def node_patterns(cells: DataFrame, n: int) -> DataFrame:
-    """mean, variance, threshold (mean plus deviation over all n * n cells), hubs (row or column sum over it), density (cells above 0)."""
-    stats = cells.agg((F.sum("w") / (n * n)).alias("mean"), (F.sum(F.col("w") * F.col("w")) / (n * n)).alias("sq"), (F.sum((F.col("w") > 0).cast("long")) / (n * n)).alias("density"))
-    stats = stats.withColumn("variance", F.col("sq") - F.col("mean") * F.col("mean")).withColumn("threshold", F.col("mean") + F.sqrt(F.greatest("variance", F.lit(0.0))))
-    out = cells.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("o"))
-    into = cells.groupBy(F.col("j").alias("id")).agg(F.sum("w").alias("n"))
-    sums = out.join(into, "id", "full").na.fill(0.0)
-    hubs = sums.crossJoin(F.broadcast(stats.select("threshold"))).filter("o > threshold OR n > threshold").agg(F.array_sort(F.collect_list("id")).alias("hubs"))
-    return stats.drop("sq").crossJoin(hubs)
+def gap_hubs(nodes: DataFrame, least: float = 0.5) -> DataFrame:
+    """id, strength, cohesion of the nodes whose strength is over least."""
+    return nodes.filter(F.col("strength") > least).select("id", "strength", "cohesion")
+
+
+def cross_level_agreement(edges: DataFrame) -> DataFrame:
+    """agreement: mean of the edges' agreement, which is 0 where it isn't set; null without edges."""
+    return edges.agg(F.avg(F.coalesce("agreement", F.lit(0.0))).alias("agreement"))
+
+
+def pattern_hubs(cells: DataFrame, n: int) -> DataFrame:
+    """id: nodes whose row or column sum is over mean plus deviation of all n * n cells."""
+    stats = dense_threshold(cells, n)
+    sums = cells.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("o")).join(cells.groupBy(F.col("j").alias("id")).agg(F.sum("w").alias("n")), "id", "full").na.fill(0.0)
+    return sums.crossJoin(F.broadcast(stats)).filter("o > threshold OR n > threshold").select("id")
+
+
+def node_patterns(cells: DataFrame, sizes: DataFrame, cut) -> DataFrame:
+    """window_idx, nodes, mean, variance, hubs, clustering, components, largest, density of each window's cells (window_idx, i, j, w).
+
+    sizes: window_idx, n. All n * n cells count, absent ones as 0. Hubs have a row or column sum over mean plus deviation; clustering is the mean
+    coefficient of nodes with two neighbours or more (0 without any, or below three nodes); components are of the cells over that same threshold,
+    either way, single nodes counted.
+    """
+    c = cells.join(sizes, "window_idx")
+    area = F.max("n") * F.max("n")
+    stats = c.groupBy("window_idx").agg(F.max("n").alias("nodes"), (F.sum("w") / area).alias("mean"), (F.sum(F.col("w") * F.col("w")) / area).alias("sq"), (F.count_if(F.col("w") > 0) / area).alias("density"))
+    stats = sizes.join(stats, "window_idx", "left").withColumn("nodes", F.col("n")).na.fill(0.0, ["mean", "sq", "density"])
+    stats = stats.withColumn("variance", F.greatest(F.col("sq") - F.col("mean") * F.col("mean"), F.lit(0.0))).withColumn("threshold", F.col("mean") + F.sqrt("variance"))
+    sums = [cells.groupBy("window_idx", F.col(x).alias("id")).agg(F.sum("w").alias("s")) for x in "ij"]
+    over = sums[0].unionByName(sums[1]).join(stats.select("window_idx", "threshold"), "window_idx").filter("s > threshold")
+    hubs = over.groupBy("window_idx").agg(F.count_distinct("id").alias("hubs"))
+    coefficients = clustering(cells.filter("w > 0"), "window_idx").select("id.window_idx", "coefficient")
+    mean = coefficients.join(sizes.filter("n >= 3"), "window_idx", "left_semi").groupBy("window_idx").agg(F.avg("coefficient").alias("clustering"))
+    strong = cells.join(stats.select("window_idx", "threshold"), "window_idx").filter("w > threshold")
+    node = lambda c: F.struct("window_idx", F.col(c).cast("long").alias("i"))
+    every = sizes.select("window_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("i")).select(node("i").alias("id"))
+    comps = connected_components(every, strong.select(node("i").alias("src"), node("j").alias("dst")), cut)
+    parts = comps.groupBy("comp").agg(F.count("*").alias("n")).groupBy("comp.window_idx").agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+    out = stats.join(hubs, "window_idx", "left").join(mean, "window_idx", "left").join(parts, "window_idx", "left").na.fill(0, ["hubs", "components", "largest"]).na.fill(0.0, ["clustering"])
+    return out.select("window_idx", "nodes", "mean", "variance", "hubs", "clustering", "components", "largest", "density")
 
 
 def top_by_incoming_type(edges: DataFrame, most: int = 3) -> DataFrame:
@@ -291,12 +440,14 @@ def top_by_incoming_type(edges: DataFrame, most: int = 3) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("edge_type").orderBy(F.desc("n"), "id"))).filter(F.col("rank") <= most)
 
 
-def pipeline_ratios(segments: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, kept_ratio, compression (length of the new text over that of the old), edge_density (E / N^2), typed_edges.
+def pipeline_ratios(segments: DataFrame, edges: DataFrame, texts: DataFrame, cohesive: float = 0.5) -> DataFrame:
+    """doc_id, kept_ratio, compression (length of the new text over that of the old), edge_density (E / N^2), typed_edges, cohesive_segments (cohesion over cohesive;
+    0 where segments have no such column).
 
-    segments: doc_id, tag; texts: doc_id, before, after.
+    segments: doc_id, tag, cohesion; texts: doc_id, before, after.
     """
-    s = segments.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg((F.col("tag") == "KEEP").cast("double")).alias("kept_ratio"))
+    cohesion = F.coalesce("cohesion", F.lit(0.0)) if "cohesion" in segments.columns else F.lit(0.0)
+    s = segments.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg((F.col("tag") == "KEEP").cast("double")).alias("kept_ratio"), F.count_if(cohesion > cohesive).alias("cohesive_segments"))
     e = edges.groupBy("doc_id").agg(F.count("*").alias("e"), F.sum((F.coalesce("edge_type", F.lit(0)) != 0).cast("long")).alias("typed_edges"))
     rows = s.join(e, "doc_id", "left").na.fill(0, ["e", "typed_edges"]).join(texts, "doc_id")
-    return rows.select("doc_id", "kept_ratio", (F.length("after") / F.greatest(F.length("before"), F.lit(1))).alias("compression"), (F.col("e") / (F.col("n") * F.col("n"))).alias("edge_density"), "typed_edges")
+    return rows.select("doc_id", "kept_ratio", (F.length("after") / F.greatest(F.length("before"), F.lit(1))).alias("compression"), (F.col("e") / (F.col("n") * F.col("n"))).alias("edge_density"), "typed_edges", "cohesive_segments")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.graph import listed_by
+from loomspark.sources.tapes import csv_without_header
+
 
 def order_key(*cols: Column | str, seed: int = 0) -> Column:
     """A repeatable shuffle key, the same on every engine."""
     return F.md5(F.concat_ws(":", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols], F.lit(str(seed))).cast("binary"))
 
 
-def neighbor_index(edges: DataFrame) -> DataFrame:
-    """dst, neighbors: all sources, duplicates kept, sorted."""
-    return edges.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("neighbors"))
+def neighbor_index(edges: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
+    """dst, part, neighbors: all sources, duplicates kept, sorted. A hub's come in parts by hash, each of about part_rows; others have part 0 alone."""
+    return listed_by(edges.select("dst", "src"), "dst", "src", part_rows).withColumnRenamed("src", "neighbors")
 
 
 def fan_out(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -32,14 +35,39 @@ def mini_batch(seeds: DataFrame, edges: DataFrame, fan_outs: list[int], seed: in
     return met.groupBy("id").agg(F.min("hop").alias("hop"))
 
 
+def places(nodes: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """id, idx: the place of each distinct id in their order, from 0. Ranks count in chunks of ids, so no task orders all nodes."""
+    rows = nodes.select("id").distinct().withColumn("__c", F.floor(F.col("id") / chunk))
+    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))
+    base = counts.select("__c", F.coalesce(F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__c").orderBy("id")) - 1
+    return rows.withColumn("__i", inside).join(base, "__c").select("id", (F.col("__base") + F.col("__i")).alias("idx"))
+
+
 def batch_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges among a batch's nodes with their places in it (by id): src, dst, src_idx, dst_idx."""
-    placed = nodes.select("id").distinct().withColumn("idx", F.row_number().over(Window.orderBy("id")) - 1)
+    placed = places(nodes)
     a = placed.select(F.col("id").alias("src"), F.col("idx").alias("src_idx"))
     b = placed.select(F.col("id").alias("dst"), F.col("idx").alias("dst_idx"))
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "src_idx", "dst_idx")
 
 
+def synthetic_relations(spark: SparkSession, papers: int) -> dict[tuple[str, str, str], DataFrame]:
+    """Edge tables (src, dst) of a batch of that many papers with made-up authors and fields: max(10, n // 10) authors, max(5, n // 20) fields, paired by
+    remainders, and each relation's reverse. None without papers."""
+    authors, fields = max(10, papers // 10), max(5, papers // 20)
+    edge = lambda n, dst: spark.range(min(n, papers)).select(F.col("id").alias("src"), dst.alias("dst"))
+    back = lambda df: df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    writes = edge(authors, F.col("id") % max(1, papers))
+    topics = edge(fields, F.col("id") % fields)
+    return {
+        ("author", "writes", "paper"): writes,
+        ("paper", "written_by", "author"): back(writes),
+        ("paper", "has_topic", "field_of_study"): topics,
+        ("field_of_study", "topic_of", "paper"): back(topics),
+    }
+
+
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with either end among nodes (id), each once."""
     n = nodes.select("id").distinct()
@@ -65,6 +93,34 @@ def split(nodes: DataFrame, seed: int = 42) -> DataFrame:
     return nodes.select("id", F.when(bucket < 8, "train").when(bucket == 8, "valid").otherwise("test").alias("part"))
 
 
+def official_split(spark: SparkSession, folder: str) -> DataFrame | None:
+    """id, part from the files train, valid and test (.csv or .csv.gz, one id a line, no header) of a folder, or None where it doesn't exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    parts = [csv_without_header(spark, f"{folder}/{p}.csv*", "id long").withColumn("part", F.lit(p)) for p in ("train", "valid", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def split_or_official(nodes: DataFrame, folder: str, seed: int = 42) -> DataFrame:
+    """The official split of the nodes (those it doesn't name have none), or split() without one."""
+    official = official_split(nodes.sparkSession, folder)
+    return split(nodes, seed) if official is None else nodes.select("id").join(official, "id")
+
+
+def cached_fetch(cached: DataFrame, stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """place, id, from_cache and the features of the asked ids (id, place): from the cache where it has them, else from the store.
+
+    cached and stored have id and the same other columns; an id that neither has keeps nulls. Places keep the order of the request.
+    """
+    kept = [c for c in stored.columns if c != "id"]
+    held = F.struct(*[F.col(c) for c in kept])
+    rows = ids.select("place", "id").join(cached.select("id", held.alias("__c")), "id", "left")
+    missing = rows.filter("__c IS NULL").select("id").distinct()
+    rows = rows.join(stored.join(missing, "id", "left_semi").select("id", held.alias("__s")), "id", "left").withColumn("__f", F.coalesce("__c", "__s"))
+    return rows.select("place", "id", F.col("__c").isNotNull().alias("from_cache"), *[F.col(f"__f.{c}").alias(c) for c in kept])
+
+
 def fetch(features: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of the asked ids (id, place), in no order; ids without a row keep nulls."""
     return ids.join(features, "id", "left")

@@ -139,6 +139,24 @@ def cut_at(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "ord", F.col("pos").alias("start_pos"), text.alias("content")).filter(~is_blank(F.col("content")))
 
 
+def cut_at_tokens(docs: DataFrame, boundaries: DataFrame, tokens: DataFrame) -> DataFrame:
+    """doc_id, ord, start_pos, content: the text cut where boundary tokens (doc_id, position) begin, pieces stripped, blank ones dropped; a text without
+    any piece is one whole piece. tokens: doc_id, tok_idx, begin. Boundaries at tokens that don't exist are left out; a null text gives nothing.
+    """
+    at = boundaries.select("doc_id", F.col("position").alias("tok_idx")).distinct().join(tokens.select("doc_id", "tok_idx", "begin"), ["doc_id", "tok_idx"])
+    pieces = cut_at(docs, at.select("doc_id", F.col("begin").cast("bigint").alias("pos")).filter("pos > 0"))
+    order = Window.partitionBy("doc_id").orderBy("start_pos")
+    pieces = pieces.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), "start_pos", strip(F.col("content")).alias("content"))
+    whole = docs.filter(F.col("text").isNotNull()).join(pieces.select("doc_id").distinct(), "doc_id", "left_anti")
+    return pieces.unionByName(whole.select("doc_id", F.lit(0).alias("ord"), F.lit(0).cast("bigint").alias("start_pos"), F.col("text").alias("content")))
+
+
+def with_positions(pieces: DataFrame, separator: int = 1) -> DataFrame:
+    """pieces (doc_id, ord, content) plus start_pos and end_pos as if joined again by a separator of that length."""
+    before = F.sum(F.length("content") + separator).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    return pieces.withColumn("start_pos", F.coalesce(before, F.lit(0)).cast("long")).withColumn("end_pos", F.col("start_pos") + F.length("content"))
+
+
 register_segmenter("paragraphs", paragraphs)
 register_segmenter("isolate_code", isolate_code)
 register_segmenter("seedable_chunks", seedable_chunks)

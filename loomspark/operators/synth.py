@@ -9,17 +9,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import BREAK, is_blank, key_concept, ordered_join, strip
+from loomspark.operators.hetero import order_key
 from loomspark.operators.segment import seedable_chunks
 
 # fixed values: instruction types in their order
 INSTRUCTIONS = ["ANALYZE", "CONNECT", "ABSTRACT", "BOUNDARY", "CLASSIFY", "PRIORITIZE", "CODE", "MATH", "NARRATIVE", "TECHNICAL", "SPEAKER_BOUNDARY", "TOPIC_EVOLUTION", "REFERENCE", "AGREEMENT", "DISAGREEMENT", "QUESTION", "ANSWER", "CLARIFICATION", "SUMMARY", "CONCLUSION"]
 # fixed values: names and headers of segment types
 TYPE_NAMES = {"technical_core": "Technical Deep Dive", "foundational": "Foundational Principles", "example": "Practical Examples", "implementation": "Implementation Journey", "problem_solving": "Challenges and Solutions"}
+HINTS = "<processing_hints>\n<ANALYZE>Look for causal relationships</ANALYZE>\n<CONNECT>Link related concepts across time</CONNECT>\n<ABSTRACT>Extract high-level themes</ABSTRACT>\n</processing_hints>"
+RULE_BLOCK = "\n        <processing_rules>\n        <segmentation_rule>{split}</segmentation_rule>\n        <reorganization_rule>{order}</reorganization_rule>\n        </processing_rules>\n        \n        "
 HEADERS = {"technical_core": "## Technical Implementation", "foundational": "## Core Concepts", "example": "## Examples and Applications", "implementation": "## Implementation Details", "problem_solving": "## Challenges and Solutions"}
 
 
-def seeded_with_rules(c: Column, split_rule: str = "Split at natural topic boundaries", order_rule: str = "Group by theme and importance") -> Column:
-    """Chunks with the first, middle and last wrapped in rule tags (the latter two from three chunks on), joined by blank lines."""
+def rule_set(split_rule: str = "Split at natural topic boundaries", order_rule: str = "Group by theme and importance") -> dict[str, str]:
+    """Plain rules as the two entries that seeding reads."""
+    return {"segmentation": split_rule, "reorganization": order_rule}
+
+
+def seeded_with_rules(c: Column, rules: dict[str, str] | None = None) -> Column:
+    """The rules' block, then the chunks with the first, middle and last wrapped in rule tags (the latter two from three chunks on), joined by
+    blank lines. An empty text stays; null stays null."""
+    rules = rule_set() | (rules or {})
+    split_rule, order_rule = rules["segmentation"], rules["reorganization"]
     chunks = seedable_chunks(c)
     n = F.size(chunks)
     wrap = lambda tag, rule, x: F.concat(F.lit(f"<{tag} rule='{rule}'>"), x, F.lit(f"</{tag}>"))
@@ -28,21 +39,22 @@ def seeded_with_rules(c: Column, split_rule: str = "Split at natural topic bound
     def mark(x: Column, i: Column) -> Column:
         return F.when(i == 0, wrap("SEGMENT", split_rule, x)).when((n >= 3) & (i == mid), wrap("CONNECT", order_rule, x)).when((n >= 3) & (i == n - 1), wrap("ORGANIZE", order_rule, x)).otherwise(x)
 
-    return F.array_join(F.transform(chunks, mark), BREAK)
+    return F.when(c == "", c).otherwise(F.concat(F.lit(RULE_BLOCK.format(split=split_rule, order=order_rule)), F.array_join(F.transform(chunks, mark), BREAK)))
 
 
 def seeded_at_random(docs: DataFrame, density: float = 0.1, types: list[str] | None = None, seed: int = 7) -> DataFrame:
-    """doc_id, text: max(1, n * density) chunks of each document, chosen by a hash of document, place and seed, wrapped in a type chosen the same way. Blank texts stay."""
+    """doc_id, text: the hints, then max(1, n * density) chunks of each document, chosen by a hash of document, place and seed, wrapped in a type chosen
+    the same way, among the others. Blank and null texts stay."""
     types = types or INSTRUCTIONS
     rows = docs.select("doc_id", "text", F.posexplode_outer(F.when(~is_blank(F.col("text")), seedable_chunks(F.col("text")))).alias("ord", "chunk"))
-    h = F.xxhash64("doc_id", "ord", F.lit(seed))
     per = Window.partitionBy("doc_id")
     k = F.greatest(F.lit(1), F.floor(F.count("chunk").over(per) * density))
-    rows = rows.withColumn("h", h).withColumn("take", F.row_number().over(per.orderBy("h", "ord")) <= k)
-    tag = F.element_at(F.lit(types), (F.pmod(F.xxhash64("doc_id", "ord", F.lit(seed + 1)), F.lit(len(types))) + 1).cast("int"))
+    rows = rows.withColumn("take", F.row_number().over(per.orderBy(order_key("doc_id", "ord", seed=seed), "ord")) <= k)
+    draw = F.conv(F.substring(order_key("doc_id", "ord", seed=seed + 1), 1, 8), 16, 10).cast("long") % len(types)
+    tag = F.element_at(F.lit(types), (draw + 1).cast("int"))
     part = F.when(F.col("take"), F.concat(F.lit("<"), tag, F.lit(">"), "chunk", F.lit("</"), tag, F.lit(">"))).otherwise(F.col("chunk"))
     out = rows.withColumn("part", part).groupBy("doc_id").agg(ordered_join(["ord"], F.col("part"), BREAK).alias("seeded"), F.first("text").alias("text"), F.count("chunk").alias("n"))
-    return out.select("doc_id", F.when(F.col("n") > 0, F.col("seeded")).otherwise(F.col("text")).alias("text"))
+    return out.select("doc_id", F.when(F.col("n") > 0, F.concat(F.lit(HINTS + BREAK), "seeded")).otherwise(F.col("text")).alias("text"))
 
 
 def rule_prompt(rule: Column, text: Column) -> Column:
@@ -157,68 +169,90 @@ def graphml(segments: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "doc_id", "left").select("doc_id", F.concat(F.lit(head), "n", F.coalesce("e", F.lit("")), F.lit("</graph></graphml>")).alias("text"))
 
 
-def _transition(kind: str, content: str) -> str:
-    low = content.lower()
-    if kind == "example":
-        return "\nTo illustrate this concept:\n"
-    if kind == "technical_core":
-        return "\nFrom a technical perspective:\n"
-    if kind == "contrast" or "however" in low:
-        return "\nHowever, it's important to note:\n"
-    if kind == "elaboration":
-        return "\nBuilding on this idea:\n"
-    return "\nThis raises an important question:\n" if "question" in low else "\nFurthermore:\n"
+# fixed values: openings by segment type, and by a word in the text; a type's opening goes before the words below it
+OPENINGS = [
+    ("example", None, "\nTo illustrate this concept:\n"),
+    ("technical_core", None, "\nFrom a technical perspective:\n"),
+    ("contrast", "however", "\nHowever, it's important to note:\n"),
+    ("elaboration", None, "\nBuilding on this idea:\n"),
+    (None, "question", "\nThis raises an important question:\n"),
+]
+OTHER_OPENING = "\nFurthermore:\n"
+CODE_WORDS = ["```", "def ", "class ", "function ", "import "]
+OTHER_HEADER = "## Further Discussion"
+SEED_TITLE = "# Knowledge Synthesis\n\n"
+SEED_SENTENCE = "This document explores {}, examining their relationships and implications.\n\n"
+CONCLUSION = "\n## Conclusion\n\nDocument processing complete.\n"
+
+
+def opening(kind: Column, text: Column) -> Column:
+    """The phrase that leads to a segment."""
+    found = [F.when((kind == (k or "")) | F.contains(F.lower(text), F.lit(w)) if w else kind == k, F.lit(phrase)) for k, w, phrase in OPENINGS]
+    return F.coalesce(*found, F.lit(OTHER_OPENING))
+
+
+def formatted(kind: Column, content: Column, concept: Column) -> Column:
+    """A segment's text as it stands in a guided document: code and technical parts as they are, examples marked, foundations under their concept."""
+    code = F.exists(F.array(*map(F.lit, CODE_WORDS)), lambda w: F.contains(content, w))
+    named = (kind == "foundational") & F.coalesce(concept != "", F.lit(False))
+    return F.when(code, content).when(kind.isin("example", "illustrative"), F.concat(F.lit("*Example:*\n"), content)).when(named, F.concat(F.lit("**"), concept, F.lit("**\n\n"), content)).otherwise(content)
 
 
-def guided_walk(nodes: pd.DataFrame, links: dict[str, list[str]]) -> list[str]:
-    """Order of a guided document: the best unvisited neighbour of what has been visited, else the most important one left.
+def listed(words: list[str]) -> str:
+    """One; one and two; one, two, and three."""
+    return " and ".join(words) if len(words) < 3 else ", ".join(words[:-1]) + f", and {words[-1]}"
 
-    Score: .3 importance + .4 a link to a visited node + .2 for the same type as before + shared words with the text's end over ten, at most .3. Ties go to the smaller id.
+
+def keyword_overlap(text_words: list[str], content: str) -> float:
+    """Words that the last 100 of a text share with the first 50 of a segment, over ten, at most .3."""
+    return min(len(set(text_words[-100:]) & set(content.lower().split()[:50])) / 10, 0.3)
+
+
+def guided_document(nodes: pd.DataFrame, links: dict[str, list[str]], seed: str = "") -> tuple[list[str], str]:
+    """Order and text of a guided document: each time the best unvisited neighbour of what has been visited, else the most important one left.
+
+    nodes: id, importance, segment_type, content, formatted, opening. Score: .3 importance + .4 a link to a visited node + .2 for the section's type +
+    keyword_overlap with the text written so far. Ties go to the smaller id. A header follows a segment of another type than the section's, or beyond 50 lines.
     """
     rows = {r.id: r for r in nodes.itertuples()}
     rest = sorted(rows, key=lambda i: (-rows[i].importance, i))
-    seen, order, section, tail = set(), [], None, []
+    seen, order, section, lines = set(), [], "introduction", seed.count("\n")
+    parts, tail = [seed], seed.lower().split()
     while len(order) < len(rows):
         near = sorted({j for i in seen for j in links.get(i, []) if j not in seen})
-        if near:
-            last = set(tail[-100:])
-            score = lambda i: 0.3 * rows[i].importance + 0.4 * sum(j in seen for j in links.get(i, [])) + 0.2 * (rows[i].segment_type == section) + min(len(last & set(rows[i].content.lower().split()[:50])) / 10, 0.3)
-            pick = max(near, key=lambda i: (score(i), [-ord(c) for c in i]))
-        else:
-            pick = next(i for i in rest if i not in seen)
+        score = lambda i: 0.3 * rows[i].importance + 0.4 * sum(j in seen for j in links.get(i, [])) + 0.2 * (rows[i].segment_type == section) + (keyword_overlap(tail, rows[i].content) if order else 0)
+        pick = max(near, key=lambda i: (score(i), [-ord(c) for c in i])) if near else next(i for i in rest if i not in seen)
         seen.add(pick)
         order.append(pick)
-        tail += rows[pick].content.lower().split()
-        section = rows[pick].segment_type
-    return order
+        r = rows[pick]
+        added = [r.opening, r.formatted]
+        lines += sum(x.count("\n") + 1 for x in added)
+        if r.segment_type != section or lines >= 50:
+            added.append(f"\n{HEADERS.get(r.segment_type, OTHER_HEADER)}\n")
+            section = r.segment_type
+            lines += added[-1].count("\n") + 1
+        parts += added
+        tail = (tail + [w for x in added for w in x.lower().split()])[-100:]
+    return order, "\n".join([*parts, CONCLUSION])
 
 
 def guided(segments: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, text: the guided document, one graph a task. The walk is sequential by its nature, so it runs in pandas."""
-    lists = edges.select("doc_id", "src", "dst").unionByName(edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("doc_id", F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("links"))
-    rows = segments.select("doc_id", "id", "content", "importance", "segment_type", key_concept(F.col("content")).alias("concept")).join(lists, ["doc_id", "id"], "left")
+    """doc_id, text: the guided document, one graph a task. The walk is sequential by its nature, so it runs in pandas; a segment's type is general where it is null."""
+    both = edges.select("doc_id", "src", "dst").unionByName(edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    lists = both.groupBy("doc_id", F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("links"))
+    kind = F.coalesce("segment_type", F.lit("general"))
+    rows = segments.select("doc_id", "id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("importance", F.lit(0.0)).alias("importance"), kind.alias("segment_type"))
+    rows = rows.withColumn("concept", key_concept(F.col("content")))
+    rows = rows.withColumn("formatted", formatted(F.col("segment_type"), F.col("content"), F.col("concept"))).withColumn("opening", opening(F.col("segment_type"), F.col("formatted")))
+    rows = rows.join(lists, ["doc_id", "id"], "left")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = set(pdf.id)
         links = {r.id: [j for j in (r.links if r.links is not None else []) if j in ids] for r in pdf.itertuples()}
-        by_id = {r.id: r for r in pdf.itertuples()}
         base = [r for r in pdf.sort_values("id").itertuples() if r.segment_type == "foundational"] or list(pdf.sort_values(["importance", "id"], ascending=[False, True]).itertuples())
         concepts = [r.concept for r in base[:3] if r.concept]
-        seed = "# Knowledge Synthesis\n\n"
-        if concepts:
-            listed = concepts[0] if len(concepts) == 1 else " and ".join(concepts) if len(concepts) == 2 else ", ".join(concepts[:-1]) + f", and {concepts[-1]}"
-            seed += f"This document explores {listed}, examining their relationships and implications.\n\n"
-        parts, section = [seed], None
-        for i in guided_walk(pdf, links):
-            r = by_id[i]
-            code = any(m in r.content for m in ("```", "def ", "class ", "function ", "import "))
-            text = r.content if code or r.segment_type == "technical_core" else f"*Example:*\n{r.content}" if r.segment_type in ("example", "illustrative") else f"**{r.concept}**\n\n{r.content}" if r.segment_type == "foundational" and r.concept else r.content
-            parts += [_transition(r.segment_type, text), text]
-            if r.segment_type != section or "\n".join(parts).count("\n") >= 50:
-                parts.append(f"\n{HEADERS.get(r.segment_type, '## Further Discussion')}\n")
-                section = r.segment_type
-        parts.append("\n## Conclusion\n\nDocument processing complete.\n")
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "text": ["\n".join(parts)]})
+        seed = SEED_TITLE + (SEED_SENTENCE.format(listed(concepts)) if concepts else "")
+        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "text": [guided_document(pdf, links, seed)[1]]})
 
     return rows.groupBy("doc_id").applyInPandas(write, "doc_id long, text string")
 
@@ -235,6 +269,42 @@ def reassemble(segments: DataFrame, strategy: str) -> DataFrame:
         raise ValueError(f"unknown strategy {strategy!r}; there are {sorted(STRATEGIES)}")
     return STRATEGIES[strategy](segments)
 
+
+BUILDERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"guided": guided, "linear": lambda s, e: linear(s), "narrative": lambda s, e: narrative(s)}
+
+
+def build_document(segments: DataFrame, edges: DataFrame, strategy: str = "guided") -> DataFrame:
+    """doc_id, text by the named builder; a name that isn't known goes to the guided one."""
+    return BUILDERS.get(strategy, guided)(segments, edges)
+
+
+def reconstruction_report(texts: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, original_length, strategies (name to length and share of the original, by name), nodes, edges, kept.
+
+    texts: doc_id, strategy, original, text. A document without a text of some strategy lacks its entry; without edges it has 0.
+    """
+    size = F.length(F.coalesce("text", F.lit("")))
+    whole = F.length(F.coalesce("original", F.lit("")))
+    each = F.struct("strategy", size.alias("length"), F.when(whole > 0, size / whole).alias("ratio"))
+    rows = texts.groupBy("doc_id").agg(F.max(whole).alias("original_length"), F.array_sort(F.collect_list(each)).alias("strategies"))
+    n = segments.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("tag") == "KEEP").alias("kept"))
+    return rows.join(n, "doc_id", "left").join(edges.groupBy("doc_id").agg(F.count("*").alias("edges")), "doc_id", "left").na.fill(0, ["nodes", "kept", "edges"])
+
+
+def exported_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, src, dst, weight (1.0 where there is none), type (unknown), edge_type_name (of a dimension edge_type, name; that of 0 where there is none)."""
+    rows = edges.withColumn("edge_type", F.coalesce("edge_type", F.lit(0)).cast("int")).join(F.broadcast(names.select("edge_type", "name")), "edge_type", "left")
+    return rows.select("doc_id", "src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("type", F.lit("unknown")).alias("type"), F.col("name").alias("edge_type_name"))
+
+
+def exported_structure(segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, nodes, edges, tags and edge_types (name and count, sorted) of a graph export."""
+    counts = lambda df, c: df.groupBy("doc_id", c).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct(F.col(c).alias("name"), "n"))).alias("by"))
+    s = counts(segments, "tag").select("doc_id", F.col("all").alias("nodes"), F.col("by").alias("tags"))
+    e = counts(edges, "edge_type_name").select("doc_id", F.col("all").alias("edges"), F.col("by").alias("edge_types"))
+    return s.join(e, "doc_id", "left").na.fill(0, ["edges"])
+
+
 # fixed values: instruction types by conversation mode
 MODES = {
     "timeline": ["SPEAKER_BOUNDARY", "BOUNDARY", "NARRATIVE"],

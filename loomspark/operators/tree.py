@@ -49,17 +49,20 @@ def children(parents: DataFrame, segment: Callable[[Column], Column], rule_idx:
     return rows.withColumns({"atomic": F.col("has_code"), "tag": F.when(F.col("has_code") | F.col("has_math"), "KEEP").otherwise("track")}).select(*COLUMNS)
 
 
-def build_tree(docs: DataFrame, rules: list[Callable[[Column], Column]], levels: int = 5, one_rule_a_level: bool = False, first_rule_wins: bool = False, cut: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def build_tree(docs: DataFrame, rules: list[Callable[[Column], Column]], levels: int = 5, one_rule_a_level: bool = False, first_rule_wins: bool = False, cut: Callable[[DataFrame, int], DataFrame] | None = None, least_split: float = 0.1) -> DataFrame:
     """All segments of every document's tree.
 
     At each level every rule is tried on every segment of the level before that isn't atomic; one_rule_a_level uses rule k at level k.
     A segment that two rules split has the children of both, unless first_rule_wins. cut may write a level and give it back
-    read, which shortens lineage for deep trees.
+    read, which shortens lineage for deep trees; then the loop ends at a level without open segments, and beyond the third one when less than least_split of
+    a level's open segments were split. A null text is a root without children.
     """
     level = roots(docs)
     every = level
     for k in range(min(levels, len(rules)) if one_rule_a_level else levels):
         open_ = level.filter("not atomic")
+        if cut and not has_pending(open_):
+            break
         tried = [(k, rules[k])] if one_rule_a_level else list(enumerate(rules))
         found = None
         for i, rule in tried:
@@ -69,9 +72,66 @@ def build_tree(docs: DataFrame, rules: list[Callable[[Column], Column]], levels:
             found = kids if found is None else found.unionByName(kids)
         level = cut(found, k) if cut else found
         every = every.unionByName(level)
+        if cut and k >= 2 and level.select("doc_id", "parent_id").distinct().count() < least_split * open_.count():
+            break
     return every
 
 
+def has_pending(segments: DataFrame) -> bool:
+    """Some segment is left to work on."""
+    return segments.limit(1).count() > 0
+
+
+class OpenTree:
+    """A tree under construction: levels can be added and edges can't. complete() gives the one with edges."""
+
+    def __init__(self, segments: DataFrame):
+        self.segments = segments
+
+    def add(self, kids: DataFrame) -> OpenTree:
+        return OpenTree(self.segments.unionByName(kids))
+
+    def pending(self, processed: DataFrame, rules: int) -> DataFrame:
+        """Segments that aren't atomic and that some rule hasn't processed (processed: doc_id, seg_id, rule_idx)."""
+        open_ = self.segments.filter("not atomic")
+        return open_.join(fully_processed(open_, processed, rules).select("doc_id", "seg_id"), ["doc_id", "seg_id"], "left_anti")
+
+    def semantic_edges(self, *_: object) -> DataFrame:
+        raise RuntimeError("the tree isn't complete: call complete() before adding semantic edges")
+
+    def complete(self) -> CompleteTree:
+        return CompleteTree(self.segments)
+
+
+class CompleteTree:
+    """A finished tree; semantic edges may be added to its hierarchical ones."""
+
+    def __init__(self, segments: DataFrame):
+        self.segments = segments
+
+    def semantic_edges(self, pairs: DataFrame) -> DataFrame:
+        """doc_id, src, dst, weight, type of the pairs (doc_id, src, dst, weight) within the tree that no hierarchical edge joins, either way."""
+        have = hierarchical_edges(self.segments).select("doc_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
+        rows = pairs.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")}).join(have, ["doc_id", "lo", "hi"], "left_anti").drop("lo", "hi")
+        for end in ("src", "dst"):
+            rows = rows.join(self.segments.select("doc_id", F.col("seg_id").alias(end)), ["doc_id", end], "left_semi")
+        return rows.select("doc_id", "src", "dst", "weight", F.lit("semantic_similarity").alias("type"))
+
+
+def embedding_requests(segments: DataFrame) -> DataFrame:
+    """doc_id, seg_id, content of all segments, for a text model."""
+    return segments.select("doc_id", "seg_id", "content")
+
+
+def sequential_edges(segments: DataFrame, symmetric: bool = False, weight: float = 1.0) -> DataFrame:
+    """doc_id, src, dst, weight, type: each segment to its next sibling, and back if symmetric."""
+    order = Window.partitionBy("doc_id", "parent_id", "rule_idx").orderBy("start_pos", "seg_id")
+    rows = segments.filter("parent_id IS NOT NULL").select("doc_id", F.col("seg_id").alias("src"), F.lead("seg_id").over(order).alias("dst")).filter("dst IS NOT NULL")
+    if symmetric:
+        rows = rows.unionByName(rows.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return rows.select("doc_id", "src", "dst", F.lit(weight).alias("weight"), F.lit("sequential").alias("type"))
+
+
 def children_view(segments: DataFrame) -> DataFrame:
     """doc_id, seg_id, children: of two rules' children those of the later one."""
     last = segments.filter("parent_id IS NOT NULL").withColumn("__r", F.max("rule_idx").over(Window.partitionBy("doc_id", "parent_id"))).filter("rule_idx = __r")

@@ -12,39 +12,79 @@ from loomspark.functions.text import dot
 PAIRS = "src long, dst long, weight double"
 
 
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, which rows stand on the first side, and the vectors of one length."""
+    lists = table["vec"].combine_chunks()
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return table["id"].to_numpy(), table["is_row"].to_numpy(zero_copy_only=False), values.reshape(len(lists), -1)
+
+
 def _block_pairs(threshold: float):
     def pairs(table: pa.Table) -> pa.Table:
         """One cell of the grid: products of its rows' vectors with its columns', those over the threshold kept."""
-        ids, side = table["id"].to_numpy(), table["is_row"].to_numpy(zero_copy_only=False)
-        lists = table["vec"].combine_chunks()
-        dim = len(lists.values) // max(1, len(lists))
-        mat = lists.values.to_numpy().astype(float).reshape(len(lists), dim)
+        ids, side, mat = _matrix(table)
         rows, cols = np.flatnonzero(side), np.flatnonzero(~side)
         prod = mat[rows] @ mat[cols].T
-        i, j = np.nonzero((prod > threshold) & (ids[rows][:, None] < ids[cols][None, :]))
-        return pa.table([pa.array(ids[rows][i]), pa.array(ids[cols][j]), pa.array(prod[i, j])], ["src", "dst", "weight"])
+        keep = prod > threshold
+        if table["x"][0].as_py() == table["y"][0].as_py():
+            keep &= ids[rows][:, None] < ids[cols][None, :]
+        i, j = np.nonzero(keep)
+        a, b = ids[rows][i], ids[cols][j]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(prod[i, j])], ["src", "dst", "weight"])
 
     return pairs
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 4) -> DataFrame:
+def _grid(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """x <= y, dim, id, vec, is_row: each pair of blocks once. Vectors that are null or hold nulls, and null ids, take no part."""
+    ok = F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull()) & (F.size("vec") > 0)
+    v = vectors.select(F.col("id").cast("long").alias("id"), "vec", F.size("vec").alias("dim")).filter(ok)
+    blocks = max(1, -(-v.count() // block_rows))
+    v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rows = v.select("id", "vec", "dim", F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("y"), F.lit(True).alias("is_row"))
+    cols = v.select("id", "vec", "dim", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.lit(False).alias("is_row"))
+    return rows.unionByName(cols)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 4096) -> DataFrame:
     """src < dst, weight: all pairs of (id, vec) rows with a dot product strictly over threshold.
 
-    A grid of blocks by hash of id: each cell meets its rows and columns in one Arrow product, so a task holds two blocks and only matches leave it.
+    A grid of blocks by hash of id, as many as the rows need: each pair of blocks meets once, in one Arrow product, so a task holds two
+    blocks and only matches leave it. Vectors meet vectors of their own length; those that are null, empty or hold nulls, and null ids, take no part.
     """
-    b = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = b.select("id", "vec", F.col("b").cast("int").alias("x"), every.alias("y"), F.lit(True).alias("is_row"))
-    cols = b.select("id", "vec", every.alias("x"), F.col("b").cast("int").alias("y"), F.lit(False).alias("is_row"))
-    return rows.unionByName(cols.select(*rows.columns)).groupBy("x", "y").applyInArrow(_block_pairs(threshold), PAIRS)
+    return _grid(vectors, block_rows).groupBy("x", "y", "dim").applyInArrow(_block_pairs(threshold), PAIRS)
 
 
-def nearest(vectors: DataFrame, k: int, blocks: int = 4) -> DataFrame:
-    """src, rank, dst, weight: each vector's k most similar others, ties to the smaller id."""
-    pairs = similar_pairs(vectors, float("-inf"), blocks)
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).withColumn("weight", F.round("weight", 6))
+def _block_nearest(k: int):
+    def best(table: pa.Table) -> pa.Table:
+        """One cell: for each vector of either side its k best of the other, and what lies within rounding of the last."""
+        ids, side, mat = _matrix(table)
+        rows, cols = np.flatnonzero(side), np.flatnonzero(~side)
+        prod = mat[rows] @ mat[cols].T
+        prod[ids[rows][:, None] == ids[cols][None, :]] = -np.inf
+        out = []
+        same = table["x"][0].as_py() == table["y"][0].as_py()
+        for a, b, p in ((rows, cols, prod),) if same else ((rows, cols, prod), (cols, rows, prod.T)):
+            if not len(a) or not len(b):
+                continue
+            at = max(0, p.shape[1] - k)
+            floor = np.partition(p, at, axis=1)[:, at] - 1e-6
+            i, j = np.nonzero((p >= floor[:, None]) & (p > -np.inf))
+            out.append((ids[a][i], ids[b][j], p[i, j]))
+        src, dst, weight = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([pa.array(src), pa.array(dst), pa.array(weight)], ["src", "dst", "weight"])
+
+    return best
+
+
+def nearest(vectors: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """src, rank, dst, weight (6 decimals): each vector's k most similar others, ties to the smaller id.
+
+    Each pair of blocks gives about k rows a vector, and those are merged; the cases are those of similar_pairs.
+    """
+    found = _grid(vectors, block_rows).groupBy("x", "y", "dim").applyInArrow(_block_nearest(k), PAIRS).withColumn("weight", F.round("weight", 6))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def adjacent_similarity(rows: DataFrame, group: list[str], order: str, vec: str) -> DataFrame:
@@ -116,3 +156,14 @@ def pooled_levels(tokens: DataFrame, levels: list[DataFrame], vec: str = "vec")
         below = flat.groupBy(F.col("parent").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias(vec))
         out.append(below)
     return out
+
+
+def dual_embeddings(tokens: DataFrame, mapping: DataFrame, id_col: str = "tok", node: str = "seg", vec: str = "vec") -> DataFrame:
+    """tok, seg, vec, node_vec: each token's own embedding beside its node's mean. Tokens without a node have a null one.
+
+    tokens: tok, vec; mapping: tok, seg (null: no node). Vectors of a node should be of one length.
+    """
+    rows = tokens.join(mapping.select(id_col, node), id_col, "left")
+    flat = scatter(rows.filter(F.col(node).isNotNull()), node, vec, "mean")
+    means = flat.groupBy(node).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda r: r["value"]).alias("node_vec"))
+    return rows.join(means, node, "left").select(id_col, node, vec, "node_vec")

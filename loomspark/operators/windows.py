@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import BREAK, few_blank_lines, is_blank, jaccard, strip, word_set, words
 
+# fixed values
 CODE_MARKERS = ["```", "`", "def ", "class ", "import ", "from ", "#!/", "</", "/>", "{}", "[]", "()"]
 
 
@@ -38,7 +39,8 @@ def word_windows(c: Column, size: int = 1000) -> Column:
 
 def context_windows(docs: DataFrame, size: int = 1000) -> DataFrame:
     """doc_id, win_idx, text: packed paragraphs; word windows where there are none or one that is far too long; the raw text where
-    nothing results."""
+    nothing results (an empty or blank text is one window). A null text gives none."""
+    docs = docs.filter(F.col("text").isNotNull())
     packed = packed_paragraphs(F.col("text"), size)
     long = (F.size("p") == 1) & (F.length(F.element_at("p", 1)) > size * 1.5)
     chosen = F.when((F.size("p") == 0) | long, word_windows(F.col("text"), size)).otherwise(F.col("p"))
@@ -94,9 +96,9 @@ def window_graph(windows: DataFrame, size: int = 1000, target: float = 0.2, alik
 
 def token_windows(docs: DataFrame, size: int = 512, step: float = 0.5, full_only: bool = False) -> DataFrame:
     """doc_id, win_idx, start, n_tokens over white-space tokens. step 0.5 slides by half, 1.0 tumbles, 0.75 is the quick overlap.
-    Tails are short windows, or left out with full_only; a text of at most size tokens is one window."""
+    Tails are short windows, or left out with full_only; a text of at most size tokens is one window, an empty one a window of 0 tokens, and a null text gives none."""
     stride = int(size * step)
-    rows = docs.select("doc_id", F.size(words(F.col("text"))).alias("n"))
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.size(words(F.col("text"))).alias("n"))
     last = F.col("n") - size if full_only else F.col("n") - 1
     starts = F.when(F.col("n") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)))
     return rows.select("doc_id", "n", F.posexplode(starts).alias("win_idx", "start")).select("doc_id", "win_idx", "start", F.least(F.lit(size), F.col("n") - F.col("start")).alias("n_tokens"))

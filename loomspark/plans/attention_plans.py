@@ -27,7 +27,7 @@ fl AS (SELECT *, count(*) OVER (PARTITION BY window_idx) AS n,
   avg(flow) OVER (PARTITION BY window_idx ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM flow),
 drops AS (SELECT window_idx, i AS position, 1 - flow / prev AS strength, 'attention_drop' AS type FROM fl WHERE i >= 3 AND i <= n - 2 AND prev > 0 AND flow / prev < 1 - 0.05),
 peaks AS (SELECT window_idx, i AS position, flow / near - 1 AS strength, 'attention_peak' AS type FROM fl WHERE i >= 1 AND i <= n - 4 AND near > 0 AND flow > near * (1 + 0.1)),
-found AS (SELECT window_idx * 16 + position AS position, strength, type FROM (SELECT * FROM drops UNION ALL SELECT * FROM peaks))"""
+found AS (SELECT window_idx // 8 AS doc, window_idx * 16 + position AS position, strength, type FROM (SELECT * FROM drops UNION ALL SELECT * FROM peaks))"""
 
 
 def _attn(spark, d):
@@ -77,7 +77,7 @@ def att_peaks(spark, d):
 def _found(spark, d):
     f = _flows(spark, d)
     both = A.drops(f, 0.05).unionByName(A.peaks(f, 0.1))
-    return both.select((F.col("window_idx") * 16 + F.col("position")).alias("position"), "strength", "type")
+    return both.select(F.floor(F.col("window_idx") / 8).alias("doc"), (F.col("window_idx") * 16 + F.col("position")).alias("position"), "strength", "type")
 
 
 CONS = "cons AS (SELECT position, avg(strength) AS strength, min(type) AS type, count(*) AS n FROM found GROUP BY position HAVING avg(strength) > 0.05)"
@@ -91,15 +91,19 @@ def att_consolidate(spark, d):
 @query(
     "att_greedy_segments",
     f"""WITH RECURSIVE {FOUND}, {CONS},
-o AS (SELECT position, strength, row_number() OVER (ORDER BY position) AS k FROM cons),
-w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS s, NULL::BIGINT AS b, NULL::BIGINT AS e, NULL::DOUBLE AS c
-  UNION ALL SELECT o.k, CASE WHEN o.position - w.s >= 20 THEN o.position ELSE w.s END, CASE WHEN o.position - w.s >= 20 THEN w.s END, CASE WHEN o.position - w.s >= 20 THEN o.position END, o.strength FROM w JOIN o ON o.k = w.k + 1),
-r AS (SELECT b AS start, e AS "end", round(c, 6) AS confidence FROM w WHERE e IS NOT NULL UNION ALL SELECT max(s), -1, 0.8 FROM w)
-SELECT start, "end", confidence, row_number() OVER (ORDER BY start, "end" DESC) - 1 AS ord FROM r""",
+o AS (SELECT doc, position, strength, row_number() OVER (PARTITION BY doc ORDER BY position) AS k FROM (SELECT position // 128 AS doc, position, strength FROM cons)),
+w AS (SELECT DISTINCT doc, 0::BIGINT AS k, 0::BIGINT AS s, NULL::BIGINT AS b, NULL::BIGINT AS e, NULL::DOUBLE AS c FROM o
+  UNION ALL SELECT o.doc, o.k, CASE WHEN o.position - w.s >= 20 THEN o.position ELSE w.s END, CASE WHEN o.position - w.s >= 20 THEN w.s END, CASE WHEN o.position - w.s >= 20 THEN o.position END, o.strength FROM w JOIN o ON o.doc = w.doc AND o.k = w.k + 1),
+r AS (SELECT doc, b AS start, e AS "end", round(c, 6) AS confidence FROM w WHERE e IS NOT NULL UNION ALL SELECT doc, max(s), -1, 0.8 FROM w GROUP BY doc
+  UNION ALL SELECT DISTINCT window_idx // 8, 0, -1, 1.0 FROM v WHERE window_idx // 8 NOT IN (SELECT doc FROM o))
+SELECT doc, start, "end", confidence, row_number() OVER (PARTITION BY doc ORDER BY start, "end" DESC) - 1 AS ord FROM r""",
 )
 def att_greedy(spark, d):
-    r = A.greedy_segments(A.consolidate(_found(spark, d), 0.05).withColumn("g", F.lit(0)), ["g"], 20)
-    return r.select("start", "end", F.round("confidence", 6).alias("confidence"), F.col("ord").cast("long").alias("ord"))
+    """A document is what lies in 128 positions; those without a boundary are one segment."""
+    found = A.consolidate(_found(spark, d), 0.05).withColumn("doc", F.floor(F.col("position") / 128))
+    docs = _sizes(spark, d).select(F.floor(F.col("window_idx") / 8).alias("doc"))
+    r = A.greedy_segments(found, ["doc"], 20, docs)
+    return r.select("doc", "start", "end", F.round("confidence", 6).alias("confidence"), F.col("ord").cast("long").alias("ord"))
 
 
 ENTROPY = """rows_ AS (SELECT window_idx, layer, head, i, sum(w) + any_value(n) * 1e-10 AS t FROM attn JOIN size USING (window_idx) GROUP BY ALL),
@@ -131,7 +135,7 @@ def att_topk(spark, d):
     return _longs(A.dominant_paths(_cells(spark, d), tapes.HEADS), "rank", "i", "j").select("window_idx", "rank", "i", "j", "w")
 
 
-@query("att_views_grouping_sets", f"WITH {ATTN} SELECT window_idx, layer::BIGINT AS layer, head::BIGINT AS head, i, j, round(avg(w), 9) AS w FROM attn WHERE window_idx < 4 GROUP BY GROUPING SETS ((window_idx, i, j), (window_idx, head, i, j), (window_idx, layer, i, j))")
+@query("att_views_grouping_sets", f"WITH {ATTN} SELECT window_idx, layer::BIGINT AS layer, head::BIGINT AS head, i, j, round(avg(w), 9) AS w FROM attn GROUP BY GROUPING SETS ((window_idx, i, j), (window_idx, head, i, j), (window_idx, layer, i, j))")
 def att_views(spark, d):
     return _longs(A.views(_attn(spark, d)).withColumn("w", F.round("w", 9)), "layer", "head", "i", "j")
 
@@ -154,8 +158,8 @@ def att_cohesion(spark, d):
 NODES = "node AS (SELECT m.window_idx, a.seg AS i, b.seg AS j, avg(w) AS w FROM mean m JOIN map a ON m.window_idx = a.window_idx AND m.i = a.tok JOIN map b ON m.window_idx = b.window_idx AND m.j = b.tok GROUP BY ALL)"
 
 
-def _node_cells(spark, d):
-    m = _mapping(spark, d)
+def _node_cells(spark, d, m=None):
+    m = _mapping(spark, d) if m is None else m
     a, b = m.select("window_idx", F.col("tok").alias("i"), F.col("seg").alias("si")), m.select("window_idx", F.col("tok").alias("j"), F.col("seg").alias("sj"))
     return _mean(spark, d).join(a, ["window_idx", "i"]).join(b, ["window_idx", "j"]).groupBy("window_idx", F.col("si").alias("i"), F.col("sj").alias("j")).agg(F.avg("w").alias("w"))
 
@@ -172,9 +176,12 @@ def att_transitions(spark, d):
     return _longs(A.transitions(_mapping(spark, d)), "position")
 
 
+FINE = MAPPED.replace("i // 8 AS seg", "i AS seg")
+
+
 @query(
     "att_weak_links",
-    f"""WITH {MAPPED}, {NODES},
+    f"""WITH {FINE}, {NODES.replace("GROUP BY ALL", "WHERE m.i <> m.j GROUP BY ALL")},
 ns AS (SELECT window_idx, count(*) AS n FROM sizes GROUP BY window_idx),
 st AS (SELECT node.window_idx, sum(w) / any_value(n * n) - sqrt(greatest(sum(w * w) / any_value(n * n) - pow(sum(w) / any_value(n * n), 2), 0)) AS low FROM node JOIN ns USING (window_idx) GROUP BY node.window_idx)
 SELECT a.window_idx, a.i AS seg_a, a.j AS seg_b, (za.last + zb.first) // 2 AS position, round(1 - (a.w + b.w) / 2, 6) AS strength
@@ -183,21 +190,24 @@ JOIN sizes za ON za.window_idx = a.window_idx AND za.seg = a.i JOIN sizes zb ON
 WHERE a.w < low AND b.w < low""",
 )
 def att_weak(spark, d):
-    m = _mapping(spark, d)
+    """Each token is a node, without attention to itself, since means over eight hardly differ."""
+    m = _mapping(spark, d).withColumn("seg", F.col("tok").cast("long"))
     n = m.groupBy("window_idx").agg(F.count_distinct("seg").alias("n"))
-    return A.weak_links(_node_cells(spark, d), m, n).withColumn("strength", F.round("strength", 6))
+    return A.weak_links(_node_cells(spark, d, m).filter("i <> j"), m, n).withColumn("strength", F.round("strength", 6))
 
 
-@query(
-    "att_merge5",
-    f"""WITH RECURSIVE {FOUND}, {CONS},
-o AS (SELECT position, strength, type, row_number() OVER (ORDER BY position, type, strength) AS k FROM found),
-w AS (SELECT k, position AS anchor FROM o WHERE k = 1 UNION ALL SELECT o.k, CASE WHEN o.position - w.anchor <= 5 THEN w.anchor ELSE o.position END FROM w JOIN o ON o.k = w.k + 1)
-SELECT anchor AS position, round(max(strength), 6) AS strength, array_to_string(list_sort(list_distinct(list(type))), '+') AS type, count(*) AS n FROM w JOIN o ON w.k = o.k GROUP BY anchor""",
-)
+MERGED = """o AS (SELECT doc, position, strength, type, row_number() OVER (PARTITION BY doc ORDER BY position, type, strength) AS k FROM found),
+w AS (SELECT doc, k, position AS anchor FROM o WHERE k = 1 UNION ALL SELECT o.doc, o.k, CASE WHEN o.position - w.anchor <= 5 THEN w.anchor ELSE o.position END FROM w JOIN o ON o.doc = w.doc AND o.k = w.k + 1),
+merged AS (SELECT w.doc, anchor AS position, round(max(strength), 6) AS strength, array_to_string(list_sort(list_distinct(list(type))), '+') AS type, count(*) AS n FROM w JOIN o ON w.doc = o.doc AND w.k = o.k GROUP BY w.doc, anchor)"""
+
+
+@query("att_merge5", f"WITH RECURSIVE {FOUND}, {MERGED} SELECT doc, position, strength, type, n FROM merged")
 def att_merge(spark, d):
-    r = A.merge_near(_found(spark, d).withColumn("g", F.lit(0)), ["g"])
-    return r.select("position", F.round("strength", 6).alias("strength"), "type", F.col("n").cast("long").alias("n"))
+    return _merged(spark, d).select("doc", "position", F.round("strength", 6).alias("strength"), "type", F.col("n").cast("long").alias("n"))
+
+
+def _merged(spark, d):
+    return A.merge_near(_found(spark, d), ["doc"])
 
 
 @query(
@@ -243,11 +253,11 @@ def graph_threshold(spark, d):
 
 @query(
     "ana_simplices",
-    f"""WITH {ATTN}, s AS (SELECT i, j, sum(w) / 2 AS w FROM (SELECT i, j, w FROM mean WHERE window_idx = 0 UNION ALL SELECT j, i, w FROM mean WHERE window_idx = 0) GROUP BY ALL),
-e AS (SELECT i AS a, j AS b FROM s WHERE round(w, 7) > 0.04 AND i < j),
-t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b),
-q AS (SELECT t.a, t.b, t.c, p.b AS d FROM t JOIN e p ON p.a = t.a JOIN e q ON q.a = t.b AND q.b = p.b JOIN e r ON r.a = t.c AND r.b = p.b)
-SELECT 0::BIGINT AS dim, [x] AS members FROM (SELECT unnest(range(32)) AS x) UNION ALL SELECT 1, [a, b] FROM e UNION ALL SELECT 2, [a, b, c] FROM t UNION ALL SELECT 3, [a, b, c, d] FROM q""",
+    f"""WITH {ATTN}, s AS (SELECT window_idx, i, j, sum(w) / 2 AS w FROM (SELECT window_idx, i, j, w FROM mean UNION ALL SELECT window_idx, j, i, w FROM mean) GROUP BY ALL),
+e AS MATERIALIZED (SELECT window_idx, i AS a, j AS b FROM s WHERE round(w, 7) > 0.04 AND i < j),
+t AS MATERIALIZED (SELECT x.window_idx, x.a, x.b, y.b AS c FROM e x JOIN e y ON y.window_idx = x.window_idx AND x.b = y.a JOIN e z ON z.window_idx = x.window_idx AND z.a = x.a AND z.b = y.b),
+q AS (SELECT t.window_idx, t.a, t.b, t.c, p.b AS d FROM t JOIN e p ON p.window_idx = t.window_idx AND p.a = t.a JOIN e q ON q.window_idx = t.window_idx AND q.a = t.b AND q.b = p.b JOIN e r ON r.window_idx = t.window_idx AND r.a = t.c AND r.b = p.b)
+SELECT window_idx, 0::BIGINT AS dim, [i] AS members FROM v UNION ALL SELECT window_idx, 1, [a, b] FROM e UNION ALL SELECT window_idx, 2, [a, b, c] FROM t UNION ALL SELECT window_idx, 3, [a, b, c, d] FROM q""",
 )
 def ana_simplices(spark, d):
     return _longs(G.simplices(_mean(spark, d), 32, 0.04, "window_idx"), "dim")
@@ -295,10 +305,16 @@ def tok_tracker(spark, d):
     return _longs(L.tracked_segments(rows), "seg", "begin", "end")
 
 
-TOKEN_CASES = [(1, "Hello wörld, it's fine", ["[CLS]", "Hello", "Ġwörld", ",", "Ġit", "'s", "##ne", "▁fine", "absent", "[SEP]"]), (2, "", ["a"]), (3, "aa aa", ["aa", "aa", "aa"])]
-
-
-@query("tok_positions")
+@query(
+    "tok_positions",
+    r"""WITH TAPES, s AS (SELECT doc_id, regexp_split_to_array(text, '\s') AS ws FROM T), e AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
+o AS (SELECT doc_id, w, i, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_char FROM e),
+n AS (SELECT doc_id, w, at_char, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o WHERE w <> '')
+SELECT doc_id, 0::BIGINT AS k, '[CLS]' AS tok, 0::BIGINT AS "begin", 0::BIGINT AS "end" FROM T
+UNION ALL SELECT doc_id, k, CASE k % 4 WHEN 1 THEN 'Ġ' || w WHEN 2 THEN '##' || w WHEN 3 THEN '▁' || w ELSE w END, at_char, at_char + length(w) FROM n""",
+)
 def tok_positions(spark, d):
-    rows = spark.createDataFrame(TOKEN_CASES, "doc_id int, text string, tokens array<string>")
-    return rows.select("doc_id", F.posexplode(L.token_positions(F.col("text"), F.col("tokens"))).alias("k", "t")).select("doc_id", "k", "t.*")
+    """Words of the transcripts with the marks of three vocabularies, behind a special token."""
+    marked = lambda w, i: F.concat(F.element_at(F.array(*map(F.lit, ("Ġ", "##", "▁", ""))), (i % 4 + 1).cast("int")), w)
+    rows = tapes.transcripts(spark, d).withColumn("tokens", F.concat(F.array(F.lit("[CLS]")), F.transform(X.words(F.col("text")), marked)))
+    return _longs(rows.select("doc_id", F.posexplode(L.token_positions(F.col("text"), F.col("tokens"))).alias("k", "t")).select("doc_id", "k", "t.*"), "k", "begin", "end")

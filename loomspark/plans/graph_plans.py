@@ -114,7 +114,7 @@ def tree_subtree_size(spark, d):
 
 
 DOTS = "dots AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS raw FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
-E03 = f"{DOTS}, edges AS (SELECT src, dst, round(raw, 6) AS weight FROM dots WHERE raw > 0.3), nodes AS (SELECT vec_id AS id FROM embeddings), both_ways AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
+E03 = f"{DOTS}, edges AS MATERIALIZED (SELECT src, dst, round(raw, 6) AS weight FROM dots WHERE raw > 0.3), nodes AS (SELECT vec_id AS id FROM embeddings), both_ways AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
 
 
 def _nodes(spark, d):
@@ -184,7 +184,7 @@ _distribute_query("vec_distribute_add", "x + mean", "add", 0.0)
 _distribute_query("vec_distribute_gated", "1 / (1 + exp(-0.5)) * x + (1 - 1 / (1 + exp(-0.5))) * mean", "gated", 0.5)
 
 
-@query("vec_segment_pool", f"WITH {FLAT}, s AS (SELECT r AS seg, r * 37 AS b, r * 37 + 30 AS e FROM (SELECT unnest(range(13)) AS r)) SELECT seg, dim, round(avg(x), 6) AS value FROM flat JOIN s ON vec_id >= b AND vec_id < e GROUP BY ALL")
+@query("vec_segment_pool", f"WITH {FLAT}, s AS (SELECT r AS seg, r * 37 AS b, r * 37 + 30 AS e FROM (SELECT unnest(range((SELECT max(vec_id) // 37 + 1 FROM embeddings))) AS r)) SELECT seg, dim, round(avg(x), 6) AS value FROM flat JOIN s ON vec_id >= b AND vec_id < e GROUP BY ALL")
 def vec_segment_pool(spark, d):
     last = tapes.table(spark, d, "embeddings").agg(F.max("vec_id").alias("last"))
     ranges = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 37))).alias("id")).select(F.col("id").alias("seg"), (F.col("id") * 37).alias("begin"), (F.col("id") * 37 + 30).alias("end"))
@@ -245,14 +245,15 @@ def graph_induced(spark, d):
 
 @query("graph_adjacency_lists", f"WITH {E03}, l AS (SELECT src AS id, list_sort(list(dst)) AS neighbours FROM both_ways GROUP BY src) SELECT n.id, coalesce(neighbours, []) AS neighbours FROM nodes n LEFT JOIN l ON n.id = l.id")
 def graph_lists(spark, d):
-    return G.adjacency_lists(_nodes(spark, d), _pairs(spark, d))
+    return G.adjacency_lists(_nodes(spark, d), _pairs(spark, d)).select("id", "neighbours")
 
 
-@query("graph_dual_edges", f"WITH {E03}, t AS (SELECT src, dst, weight / 2 AS tok FROM edges WHERE (src + dst) % 2 = 0) SELECT e.src AS i, e.dst AS j, round((2 * e.weight + coalesce(t.tok, 0.0)) / 3, 9) AS weight FROM edges e LEFT JOIN t ON e.src = t.src AND e.dst = t.dst WHERE e.weight > 0.33")
+@query("graph_dual_edges", f"WITH {E03}, t AS (SELECT src, dst, weight / 2 AS tok FROM edges WHERE (src + dst) % 2 = 0) SELECT e.src AS i, e.dst AS j, round((2 * e.weight + coalesce(t.tok, 0.0)) / 3, 9) AS weight, CASE WHEN e.src % 3 = 0 THEN e.src % 10 ELSE 0 END AS edge_type FROM edges e LEFT JOIN t ON e.src = t.src AND e.dst = t.dst WHERE e.weight > 0.33")
 def graph_dual(spark, d):
     c = _pairs(spark, d).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("w"))
     tok = c.filter((F.col("i") + F.col("j")) % 2 == 0).withColumn("w", F.col("w") / 2)
-    return G.dual_level_edges(c, tok, 0.33).withColumn("weight", F.round("weight", 9))
+    kinds = c.filter("i % 3 = 0").select("i", "j", (F.col("i") % 10).cast("int").alias("edge_type"))
+    return G.dual_level_edges(c, tok, 0.33, kinds).withColumns({"weight": F.round("weight", 9), "edge_type": F.col("edge_type").cast("long")})
 
 
 @query("graph_relation_sample", f"WITH {E03}, k AS (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS k, greatest(count(*) OVER () // 20, 1) AS s FROM edges) SELECT src, dst, weight FROM k WHERE k % s = 0 AND k / s < 20")
@@ -326,6 +327,12 @@ def ana_pagerank_directed(spark, d):
     return G.pagerank(*_graph(spark, d), iterations=20, tol=None, directed=True).select("id", F.round("importance", 6).alias("importance"))
 
 
+@query("ana_pagerank_shuffled", _pagerank_sql(20, False) + " SELECT id, round(r, 6) AS importance FROM r20")
+def ana_pagerank_shuffled(spark, d):
+    """The same ranks by joins, as graphs that don't fit a task get them."""
+    return G.ranked(*_graph(spark, d), cutter(spark, "ranks"), most_rows=100).select("id", F.round("importance", 6).alias("importance"))
+
+
 @query("ana_classify", _pagerank_sql(20, False) + ", t AS (SELECT r.id, round(r.r, 6) AS importance, d.text, CASE WHEN contains(text, 'TODO') OR contains(text, 'FIXME') THEN 'TRACK' WHEN " + CODE_SQL.replace("content", "text") + " OR " + MATH_SQL.replace("content", "text") + " THEN 'KEEP' WHEN round(r.r, 6) < 0.5 / (count(*) OVER () + 1e-6) THEN 'DELETE' ELSE 'KEEP' END AS tag FROM r20 r JOIN documents d ON d.doc_id = r.id) SELECT id, tag FROM t")
 def ana_classify(spark, d):
     ranks = G.pagerank(*_graph(spark, d), iterations=20, tol=None).select(F.col("id").alias("seg_id"), F.round("importance", 6).alias("importance"))

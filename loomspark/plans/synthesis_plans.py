@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
 from loomspark.operators import dedup as D
+from loomspark.operators import graph as G
 from loomspark.operators import hetero as H
 from loomspark.operators import segment as S
 from loomspark.operators import synth as Y
 from loomspark.plans.registry import query
-from loomspark.plans.text_plans import BREAK, PARAS, STRIP
+from loomspark.plans.text_plans import BREAK, CHUNKS, PARAS, STRIP
 from loomspark.sources import tapes
 
 SECTIONS = rf"""
@@ -59,36 +60,46 @@ def dedup_docs(spark, d):
     return tapes.table(spark, d, "documents").select("doc_id", D.signature(F.col("text")).alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-CODE_SECTIONS = [
-    (1, 0, "# A\n```\nx = 1  # one\n```\ntext\n"),
-    (1, 1, "# B\n```py\nx = 1\n```\nmore\n```\ny = 2\n```\n\n\n\nend\n"),
-    (1, 2, "# C\n```\ny = 2\n```\n```\ny = 2\n```\n"),
-    (2, 0, "no code\n"),
-    (3, 0, "```\na\n```\n```\na\n```\n"),
-]
-
-
-@query("dedup_code")
+@query(
+    "dedup_code",
+    rf"""WITH ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id, i // 6 AS ord, i, i % 3 = 2 AS code, CASE WHEN i % 3 = 2 THEN '```' || chr(10) || x || chr(10) || '```' ELSE x END AS x FROM ls),
+b AS (SELECT *, md5(trim(regexp_replace(regexp_replace(regexp_replace(x, '(?m)^```.*$', '', 'g'), '(?m)#.*$', '', 'g'), '\s+', ' ', 'g'), {STRIP})) AS sig FROM p WHERE code),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sig ORDER BY ord, i) = 1 AS first FROM b),
+k AS (SELECT doc_id, i, bool_or(first) OVER (PARTITION BY doc_id, ord, x) AS keep FROM f)
+SELECT p.doc_id, ord, regexp_replace(string_agg(CASE WHEN code AND NOT keep THEN '' ELSE x END, chr(10) ORDER BY p.i), '\n{{3,}}', chr(10) || chr(10), 'g') AS content FROM p LEFT JOIN k ON p.doc_id = k.doc_id AND p.i = k.i GROUP BY p.doc_id, ord""",
+)
 def dedup_code(spark, d):
-    rows = spark.createDataFrame(CODE_SECTIONS, "doc_id int, ord int, content string").withColumns({"level": F.lit(1), "title": F.lit(""), "start_line": F.lit(0)})
-    return D.unique_code(rows).select("doc_id", "ord", "content")
+    """Sections of six lines, every third a fenced block."""
+    line = F.struct(F.floor(F.col("i") / 6).alias("ord"), "i", F.when(F.col("i") % 3 == 2, F.concat(F.lit("```\n"), "x", F.lit("\n```"))).otherwise(F.col("x")).alias("x"))
+    rows = tapes.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).select("doc_id", line.alias("l")).select("doc_id", "l.*")
+    found = rows.groupBy("doc_id", "ord").agg(X.ordered_join(["i"], F.col("x"), "\n").alias("content")).withColumns({"level": F.lit(1), "title": F.lit(""), "start_line": F.lit(0)})
+    return D.unique_code(found).select("doc_id", "ord", "content")
 
 
-CHUNKS = f"{PARAS.format(tape='T')}, C AS (SELECT doc_id, raw AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM P)"
+BLOCK = "chr(10) || '        <processing_rules>' || chr(10) || '        <segmentation_rule>Split at natural topic boundaries</segmentation_rule>' || chr(10) || '        <reorganization_rule>Group by theme and importance</reorganization_rule>' || chr(10) || '        </processing_rules>' || chr(10) || '        ' || chr(10) || '        '"
 
 
 @query(
     "seed_rules",
     f"""WITH TAPES, {CHUNKS},
-m AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '<SEGMENT rule=''Split at natural topic boundaries''>' || x || '</SEGMENT>' WHEN n >= 3 AND i = n // 2 THEN '<CONNECT rule=''Group by theme and importance''>' || x || '</CONNECT>' WHEN n >= 3 AND i = n - 1 THEN '<ORGANIZE rule=''Group by theme and importance''>' || x || '</ORGANIZE>' ELSE x END AS x FROM C WHERE n > 1)
-SELECT doc_id, string_agg(x, {BREAK} ORDER BY i) AS text FROM m GROUP BY doc_id""",
+m AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '<SEGMENT rule=''Split at natural topic boundaries''>' || x || '</SEGMENT>' WHEN n >= 3 AND i = n // 2 THEN '<CONNECT rule=''Group by theme and importance''>' || x || '</CONNECT>' WHEN n >= 3 AND i = n - 1 THEN '<ORGANIZE rule=''Group by theme and importance''>' || x || '</ORGANIZE>' ELSE x END AS x FROM C)
+SELECT doc_id, {BLOCK} || string_agg(x, {BREAK} ORDER BY i) AS text FROM m GROUP BY doc_id""",
 )
 def seed_rules(spark, d):
     t = tapes.transcripts(spark, d)
     return t.select("doc_id", Y.seeded_with_rules(F.col("text")).alias("text"))
 
 
-@query("seed_hash_sample")
+def seeds_sql(density: float, types: list[str], prefix: str = "", seed: int = 7) -> str:
+    hints = " || chr(10) || ".join(f"'{x}'" for x in Y.HINTS.split("\n"))
+    return f"""WITH TAPES, {CHUNKS},
+hit AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || ':' || i || ':{seed}'), i) <= greatest(1, floor(n * {density}::DOUBLE)) AS take,
+  ({types!r})[('0x' || substring(md5(doc_id || ':' || i || ':{seed + 1}'), 1, 8))::BIGINT % {len(types)} + 1] AS tag FROM C)
+SELECT doc_id, '{prefix}' || {hints} || {BREAK} || string_agg(CASE WHEN take THEN '<' || tag || '>' || x || '</' || tag || '>' ELSE x END, {BREAK} ORDER BY i) AS text FROM hit GROUP BY doc_id"""
+
+
+@query("seed_hash_sample", seeds_sql(0.15, Y.INSTRUCTIONS))
 def seed_hash(spark, d):
     return Y.seeded_at_random(tapes.transcripts(spark, d), 0.15)
 
@@ -166,6 +177,9 @@ def doc_summary(spark, d):
     return Y.type_summary(s, _chain(s))
 
 
+CHAIN = "chain AS (SELECT * FROM (SELECT doc_id, id AS src, lead(id) OVER (PARTITION BY doc_id ORDER BY start_pos) AS dst FROM G) WHERE dst IS NOT NULL)"
+
+
 def _chain(s):
     nxt = F.lead("id").over(Window.partitionBy("doc_id").orderBy("start_pos"))
     return s.withColumn("dst", nxt).filter("dst IS NOT NULL").select("doc_id", F.col("id").alias("src"), "dst", F.lit(9).alias("edge_type"), F.lit(1.0).alias("weight"))
@@ -176,9 +190,9 @@ def doc_context(spark, d):
     return Y.reading_context(_segments(spark, d), compat=True)
 
 
-@query("doc_top30", f"WITH TAPES, {SEGS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, id) AS rank FROM G WHERE tag = 'KEEP') SELECT doc_id, id, rank, importance, CASE WHEN has_code THEN 'technical_core' ELSE 'foundational' END AS segment_type FROM k WHERE rank <= 3")
+@query("doc_top30", f"WITH TAPES, {SEGS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, id) AS rank FROM G WHERE tag = 'KEEP') SELECT doc_id, id, rank, importance, CASE WHEN has_code THEN 'technical_core' ELSE 'foundational' END AS segment_type FROM k WHERE rank <= 30")
 def doc_top(spark, d):
-    return Y.most_important(_segments(spark, d), 3).select("doc_id", "id", F.col("rank").cast("long").alias("rank"), "importance", "segment_type")
+    return Y.most_important(_segments(spark, d)).select("doc_id", "id", F.col("rank").cast("long").alias("rank"), "importance", "segment_type")
 
 
 @query("doc_guided")
@@ -192,12 +206,63 @@ def doc_export(spark, d):
     return Y.exported_segments(_segments(spark, d)).withColumn("full_length", F.col("full_length").cast("long"))
 
 
-@query("doc_export_graphml")
+@query(
+    "doc_export_graphml",
+    f"""WITH TAPES, {SEGS}, {CHAIN},
+n AS (SELECT doc_id, string_agg('<node id="' || id || '"><data key="tag">' || tag || '</data><data key="content_length">' || length(content) || '</data><data key="importance">' || importance || '</data></node>', '' ORDER BY id) AS n FROM G GROUP BY doc_id),
+e AS (SELECT doc_id, string_agg('<edge source="' || src || '" target="' || dst || '"><data key="edge_type">9</data><data key="weight">1.0</data></edge>', '' ORDER BY src, dst) AS e FROM chain GROUP BY doc_id)
+SELECT n.doc_id, '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' || n || coalesce(e, '') || '</graph></graphml>' AS text FROM n LEFT JOIN e ON n.doc_id = e.doc_id""",
+)
 def doc_graphml(spark, d):
     s = _segments(spark, d)
     return Y.graphml(s, _chain(s))
 
 
+TYPED_CHAIN = f"{SEGS}, {CHAIN}, te AS (SELECT doc_id, src, dst, CASE WHEN src LIKE '%1' THEN NULL ELSE right(src, 1)::INT END AS edge_type, CASE WHEN src LIKE '%2' THEN NULL ELSE 0.5::DOUBLE END AS weight, CASE WHEN src LIKE '%3' THEN NULL ELSE 'semantic' END AS type FROM chain), dim(code, name) AS (VALUES {', '.join(f'({i}, {n!r})' for i, n in enumerate(G.EDGE_TYPES))}), xe AS (SELECT doc_id, src, dst, coalesce(weight, 1.0) AS weight, coalesce(type, 'unknown') AS type, name AS edge_type_name FROM te JOIN dim ON dim.code = coalesce(edge_type, 0))"
+
+
+def _typed_chain(spark, s):
+    digit = F.substring("src", -1, 1)
+    rows = _chain(s).select("doc_id", "src", "dst", F.when(digit != "1", digit.cast("int")).alias("edge_type"), F.when(digit != "2", F.lit(0.5)).alias("weight"), F.when(digit != "3", F.lit("semantic")).alias("type"))
+    return Y.exported_edges(rows, G.edge_type_dim(spark))
+
+
+@query("doc_export_edges", f"WITH TAPES, {TYPED_CHAIN} SELECT doc_id, src, dst, weight, type, edge_type_name FROM xe")
+def doc_export_edges(spark, d):
+    return _typed_chain(spark, _segments(spark, d))
+
+
+@query(
+    "doc_export_structure",
+    f"""WITH TAPES, {TYPED_CHAIN},
+a AS (SELECT doc_id, string_agg(tag || '=' || c, ',' ORDER BY tag) AS tags, sum(c)::BIGINT AS nodes FROM (SELECT doc_id, tag, count(*) AS c FROM G GROUP BY ALL) GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(edge_type_name || '=' || c, ',' ORDER BY edge_type_name) AS edge_types, sum(c)::BIGINT AS edges FROM (SELECT doc_id, edge_type_name, count(*) AS c FROM xe GROUP BY ALL) GROUP BY doc_id)
+SELECT a.doc_id, nodes, tags, coalesce(edges, 0) AS edges, coalesce(edge_types, '') AS edge_types FROM a LEFT JOIN b ON a.doc_id = b.doc_id""",
+)
+def doc_export_structure(spark, d):
+    s = _segments(spark, d)
+    shown = lambda c: F.coalesce(F.array_join(F.transform(c, lambda e: F.concat(e["name"], F.lit("="), e["n"].cast("string"))), ","), F.lit("")).alias(c)
+    return Y.exported_structure(s, _typed_chain(spark, s)).select("doc_id", "nodes", shown("tags"), "edges", shown("edge_types"))
+
+
+@query(
+    "doc_reconstruction",
+    f"""WITH TAPES, {SEGS}, {CHAIN},
+x AS (SELECT doc_id, length(string_agg(content, {BREAK} ORDER BY importance DESC, id)) AS n FROM G WHERE tag <> 'DELETE' GROUP BY doc_id),
+y AS (SELECT doc_id, length(string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id)) AS n FROM G WHERE tag = 'KEEP' GROUP BY doc_id),
+sz AS (SELECT doc_id, count(*) AS nodes, count(*) FILTER (WHERE tag = 'KEEP') AS kept FROM G GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS edges FROM chain GROUP BY doc_id)
+SELECT T.doc_id, length(T.text)::BIGINT AS original_length, y.n::BIGINT AS context_length, round(y.n / length(T.text), 9) AS context_ratio, x.n::BIGINT AS linear_length, round(x.n / length(T.text), 9) AS linear_ratio, nodes, kept, coalesce(edges, 0) AS edges
+FROM T JOIN x ON x.doc_id = T.doc_id JOIN y ON y.doc_id = T.doc_id JOIN sz ON sz.doc_id = T.doc_id LEFT JOIN c ON c.doc_id = T.doc_id""",
+)
+def doc_reconstruction(spark, d):
+    s = _segments(spark, d)
+    original = tapes.transcripts(spark, d).withColumnRenamed("text", "original")
+    texts = Y.linear(s).withColumn("strategy", F.lit("linear")).unionByName(Y.reading_context(s).withColumn("strategy", F.lit("context")))
+    r = Y.reconstruction_report(texts.join(original, "doc_id"), s, _chain(s))
+    of = lambda k, f: F.element_at("strategies", k)[f]
+    return r.select("doc_id", F.col("original_length").cast("long").alias("original_length"), of(1, "length").cast("long").alias("context_length"), F.round(of(1, "ratio"), 9).alias("context_ratio"), of(2, "length").cast("long").alias("linear_length"), F.round(of(2, "ratio"), 9).alias("linear_ratio"), "nodes", "kept", "edges")
+
+
 @query("doc_timeline", "SELECT conv_id, turn, role, text FROM conversations")
 def doc_timeline(spark, d):
     return tapes.table(spark, d, "conversations").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
@@ -223,7 +288,7 @@ def _edges(spark, d):
 
 @query("het_neighbor_index", f"WITH {EDGES} SELECT dst, list_sort(list(src)) AS neighbors FROM edges GROUP BY dst")
 def het_index(spark, d):
-    return H.neighbor_index(_edges(spark, d))
+    return H.neighbor_index(_edges(spark, d)).select("dst", "neighbors")
 
 
 def _fan(edges: str, k: int, seed: int) -> str:

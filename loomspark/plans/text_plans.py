@@ -165,6 +165,29 @@ WN AS (
 
 PACK = _pack_sql("T")
 
+# documents with every third line as a fenced block
+FENCED = "FT AS (SELECT doc_id, string_agg(CASE WHEN i % 3 = 0 THEN '```' || chr(10) || x || chr(10) || '```' ELSE x END, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id)"
+
+
+def fenced(spark, d):
+    """doc_id, text: documents with every third line as a fenced block."""
+    mark = lambda x, i: F.when((i + 1) % 3 == 0, F.concat(F.lit("```\n"), x, F.lit("\n```"))).otherwise(x)
+    return tapes.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("text"))
+
+
+# the seedable chunks C (doc_id, x, i from 0, n) of the transcripts
+CHUNKS = rf"""{PARAS.format(tape="T")},
+QN AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM T WHERE NOT contains(text, {BREAK}))),
+QW AS (
+  SELECT doc_id, i, 1 AS c, length(x) AS len FROM QN WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN w.len > 0 AND w.len + length(n.x) > 100 THEN c + 1 ELSE c END,
+         CASE WHEN w.len > 0 AND w.len + length(n.x) > 100 THEN length(n.x) WHEN w.len = 0 THEN length(n.x) ELSE w.len + 1 + length(n.x) END
+  FROM QW w JOIN QN n ON n.doc_id = w.doc_id AND n.i = w.i + 1),
+QG AS (SELECT QN.doc_id, c, string_agg(x, ' ' ORDER BY QN.i) AS x FROM QN JOIN QW ON QN.doc_id = QW.doc_id AND QN.i = QW.i GROUP BY QN.doc_id, c),
+CU AS (SELECT P.doc_id, raw AS x, P.i FROM P JOIN T ON T.doc_id = P.doc_id AND contains(T.text, {BREAK}) UNION ALL SELECT doc_id, x, c FROM QG WHERE x <> ''),
+C AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM CU)"""
+
 
 def _packed(spark, d):
     return tapes.transcripts(spark, d).select("doc_id", F.posexplode(W.packed_paragraphs(F.col("text"))).alias("win_idx", "text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="loomspark-"))
@@ -29,7 +30,7 @@ def cutter(spark: SparkSession, tag: str):
     """cut(df, step): df written to the shared folder and read back, which cuts its lineage and survives lost executors."""
     root = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
-    def cut(df: DataFrame, step: int) -> DataFrame:
+    def cut(df: DataFrame, step: int | str) -> DataFrame:
         path = f"{root}/{step}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.dedup import deduplicate_markdown
+from loomspark.operators.graph import connected_components
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -22,9 +25,23 @@ def node_link(segments: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.to_json(F.struct("nodes", "links")).alias("json"))
 
 
-def graph_summary(segments: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, segments, edges, tags (map of counts), connected (as many links as a tree needs, or more)."""
-    tags = segments.groupBy("doc_id", "tag").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sum("c").alias("segments"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "c")))).alias("tags"))
-    e = edges.groupBy("doc_id").agg(F.count("*").alias("edges"))
-    rows = tags.join(e, "doc_id", "left").na.fill(0, ["edges"])
-    return rows.withColumn("connected", F.col("edges") >= F.col("segments") - 1)
+def graph_summary(segments: DataFrame, edges: DataFrame, names: DataFrame, cut) -> DataFrame:
+    """doc_id, segments, edges, tags and edge_types (arrays of name and n, by name), connected: all segments are in one component of the edges.
+
+    names: edge_type, name; a missing type is 0. cut writes the steps of the components. A document without segments has no row.
+    """
+    tags = segments.groupBy("doc_id", "tag").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sum("c").alias("segments"), F.array_sort(F.collect_list(F.struct(F.col("tag").alias("name"), F.col("c").alias("n")))).alias("tags"))
+    typed = edges.withColumn("edge_type", F.coalesce("edge_type", F.lit(0)).cast("int")).join(F.broadcast(names.select("edge_type", "name")), "edge_type", "left")
+    e = typed.groupBy("doc_id", "name").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("edges"), F.array_sort(F.collect_list(F.struct("name", "n"))).alias("edge_types"))
+    key = lambda c: F.concat_ws("\u0001", F.col("doc_id").cast("string"), c)
+    comps = connected_components(segments.select(key("id").alias("id")), edges.select(key("src").alias("src"), key("dst").alias("dst")), cut)
+    parts = comps.groupBy(F.split_part("id", F.lit("\u0001"), F.lit(1)).alias("__d")).agg(F.count_distinct("comp").alias("__parts"))
+    rows = tags.join(e, "doc_id", "left").na.fill(0, ["edges"]).withColumn("__d", F.col("doc_id").cast("string")).join(parts, "__d")
+    none = F.array().cast("array<struct<name:string,n:bigint>>")
+    return rows.select("doc_id", "segments", "edges", "tags", F.coalesce("edge_types", none).alias("edge_types"), (F.col("__parts") == 1).alias("connected"))
+
+
+def write_deduplicated(docs: DataFrame, folder: str) -> None:
+    """A markdown file for each document (doc_id, text) without its repeated sections: folder/<doc_id>_deduplicated/part-*. Each id is a folder of its own."""
+    out = deduplicate_markdown(docs).select(F.concat(F.col("doc_id").cast("string"), F.lit("_deduplicated")).alias("name"), "text")
+    out.write.mode("overwrite").partitionBy("name").text(folder)

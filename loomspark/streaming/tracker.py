@@ -40,29 +40,45 @@ def track_segments(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _pack(size: int):
+def _pack(size: int, idle_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State: the open window and the number of closed ones."""
+        """State: the open window and the number of closed ones. A null text, or a wait beyond the timeout, closes the open window."""
         cur, done = state.get if state.exists else ("", 0)
         out = []
+
+        def close() -> None:
+            nonlocal cur, done
+            if cur.strip():
+                out.append((key[0], done, cur.strip()))
+                done += 1
+            cur = ""
+
+        if state.hasTimedOut:
+            close()
         for pdf in batches:
             for r in pdf.sort_values("ord").itertuples():
-                if not r.text or not r.text.strip():
-                    continue
-                if cur and len(cur) + len(r.text) > size:
-                    out.append((key[0], done, cur.strip()))
-                    cur, done = r.text, done + 1
-                else:
+                if r.text is None:
+                    close()
+                elif r.text.strip():
+                    if cur and len(cur) + len(r.text) > size:
+                        close()
                     cur = f"{cur}\n\n{r.text}" if cur else r.text
         state.update((cur, done))
+        if cur and idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["doc_id", "win_idx", "text"])
 
     return run
 
 
-def pack_paragraphs(paragraphs: DataFrame, size: int = 1000) -> DataFrame:
-    """doc_id, win_idx, text of windows as they close, from a stream of doc_id, ord, text; the open window stays in the state."""
-    return paragraphs.groupBy("doc_id").applyInPandasWithState(_pack(size), "doc_id long, win_idx int, text string", "cur string, done int", "append", GroupStateTimeout.NoTimeout)
+def pack_paragraphs(paragraphs: DataFrame, size: int = 1000, idle_ms: int | None = None) -> DataFrame:
+    """doc_id, win_idx, text of windows as they close, from a stream of doc_id, ord, text.
+
+    A window closes when the next paragraph would take it beyond size, at a row with a null text (which ends the document for now), and with idle_ms
+    when no paragraph has come for so many milliseconds. Without it the last window of a document that is never ended stays in the state.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return paragraphs.groupBy("doc_id").applyInPandasWithState(_pack(size, idle_ms), "doc_id long, win_idx int, text string", "cur string, done int", "append", timeout)
 
 
 def boundary_counts(boundaries: DataFrame) -> DataFrame:

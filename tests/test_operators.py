@@ -139,9 +139,205 @@ def test_code_dedup(spark):
     assert "x = 1" in got[1, 0] and "```" not in got[1, 1] and "more" in got[1, 1] and got[2, 0].count("```\na\n```") == 2
 
 
-def test_guided_walk_visits_all():
-    nodes = pd.DataFrame({"id": ["a", "b", "c"], "importance": [0.1, 0.9, 0.2], "segment_type": ["x"] * 3, "content": ["p", "q", "r"]})
-    assert synth.guided_walk(nodes, {"b": ["a"], "a": ["b"]}) == ["b", "a", "c"]
+def guided_nodes(**columns):
+    base = {"id": ["a", "b", "c"], "importance": [0.1, 0.9, 0.2], "segment_type": ["x"] * 3, "content": ["p", "q", "r"]}
+    base |= columns
+    return pd.DataFrame({**base, "formatted": base["content"], "opening": ["o"] * len(base["id"])})
+
+
+def test_guided_documents_visit_all():
+    order, text = synth.guided_document(guided_nodes(), {"b": ["a"], "a": ["b"]})
+    assert order == ["b", "a", "c"] and text.endswith("Document processing complete.\n")
+    # the words of what has been written decide between equal neighbours, its openings and headers included
+    nodes = guided_nodes(id=["a", "b", "c"], importance=[0.9, 0.1, 0.1], content=["start", "none", "further discussion start"])
+    assert synth.guided_document(nodes, {"a": ["b", "c"]})[0] == ["a", "c", "b"]
+
+
+def test_openings_and_formats(spark):
+    rows = [("example", "e", "\nTo illustrate this concept:\n", "*Example:*\ne"), ("x", "However so", "\nHowever, it's important to note:\n", "However so"), ("contrast", "c", "\nHowever, it's important to note:\n", "c"), ("foundational", "One. two", "\nFurthermore:\n", "**One**\n\nOne. two"), ("foundational", "import x", "\nFurthermore:\n", "import x"), ("x", "A question", "\nThis raises an important question:\n", "A question")]
+    df = spark.createDataFrame([r[:2] for r in rows], "k string, t string")
+    got = df.select(synth.opening(F.col("k"), F.col("t")).alias("o"), synth.formatted(F.col("k"), F.col("t"), X.key_concept(F.col("t"))).alias("f")).collect()
+    assert [(r.o, r.f) for r in got] == [r[2:] for r in rows]
+
+
+def test_builders(spark, monkeypatch):
+    segments = spark.createDataFrame([(1, "a", "x", 1.0, "KEEP", None, 0, False, False)], "doc_id long, id string, content string, importance double, tag string, segment_type string, start_pos int, has_code boolean, has_math boolean")
+    edges = spark.createDataFrame([], "doc_id long, src string, dst string")
+    assert synth.build_document(segments, edges, "linear").first().text == "x"
+    assert synth.build_document(segments, edges, "unheard of").first().text.startswith("# Knowledge Synthesis")
+    monkeypatch.setattr(synth, "STRATEGIES", dict(synth.STRATEGIES))
+    synth.register_strategy("shout", lambda s: s.select("doc_id", F.upper("content").alias("text")))
+    assert synth.reassemble(segments, "shout").first().text == "X"
+
+
+def test_seeds_of_blank_texts(spark):
+    docs = spark.createDataFrame([(1, "  "), (2, None), (3, ""), (4, "one. two")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in synth.seeded_at_random(docs).collect()}
+    assert got[1] == "  " and got[2] is None and got[3] == "" and got[4].startswith("<processing_hints>")
+    ruled = {r.doc_id: r.x for r in docs.select("doc_id", synth.seeded_with_rules(F.col("text"), {"segmentation": "cut"}).alias("x")).collect()}
+    assert ruled[2] is None and ruled[3] == "" and "<segmentation_rule>cut<" in ruled[4] and "Group by theme" in ruled[4]
+
+
+def test_greedy_segments_without_boundaries(spark):
+    b = spark.createDataFrame([(1, 60, 0.5), (1, 70, 0.4)], "doc long, position long, strength double")
+    groups = spark.createDataFrame([(1,), (2,)], "doc long")
+    got = sorted((r.doc, r.ord, r.start, r.end, r.confidence) for r in attention.greedy_segments(b, ["doc"], 50, groups).collect())
+    assert got == [(1, 0, 0, 60, 0.5), (1, 1, 60, -1, 0.8), (2, 0, 0, -1, 1.0)]
+
+
+def test_pairs_of_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0, 2.0]), (1, None), (2, [1.0, 0.0, 2.0]), (3, [1.0, None, 2.0]), (4, [5.0, 5.0]), (5, [5.0, 5.0]), (None, [9.0, 9.0]), (6, [])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    for block in (4096, 1):
+        assert sorted((r.src, r.dst, r.weight) for r in vectors.similar_pairs(df, 1.0, block).collect()) == [(0, 2, 5.0), (4, 5, 50.0)]
+        near = sorted((r.src, r["rank"], r.dst) for r in vectors.nearest(df, 1, block).collect())
+        assert near == [(0, 1, 2), (2, 1, 0), (4, 1, 5), (5, 1, 4)]
+
+
+def test_nearest_breaks_ties_by_id(spark):
+    df = spark.createDataFrame([(k, [1.0, float(k == 9)]) for k in range(12)], "id long, vec array<double>")
+    for block in (4096, 3):
+        got = sorted((r["rank"], r.dst) for r in vectors.nearest(df, 3, block).filter("src = 5").collect())
+        assert got == [(1, 0), (2, 1), (3, 2)]
+
+
+def brute_graph(n, p, seed):
+    import random
+
+    rng = random.Random(seed)
+    return {(i, j) for i in range(n) for j in range(n) if rng.random() < p}
+
+
+def test_clustering_and_cliques_against_brute_force(spark):
+    import itertools
+
+    cells = brute_graph(14, 0.4, 3)
+    df = spark.createDataFrame([(i, j) for i, j in cells], "i long, j long")
+    want = {}
+    for v in range(14):
+        near = [j for i, j in cells if i == v]
+        if len(near) >= 2:
+            want[v] = sum((x, y) in cells for x in near for y in near if x != y) / (len(near) * (len(near) - 1))
+    got = {r.id: r.coefficient for r in graph.clustering(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    links = {tuple(sorted(c)) for c in cells if c[0] != c[1]}
+    edges = spark.createDataFrame(sorted(links) + [(3, 1), (2, 2)], "src long, dst long")
+    links |= {(1, 3)}
+    whole = lambda k: sorted(c for c in itertools.combinations(range(14), k) if all(p in links for p in itertools.combinations(c, 2)))
+    assert sorted(tuple(r) for r in graph.triangles(edges).collect()) == whole(3)
+    assert sorted(tuple(r) for r in graph.four_cliques(edges).collect()) == whole(4)
+
+
+def test_components_of_hubs_chains_and_unknown_ids(spark):
+    edges = [(k, 100) for k in range(1, 60)] + [(k, k + 1) for k in range(200, 260)] + [(7, 7), (900, 901), (300, 5000)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(1, 60), 100, *range(200, 261), 300, 901]], "id long")
+    got = {r.id: r.comp for r in graph.connected_components(nodes, spark.createDataFrame(edges, "src long, dst long"), cutter(spark, "t")).collect()}
+    assert {got[k] for k in [*range(1, 60), 100]} == {1} and {got[k] for k in range(200, 261)} == {200} and got[300] == 300 and got[901] == 901
+    names = graph.connected_components(nodes.select(F.col("id").cast("string").alias("id")), spark.createDataFrame([("300", "901")], "src string, dst string"), cutter(spark, "t"))
+    assert {r.id: r.comp for r in names.collect()}["901"] == "300"
+
+
+def test_split_joins_beyond_the_broadcast(spark):
+    from loomspark.operators.skew import hot_split_join
+
+    left = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(100)] + [(None, -1)], "key long, v long")
+    right = left.groupBy("key").agg(F.count("*").alias("n"))
+    both = [sorted(map(tuple, hot_split_join(left, right, "key", "n", 4, most).collect())) for most in (50_000, 0)]
+    assert both[0] == both[1] and len(both[0]) == 100
+
+
+def test_hubs_come_in_parts(spark):
+    edges = spark.createDataFrame([(k, 0) for k in range(50)] + [(1, 9), (1, 9)], "src long, dst long")
+    rows = hetero.neighbor_index(edges, part_rows=10).collect()
+    assert sorted(x for r in rows if r.dst == 0 for x in r.neighbors) == list(range(50)) and len([r for r in rows if r.dst == 0]) > 1
+    assert [(r.part, r.neighbors) for r in rows if r.dst == 9] == [(0, [1, 1])]
+
+
+def test_preorder_over_all_edges(spark):
+    nodes = spark.createDataFrame([(1, x) for x in ("0", "0.a", "0.b", "0.c", "far")], "doc_id long, id string")
+    edges = spark.createDataFrame([(1, "0", "0.a", 0), (1, "0", "0.b", 1), (1, "0", "0.c", 2), (1, "0.a", "0.c", 9), (1, "0.c", "0", 9)], "doc_id long, src string, dst string, ord int")
+    assert [r.id for r in graph.preorder_edges(nodes, edges).orderBy("k").collect()] == ["0", "0.a", "0.c", "0.b"]
+
+
+def test_trees_stop_and_gates(spark):
+    docs = spark.createDataFrame([(1, "a\n\nb\n\nc d\n\ne"), (2, None)], "doc_id long, text string")
+    t = tree.build_tree(docs, [segment.paragraphs], 5, cut=lambda df, k: cutter(spark, "t")(df, k))
+    assert sorted(r.level for r in t.collect()) == [0, 0, 1, 1, 1, 1]
+    open_tree = tree.OpenTree(t)
+    with pytest.raises(RuntimeError):
+        open_tree.semantic_edges(None)
+    pairs = spark.createDataFrame([(1, "0", "0.0-000001", 0.9), (1, "0.0-000002", "0.0-000001", 0.8), (1, "0.0-000002", "nowhere", 0.8)], "doc_id long, src string, dst string, weight double")
+    assert [(r.src, r.dst) for r in open_tree.complete().semantic_edges(pairs).collect()] == [("0.0-000002", "0.0-000001")]
+    done = t.select("doc_id", "seg_id", F.lit(0).alias("rule_idx"))
+    assert tree.unprocessed(t, done.filter("seg_id = '0'"), 0).count() == 4 and tree.fully_processed(t, done, 1).count() == 6
+    assert not tree.has_pending(open_tree.pending(done, 1)) and tree.has_pending(open_tree.pending(done, 2))
+    assert tree.embedding_requests(t).columns == ["doc_id", "seg_id", "content"]
+
+
+def test_upsert_keeps_the_latest(spark):
+    e = spark.createDataFrame([(1, 2, 0.1, 1), (1, 2, 0.9, 5), (2, 1, 0.3, 2)], "src long, dst long, weight double, t long")
+    assert sorted((r.src, r.dst, r.weight) for r in graph.upsert_edges(e, "t").collect()) == [(1, 2, 0.9), (2, 1, 0.3)]
+
+
+def test_pieces_at_tokens(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc"), (2, "whole"), (3, ""), (4, None)], "doc_id long, text string")
+    tokens = spark.createDataFrame([(1, 0, 0), (1, 1, 3), (1, 2, 6), (2, 0, 0)], "doc_id long, tok_idx long, begin long")
+    cuts = spark.createDataFrame([(1, 2), (1, 2), (1, 9)], "doc_id long, position long")
+    got = sorted((r.doc_id, r.ord, r.start_pos, r.content) for r in segment.cut_at_tokens(docs, cuts, tokens).collect())
+    assert got == [(1, 0, 0, "aa bb"), (1, 1, 6, "cc"), (2, 0, 0, "whole"), (3, 0, 0, "")]
+
+
+def test_low_rank_attention_at_full_rank(spark):
+    """With all ranks kept, block by block attention of one block, and constrained attention, are the plain softmax."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6, 4))
+    df = spark.createDataFrame([(0, i, [float(v) for v in x[i]]) for i in range(6)], "window_idx long, i long, vec array<double>")
+    soft = lambda s: np.exp(s - s.max(1, keepdims=True)) / np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True)
+    scores = spark.createDataFrame([(0, h, i, j, float(x[i] @ x[j]) * (h + 1)) for h in range(2) for i in range(6) for j in range(6)], "window_idx long, head long, i long, j long, s double")
+    got = {(r.i, r.j): r.w for r in attention.constrained_low_rank(scores, 1.0).collect()}
+    want = (soft(x @ x.T) + soft(2 * x @ x.T)) / 2
+    assert all(abs(got[i, j] - want[i, j]) < 1e-9 for i in range(6) for j in range(6))
+
+    def cut(m, r):
+        u, s, v = np.linalg.svd(m)
+        return (u[:, :r] * s[:r]) @ v[:r]
+
+    out = {r.i: r.out for r in attention.blockwise_attention(df, 2, block=3).collect()}
+    want = np.zeros((6, 4))
+    for h in (0, 1):
+        q = x[:, 2 * h : 2 * h + 2]
+        for a in (0, 3):
+            for b in (0, 3):
+                want[a : a + 3, 2 * h : 2 * h + 2] += soft(cut(q[a : a + 3] @ q[b : b + 3].T / np.sqrt(2), 1)) @ q[b : b + 3]
+    assert np.allclose([out[i] for i in range(6)], want)
+
+
+def test_official_splits(spark, tmp_path):
+    import gzip
+
+    nodes = spark.range(30)
+    assert hetero.split_or_official(nodes, str(tmp_path / "absent")).count() == 30
+    for part, ids in (("train", range(20)), ("valid", (20, 21)), ("test", (25, 99))):
+        with gzip.open(tmp_path / f"{part}.csv.gz", "wt") as f:
+            f.write("\n".join(map(str, ids)) + "\n")
+    got = {r.id: r.part for r in hetero.split_or_official(nodes, str(tmp_path)).collect()}
+    assert len(got) == 23 and got[3] == "train" and got[21] == "valid" and got[25] == "test"
+
+
+def test_null_texts_in_windows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens) for r in windows.token_windows(docs).collect()) == [(2, 0), (3, 2)]
+    assert sorted((r.doc_id, r.text) for r in windows.context_windows(docs).collect()) == [(2, ""), (3, "a b")]
+
+
+def test_deduplicated_files(spark, tmp_path):
+    from loomspark.sources import sinks
+
+    docs = spark.createDataFrame([(7, "# A\ntext of it\n# B\ntext of it\n")], "doc_id long, text string")
+    sinks.write_deduplicated(docs, f"file://{tmp_path}/out")
+    assert spark.read.text(f"file://{tmp_path}/out").filter("value LIKE '%text of it%'").count() == 1
 
 
 def test_strategies(spark):
@@ -153,8 +349,8 @@ def test_strategies(spark):
 
 def test_similar_pairs_any_grid(spark):
     rows = spark.createDataFrame([(k, [float(k % 3), 1.0, float(k)]) for k in range(30)], "id long, vec array<float>")
-    a = {(r.src, r.dst) for r in vectors.similar_pairs(rows, 100.0, 1).collect()}
-    assert a == {(r.src, r.dst) for r in vectors.similar_pairs(rows, 100.0, 5).collect()} and a
+    a = {(r.src, r.dst) for r in vectors.similar_pairs(rows, 100.0, 100).collect()}
+    assert a == {(r.src, r.dst) for r in vectors.similar_pairs(rows, 100.0, 7).collect()} and a
 
 
 def test_split_is_stable(spark):

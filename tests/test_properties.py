@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomspark.config import EngineConfig, get_config
 from loomspark.functions import models
-from loomspark.operators import dedup, segment, synth, windows
+from loomspark.operators import dedup, graph, segment, synth, windows
 from loomspark.sources import sinks
+from loomspark.sources.scratch import cutter
 
 TEXT = st.text(st.sampled_from(list("ab. #`\n\t-é")), max_size=60)
 ONCE = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -88,7 +89,13 @@ def test_settings_and_sinks(spark, tmp_path):
     e = spark.createDataFrame([(1, "a", "b", None)], "doc_id long, src string, dst string, weight double")
     got = json.loads(sinks.node_link(s, e).first().json)
     assert got["links"] == [{"source": "a", "target": "b", "weight": 1.0}] and len(got["nodes"]) == 2
-    assert sinks.graph_summary(s, e).first().connected
+    typed = e.withColumn("edge_type", F.lit(None).cast("int"))
+    row = sinks.graph_summary(s, typed, graph.edge_type_dim(spark), cutter(spark, "t")).first()
+    assert row.connected and [(x["name"], x.n) for x in row.edge_types] == [("NO_RELATION", 1)] and [(x["name"], x.n) for x in row.tags] == [("DELETE", 1), ("KEEP", 1)]
+    # as many links as a tree needs, and one node apart
+    four = spark.createDataFrame([(1, x, "x", "KEEP") for x in "abcd"], "doc_id long, id string, content string, tag string")
+    ring = spark.createDataFrame([(1, "a", "b", 1), (1, "b", "c", 1), (1, "c", "a", 1)], "doc_id long, src string, dst string, edge_type int")
+    assert not sinks.graph_summary(four, ring, graph.edge_type_dim(spark), cutter(spark, "t")).first().connected
     sinks.write_json(s, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     assert synth.seeded_at_random(frame(spark, ["", "p\n\nq"])).filter("doc_id = 0").first().text == ""

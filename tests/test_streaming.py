@@ -38,3 +38,19 @@ def test_event_windows(spark, tmp_path, sf_dir):
     make = lambda s: tracker.tumbling(s.withColumn("ts", F.to_timestamp("ts")), "30 minutes")
     got = run(spark, tmp_path, rows, "ts string, event_type string, user_id long", make, "complete")
     assert sum(r.n for r in got) == len(rows)
+
+
+def test_an_end_marker_closes_the_last_window(spark, tmp_path):
+    rows = [(1, k, "p" * 300) for k in range(4)] + [(1, 9, None), (2, 0, "open")]
+    got = run(spark, tmp_path, rows, "doc_id long, ord int, text string", tracker.pack_paragraphs, "append")
+    assert sorted((r.doc_id, r.win_idx, r.text.count("p")) for r in got) == [(1, 0, 900), (1, 1, 300)]
+
+
+def test_sessions_and_boundary_counts(spark, tmp_path):
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", u) for u in (1, 2) for h, m in ((0, 0), (0, 10), (2, 0), (9, 0))]
+    rows.sort()
+    make = lambda s: tracker.sessions(s.withColumn("ts", F.to_timestamp("ts")), "30 minutes", "10 minutes")
+    got = run(spark, tmp_path, rows, "ts string, user_id long", make, "append")
+    assert sorted((r.user_id, r.n) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2)]  # the last session waits for the watermark
+    b = spark.createDataFrame([(5, 0.2), (5, 0.4), (9, 1.0)], "position long, strength double")
+    assert sorted((r.position, round(r.strength, 6), r.n) for r in tracker.boundary_counts(b).collect()) == [(5, 0.3, 2), (9, 1.0, 1)]
