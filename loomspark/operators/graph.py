@@ -254,27 +254,40 @@ def pagerank_shuffled(nodes: DataFrame, edges: DataFrame, cut, damping: float =
     return ranks
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:
-    """id, comp (smallest id that edges among nodes reach, either way; a node without edges is its own). Ids of any ordered type, none null.
+def component_labels(edges: DataFrame, cut, most_broadcast: int = 50_000) -> DataFrame:
+    """id, comp for every id that an edge (src, dst) names: the smallest id that edges reach, either way. Ids of any ordered type, none null.
 
-    The smallest neighbour's label and pointer jumping by turns until nothing moves. Hubs and the labels of large components are split
-    from the other keys, so neither meets in a task. cut(df, step) writes a step to the shared folder and reads it back.
+    The smallest neighbour's label and pointer jumping by turns until nothing moves. Up to most_broadcast ids, which are counted, labels go by broadcast and
+    steps are written in few files; beyond, hubs and the labels of large components are split from the other keys, so neither meets in a task.
+    cut(df, step) writes a step to the shared folder and reads it back.
     """
-    e = induced(edges.select("src", "dst").filter("src <> dst"), nodes.select("id").distinct())
+    e = edges.select("src", "dst").filter("src <> dst")
     both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("comp"), F.count("*").alias("deg")), "labels")
+    small = labels.count() <= most_broadcast
     k = 0
     while True:
-        near = hot_split_join(both.withColumnsRenamed({"src": "v", "dst": "id"}), labels, "id", "deg").groupBy("v").agg(F.min("comp").alias("near"))
-        step = labels.join(near.withColumnRenamed("v", "id"), "id").select("id", "deg", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        step = cut(step, f"{k}-step")
+        near = hot_split_join(both.withColumnsRenamed({"src": "v", "dst": "id"}), labels, "id", "deg", most_broadcast=most_broadcast).groupBy(F.col("v").alias("__v")).agg(F.min("comp").alias("near"))
+        near = near.withColumnRenamed("__v", "id")
+        step = (near.join(F.broadcast(labels), "id") if small else labels.join(near, "id")).select("id", "deg", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        step = cut(step.coalesce(8) if small else step, f"step{k}")
         heads = step.select(F.col("id").alias("comp"), F.col("comp").alias("head"))
-        heads = cut(step.groupBy("comp").agg(F.count("*").alias("held")).join(heads, "comp"), f"{k}-heads")
-        jumped = hot_split_join(step, heads, "comp", "held").select("id", "deg", F.col("head").alias("comp"), (F.col("head") != F.col("was")).alias("moved"))
-        labels = cut(jumped, f"{k}")
+        if small:
+            jumped = step.join(F.broadcast(heads), "comp")
+        else:
+            heads = cut(step.groupBy("comp").agg(F.count("*").alias("held")).join(heads, "comp"), f"heads{k}")
+            jumped = hot_split_join(step, heads, "comp", "held", most_broadcast=most_broadcast)
+        labels = cut(jumped.select("id", "deg", F.col("head").alias("comp"), (F.col("head") != F.col("was")).alias("moved")), f"labels{k}")
         k += 1
         if not labels.filter("moved").limit(1).count():
-            return nodes.select("id").distinct().join(labels.select("id", "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+            return labels.select("id", "comp")
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, cut, most_broadcast: int = 50_000) -> DataFrame:
+    """id, comp: the smallest id that edges among nodes reach, either way; a node without edges is its own. The work is component_labels'."""
+    ids = nodes.select("id").distinct()
+    labels = component_labels(induced(edges, ids), cut, most_broadcast)
+    return ids.join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def _oriented(edges: DataFrame) -> DataFrame:

@@ -231,7 +231,9 @@ def test_clustering_and_cliques_against_brute_force(spark):
 def test_components_of_hubs_chains_and_unknown_ids(spark):
     edges = [(k, 100) for k in range(1, 60)] + [(k, k + 1) for k in range(200, 260)] + [(7, 7), (900, 901), (300, 5000)]
     nodes = spark.createDataFrame([(k,) for k in [*range(1, 60), 100, *range(200, 261), 300, 901]], "id long")
-    got = {r.id: r.comp for r in graph.connected_components(nodes, spark.createDataFrame(edges, "src long, dst long"), cutter(spark, "t")).collect()}
+    by_most = [{r.id: r.comp for r in graph.connected_components(nodes, spark.createDataFrame(edges, "src long, dst long"), cutter(spark, "t"), most).collect()} for most in (50_000, 0)]
+    got = by_most[0]
+    assert got == by_most[1]
     assert {got[k] for k in [*range(1, 60), 100]} == {1} and {got[k] for k in range(200, 261)} == {200} and got[300] == 300 and got[901] == 901
     names = graph.connected_components(nodes.select(F.col("id").cast("string").alias("id")), spark.createDataFrame([("300", "901")], "src string, dst string"), cutter(spark, "t"))
     assert {r.id: r.comp for r in names.collect()}["901"] == "300"
