@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NULL_ID = -(2**63)
-_OWN_ROOT: list[str] = []
-
+from loomspark.operators.skew import hot_split_join  # noqa: F401
+from loomspark.sources.scratch import shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session (tests) gets a temporary folder that goes at exit;
-    a cluster session must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append(tempfile.mkdtemp(prefix="loomspark-"))
-        atexit.register(shutil.rmtree, _OWN_ROOT[0], ignore_errors=True)
-    return f"file://{_OWN_ROOT[0]}"
+NULL_ID = -(2**63)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -88,18 +70,3 @@ def keyed(df: DataFrame, id_col: str, key: str = "__id") -> DataFrame:
 
 def text_bytes(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
-
-
-def hot_split_join(left: DataFrame, right: DataFrame, key: str, rows: str, most_hot: int = 512) -> DataFrame:
-    """Inner join on key where right has one row for each key, and counts left's rows for it in `rows`.
-
-    Keys with at least 1/most_hot of all matched rows go by broadcast: there can be at most most_hot of
-    them, so the broadcast has a fixed bound. All other keys are shuffled; each holds less than that share.
-    Both frames should be written tables, since each is read twice.
-    """
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    hot = F.col(rows) * F.lit(most_hot) >= F.lit(total)
-    hot_rows = right.filter(hot)
-    by_broadcast = left.join(F.broadcast(hot_rows), key)
-    rest = left.join(F.broadcast(hot_rows.select(key)), key, "left_anti").join(right.filter(~hot), key)
-    return by_broadcast.unionByName(rest)

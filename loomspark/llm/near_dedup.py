@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from loomspark.llm.common import NULL_ID, Scratch, give_back_memory, hot_split_join, keyed, text_bytes
+from loomspark.operators.graph import component_labels
 
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -90,23 +91,9 @@ def _verify_udf(words: int, percent: int):
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b) pairs to (node, comp): the smallest node of each connected component. Smallest neighbour's label and
-    pointer jumping by turns; a written table for each step."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.write(both, f"{name}-edges").withColumnsRenamed({"a": "node", "b": "to"})
-    labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("comp"), F.count("*").alias("deg"))
-    labels = scratch.write(labels, name)
-    while True:
-        near = hot_split_join(both.withColumnRenamed("node", "v").withColumnRenamed("to", "node"), labels, "node", "deg")
-        best = near.groupBy("v").agg(F.min("comp").alias("best")).withColumnRenamed("v", "node")
-        step = labels.join(best, "node").select("node", "deg", F.col("comp").alias("was"), F.least("comp", "best").alias("comp"))
-        step = scratch.write(step, f"{name}-step")
-        heads = step.select(F.col("node").alias("comp"), F.col("comp").alias("head"))
-        heads = scratch.write(step.groupBy("comp").agg(F.count("*").alias("held")).join(heads, "comp"), f"{name}-heads")
-        jumped = hot_split_join(step, heads, "comp", "held").select("node", F.col("head").alias("comp"), "deg", (F.col("head") != F.col("was")).alias("moved"))
-        labels = scratch.write(jumped, name)
-        if not labels.filter("moved").limit(1).count():
-            return labels.select("node", "comp")
+    """(a, b) pairs to (node, comp): the smallest node of each connected component."""
+    labels = component_labels(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), lambda df, step: scratch.write(df, f"{name}-{step}"))
+    return labels.withColumnRenamed("id", "node")
 
 
 def _estimate(k: int):
