@@ -1,10 +1,10 @@
 """Media columns: payloads as lossless images in archives, read back by a custom Spark data source.
 
-Writing: each task stores its payloads as 8-bit grey PNG members of ZIP archives of bounded size, in the shared folder.
-An archive is written under a temporary name and renamed to one that depends on the task's partition alone, so a task that runs again
-replaces its own archives and a lost one leaves nothing that a reader sees.
+Writing: each task stores its payloads as 8-bit grey PNG members of ZIP archives of bounded size, in the shared folder, under names that no
+other attempt has. What a task has stored is its result, a row for each archive, and these rows are written as the table `manifest` beside
+the archives: archives of lost or speculative attempts are in no manifest, and no reader sees them.
 
-Reading: the data source lists the archives, cuts each into byte ranges, and gives every range to a task, which reads the
+Reading: the data source takes the archives from the manifest (from the listing, where a folder has none), cuts each into byte ranges, and gives every range to a task, which reads the
 archive's directory, takes the members whose headers begin in its range, and streams their bytes in Arrow batches. A member
 that fails is read again by its own offset; after the last try its row carries the error instead of stopping the scan.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -31,6 +31,7 @@ from loomspark.llm.common import Scratch, text_bytes
 
 WIDTH = 576
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
+MANIFEST = "archive string, size long, members long"
 SCHEMA = "archive string, member string, header_offset long, media binary, error string"
 
 
@@ -53,7 +54,7 @@ def encode_png(samples: bytes, level: int = 3) -> bytes:
 
 
 def decode_png(data: bytes) -> bytes:
-    """The samples of an image that encode_png made; every chunk's checksum is verified."""
+    """The samples of an image that encode_png made; every chunk's checksum is verified. Other images raise ValueError."""
     if data[:8] != PNG_HEAD:
         raise ValueError("not a PNG")
     at, body, size = 8, b"", (0, 0)
@@ -83,14 +84,16 @@ def feature(samples: bytes) -> str:
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """The file system of a URI and the path in it; Hadoop's names of S3 count as s3."""
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def write_archives(rows: DataFrame, folder: str, name_col: str, data_col: str, archive_bytes: int = 32 << 20) -> int:
     """Store data_col (binary) of each row as a PNG member; returns the number of members.
 
     A member's name is the row's place in its task's partition, a slash and name_col as text ("null" where null). Null data counts as empty. Memory: one
-    archive a task.
+    archive a task. A folder takes one such write.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,22 +101,19 @@ def write_archives(rows: DataFrame, folder: str, name_col: str, data_col: str, a
 
         store_fs, root = open_store(folder)
         store_fs.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        total = made = 0
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        total = begun = made = 0
         buffer, archive = io.BytesIO(), None
 
-        def flush() -> None:
-            nonlocal archive, buffer, made
+        def flush() -> pa.RecordBatch:
+            nonlocal archive, buffer, made, begun
             archive.close()
-            temp = f"{root}/.{uuid.uuid4().hex}"
-            with store_fs.open_output_stream(temp) as f:
+            name = f"part-{part:06d}-{made:04d}-{attempt}.zip"
+            with store_fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(buffer.getbuffer())
-            final = f"{root}/part-{part:06d}-{made:04d}.zip"
-            if store_fs.get_file_info(final).type != fs.FileType.NotFound:  # of an attempt that was lost
-                store_fs.delete_file(final)
-            store_fs.move(temp, final)
-            made += 1
-            buffer, archive = io.BytesIO(), None
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([buffer.tell()], pa.int64()), pa.array([total - begun], pa.int64())], ["archive", "size", "members"])
+            made, begun, buffer, archive = made + 1, total, io.BytesIO(), None
+            return row
 
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
@@ -122,13 +122,13 @@ def write_archives(rows: DataFrame, folder: str, name_col: str, data_col: str, a
                 archive.writestr(zipfile.ZipInfo(f"{part}-{total}/{name.as_py()}", (1980, 1, 1, 0, 0, 0)), encode_png(pad(data.as_py() or b"")))
                 total += 1
                 if buffer.tell() >= archive_bytes:
-                    flush()
+                    yield flush()
         if archive is not None:
-            flush()
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["members"])
+            yield flush()
 
     named = rows.select(F.coalesce(F.col(name_col).cast("string"), F.lit("null")).alias("name"), F.col(data_col).alias("data"))
-    return named.mapInArrow(store, "members long").agg(F.sum("members")).first()[0] or 0
+    named.mapInArrow(store, MANIFEST).write.parquet(f"{folder}/manifest")
+    return rows.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest").agg(F.sum("members")).first()[0] or 0
 
 
 class ArchiveRange(InputPartition):
@@ -184,10 +184,14 @@ class ArchiveReader(DataSourceReader):
         self.tries = int(options.get("tries", 3))
 
     def partitions(self) -> list[InputPartition]:
-        """Byte ranges from the listing alone; the archives' own directories are read by the tasks."""
+        """Byte ranges from the manifest or the listing alone; the archives' own directories are read by the tasks."""
         store, root = open_store(self.uri)
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        archives = sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(".zip"))
+        if store.get_file_info(f"{root}/manifest").type == fs.FileType.Directory:
+            rows = parquet.read_table(f"{root}/manifest", filesystem=store, columns=["archive", "size"])
+            archives = sorted((f"{root}/{a}", n) for a, n in zip(rows["archive"].to_pylist(), rows["size"].to_pylist()))
+        else:
+            found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            archives = sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(".zip"))
         return [ArchiveRange(p, n, a, min(a + self.range_bytes, n)) for p, n in archives for a in range(0, n, self.range_bytes)] or [ArchiveRange("", 0, 0, 0)]
 
     def read(self, partition: ArchiveRange) -> Iterator[pa.RecordBatch]:
