@@ -206,8 +206,10 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     )
     own = scratch.write(own.select("__id", F.col("best.score").alias("score"), F.bitwise_not("best.neg").alias("template"), (F.col("is_file") | F.col("best.first")).alias("is_file")), "own")
 
+    scratch.drop("hits", "windows", "counts")
     placed = rows.select("__id", _parent(F.col("path")).alias("dir")).join(own.hint("merge"), "__id", "left")
     placed = scratch.write(placed, "placed")
+    scratch.drop("own")
     files = placed.filter("is_file").groupBy("dir").agg(F.max(F.struct("score", F.bitwise_not("__id").alias("neg"), "template")).alias("f"))
     dirs = placed.filter("template IS NULL").groupBy("dir").agg(F.count("*").alias("rows"))
     dirs = scratch.write(dirs, "dirs")
@@ -218,6 +220,7 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     held = scratch.write(held, "held")
     nearest = hot_split_join(climb, held, "up", "n").groupBy("dir").agg(F.max_by(F.struct("up", "f"), F.length("up")).alias("near"))
     nearest = scratch.write(nearest.join(dirs, "dir"), "nearest")
+    scratch.drop("climb", "held")
 
     name = F.element_at(F.array(*[F.lit(t) for t, _ in templates]), F.col("template") + 1)
     real = lambda c: F.when(c != NULL_ID, c)
@@ -227,6 +230,7 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     taken = taken.select("__id", name.alias("license"), "score", F.lit("inherited").alias("origin"), F.col("near.up").alias("license_dir"), F.bitwise_not("near.f.neg").alias("from_id"))
     bare = dirs.join(nearest.select("dir"), "dir", "left_anti").select("dir", "rows")
     bare = scratch.write(bare, "bare")
+    scratch.drop("dirs")
     none = hot_split_join(without, bare, "dir", "rows").select("__id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score"), F.lit("none").alias("origin"), F.lit(None).cast("string").alias("license_dir"), F.lit(None).cast("long").alias("from_id"))
     out = mine.unionByName(taken).unionByName(none)
     return out.select(real(F.col("__id")).alias(id_col), "license", "score", "origin", "license_dir", real(F.col("from_id")).alias("license_id"))

@@ -103,14 +103,14 @@ def schedule(spark: SparkSession, shares: DataFrame, slots: int, chunk: int = 1
     return ranked.select("src", (F.col("base") + F.col("inside")).alias("rank"), "slot")
 
 
-def mix_spans(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times: int = 3, block: int = 1024) -> tuple[DataFrame, DataFrame, int]:
+def mix_spans(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times: int = 3, block: int = 1024, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, int]:
     """From a written table (uid, source, size, m) two frames, and the number of slots.
 
     per_row: uid, size, source_size, target. spans: uid, size, times (0 is the first), lo, hi (words of the document), slot
     (place in the mix). A row without words, or beyond its source's last block, has no span.
     """
     spark = sized.sparkSession
-    scratch = Scratch(spark, "mixing")
+    scratch = scratch or Scratch(spark, "mixing")
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
     rows = sized.select("uid", "size", "m", src.alias("src"), "source")
     sizes = rows.groupBy("src", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("null_src", F.col("source").isNull())
@@ -121,6 +121,7 @@ def mix_spans(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times
     dealt = order.groupBy("src").agg(F.count("*").alias("dealt"))
     limit = F.least(F.col("cap"), F.coalesce("dealt", F.lit(0)) * F.col("words"))
     shares = scratch.write(shares.join(dealt, "src", "left").select("src", "source_size", "target", "words", limit.alias("limit"), "n"), "dealt")
+    scratch.drop("shares")
     placed = scratch.write(_running(rows.select("uid", "size", "m", "src"), levels), "placed")
     placed = hot_split_join(placed, shares, "src", "n")
     times = F.explode(F.sequence(F.lit(0), F.lit(most_times - 1))).alias("times")
@@ -175,9 +176,11 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_ti
     named = docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias("__uid"), word_count(text_bytes(text_col)).alias("__size"), shuffle_key(id_col, text_col).alias("__m"))
     written = scratch.write(named, "documents")
     sized = written.select(F.col("__uid").alias("uid"), F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__m").alias("m"))
-    _, spans, slots = mix_spans(sized, weights, most_times, block)
+    steps = Scratch(docs.sparkSession, "mixing")
+    _, spans, slots = mix_spans(sized, weights, most_times, block, steps)
     once = spans.groupBy(F.col("uid").alias("__uid"), F.col("times").alias("__times")).agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"), F.min("slot").alias("slot"))
     once = scratch.write(once, "once")
+    steps.drop()
     out = written.drop("__m").join(once.hint("merge"), "__uid")
     text = F.when((F.col("__lo") == 0) & (F.col("__hi") >= F.col("__size")), F.col(text_col)).otherwise(_words_of(text_col, "__lo", "__hi", "__size"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
