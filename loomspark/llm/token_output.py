@@ -85,6 +85,13 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return spark.read.schema(f"part int, row long, `{id_col}` long, n_tokens long, ids array<int>").parquet(path)
 
 
+def read_documents(spark: SparkSession, path: str, ids: list[int], id_col: str = "doc_id") -> DataFrame:
+    """The rows of some ids. The condition reaches the scan: files and row groups are left out by their statistics, and of the others only the
+    pages that may hold an id are read, since rows are in id order. Up to ten ids are looked up one by one, more as the range that they span.
+    """
+    return read_tokens(spark, path, id_col).filter(F.col(id_col).isin([int(i) for i in ids]))
+
+
 def with_starts(tokens: DataFrame) -> DataFrame:
     """tokens plus start: the ids of all documents before each.
 

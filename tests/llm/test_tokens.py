@@ -57,6 +57,35 @@ def test_crc_and_empty(spark, no_docs):
     assert O.with_starts(O.read_tokens(spark, path)).count() == 0
 
 
+def test_the_file_format(spark, tmp_path):
+    """Dictionary or delta encoding, bounded row groups, page indexes; and chosen ids read a few pages only."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, " ".join(f"word{(k * j) % 991}" for j in range(60))) for k in range(3000)], "doc_id long, text string").coalesce(1)
+    path = f"file://{tmp_path}/ids"
+    O.write_tokens(docs.withColumns({"part": docs.doc_id, "row": docs.doc_id, "ids": docs.text}), path, vocabulary(KINDS[0][0]), "words", end_id=2, row_group_bytes=50_000, page_rows=100)
+    groups = rows = 0
+    for f in glob.glob(f"{tmp_path}/ids/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        rows += meta.num_rows
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert set(columns) == {"part", "row", "doc_id", "n_tokens", "ids.list.element"}
+            for c in columns.values():
+                assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(c.encodings) and c.has_offset_index and c.compression == "ZSTD"
+            assert all(columns[c].has_column_index for c in ("part", "row", "doc_id", "n_tokens"))
+    assert rows == 3000 and groups > 4
+    found = O.read_documents(spark, path, [5, 2900])
+    assert sorted(r.doc_id for r in found.collect()) == [5, 2900]
+    scanned = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+    assert scanned <= 400  # two pages, of which groups may share rows
+    whole = O.read_tokens(spark, path).select("n_tokens")
+    assert "ids" not in whole._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
 def test_best_fit_is_exact_on_small_cases():
     bins, offsets = P.best_fit([6, 5, 5, 4], 10)
     assert len(set(bins)) == 2 and sorted(zip(bins, offsets)) == sorted(set(zip(bins, offsets)))
@@ -101,6 +130,29 @@ def test_packing_places_every_piece(spark, docs, hard_docs, group_rows):
     assert len(held) <= least * (1.15 if group_rows == 40 else 1.05) + 1
 
 
+def test_packing_through_the_tree():
+    """Twelve groups, packed and merged as the rounds do: next to no sequence more than the lengths need."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(2047, rng.lognormal(6, 1, 60_000).astype(int) + 1)
+    groups = [pa.table({"bin": pa.array(part), "length": pa.array(lengths[part]), "offset": pa.array(np.zeros(len(part), np.int64)), "done": pa.array(np.zeros(len(part), bool))}) for part in np.array_split(np.arange(len(lengths)), 12)]
+    final = 0
+    while groups:
+        last = len(groups) == 1
+        packed = [P._round(2048, 512, 2037, last)(g) for g in groups]
+        final += sum(len(set(t.filter(t["done"])["bin"].to_pylist())) for t in packed)
+        rest = [t.filter(pa.array([not x for x in t["done"].to_pylist()])) for t in packed]
+        groups = [] if last else [pa.concat_tables(rest[i::2]) for i in range(2)] if len(groups) > 2 else [pa.concat_tables(rest)]
+    assert final <= -(-lengths.sum() // 2048) * 1.002 + 1
+
+
+def test_packing_with_clashing_columns(spark):
+    pieces = spark.createDataFrame([(1, 5, "a"), (2, 6, "b"), (3, 10, "c")], "doc_id long, length long, extra string").selectExpr("*", "9 AS uid", "9 AS bin", "9 AS grp", "true AS done", "'x' AS sequence_id", "1.5 AS offset")
+    rows = P.pack_pieces(pieces, 10).collect()
+    assert {(r.doc_id, r.extra) for r in rows} == {(1, "a"), (2, "b"), (3, "c")} and len({r.sequence_id for r in rows}) == 3 and {r.offset for r in rows} == {0}
+
+
 def test_packing_empty_and_wrong(spark, no_docs):
     pieces = P.token_pieces(no_docs, vocabulary(KINDS[1][0]), "bytes", 0)
     assert P.pack_pieces(pieces).count() == 0

@@ -157,6 +157,34 @@ def test_byte_ranges_meet_each_member_once(spark, docs, hard_docs):
     assert len(rows) == len(hard_docs) and len({r.member for r in rows}) == len(rows)
 
 
+def test_archives_of_lost_attempts_are_not_seen(spark, tmp_path):
+    """A task that ran twice leaves archives that its result doesn't name."""
+    df = spark.createDataFrame([(k, b"y" * 700) for k in range(4)], "id long, data binary").coalesce(1)
+    assert media.write_archives(df, f"file://{tmp_path}/a", "id", "data", archive_bytes=900) == 4
+    one = next((tmp_path / "a").glob("*.zip"))
+    (tmp_path / "a" / "part-000000-0000-lost.zip").write_bytes(one.read_bytes())
+    (tmp_path / "a" / "part-000009-0000-torn.zip").write_bytes(one.read_bytes()[:50])
+    rows = media.read_archives(spark, f"file://{tmp_path}/a").collect()
+    assert sorted(r.member.split("/")[1] for r in rows) == ["0", "1", "2", "3"] and all(r.error is None for r in rows)
+    # a folder of foreign archives has no manifest
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "any.zip").write_bytes(one.read_bytes())
+    assert media.read_archives(spark, f"file://{tmp_path}/b").count() == 4
+
+
+def test_media_names_and_features(spark, docs):
+    assert media.open_store("file:///tmp/x")[1] == "/tmp/x"
+    clash = docs.filter("doc_id = 1").selectExpr("*", "1 AS archive", "2 AS member", "3 AS media", "4 AS name", "5 AS data")
+    got = media.media_columns(clash, f"{Scratch(spark, 'test').root}/clash").select("doc_id", media.features_udf()("media").alias("f")).first()
+    x = np.frombuffer(media.pad(clash.first().text.encode()), np.uint8).astype(float)
+    hist = [int(((x // 16) == k).sum()) for k in range(16)]
+    bits = "".join("1" if c.mean() > x.mean() else "0" for c in x.reshape(64, -1))
+    want = f"mean={int(x.mean() * 256)};std={int(x.std() * 256)};hist={bytes(h * 255 // max(hist) for h in hist).hex()};hash={int(bits, 2):016x}"
+    assert got.f.feature == want
+    with pytest.raises(ValueError, match="not a PNG"):
+        media.decode_png(b"GIF89a")
+
+
 def test_a_bad_member_is_reported_and_others_stay(spark, tmp_path):
     df = spark.createDataFrame([(k, b"x" * 600 * k) for k in range(1, 4)], "id long, data binary").coalesce(1)
     media.write_archives(df, f"file://{tmp_path}", "id", "data")
