@@ -1,4 +1,7 @@
-"""Alignment of tokens with segments and windows."""
+"""Alignment of tokens with segments and windows.
+
+Null texts or token lists give nothing; tokens that no segment holds map to 0; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Attention analytics over cells attn(window_idx, layer, head, i, j, w); cells that are absent count as 0 in dense statistics."""
+"""Attention analytics over cells attn(window_idx, layer, head, i, j, w); cells that are absent count as 0 in dense statistics.
+
+Where a function says nothing else: empty tables give empty tables (summaries over everything one row), and a null weight is an absent cell for sums.
+"""
 
 from __future__ import annotations
 
@@ -316,7 +319,7 @@ def blockwise_attention(vectors: DataFrame, heads: int, block: int = 64, adaptiv
     """window_idx, i, out: low-rank attention of each window's vectors (window_idx, i, vec) to themselves in blocks.
 
     A pair of blocks keeps .3 of its ranks on the diagonal and .1 off it, or .2 everywhere if not adaptive (at least one, at most `most`); a block's outputs over all
-    key blocks are summed. Vectors of a window are of one length, a multiple of heads.
+    key blocks are summed. Vectors of a window are of one length, a multiple of heads; null vectors, and those that hold nulls, are left out.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -335,7 +338,8 @@ def blockwise_attention(vectors: DataFrame, heads: int, block: int = 64, adaptiv
         at = pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32())
         return pa.table([pa.array([table["window_idx"][0].as_py()] * n, pa.int64()), pa.array(table["i"].to_numpy()[order], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat.ravel()))], ["window_idx", "i", "out"])
 
-    rows = vectors.select(F.col("window_idx").cast("long").alias("window_idx"), F.col("i").cast("long").alias("i"), F.transform("vec", lambda v: v.cast("double")).alias("vec"))
+    whole = F.col("window_idx").isNotNull() & F.col("i").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
+    rows = vectors.filter(whole).select(F.col("window_idx").cast("long").alias("window_idx"), F.col("i").cast("long").alias("i"), F.transform("vec", lambda v: v.cast("double")).alias("vec"))
     return rows.groupBy("window_idx").applyInArrow(run, "window_idx long, i long, out array<double>")
 
 

@@ -1,4 +1,7 @@
-"""Markdown deduplication within a document: sections by normalised content, code blocks by their code."""
+"""Markdown deduplication within a document: sections by normalised content, code blocks by their code.
+
+A null or empty text has no sections and becomes the empty text; ties go to the first in order; ids should be unique.
+"""
 
 from __future__ import annotations
 

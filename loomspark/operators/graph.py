@@ -1,4 +1,8 @@
-"""Graph construction and analytics over edge tables (src, dst, weight, edge_type), many graphs at once by graph_id or doc_id."""
+"""Graph construction and analytics over edge tables (src, dst, weight, edge_type), many graphs at once by graph_id or doc_id.
+
+Where a function says nothing else: empty tables give empty tables (whole-graph statistics one row), rows with null keys join nothing, a null edge type counts as 0
+and a null weight as 1, and repeated edges count each.
+"""
 
 from __future__ import annotations
 
@@ -216,8 +220,10 @@ def _ranks(damping: float, iterations: int, tol: float | None, directed: bool):
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol: float | None = 1e-6, directed: bool = False) -> DataFrame:
     """graph_id, id, importance of each graph (nodes: graph_id, id; edges: graph_id, src, dst, weight), one graph a task.
 
-    Missing weights are 1, dangling mass spreads evenly. For a graph beyond a task's memory use pagerank_shuffled.
+    Missing weights are 1, dangling mass spreads evenly; null ids, and edges with a null end, are left out; rows that repeat a node are one. For a graph beyond a
+    task's memory use ranked or pagerank_shuffled.
     """
+    nodes, edges = nodes.filter("graph_id IS NOT NULL AND id IS NOT NULL"), edges.filter("graph_id IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL")
     named = nodes.select("graph_id", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("weight"))
     return edges.select("graph_id", "src", "dst", "weight").unionByName(named).groupBy("graph_id").applyInArrow(_ranks(damping, iterations, tol, directed), "graph_id long, id long, importance double")
 
@@ -238,13 +244,15 @@ def ranked(nodes: DataFrame, edges: DataFrame, cut, damping: float = 0.85, itera
 
 
 def pagerank_shuffled(nodes: DataFrame, edges: DataFrame, cut, damping: float = 0.85, iterations: int = 20, directed: bool = False) -> DataFrame:
-    """id, importance of one large graph by joins; cut(df, k) writes each step's ranks to the shared folder and reads them back."""
+    """id, importance of one large graph by joins; cut(df, k) writes each step's ranks to the shared folder and reads them back.
+    Null ids, and edges with a null end, are left out; without nodes there are no rows."""
+    nodes, edges = nodes.select("id").filter("id IS NOT NULL").distinct(), edges.filter("src IS NOT NULL AND dst IS NOT NULL")
     e = edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     if not directed:
         e = e.unionByName(e.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     total = e.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(e.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), -1)
-    n = nodes.count()
+    n = max(1, nodes.count())
     ranks = nodes.select("id", F.lit(1.0 / n).alias("importance"))
     for k in range(iterations):
         given = share.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("importance") * F.col("share")).alias("got"))

@@ -1,4 +1,8 @@
-"""Segmentation: one text to many pieces, as array-valued column expressions or ordered rows."""
+"""Segmentation: one text to many pieces, as array-valued column expressions or ordered rows.
+
+A null text gives a null array, or no rows; an empty or blank one no pieces, unless a function says otherwise. Empty tables give empty tables. Where rows are
+ordered within a document, doc_id should be unique.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Vectors: similarity pairs, scatter aggregation and pooling between tokens, segments and nodes."""
+"""Vectors: similarity pairs, scatter aggregation and pooling between tokens, segments and nodes.
+
+Where a function says nothing else: null vectors give no components, null components are skipped by means, sums and maxima, a null index is a group of its
+own, and empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Context windows over characters, words and tokens, and the graph between them."""
+"""Context windows over characters, words and tokens, and the graph between them.
+
+A null text gives no windows (a null array, as a column); empty tables give empty tables; rows that repeat a doc_id are documents of their own only in
+column functions, so ids should be unique where windows are compared.
+"""
 
 from __future__ import annotations
 
