@@ -17,14 +17,13 @@ Nothing is emitted for pairs, so large groups of copies cost their size.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType
 
 from loomspark.llm.common import NULL_ID, Scratch, give_back_memory, hot_split_join, keyed, text_bytes
 from loomspark.operators.graph import component_labels
@@ -67,52 +66,12 @@ def _facts_udf(words: int, k: int):
     return facts
 
 
-def _verify_udf(words: int, percent: int):
-    @F.arrow_udf(BooleanType())
-    def linked(a_texts: pa.Array, b_texts: pa.Array) -> pa.Array:
-        """Exact test on the full sets of both texts."""
-        held: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-        def get(text: bytes) -> np.ndarray:
-            if text not in held:
-                held[text] = shingle_set(text, words)
-                if len(held) > 16:
-                    held.popitem(last=False)
-            return held[text]
-
-        out = []
-        for a, b in zip(a_texts, b_texts):
-            x, y = get(a.as_py()), get(b.as_py())
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
-
-    return linked
-
-
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) pairs to (node, comp): the smallest node of each connected component."""
     labels = component_labels(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), lambda df, step: scratch.write(df, f"{name}-{step}"))
     return labels.withColumnRenamed("id", "node")
 
 
-def _estimate(k: int):
-    """Jaccard estimate from two sketches: how much of the union's k smallest values both hold."""
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    both = F.array_intersect(F.array_intersect("sa", "sb"), union)
-    return F.size(both) / F.greatest(F.size(union), F.lit(1))
-
-
-def _attach(pairs: DataFrame, table: DataFrame, value: str, names: tuple[str, str], scratch: Scratch, name: str) -> DataFrame:
-    """pairs (a, b) with value of both. b may be a hub: its value is copied once for each 500 of its pairs, so no task meets them all."""
-    counts = scratch.write(pairs.groupBy("b").agg(F.count("*").alias("__rows")), f"{name}-counts")
-    parts = (F.col("__rows") / 500).cast("int") + 1
-    salted = hot_split_join(pairs, counts, "b", "__rows").withColumn("__salt", F.pmod(F.xxhash64("a"), parts)).drop("__rows")
-    hubs = table.select(F.col("node").alias("b"), F.col(value).alias(names[1])).join(counts, "b").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__rows")
-    mine = table.select(F.col("node").alias("a"), F.col(value).alias(names[0]))
-    return salted.withColumn("__salt", F.col("__salt").cast("int")).join(mine.hint("merge"), "a").join(hubs.hint("merge"), ["b", "__salt"]).drop("__salt")
-
-
 def _overlaps(sketches: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, most: int = 1 << 22) -> np.ndarray:
     """(rows x cols) numbers of values that two sketches share, from the inverted list of each value."""
     owner = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
@@ -233,9 +192,10 @@ def _family_udf(percent: int, k: int):
                 for i, j in spanning_links(sets, comp[own], rows, cols, percent, k):
                     out_a.append(int(node[own[i]]))
                     out_b.append(int(node[own[j]]))
-        done = pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        done, large = pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"]), table.nbytes > 4 << 20
         del table, raw
-        give_back_memory()
+        if large:
+            give_back_memory()
         return done
 
     return compare
@@ -249,13 +209,11 @@ def _full_udf(words: int):
     return full
 
 
-def _set_udf(words: int):
-    @F.arrow_udf("array<long>")
-    def values(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t.as_py(), words) for t in texts]
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))
-
-    return values
+@F.arrow_udf(ArrayType(LongType()))
+def _values_of(full: pa.Array) -> pa.Array:
+    """The hashes of sets stored as bytes."""
+    sets = [np.frombuffer(x.as_buffer(), np.int64) for x in full]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))
 
 
 def _may_be_in(nodes: DataFrame, id_col: str, most_bits: int):
@@ -285,7 +243,7 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     share = percent / 100
-    few, slack = sketch_bounds(percent, k)
+    few, _ = sketch_bounds(percent, k)
     rows = keyed(docs.select(id_col, text_col), id_col).select("__id", F.col(id_col).isNull().alias("__null"), text_bytes(text_col).alias("__t"))
     facts = rows.select("__id", "__null", F.xxhash64("__t").alias("th"), _facts_udf(words, k)(F.col("__t")).alias("f"))
     facts = scratch.write(facts.select(F.monotonically_increasing_id().alias("node"), "__id", "__null", "th", "f.*"), "facts")
@@ -311,76 +269,72 @@ def _assigned(docs: DataFrame, words: int, percent: int, k: int, id_col: str, te
     star = hot_split_join(lists, heads, "v", "m").filter(F.col("node") != F.col("b"))
     star = scratch.write(star.select(F.col("node").alias("a"), "b").distinct(), "star")
 
-    def texts_of(ends: DataFrame) -> DataFrame:
-        """node and __t of the nodes in ends (node, __id, th; written)."""
-        texts = rows.filter(_may_be_in(ends, "__id", filter_bits)).withColumn("th", F.xxhash64("__t"))
-        return texts.join(ends.hint("merge"), ["__id", "th"]).select("node", "__t").dropDuplicates(["node"])
-
-    def ends_of(members: DataFrame, name: str) -> DataFrame:
-        return scratch.write(nodes.select("node", "__id", "th").join(members.select("node").hint("merge"), "node"), name)
-
-    def by_sketch(pairs: DataFrame, name: str) -> DataFrame:
-        both = _attach(pairs, nodes.withColumn("p", F.struct("sketch", "n")), "p", ("pa", "pb"), scratch, name)
-        both = both.select("a", "b", F.col("pa.sketch").alias("sa"), F.col("pb.sketch").alias("sb"), (F.greatest("pa.n", "pb.n") <= k).alias("whole"))
-        return both.filter(_estimate(k) >= F.lit(share) - F.when(F.col("whole"), 1e-9).otherwise(slack)).select("a", "b")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        ends = ends_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-ends")
-        texts = scratch.write(texts_of(ends), f"{name}-texts")
-        both = _attach(pairs, texts, "__t", ("ta", "tb"), scratch, name)
-        edges = scratch.write(both.filter(_verify_udf(words, percent)(F.col("ta"), F.col("tb"))).select("a", "b").distinct(), f"{name}-edges")
-        scratch.drop(f"{name}-texts", f"{name}-ends")
-        return edges
-
-    families = components(star, scratch, "families").withColumnRenamed("comp", "fam").join(nodes.select("node", "n").hint("merge"), "node")
-    families = scratch.write(families.select("fam", "node", weight.alias("w")), "families-weighed")
+    families = components(star, scratch, "families").withColumnRenamed("comp", "fam").join(nodes.select("node", "n", "__id", "th").hint("merge"), "node")
+    families = scratch.write(families.select("fam", "node", weight.alias("w"), "__id", "th"), "families-weighed")
     sizes = scratch.write(families.groupBy("fam").agg(F.count("*").alias("m"), F.sum("w").alias("held")), "family-sizes")
-    sized = hot_split_join(families, sizes, "fam", "m").drop("m")
-    members = sized.filter("held <= 1").select("fam", "node", "w", F.col("node").alias("comp"))
+    texts = rows.filter(_may_be_in(families, "__id", filter_bits)).withColumn("th", F.xxhash64("__t"))
+    full = texts.join(families.select("node", "__id", "th").hint("merge"), ["__id", "th"]).select("node", _full_udf(words)(F.col("__t")).alias("full")).dropDuplicates(["node"])
+    whole = hot_split_join(families.select("fam", "node", "w"), sizes, "fam", "m").drop("m").join(full.hint("merge"), "node")
+    whole = scratch.write(whole, "whole")
+
+    cols = ["fam", "i", "j", "node", "comp", "full", "is_row", "is_col"]
+    compare = _family_udf(percent, k)
+
+    def in_cells(members: DataFrame, total: float) -> DataFrame:
+        """Links within families that fit a cell; members: fam, node, comp, full."""
+        cells = max(1, math.ceil((total or 0) / 2))
+        both = {"i": F.pmod(F.xxhash64("fam"), F.lit(cells)).cast("int"), "j": F.lit(-1), "is_row": F.lit(True), "is_col": F.lit(True)}
+        return members.withColumns(both).select(*cols).groupBy("i", "j").applyInArrow(compare, "a long, b long")
+
+    fits = sizes.agg(F.sum(F.when(F.col("held") <= 1, F.col("held")))).first()[0]
+    edges = in_cells(whole.filter("held <= 1").withColumn("comp", F.col("node")), fits)
     first = None
     if sizes.filter("held > 1").limit(1).count():
-        large = scratch.write(sized.filter("held > 1").select("fam", "node", "w"), "large")
-        pairs = star.join(large.select(F.col("node").alias("a")).hint("merge"), "a")
-        first = confirmed(scratch.write(by_sketch(scratch.write(pairs, "inside"), "star-est"), "likely"), "first")
+        big = whole.filter("held > 1").select("fam", "node", "w", "full")
+        # each member against its lists' heads; a head stands in as many cells as its members fill
+        pairs = scratch.write(star.join(big.select(F.col("node").alias("a"), "w").hint("merge"), "a"), "inside")
+        heads = scratch.write(pairs.groupBy("b").agg(F.count("*").alias("rows"), F.ceil(F.sum("w")).cast("int").alias("parts")), "inside-heads")
+        part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
+        spokes = hot_split_join(pairs.select("a", "b"), heads, "b", "rows").select("b", part, F.col("a").alias("node"), F.lit(True).alias("is_row"))
+        hubs = heads.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("node"), F.lit(False).alias("is_row"))
+        met = spokes.unionByName(hubs).join(big.select("node", "full").hint("merge"), "node")
+        cells = max(1, math.ceil((pairs.agg(F.sum("w")).first()[0] or 0) / 2))
+        met = met.withColumns({"fam": F.xxhash64("b", "part"), "comp": F.col("node"), "j": F.lit(-1), "is_col": ~F.col("is_row")})
+        met = met.withColumn("i", F.pmod(F.xxhash64("fam"), F.lit(cells)).cast("int"))
+        first = scratch.write(met.select(*cols).groupBy("i").applyInArrow(compare, "a long, b long"), "first")
         labels = components(first, scratch, "first-labels")
-        large = scratch.write(large.join(labels.hint("merge"), "node", "left").select("fam", "node", "w", F.coalesce("comp", "node").alias("comp")), "labelled")
+        large = scratch.write(big.drop("full").join(labels.hint("merge"), "node", "left").select("fam", "node", "w", F.coalesce("comp", "node").alias("comp")), "labelled")
         open_ = large.groupBy("fam").agg(F.count("*").alias("m"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
-        apart = scratch.write(hot_split_join(large, scratch.write(open_.select("fam", "m"), "open"), "fam", "m").select("node", "w", "comp"), "apart")
+        apart = hot_split_join(large, scratch.write(open_.select("fam", "m"), "open"), "fam", "m").select("node", "w", "comp")
+        apart = scratch.write(apart.join(big.select("node", "full").hint("merge"), "node"), "apart")
         # the exact prefix rule: two sets alike enough share one of the n - need + 1 rarest shingles of each
-        whole = texts_of(ends_of(apart, "apart-ends")).select("node", F.explode(_set_udf(words)(F.col("__t"))).alias("v"))
-        whole = scratch.write(whole, "apart-values")
-        often = scratch.write(whole.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "apart-shared")
-        vs = hot_split_join(whole, often, "v", "df").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-        vs = vs.join(nodes.select("node", "n").hint("merge"), "node").withColumn("look", F.size("vs") - F.ceil(F.col("n") * percent / 100) + 1).filter("look > 0")
-        near = vs.select("node", F.explode(F.slice("vs", F.lit(1), F.col("look").cast("int"))).alias("e")).select("node", F.col("e.v").alias("v"))
-        near = scratch.write(near.join(apart.select("node", "comp").hint("merge"), "node"), "apart-lists")
+        each = scratch.write(apart.select("node", F.explode(_values_of(F.col("full"))).alias("v")), "apart-values")
+        often = scratch.write(each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "apart-shared")
+        vs = hot_split_join(each, often, "v", "df").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+        vs = vs.join(apart.select("node", "comp", (F.octet_length("full") / 8).cast("long").alias("n")).hint("merge"), "node")
+        vs = vs.withColumn("look", F.size("vs") - F.ceil(F.col("n") * percent / 100) + 1).filter("look > 0")
+        near = scratch.write(vs.select("node", "comp", F.explode(F.slice("vs", F.lit(1), F.col("look").cast("int"))).alias("e")).select("node", "comp", F.col("e.v").alias("v")), "apart-lists")
+        scratch.drop("apart-values", "apart-shared")
         heads = near.groupBy("v").agg(F.count("*").alias("m"), F.min("node").alias("b"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
         again = hot_split_join(near, scratch.write(heads.select("v", "m", "b"), "apart-heads"), "v", "m").filter(F.col("node") != F.col("b"))
         again = components(again.select(F.col("node").alias("a"), "b").distinct(), scratch, "apart-families").withColumnRenamed("comp", "fam")
-        members = members.unionByName(again.join(apart.hint("merge"), "node").select("fam", "node", "w", "comp"))
-        scratch.drop("apart-values", "apart-shared", "apart-ends")
-    members = scratch.write(members, "members")
-    full = texts_of(ends_of(members, "family-ends")).select("node", _full_udf(words)(F.col("__t")).alias("full"))
-    whole = scratch.write(members.join(full.hint("merge"), "node"), "whole")
-    main = members.groupBy("fam", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("cw")).groupBy("fam").agg(F.sum("c").alias("m"), F.sum("cw").alias("held"), F.max_by(F.struct("comp", "c", "cw"), F.struct("c", "comp")).alias("main"))
-    main = scratch.write(main, "main")
-    placed = scratch.write(hot_split_join(whole, main, "fam", "m"), "placed")
-    cells = max(1, math.ceil((main.filter("held <= 1").agg(F.sum("held")).first()[0] or 0) / 2))
-    cols = ["fam", "i", "j", "node", "comp", "full", "is_row", "is_col"]
-    small = placed.filter("held <= 1").withColumns({"i": F.pmod(F.xxhash64("fam"), F.lit(cells)).cast("int"), "j": F.lit(-1), "is_row": F.lit(True), "is_col": F.lit(True)})
-    edges = small.select(*cols).groupBy("i", "j").applyInArrow(_family_udf(percent, k), "a long, b long")
-    large = placed.filter("held > 1")
-    several = F.col("main.c") > 1
-    n_i, n_j = F.ceil(F.col("held") - F.when(several, F.col("main.cw")).otherwise(0.0) + 1e-6).cast("int"), F.ceil(F.col("held") / 2).cast("int")
-    spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    as_rows = large.filter((F.col("comp") != F.col("main.comp")) | ~several).withColumns({"i": spot(n_i, 1), "j": F.explode(F.sequence(F.lit(0), n_j - 1)), "is_row": F.lit(True), "is_col": F.lit(False)})
-    as_cols = large.withColumns({"j": spot(n_j, 2), "i": F.explode(F.sequence(F.lit(0), n_i - 1)), "is_row": F.lit(False), "is_col": F.lit(True)})
-    grid = as_rows.select(*cols).unionByName(as_cols.select(*cols))
-    edges = edges.unionByName(grid.groupBy("fam", "i", "j").applyInArrow(_family_udf(percent, k), "a long, b long"))
+        members = scratch.write(again.join(apart.hint("merge"), "node").select("fam", "node", "w", "comp", "full"), "members")
+        main = members.groupBy("fam", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("cw")).groupBy("fam").agg(F.sum("c").alias("m"), F.sum("cw").alias("held"), F.max_by(F.struct("comp", "c", "cw"), F.struct("c", "comp")).alias("main"))
+        main = scratch.write(main, "main")
+        placed = scratch.write(hot_split_join(members, main, "fam", "m"), "placed")
+        edges = edges.unionByName(in_cells(placed.filter("held <= 1"), main.agg(F.sum(F.when(F.col("held") <= 1, F.col("held")))).first()[0]))
+        large = placed.filter("held > 1")
+        several = F.col("main.c") > 1
+        n_i, n_j = F.ceil(F.col("held") - F.when(several, F.col("main.cw")).otherwise(0.0) + 1e-6).cast("int"), F.ceil(F.col("held") / 2).cast("int")
+        spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+        as_rows = large.filter((F.col("comp") != F.col("main.comp")) | ~several).withColumns({"i": spot(n_i, 1), "j": F.explode(F.sequence(F.lit(0), n_j - 1)), "is_row": F.lit(True), "is_col": F.lit(False)})
+        as_cols = large.withColumns({"j": spot(n_j, 2), "i": F.explode(F.sequence(F.lit(0), n_i - 1)), "is_row": F.lit(False), "is_col": F.lit(True)})
+        grid = as_rows.select(*cols).unionByName(as_cols.select(*cols))
+        edges = edges.unionByName(grid.groupBy("fam", "i", "j").applyInArrow(compare, "a long, b long"))
     if first is not None:
         edges = edges.unionByName(first)
     edges = scratch.write(edges.filter("a <> b"), "edges")
-    scratch.drop("whole", "placed", "family-ends")
+    scratch.drop("whole", "placed", "members", "apart")
     labels = components(edges, scratch, "labels")
 
     reach = classes.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
