@@ -10,10 +10,9 @@ from loomspark.plans import catalogue
 
 # at least one of each operator module, and all that run Python
 NAMES = [
-    "tree_segments", "tree_stats", "tree_preorder_edges", "tree_semantic_edges", "vec_pairs_gt_030", "vec_topk_neighbors", "vec_scatter_dense", "vec_segment_pool", "vec_dual", "vec_hashed_embedding",
-    "ana_pagerank20", "ana_wcc", "ana_clustering_coeff", "ana_triangles_cliques", "ana_node_patterns", "att_low_rank_svd", "att_blockwise", "att_constrained_low_rank", "att_spectra_rank", "att_greedy_segments",
-    "att_merge5", "seg_semantic_pieces", "seg_by_attention", "seg_by_rule", "seg_prompt_guided", "win_context", "win_graph_edges", "win_token_sliding", "tok_interval_map", "tok_positions",
-    "dedup_ratio", "dedup_code", "seed_hash_sample", "doc_guided", "doc_narrative", "doc_graph_summary", "doc_reconstruction", "graph_relations", "het_minibatch_2hop", "het_batch_edges", "het_cached_fetch", "ev_session",
+    "tree_stats", "tree_preorder_edges", "vec_pairs_gt_030", "vec_topk_neighbors", "vec_segment_pool", "vec_dual", "ana_pagerank20", "ana_wcc", "ana_clustering_coeff", "ana_node_patterns",
+    "att_low_rank_svd", "att_blockwise", "att_constrained_low_rank", "att_greedy_segments", "seg_semantic_pieces", "seg_by_attention", "win_context", "win_token_sliding", "tok_interval_map",
+    "tok_positions", "dedup_ratio", "dedup_code", "seed_hash_sample", "doc_guided", "doc_graph_summary", "doc_reconstruction", "graph_relations", "het_batch_edges", "het_cached_fetch", "ev_session",
 ]
 
 
