@@ -31,14 +31,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def give_back_memory() -> None:
-    """Free heap pages to the system after a large task, since its Python worker lives on."""
-    gc.collect()
+def trim() -> None:
+    """Free heap pages to the system; a Python worker lives on after its batch."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def give_back_memory() -> None:
+    """The same after a large task, with what Python itself still holds."""
+    gc.collect()
+    trim()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, hot_split_join, keyed, text_bytes
+from loomspark.llm.common import Scratch, hot_split_join, keyed, text_bytes, trim
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -34,7 +34,10 @@ def _hashes_udf(min_chars: int):
         for t in texts:
             keys = {k for k in map(line_key, t.as_py().split(b"\n")) if is_long(k, min_chars)}
             out.append([xxhash.xxh3_128_digest(k) for k in keys])
-        return pa.array(out, pa.list_(pa.binary()))
+        hashes = pa.array(out, pa.list_(pa.binary()))
+        del out
+        trim()
+        return hashes
 
     return line_hashes
 
@@ -59,7 +62,10 @@ def _rebuild_udf(min_chars: int):
             kept.append(text)
             total.append(n)
             lost.append(gone)
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], ["text", "n_lines", "n_dropped"])
+        texts = pa.array(kept, pa.binary()).cast(pa.string())
+        del kept
+        trim()
+        return pa.StructArray.from_arrays([texts, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], ["text", "n_lines", "n_dropped"])
 
     return rebuild
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType
 
-from loomspark.llm.common import NULL_ID, Scratch, give_back_memory, hot_split_join, keyed, text_bytes
+from loomspark.llm.common import NULL_ID, Scratch, give_back_memory, hot_split_join, keyed, text_bytes, trim
 from loomspark.operators.graph import component_labels
 
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -61,6 +61,7 @@ def _facts_udf(words: int, k: int):
             sketches.append(s[:k].copy())  # a slice would keep the whole set
             at.append(at[-1] + min(len(s), k))
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sketches) if sketches else [], pa.int64()))
+        trim()
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), lists], fields=list(kind))
 
     return facts
@@ -192,7 +193,7 @@ def _family_udf(percent: int, k: int):
                 for i, j in spanning_links(sets, comp[own], rows, cols, percent, k):
                     out_a.append(int(node[own[i]]))
                     out_b.append(int(node[own[j]]))
-        done, large = pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"]), table.nbytes > 4 << 20
+        done, large = pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"]), table.nbytes > 1 << 20
         del table, raw
         if large:
             give_back_memory()
@@ -204,7 +205,9 @@ def _family_udf(percent: int, k: int):
 def _full_udf(words: int):
     @F.arrow_udf(BinaryType())
     def full(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
+        sets = pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
+        trim()
+        return sets
 
     return full
 

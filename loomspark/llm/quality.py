@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loomspark.llm.common import small_batches, text_bytes
+from loomspark.llm.common import small_batches, text_bytes, trim
 from loomspark.llm.learning import held_out, labelled_sample, sigmoid, train_in_one_task
 
 WORDS = 1 << 16
@@ -138,6 +138,7 @@ def score_quality(docs: DataFrame, model: dict, text_col: str = "text", score_co
         for k in range(0, len(texts), 256):
             raw, _ = raw_scores(model, *_stacked([t.as_py() for t in texts[k : k + 256]]))
             out.append(sigmoid(raw))
+        trim()
         return pa.array(np.concatenate(out), pa.float64())
 
     return docs.withColumn(score_col, score(text_bytes(text_col)))
