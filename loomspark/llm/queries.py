@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import licenses, line_dedup, media, mixing, near_dedup, packing, quality, token_output, topk, toxicity
+from loomspark.llm import importance, licenses, line_dedup, media, mixing, near_dedup, packing, periodic_runs, quality, suffix_dedup, token_output, topk, toxicity
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
@@ -19,6 +19,9 @@ _MODULES = {
     "op8_mixing": mixing,
     "op9_toxicity": toxicity,
     "op10_media": media,
+    "op11_periodic_runs": periodic_runs,
+    "op12_suffix_dedup": suffix_dedup,
+    "op13_importance": importance,
 }
 
 
