@@ -47,9 +47,9 @@ def peaks(flows: DataFrame, threshold: float = 0.3) -> DataFrame:
     return rows.filter(F.col("flow") > F.col("near") * (1 + threshold)).select("window_idx", F.col("i").alias("position"), (F.col("flow") / F.col("near") - 1).alias("strength"), F.lit("attention_peak").alias("type"))
 
 
-def consolidate(boundaries: DataFrame, least: float = 0.2) -> DataFrame:
-    """position, strength (mean), type (a drop if any is), n, of those over least."""
-    rows = boundaries.groupBy("position").agg(F.avg("strength").alias("strength"), F.min("type").alias("type"), F.count("*").alias("n"))
+def consolidate(boundaries: DataFrame, least: float = 0.2, keys: list[str] | None = None) -> DataFrame:
+    """position (or the given keys), strength (mean), type (a drop if any is), n, of those over least."""
+    rows = boundaries.groupBy(*(keys or ["position"])).agg(F.avg("strength").alias("strength"), F.min("type").alias("type"), F.count("*").alias("n"))
     return rows.filter(F.col("strength") > least)
 
 

@@ -77,6 +77,36 @@ def build_tree(docs: DataFrame, rules: list[Callable[[Column], Column]], levels:
     return every
 
 
+def grow(segments: DataFrame, rules: list[Callable[[Column], Column]], cut: Callable[[DataFrame, int | str], DataFrame], done: DataFrame | None = None, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(segments, done): a tree grown on by a frontier of work rows, each a segment and a rule that hasn't seen it.
+
+    A round's frontier is every open segment of any level with every rule, less what `done` (doc_id, seg_id, rule_idx) holds; so a rule added later is tried on all old
+    segments, a new document's root on all rules, and nothing twice, which leaves no duplicates. The rounds end when no segment was added. cut writes a round and gives it
+    back read. To go on later keep both results.
+    """
+    tried = [] if done is None else [done]
+    every, frontier, known = segments, segments.filter("not atomic"), done
+    numbers = F.array(*[F.lit(k) for k in range(len(rules))])
+    for k in range(rounds):
+        work = frontier.withColumn("__rule", F.explode(numbers))
+        if known is not None:
+            work = work.join(known.select("doc_id", "seg_id", F.col("rule_idx").alias("__rule")), ["doc_id", "seg_id", "__rule"], "left_anti")
+        work = cut(work.select(*COLUMNS, "__rule"), f"work-{k}")
+        kids = None
+        for i, rule in enumerate(rules):
+            found = children(work.filter(F.col("__rule") == i).drop("__rule"), rule, i)
+            kids = found if kids is None else kids.unionByName(found)
+        kids = cut(kids, f"kids-{k}")
+        tried.append(work.select("doc_id", "seg_id", F.col("__rule").alias("rule_idx")))
+        if not has_pending(kids):
+            break
+        every, frontier, known = every.unionByName(kids), kids.filter("not atomic"), None  # what is new no rule has seen
+    pairs = tried[0]
+    for t in tried[1:]:
+        pairs = pairs.unionByName(t)
+    return every, pairs
+
+
 def has_pending(segments: DataFrame) -> bool:
     """Some segment is left to work on."""
     return segments.limit(1).count() > 0

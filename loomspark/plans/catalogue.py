@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.plans import attention_plans, dual_plans, graph_plans, more_plans, synthesis_plans, text_plans  # noqa: F401
+from loomspark.plans import attention_plans, dual_plans, graph_plans, loop_plans, more_plans, synthesis_plans, text_plans  # noqa: F401
 from loomspark.plans.registry import QUERIES, SQL
 
 

@@ -11,6 +11,7 @@ from loomspark.operators import attention as A
 from loomspark.operators import graph as G
 from loomspark.operators import segment as S
 from loomspark.operators import synth as Y
+from loomspark.operators import text_attention as TA
 from loomspark.operators import tree as R
 from loomspark.operators import vectors as V
 from loomspark.plans import attention_plans as AP
@@ -179,31 +180,75 @@ def _head_scores(spark, d):
     return A.constrained_scores(pairs, types, G.edge_type_dim(spark), pairs.filter("(i + j) % 3 = 0 OR i = j"), ["window_idx", "head"])
 
 
-# boundaries of a transcript: every 40th token
-BY_TOKEN = r"""tw AS (SELECT doc_id, regexp_split_to_array(text, '\s') AS ws FROM T), te AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM tw),
+# attention between the words of a transcript: equal words within a band, in two layers (16 and 64 back) and two heads (the word, and it with its neighbours)
+TEXT_ATTN = r"""tw AS (SELECT doc_id, regexp_split_to_array(text, '\s') AS ws FROM T), te AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM tw),
 tx AS (SELECT doc_id, w, i, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM te),
-tn AS (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM tx WHERE w <> ''),
-tp AS (SELECT doc_id, b AS pos FROM tn WHERE k % 40 = 0 AND k > 0 AND b > 0 UNION SELECT doc_id, 0 FROM T),
-ts AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tp)"""
+tn AS MATERIALIZED (SELECT doc_id, lower(w) AS w, b, b + length(w) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM tx WHERE w <> ''),
+tz AS (SELECT doc_id, count(*) AS n FROM tn GROUP BY doc_id),
+eq AS MATERIALIZED (SELECT a.doc_id, a.k AS i, b.k AS j FROM tn a JOIN tn b ON a.doc_id = b.doc_id AND a.w = b.w AND b.k < a.k AND a.k - b.k <= 64),
+hs AS (SELECT doc_id, 0 AS head, i, j, 1.0::DOUBLE AS s FROM eq
+  UNION ALL SELECT doc_id, 1, i, j, c / 3.0::DOUBLE FROM (SELECT doc_id, i + d AS i, j + d AS j, count(*) AS c FROM eq, (VALUES (-1), (0), (1)) r(d) GROUP BY ALL) JOIN tz USING (doc_id) WHERE j >= 0 AND i < n),
+la AS (SELECT *, 0 AS layer FROM hs WHERE i - j <= 16 UNION ALL SELECT *, 1 AS layer FROM hs),
+ta AS MATERIALIZED (SELECT doc_id, layer, head, i, j, s / (1 + sum(s) OVER (PARTITION BY doc_id, layer, head, i)) AS w FROM la)"""
+
+TEXT_FLOW = f"""{TEXT_ATTN},
+tf AS (SELECT doc_id, k AS i, round(coalesce(f, 0), 9) AS flow FROM tn LEFT JOIN (SELECT doc_id, i AS k, sum(w * (1 + layer / 2.0)) / 5 AS f FROM ta GROUP BY ALL) USING (doc_id, k)),
+tl AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, avg(flow) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prev,
+  avg(flow) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM tf),
+tb AS (SELECT doc_id, i AS position, round(1 - flow / prev, 9) AS strength, 'attention_drop' AS type FROM tl WHERE i >= 3 AND i <= n - 2 AND prev > 0 AND flow / prev < 1 - 0.3
+  UNION ALL SELECT doc_id, i, round(flow / near - 1, 9), 'attention_peak' FROM tl WHERE i >= 1 AND i <= n - 4 AND near > 0 AND flow > near * (1 + 0.3)),
+tc AS (SELECT doc_id, position, avg(strength) AS strength, min(type) AS type, count(*) AS n FROM tb GROUP BY ALL HAVING avg(strength) > 0.2)"""
+
+
+@query("att_text_flow", f"WITH TAPES, {TEXT_FLOW} SELECT doc_id, i, round(flow, 6) AS flow FROM tf")
+def att_text_flow(spark, d):
+    """Attention flow over the words of every transcript."""
+    tokens = TA.tokens_of(tapes.transcripts(spark, d))
+    return TA.text_flow(TA.banded_attention(tokens), tokens).withColumn("flow", F.round("flow", 6))
+
+
+@query("att_text_boundaries", f"WITH TAPES, {TEXT_FLOW} SELECT doc_id, position, round(strength, 6) AS strength, type, n FROM tc")
+def att_text_boundaries(spark, d):
+    tokens = TA.tokens_of(tapes.transcripts(spark, d))
+    return TA.text_boundaries(TA.text_flow(TA.banded_attention(tokens), tokens)).withColumn("strength", F.round("strength", 6))
 
 
 @query(
     "seg_by_attention",
-    f"WITH TAPES, {BY_TOKEN}, pc AS (SELECT T.doc_id, pos, trim(substring(text, pos + 1, coalesce(nx, length(text)) - pos), {STRIP}) AS content FROM ts JOIN T ON T.doc_id = ts.doc_id) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord, pos AS start_pos, content FROM pc WHERE content <> ''",
+    f"""WITH TAPES, {TEXT_FLOW}, tp AS (SELECT tn.doc_id, b AS pos FROM tn JOIN tc ON tn.doc_id = tc.doc_id AND tn.k = tc.position WHERE b > 0 UNION SELECT doc_id, 0 FROM T),
+ts AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tp),
+pc AS (SELECT T.doc_id, pos, trim(substring(text, pos + 1, coalesce(nx, length(text)) - pos), {STRIP}) AS content FROM ts JOIN T ON T.doc_id = ts.doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord, pos AS start_pos, content FROM pc WHERE content <> ''""",
 )
 def seg_by_attention(spark, d):
-    """Transcripts cut at boundary tokens, by the tokens' places in the text."""
-    t = tapes.transcripts(spark, d)
-    tokens = t.select("doc_id", F.posexplode(L.token_positions(F.col("text"), X.words(F.col("text")))).alias("tok_idx", "t")).select("doc_id", "tok_idx", "t.begin")
-    r = S.cut_at_tokens(t, tokens.filter("tok_idx % 40 = 0").select("doc_id", F.col("tok_idx").alias("position")), tokens)
-    return r.withColumn("ord", F.col("ord").cast("long"))
+    """Transcripts cut where their own attention drops or peaks."""
+    return AP._longs(TA.segment_by_attention(tapes.transcripts(spark, d)), "ord", "start_pos")
+
+
+# pieces at their places in the text, and token attention pooled to them
+DUAL = f"""{TEXT_ATTN}, {PARAS.format(tape='T')},
+pb AS (SELECT doc_id, i, raw, coalesce(sum(length(raw) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(ltrim(raw, {STRIP})) AS b FROM P0),
+po AS MATERIALIZED (SELECT P.doc_id, row_number() OVER (PARTITION BY P.doc_id ORDER BY P.i) - 1 AS ord, content, b, b + length(content) AS e FROM P JOIN pb ON P.doc_id = pb.doc_id AND P.i = pb.i),
+tm AS MATERIALIZED (SELECT tn.doc_id, k, max(ord) AS seg FROM tn JOIN po ON tn.doc_id = po.doc_id AND tn.b < po.e AND tn.e > po.b GROUP BY ALL),
+sk AS (SELECT doc_id, seg, count(*) AS k FROM tm GROUP BY ALL),
+nd AS (SELECT ta.doc_id, layer, x.seg AS i, y.seg AS j, sum(w) AS w FROM ta JOIN tm x ON x.doc_id = ta.doc_id AND x.k = ta.i JOIN tm y ON y.doc_id = ta.doc_id AND y.k = ta.j GROUP BY ALL),
+nw AS (SELECT nd.doc_id, i, j, round(sum(w / (x.k * y.k * 2)), 9) AS w FROM nd JOIN sk x ON x.doc_id = nd.doc_id AND x.seg = i JOIN sk y ON y.doc_id = nd.doc_id AND y.seg = j GROUP BY ALL),
+nn AS (SELECT doc_id, count(*) AS n FROM po GROUP BY doc_id),
+nt AS (SELECT doc_id, round(sum(w) / (max(n) * max(n)) + sqrt(greatest(sum(w * w) / (max(n) * max(n)) - (sum(w) / (max(n) * max(n))) * (sum(w) / (max(n) * max(n))), 0)), 9) AS t FROM nw JOIN nn USING (doc_id) GROUP BY doc_id),
+ng AS (SELECT nw.doc_id, i, j, w, w > t AS linked FROM nw JOIN nt USING (doc_id))"""
+
+
+@query("seg_dual_edges", f"WITH TAPES, {DUAL} SELECT doc_id, i, j, round(w, 6) AS weight, linked FROM ng")
+def seg_dual_edges(spark, d):
+    _, graph = TA.segment_with_dual_attention(tapes.transcripts(spark, d))
+    return AP._longs(graph.withColumn("weight", F.round("weight", 6)), "i", "j")
 
 
-@query("seg_dual", f"WITH TAPES, {PARAS.format(tape='T')}, o AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord FROM P) SELECT doc_id, ord, content, coalesce(sum(length(content) + 1) OVER w, 0)::BIGINT AS start_pos, (coalesce(sum(length(content) + 1) OVER w, 0) + length(content))::BIGINT AS end_pos FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query("seg_dual", f"WITH TAPES, {DUAL}, ls AS (SELECT doc_id, i AS ord, string_agg(j::VARCHAR, ',' ORDER BY j) AS links FROM ng WHERE linked AND i <> j GROUP BY ALL) SELECT po.doc_id, po.ord, content, coalesce(sum(length(content) + 1) OVER w, 0)::BIGINT AS start_pos, (coalesce(sum(length(content) + 1) OVER w, 0) + length(content))::BIGINT AS end_pos, coalesce(links, '') AS links FROM po LEFT JOIN ls ON ls.doc_id = po.doc_id AND ls.ord = po.ord WINDOW w AS (PARTITION BY po.doc_id ORDER BY po.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def seg_dual(spark, d):
-    """Pieces with the places that two-level attention gives them; its graph is graph_dual_adjacency."""
-    pieces = tapes.transcripts(spark, d).select("doc_id", F.posexplode(S.paragraphs(F.col("text"))).alias("ord", "content"))
-    return AP._longs(S.with_positions(pieces), "ord", "end_pos")
+    """Pieces with their places and the pieces that two-level attention links them to."""
+    pieces, _ = TA.segment_with_dual_attention(tapes.transcripts(spark, d))
+    return AP._longs(pieces.withColumn("links", F.array_join("links", ",")), "ord", "start_pos", "end_pos")
 
 
 @query("tok_segment_mask", f"WITH {AP.TOKENS} SELECT doc_id, tok_idx, ntile(7) OVER (PARTITION BY doc_id ORDER BY tok_idx) - 1 = 3 AS in_segment FROM tk")

@@ -248,7 +248,7 @@ def graph_lists(spark, d):
     return G.adjacency_lists(_nodes(spark, d), _pairs(spark, d)).select("id", "neighbours")
 
 
-@query("graph_dual_edges", f"WITH {E03}, t AS (SELECT src, dst, weight / 2 AS tok FROM edges WHERE (src + dst) % 2 = 0) SELECT e.src AS i, e.dst AS j, round((2 * e.weight + coalesce(t.tok, 0.0)) / 3, 9) AS weight, CASE WHEN e.src % 3 = 0 THEN e.src % 10 ELSE 0 END AS edge_type FROM edges e LEFT JOIN t ON e.src = t.src AND e.dst = t.dst WHERE e.weight > 0.33")
+@query("graph_dual_edges", f"WITH {E03} SELECT src AS i, dst AS j, round((2 * weight + CASE WHEN (src + dst) % 2 = 0 THEN weight / 2 ELSE 0.0 END) / 3, 9) AS weight, CASE WHEN src % 3 = 0 THEN src % 10 ELSE 0 END AS edge_type FROM edges WHERE weight > 0.33")
 def graph_dual(spark, d):
     c = _pairs(spark, d).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("w"))
     tok = c.filter((F.col("i") + F.col("j")) % 2 == 0).withColumn("w", F.col("w") / 2)
@@ -362,7 +362,12 @@ def ana_clustering(spark, d):
     return r.select("id", "k", F.round("coefficient", 9).alias("coefficient"))
 
 
-@query("ana_triangles_cliques", f"WITH {E03}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst) SELECT a, b, c, NULL::BIGINT AS d FROM t UNION ALL SELECT t.a, t.b, t.c, p.dst FROM t JOIN edges p ON p.src = t.a JOIN edges q ON q.src = t.b AND q.dst = p.dst JOIN edges r ON r.src = t.c AND r.dst = p.dst")
+@query(
+    "ana_triangles_cliques",
+    f"""WITH {E03}, near AS (SELECT src, list(dst) AS ds FROM edges GROUP BY src), held AS (SELECT src, ds, map_from_entries(list(struct_pack(k := src, v := ds)) OVER ()) AS m FROM near),
+two AS (SELECT src AS a, ds, m, unnest(ds) AS b FROM held), three AS (SELECT a, b, m, list_intersect(ds, m[b]) AS cs, unnest(list_intersect(ds, m[b])) AS c FROM two)
+SELECT a, b, c, NULL::BIGINT AS d FROM three UNION ALL SELECT a, b, c, unnest(list_intersect(cs, m[c])) FROM three""",
+)
 def ana_cliques(spark, d):
     e = _pairs(spark, d).select("src", "dst")
     return G.triangles(e).withColumn("d", F.lit(None).cast("long")).unionByName(G.four_cliques(e))
