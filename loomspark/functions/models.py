@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from loomspark.functions.text import words
 from loomspark.operators.segment import Segmenter
@@ -33,14 +34,19 @@ def hashed_embedding(c: Column, dim: int = 64) -> Column:
 
 
 def classify_pairs(pairs: DataFrame, model: Callable[[list[str], list[str]], list[str]] | None = None, most: int = 1000) -> DataFrame:
-    """pairs (a_text, b_text) plus relation. Texts go to the model cut at `most` characters; an answer that isn't a known relation is "unknown". Without a model all pairs are "no_relation"."""
+    """pairs (a_text, b_text) plus relation. Texts go to the model cut at `most` characters; an answer that isn't a known relation is "unknown", as is
+    every pair with a null text, which the model doesn't see. Without a model all pairs are "no_relation"."""
     if model is None:
         return pairs.withColumn("relation", F.lit("no_relation"))
 
     @F.arrow_udf("string")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        found = model([x[:most] for x in a.to_pylist()], [x[:most] for x in b.to_pylist()])
-        return pa.array([x if x in RELATIONS else "unknown" for x in found], pa.string())
+        pairs = [(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())]
+        told = [x is not None and y is not None for x, y in pairs]
+        asked = [p for p, t in zip(pairs, told) if t]
+        found = iter(model([x[:most] for x, _ in asked], [y[:most] for _, y in asked]) if asked else [])
+        answers = [next(found) if t else None for t in told]
+        return pa.array([x if x in RELATIONS else "unknown" for x in answers], pa.string())
 
     return pairs.withColumn("relation", run("a_text", "b_text"))
 
@@ -70,3 +76,29 @@ def python_segmenter(f: Callable[[str], list[str]]) -> Segmenter:
         return pa.array([f(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return run
+
+
+def table_function(spark: SparkSession, name: str, f: Callable[[str], list[str]]) -> None:
+    """Makes f, from text to pieces, a table function for SQL: name(text) gives ord and content, for LATERAL joins. A null text has no pieces."""
+
+    class Segments:
+        def eval(self, text: str):
+            yield from enumerate(f(text) if text is not None else [])
+
+    spark.udtf.register(name, udtf(Segments, returnType="ord: long, content: string"))
+
+
+def partition_function(spark: SparkSession, name: str, f: Callable[[str], list[str]], id_col: str, order_col: str, text_col: str) -> None:
+    """The same for a partitioned table: name(TABLE(t) PARTITION BY id ORDER BY place) cuts the rows of an id one after the other and numbers their pieces on: the id (as
+    key), at (the row's place), ord and content. What is held is a count; null texts have no pieces."""
+
+    class Segments:
+        def __init__(self):
+            self.made = 0
+
+        def eval(self, row):
+            for piece in f(row[text_col]) if row[text_col] is not None else []:
+                yield row[id_col], row[order_col], self.made, piece
+                self.made += 1
+
+    spark.udtf.register(name, udtf(Segments, returnType="key: long, at: long, ord: long, content: string"))

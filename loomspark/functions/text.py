@@ -45,6 +45,7 @@ def few_blank_lines(c: Column) -> Column:
     return F.when(is_blank(c), F.lit("")).otherwise(F.regexp_replace(c, r"\n{3,}", BREAK))
 
 
+# the patterns of the next two functions are fixed values
 def has_code(c: Column) -> Column:
     starts = r"(?md)^\s*(?:" + "|".join(CODE_STARTS) + r")\s+"
     return F.contains(c, F.lit("```")) | c.rlike(starts) | c.rlike(r"(?md)[{};]\s*$")

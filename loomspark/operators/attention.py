@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.sources.scratch import cutter
+
 # fixed values
 BIAS = {"BOUNDARY": -0.5, "SPEAKER_BOUNDARY": -1.0, "REFERENCE": 0.3, "TOPIC_EVOLUTION": 0.2}
 EPS = 1e-10
@@ -223,23 +225,25 @@ def merge_near(boundaries: DataFrame, group: list[str], near: int = 5) -> DataFr
     return rows.select(*group, F.col("x.p").alias("position"), F.col("x.strength").alias("strength"), F.array_join(F.array_sort(F.array_distinct("x.types")), "+").alias("type"), F.col("x.n").alias("n"))
 
 
-def bias(positions: DataFrame, length: int, kind: str = "BOUNDARY") -> DataFrame:
-    """i, j, bias: what the positions (pos) add to attention, summed; cells without any are absent."""
+def bias(positions: DataFrame, length: int, kind: str = "BOUNDARY", keys: list[str] | None = None) -> DataFrame:
+    """keys, i, j, bias: what the positions (keys, pos) add to the attention of a text or window of `length` tokens, summed; cells without any are absent."""
+    keys = keys or []
     full = F.explode(F.sequence(F.lit(0), F.lit(length - 1)))
     p = F.col("pos")
-    pick = lambda df, c: df.filter(c).select("i", "j", F.lit(BIAS.get(kind, 0.1)).alias("b"))
-    box = lambda r: positions.select("pos", F.explode(F.sequence(F.greatest(p - r, F.lit(0)), F.least(p + r, F.lit(length - 1)))).alias("i")).select("pos", "i", F.explode(F.sequence(F.greatest(p - r, F.lit(0)), F.least(p + r, F.lit(length - 1)))).alias("j"))
+    pick = lambda df, c: df.filter(c).select(*keys, "i", "j", F.lit(BIAS.get(kind, 0.1)).alias("b"))
+    around = lambda r: F.explode(F.sequence(F.greatest(p - r, F.lit(0)), F.least(p + r, F.lit(length - 1))))
+    box = lambda r: positions.select(*keys, "pos", around(r).alias("i")).select(*keys, "pos", "i", around(r).alias("j"))
     if kind in ("BOUNDARY", "SPEAKER_BOUNDARY"):
-        near = positions.filter((p > 0) & (p < length)).select("pos", F.explode(F.sequence(p - 1, p)).alias("a")).select("pos", "a", full.alias("c"))
+        near = positions.filter((p > 0) & (p < length)).select(*keys, "pos", F.explode(F.sequence(p - 1, p)).alias("a")).select(*keys, "pos", "a", full.alias("c"))
         near = near.filter(F.col("c") > p)
-        cells = pick(near.select("pos", F.col("a").alias("i"), F.col("c").alias("j")), F.lit(True)).unionByName(pick(near.select("pos", F.col("c").alias("i"), F.col("a").alias("j")), F.lit(True)))
+        cells = pick(near.select(*keys, "pos", F.col("a").alias("i"), F.col("c").alias("j")), F.lit(True)).unionByName(pick(near.select(*keys, "pos", F.col("c").alias("i"), F.col("a").alias("j")), F.lit(True)))
     elif kind == "REFERENCE":
-        cells = pick(positions.select("pos", p.alias("i"), full.alias("j")), F.col("j") < F.col("i"))
+        cells = pick(positions.select(*keys, "pos", p.alias("i"), full.alias("j")), F.col("j") < F.col("i"))
     elif kind == "TOPIC_EVOLUTION":
         cells = pick(box(3), F.lit(True))
     else:
         cells = pick(box(1), (p > 0) & (p < length - 1))
-    return cells.groupBy("i", "j").agg(F.sum("b").alias("bias"))
+    return cells.groupBy(*keys, "i", "j").agg(F.sum("b").alias("bias"))
 
 
 def sparse(cells: DataFrame, threshold: float = 0.01) -> DataFrame:
@@ -399,8 +403,46 @@ def constrained(scores: DataFrame, types: DataFrame, biases: DataFrame, adjacenc
     return rows.select("window_idx", "i", "j", (F.col("x") / F.sum("x").over(row)).alias("w"))
 
 
-def window_segments(windows: DataFrame, segments: DataFrame) -> DataFrame:
-    """win_idx, pos (in the window), seg_idx: windows (win_idx, begin, end) meet segments (seg_idx, begin, end) where they overlap; the last segment wins, 0 where none is."""
-    pos = windows.select("win_idx", "begin", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("p"))
-    segs = segments.select("seg_idx", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("p")).groupBy("p").agg(F.max("seg_idx").alias("seg_idx"))
-    return pos.join(segs, "p", "left").select("win_idx", (F.col("p") - F.col("begin")).alias("pos"), F.coalesce("seg_idx", F.lit(0)).alias("seg_idx"))
+def window_segments(windows: DataFrame, segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, win_idx, pos (in the window), seg_idx: windows (keys, win_idx, begin, end) meet segments (keys, seg_idx, begin, end) where they overlap; the last segment wins, 0 where none is."""
+    keys = keys or []
+    pos = windows.select(*keys, "win_idx", "begin", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("p"))
+    segs = segments.select(*keys, "seg_idx", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("p")).groupBy(*keys, "p").agg(F.max("seg_idx").alias("seg_idx"))
+    return pos.join(segs, [*keys, "p"], "left").select(*keys, "win_idx", (F.col("p") - F.col("begin")).alias("pos"), F.coalesce("seg_idx", F.lit(0)).alias("seg_idx"))
+
+
+def adaptive_rank_history(spectra: DataFrame, least: int, most: int, first: float = 0.5, chunk: int = 512, cut=None) -> DataFrame:
+    """head, win, rank, target, mean: ranks that follow those of the head's earlier windows.
+
+    spectra: head, win (from 0, without gaps), n (size of the matrix), s (array of its singular values in falling order). A window's target is the mean complexity, rank over n, of all
+    windows before it (`first` for the first); its rank is the smallest k whose values sum to 1 - target of all, within bounds; mean is the mean complexity up to it.
+    A head's windows depend on each other in order, so they are folded: heads side by side, and a head's windows in chunks, of which the next one begins with
+    the sum and count that the last one left. A chunk of a head is what a task holds. Windows without values have rank `least`.
+    """
+    cut = cut or cutter(spectra.sparkSession, "rank-history")
+    cum = F.aggregate("s", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.round(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x, 9))))
+    rows = cut(spectra.select("head", "win", F.col("n").cast("double").alias("n"), cum.alias("c"), F.floor(F.col("win") / chunk).alias("chunk")), "spectra")
+    last = rows.agg(F.max("chunk")).first()[0]
+    state = rows.select("head").distinct().select("head", F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("count"))
+    out_type = "array<struct<win:bigint,rank:bigint,target:double,mean:double>>"
+    parts = [rows.limit(0).select("head", F.lit(0).cast("long").alias("win"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("target"), F.lit(0.0).alias("mean"))]
+    for k in range(-1 if last is None else last + 1):
+        held = rows.filter(F.col("chunk") == k).groupBy("head").agg(F.array_sort(F.collect_list(F.struct(F.col("win").cast("long").alias("win"), "n", "c"))).alias("ws")).join(state, "head")
+        start = F.struct(F.col("sum").alias("sum"), F.col("count").alias("count"), F.array().cast(out_type).alias("out"))
+
+        def step(a: Column, w: Column) -> Column:
+            target = F.when(a["count"] > 0, F.round(a["sum"] / a["count"], 9)).otherwise(F.lit(first))
+            short = F.size(F.filter(w["c"], lambda c: c < F.round(F.try_element_at(w["c"], F.lit(-1)) * (1 - target), 9)))
+            rank = F.greatest(F.lit(least), F.least(F.lit(most), short + 1)).cast("long")
+            total, count = a["sum"] + rank / w["n"], a["count"] + 1
+            made = F.struct(w["win"].alias("win"), rank.alias("rank"), target.alias("target"), F.round(total / count, 9).alias("mean"))
+            return F.struct(total.alias("sum"), count.alias("count"), F.concat(a["out"], F.array(made)).alias("out"))
+
+        done = cut(held.select("head", F.aggregate("ws", start, step).alias("a")), f"chunk-{k}")
+        state = state.join(done.select("head", F.col("a.sum").alias("s2"), F.col("a.count").alias("c2")), "head", "left").select("head", F.coalesce("s2", "sum").alias("sum"), F.coalesce("c2", "count").alias("count"))
+        state = cut(state, f"state-{k}")
+        parts.append(done.select("head", F.explode("a.out").alias("o")).select("head", "o.*"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every

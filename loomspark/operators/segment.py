@@ -32,16 +32,14 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, BREAK, -1), strip), lambda p: p != "")
 
 
+# fixed values: fences, and runs of lines that begin with four spaces or a tab
 CODE = r"(?md)(```[\s\S]*?```|^(?:[ ]{4,}|\t).*(?:\n(?:[ ]{4,}|\t).*)*)"
-MARK = "\u0001"
 
 
 def isolate_code(c: Column) -> Column:
     """Fenced blocks and indented runs as they are, the text between them stripped; a text that stays whole goes by paragraphs."""
-    marked = F.regexp_replace(c, CODE, f"{MARK}c$1{MARK}t")
-    pieces = F.split(F.concat(F.lit("t"), marked), MARK, -1)
-    bodies = F.transform(pieces, lambda p: F.when(p.startswith("c"), F.substr(p, F.lit(2))).otherwise(strip(F.substr(p, F.lit(2)))))
-    kept = F.filter(bodies, lambda p: p != "")
+    between = F.transform(F.split(c, CODE, -1), strip)
+    kept = F.filter(F.flatten(F.zip_with(between, F.regexp_extract_all(c, F.lit(CODE)), lambda t, code: F.array(t, code))), lambda p: p != "")
     return F.when(F.size(kept) == 1, paragraphs(c)).otherwise(kept)
 
 
@@ -78,6 +76,7 @@ def seedable_chunks(c: Column, limit: int = 100) -> Column:
     return F.when(F.contains(c, F.lit(BREAK)) & (F.size(whole) > 0), whole).otherwise(packed)
 
 
+# fixed values
 HEADER = r"(?dU)^(#{1,6})\s+(.+)$"
 
 
@@ -101,6 +100,7 @@ def sections(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", order, level.alias("level"), title.alias("title"), "content", "start_line")
 
 
+# fixed values
 SPEAKER = r"((?:^|\n)(?:Speaker\s+)?[A-Za-z0-9]+):\s*"
 
 

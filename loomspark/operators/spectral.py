@@ -7,9 +7,10 @@ brought to length 1, are then grouped by k-means, of which the driver holds k ce
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +29,35 @@ def normalised(edges: DataFrame) -> DataFrame:
     return ends.select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
 
 
-def _gram(left: Column | str, right: Column | str, k: int) -> list[Column]:
-    """Sums of the products of all pairs of columns of two blocks of arrays."""
-    left, right = F.col(left) if isinstance(left, str) else left, F.col(right) if isinstance(right, str) else right
-    return [F.sum(F.get(left, F.lit(a)) * F.get(right, F.lit(b))).alias(f"g{a}_{b}") for a in range(k) for b in range(k)]
+def _block(column: pa.Array, b: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, b)
 
 
-def _times(v: Column, m: np.ndarray) -> Column:
+def _products(moved: DataFrame, b: int) -> tuple[np.ndarray, ...]:
+    """The b by b products old'old, old'v and v'v: each task adds up its rows, the driver gets their sums."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, b, b))
+        for batch in batches:
+            old, v = (_block(batch.column(c), b) for c in ("old", "v"))
+            total += np.stack([old.T @ old, old.T @ v, v.T @ v])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(3 * b * b)), pa.array(total.ravel())], ["k", "x"])
+
+    out = np.zeros(3 * b * b)
+    for r in moved.select("old", "v").mapInArrow(part, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+        out[r.k] = r.x
+    return tuple(out.reshape(3, b, b))
+
+
+def _times(v: str, m: np.ndarray) -> Column:
     """A row vector times a small matrix."""
-    k = m.shape[1]
-    return F.array(*[sum((F.get(v, F.lit(a)) * F.lit(float(m[a, b])) for a in range(m.shape[0])), F.lit(0.0)) for b in range(k)])
+
+    @F.arrow_udf("array<double>")
+    def turned(rows: pa.Array) -> pa.Array:
+        out = _block(rows, len(m)) @ m
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, m.shape[1]), pa.int32()), pa.array(out.ravel()))
+
+    return turned(v)
 
 
 def smallest_eigenvectors(matrix: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-7, extra: int = 2, cut: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, np.ndarray]:
@@ -62,8 +82,7 @@ def smallest_eigenvectors(matrix: DataFrame, k: int, rounds: int = 60, tolerance
         # (2 I - L) v = v + W v: all its eigenvalues lie between 0 and 2
         moved = block.join(sums, "id").select("id", "rows", F.col("v").alias("old"), F.array(*[F.get("v", F.lit(c)) + F.col(f"s{c}") for c in range(b)]).alias("v"))
         moved = cut(moved, f"moved-{round_}")
-        g = moved.agg(*_gram("v", "v", b), *[c.alias(f"h{j}") for j, c in enumerate(_gram("old", "v", b))], *[c.alias(f"o{j}") for j, c in enumerate(_gram("old", "old", b))]).first()
-        vv, ov, oo = (np.array(g[j * b * b : (j + 1) * b * b], float).reshape(b, b) for j in range(3))
+        oo, ov, vv = _products(moved, b)
         # eigenvalues of the operator on the span of old: oo x l = ov x
         root = np.linalg.cholesky((oo + oo.T) / 2 + 1e-13 * np.trace(oo) / b * np.eye(b))
         inner = np.linalg.solve(root, np.linalg.solve(root, (ov + ov.T) / 2).T)
@@ -71,21 +90,21 @@ def smallest_eigenvectors(matrix: DataFrame, k: int, rounds: int = 60, tolerance
         turn = np.linalg.solve(root.T, vectors[:, ::-1])
         values = values[::-1]
         scale = np.sqrt(np.maximum(np.einsum("ab,ac,cb->b", turn, vv, turn), 1e-300))
-        block = moved.select("id", "rows", _times(F.col("v"), turn / scale).alias("v"))
+        block = moved.select("id", "rows", _times("v", turn / scale).alias("v"))
         if np.abs(values - last)[: min(k, b)].max() < tolerance:
             break
         last = values
     return cut(block.select("id", F.slice("v", 1, min(k, b)).alias("v")), "vectors"), 2 - values[: min(k, b)]
 
 
-def spectral_clusters(edges: DataFrame, clusters: int, rounds: int = 60, steps: int = 20, cut: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def spectral_clusters(edges: DataFrame, clusters: int, rounds: int = 24, tolerance: float = 1e-4, steps: int = 20, cut: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """id, cluster (from 0, by the smallest id that it holds) of every node of the undirected weighted edges (src, dst, weight).
 
     Rows of the eigenvectors at length 1 are grouped by k-means. Its first centres are those of a sample of at most 1000 nodes, by a hash, taken farthest first; each step
     assigns all rows and averages them, and stops when no centre moves.
     """
     cut = cut or cutter(edges.sparkSession, "spectral-clusters")
-    vectors, _ = smallest_eigenvectors(normalised(edges), clusters, rounds)
+    vectors, _ = smallest_eigenvectors(normalised(edges), clusters, rounds, tolerance)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = cut(vectors.withColumn("length", length).select("id", F.when(F.col("length") > 0, F.transform("v", lambda x: x / F.col("length"))).otherwise(F.col("v")).alias("v")), "rows")
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(1000).collect()], float)  # the bound of what the driver sees

@@ -210,18 +210,6 @@ def _merged(spark, d):
     return A.merge_near(_found(spark, d), ["doc"])
 
 
-@query(
-    "att_bias",
-    """WITH pos(pos) AS (VALUES (3), (9), (10)), r AS (SELECT unnest(range(16)) AS x),
-a AS (SELECT pos, x AS a FROM pos, r WHERE x BETWEEN pos - 1 AND pos), c AS (SELECT pos, a, x AS c FROM a, r WHERE x > pos),
-u AS (SELECT a AS i, c AS j FROM c UNION ALL SELECT c, a FROM c)
-SELECT i, j, round(sum(-0.5), 6)::DOUBLE AS bias FROM u GROUP BY ALL""",
-)
-def att_bias(spark, d):
-    pos = spark.createDataFrame([(3,), (9,), (10,)], "pos int")
-    return _longs(A.bias(pos, 16, "BOUNDARY").withColumn("bias", F.round("bias", 6)), "i", "j")
-
-
 @query("att_sparse", f"WITH {ATTN}, s AS (SELECT * FROM attn WHERE abs(w) > 0.03 AND layer = 1), t AS (SELECT *, sum(exp(w)) OVER (PARTITION BY window_idx, head, i) + 32 - count(*) OVER (PARTITION BY window_idx, head, i) AS t FROM s) SELECT window_idx, head::BIGINT AS head, i, j, round(exp(w) / t, 7) AS w FROM t")
 def att_sparse(spark, d):
     s = A.sparse(_attn(spark, d).filter("layer = 1"), 0.03)

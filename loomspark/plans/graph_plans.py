@@ -11,7 +11,7 @@ from loomspark.operators import segment as S
 from loomspark.operators import tree as R
 from loomspark.operators import vectors as V
 from loomspark.plans.registry import query
-from loomspark.plans.text_plans import PARAS, STRIP, case_values
+from loomspark.plans.text_plans import PARAS, STRIP
 from loomspark.sources import tapes
 from loomspark.sources.scratch import cutter
 
@@ -80,29 +80,6 @@ def tree_flags(spark, d):
     return tapes.spaced_documents(spark, d).select("doc_id", X.has_code(F.col("text")).alias("has_code"), X.has_math(F.col("text")).alias("has_math"))
 
 
-SIBLINGS = [
-    (1, "0.a", "0", 0, "text before", 0, False, False),
-    (1, "0.b", "0", 0, "```x```", 20, True, False),
-    (1, "0.c", "0", 0, "$m$", 30, False, True),
-    (1, "0.d", "0", 0, "after the mathematics", 40, False, False),
-    (1, "0.e", "0", 0, "int x;", 70, True, False),
-    (1, "0.f", "0", 0, "int y;", 90, True, True),
-    (2, "0.a", "0", 0, "alone;", 0, True, False),
-]
-SIBLING_COLUMNS = "doc_id int, seg_id string, parent_id string, rule_idx int, content string, start_pos int, has_code boolean, has_math boolean"
-
-
-@query(
-    "tree_explains_edges",
-    f"""WITH s(doc_id, seg_id, parent_id, rule_idx, content, start_pos, has_code, has_math) AS (VALUES {case_values(SIBLINGS)}),
-o AS (SELECT *, lag(seg_id) OVER w AS p, lag(has_code) OVER w AS pc, lead(seg_id) OVER w AS n, lead(has_code) OVER w AS nc FROM s WHERE has_code OR NOT has_math WINDOW w AS (PARTITION BY doc_id, parent_id, rule_idx ORDER BY start_pos))
-SELECT doc_id, p AS src, seg_id AS dst, 0.9::DOUBLE AS weight FROM o WHERE has_code AND p IS NOT NULL AND NOT pc
-UNION ALL SELECT doc_id, n, seg_id, 0.7 FROM o WHERE has_code AND n IS NOT NULL AND NOT nc""",
-)
-def tree_explains_edges(spark, d):
-    return R.explains_edges(spark.createDataFrame(SIBLINGS, SIBLING_COLUMNS)).select("doc_id", "src", "dst", "weight")
-
-
 @query("tree_levels_layout", f"WITH TAPES, {TREE} SELECT doc_id, seg_id, round(row_number() OVER (PARTITION BY doc_id, level ORDER BY seg_id) * 2 / (count(*) OVER (PARTITION BY doc_id, level) + 1) - 1, 9) AS x, (-level)::BIGINT AS y FROM tree")
 def tree_levels_layout(spark, d):
     return R.level_layout(_tree(spark, d)).select("doc_id", "seg_id", F.round("x", 9).alias("x"), F.col("y").cast("long").alias("y"))

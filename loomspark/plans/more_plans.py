@@ -91,17 +91,6 @@ def win_clean(spark, d):
     return tapes.table(spark, d, "pages").select("page_id", X.few_blank_lines(F.col("html")).alias("html"), W.looks_like_code(F.col("html")).alias("code"))
 
 
-@query("win_segment_overlap", "WITH w AS (SELECT r AS win_idx, r * 48 AS b, r * 48 + 64 AS e FROM (SELECT unnest(range(8)) AS r)), s AS (SELECT r AS seg_idx, r * 30 AS b, r * 30 + 40 AS e FROM (SELECT unnest(range(10)) AS r)), p AS (SELECT win_idx, b, unnest(range(b, e)) AS p FROM w) SELECT p.win_idx, p.p - p.b AS pos, coalesce(max(s.seg_idx), 0) AS seg_idx FROM p LEFT JOIN s ON p.p >= s.b AND p.p < s.e GROUP BY ALL")
-def win_overlap(spark, d):
-    span = lambda n, name, step, size: spark.range(n).select(F.col("id").alias(name), (F.col("id") * step).alias("begin"), (F.col("id") * step + size).alias("end"))
-    return A.window_segments(span(8, "win_idx", 48, 64), span(10, "seg_idx", 30, 40))
-
-
-@query("tok_clean", "WITH t(t) AS (VALUES ('##ing'), ('▁the'), ('Ġfox'), ('plain'), ('##')) SELECT t, CASE WHEN trim(replace(replace(replace(t, '##', ''), '▁', ' '), 'Ġ', ' ')) = '' THEN t ELSE trim(replace(replace(replace(t, '##', ''), '▁', ' '), 'Ġ', ' ')) END AS clean FROM t")
-def tok_clean(spark, d):
-    return spark.createDataFrame([("##ing",), ("▁the",), ("Ġfox",), ("plain",), ("##",)], "t string").select("t", L.clean_token(F.col("t")).alias("clean"))
-
-
 @query("tok_hierarchical", f"WITH {AP.TOKENS}, l AS (SELECT doc_id, tok_idx, k.k AS level, ntile(4) OVER (PARTITION BY doc_id, k.k ORDER BY tok_idx) - 1 AS a, ntile(8) OVER (PARTITION BY doc_id, k.k ORDER BY tok_idx) - 1 AS b FROM tk, (VALUES (0), (1)) k(k)) SELECT doc_id, tok_idx, level::BIGINT AS level, CASE WHEN level = 0 THEN a ELSE b END AS seg_idx FROM l")
 def tok_hierarchical(spark, d):
     t = AP._tokens(spark, d)
@@ -186,17 +175,6 @@ def att_constrained(spark, d):
     return r.select(F.floor(F.col("window_idx") / tapes.HEADS).alias("window_idx"), (F.col("window_idx") % tapes.HEADS).alias("head"), "i", "j", F.round("w", 7).alias("w"))
 
 
-@query("att_bias_evolution", "WITH pos(pos) AS (VALUES (2), (9)), r AS (SELECT unnest(range(12)) AS x) SELECT a.x AS i, b.x AS j, round(sum(0.2), 6)::DOUBLE AS bias FROM pos JOIN r a ON a.x BETWEEN pos - 3 AND pos + 3 JOIN r b ON b.x BETWEEN pos - 3 AND pos + 3 GROUP BY ALL")
-def att_bias_evolution(spark, d):
-    pos = spark.createDataFrame([(2,), (9,)], "pos int")
-    return AP._longs(A.bias(pos, 12, "TOPIC_EVOLUTION").withColumn("bias", F.round("bias", 6)), "i", "j")
-
-
-@query("att_bias_reference", "WITH pos(pos) AS (VALUES (2), (9)), r AS (SELECT unnest(range(12)) AS x) SELECT pos::BIGINT AS i, x AS j, 0.3::DOUBLE AS bias FROM pos JOIN r ON x < pos")
-def att_bias_reference(spark, d):
-    return AP._longs(A.bias(spark.createDataFrame([(2,), (9,)], "pos int"), 12, "REFERENCE"), "i", "j")
-
-
 @query("att_adaptive_rank", "WITH s AS (SELECT vec_id AS id, unnest(list_reverse_sort(list_transform(embedding, lambda x: abs(x::DOUBLE)))) AS s, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT *, sum(s) OVER (PARTITION BY id ORDER BY k) AS c, sum(s) OVER (PARTITION BY id) AS t FROM s) SELECT id, greatest(4, least(40, min(k))) AS rank FROM c WHERE c >= t * 0.5 GROUP BY id")
 def att_adaptive(spark, d):
     s = tapes.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.reverse(F.array_sort(F.transform("embedding", lambda x: F.abs(x.cast("double")))))).alias("k", "s"))

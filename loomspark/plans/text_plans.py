@@ -49,38 +49,11 @@ def seg_sections(spark, d):
     return r.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("level").cast("long").alias("level"), "title", "content", F.col("start_line").cast("long").alias("start_line"))
 
 
-CODE_CASES = [
-    (1, "Intro text.\n```python\nx = 1\n```\nmiddle \n\n$a + b$\nouter"),
-    (2, "para one\n\n  para two  \n\n\n\npara three"),
-    (3, "lead\n    a = 1\n    b = 2\ntail\n\tc = 3"),
-    (4, "```only```"),
-    (5, "   \n  "),
-    (6, "a\n```\nx\n```\n```\ny\n```\nb"),
-]
-
-
-def cases(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 def case_values(rows):
     show = lambda v: "NULL" if v is None else "true" if v is True else "false" if v is False else repr(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
     return ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows)
 
 
-@query(
-    "seg_code_isolate",
-    rf"""WITH d(doc_id, text) AS (VALUES {case_values(CODE_CASES)}),
-m AS (SELECT doc_id, text, string_split('t' || regexp_replace(text, '(?m)(```[\s\S]*?```|^(?:[ ]{{4,}}|\t).*(?:\n(?:[ ]{{4,}}|\t).*)*)', chr(1) || 'c\1' || chr(1) || 't', 'g'), chr(1)) AS p FROM d),
-k AS (SELECT doc_id, text, list_filter(list_transform(p, lambda x: CASE WHEN x[1] = 'c' THEN x[2:] ELSE trim(x[2:], {STRIP}) END), lambda x: x <> '') AS k FROM m),
-r AS (SELECT doc_id, CASE WHEN len(k) = 1 THEN list_filter(list_transform(string_split(text, {BREAK}), lambda x: trim(x, {STRIP})), lambda x: x <> '') ELSE k END AS k FROM k)
-SELECT doc_id, unnest(k) AS content, (generate_subscripts(k, 1) - 1)::BIGINT AS ord FROM r""",
-)
-def seg_code_isolate(spark, d):
-    rows = cases(spark, CODE_CASES, "doc_id int, text string")
-    return rows.select("doc_id", F.posexplode(S.isolate_code(F.col("text"))).alias("ord", "content")).withColumn("ord", F.col("ord").cast("long"))
-
-
 @query(
     "seg_seedable_chunks",
     r"""WITH RECURSIVE s AS (
