@@ -8,7 +8,7 @@ from loomspark.functions import models as M
 from loomspark.functions import text as X
 from loomspark.operators import align as L
 from loomspark.operators import attention as A
-from loomspark.operators import concepts, refine, segment, spectral, tree
+from loomspark.operators import concepts, folds, refine, segment, spectral, tree
 from loomspark.operators import text_attention as TA
 from loomspark.plans import attention_plans as AP
 from loomspark.plans import graph_plans as GP
@@ -233,3 +233,17 @@ def tree_explains_edges(spark, d):
     pieces = fenced(spark, d).select("doc_id", F.posexplode(segment.isolate_code(F.col("text"))).alias("ord", "content"))
     rows = pieces.select("doc_id", F.col("ord").cast("long").alias("seg_id"), F.lit("0").alias("parent_id"), F.lit(0).alias("rule_idx"), F.col("ord").alias("start_pos"), X.has_code(F.col("content")).alias("has_code"), X.has_math(F.col("content")).alias("has_math"))
     return tree.explains_edges(rows).select("doc_id", "src", "dst", "weight")
+
+
+@query("att_fold_flow", f"WITH {AP.ATTN} SELECT window_idx, i, round(flow, 6) AS flow FROM flow")
+def att_fold_flow(spark, d):
+    """Flow by a fold over the cells as they lie."""
+    return folds.run_fold(A.layer_mean(tapes.attention(spark, d), tapes.LAYERS), "window_idx", folds.FlowFold(tapes.HEADS)).withColumn("flow", F.round(F.round("flow", 9), 6))
+
+
+@query("att_fold_entropy", f"WITH {AP.ATTN}, e AS (SELECT window_idx, head, i, -sum((w + 1e-10) / t * ln((w + 1e-10) / t)) AS h FROM (SELECT *, sum(w + 1e-10) OVER (PARTITION BY window_idx, head, i) AS t FROM cells) GROUP BY ALL) SELECT window_idx, round(avg(h), 6) AS entropy FROM e WHERE window_idx IN (SELECT window_idx FROM size WHERE n = 32) GROUP BY window_idx")
+def att_fold_entropy(spark, d):
+    """Entropy of the windows of full size by a fold."""
+    cells = A.layer_mean(tapes.attention(spark, d), tapes.LAYERS)
+    full = AP._sizes(spark, d).filter(F.col("n") == tapes.WINDOW).select("window_idx")
+    return folds.run_fold(cells.join(full, "window_idx"), "window_idx", folds.EntropyFold(tapes.WINDOW)).withColumn("entropy", F.round("entropy", 6))
