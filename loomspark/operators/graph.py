@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.operators.skew import hot_split_join
+from loomspark.operators.skew import hot_split_join, ranked_rows
 
 # fixed values: edge types in the order of their codes, and the bias of each
 EDGE_TYPES = ["NO_RELATION", "EXPLAINS", "ELABORATES", "CONTRADICTS", "IS_EXAMPLE_OF", "IS_CONSEQUENCE_OF", "DEPENDS_ON", "SUMMARIZES", "REFERENCES", "CONTINUES"]
@@ -129,15 +129,12 @@ def listed_by(rows: DataFrame, key: str, value: str, part_rows: int) -> DataFram
     return split.withColumn("part", part).groupBy(key, "part").agg(F.array_sort(F.collect_list(value)).alias(value))
 
 
-def spread_sample(edges: DataFrame, most: int = 20, chunk: int = 1 << 16) -> DataFrame:
-    """At most `most` edges at an even stride of (src, dst), for relation classification. Places come from counts by chunks of src, then within one."""
-    rows = edges.withColumn("__c", F.floor(F.col("src") / chunk))
-    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))
-    whole = Window.partitionBy()
-    counts = counts.withColumns({"__base": F.coalesce(F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__s": F.greatest(F.floor(F.sum("__n").over(whole) / most), F.lit(1))})
-    inside = F.row_number().over(Window.partitionBy("__c").orderBy("src", "dst")) - 1
-    rows = rows.withColumn("__r", inside).join(counts.drop("__n"), "__c").withColumn("__k", F.col("__base") + F.col("__r"))
-    return rows.filter((F.col("__k") % F.col("__s") == 0) & (F.col("__k") / F.col("__s") < most)).drop("__c", "__r", "__base", "__s", "__k")
+def spread_sample(edges: DataFrame, most: int = 20) -> DataFrame:
+    """At most `most` edges at an even stride of (src, dst), for relation classification. Places come from ranges of the two, so hubs and sparse ids make even ranges."""
+    placed = ranked_rows(edges, ["src", "dst"], "__k")
+    stride = placed.agg(F.greatest(F.floor(F.count("*") / most), F.lit(1)).alias("__s"))
+    rows = placed.crossJoin(F.broadcast(stride))
+    return rows.filter((F.col("__k") % F.col("__s") == 0) & (F.col("__k") / F.col("__s") < most)).drop("__s", "__k")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.graph import listed_by
+from loomspark.operators.skew import ranked_rows
 from loomspark.sources.tapes import csv_without_header
 
 
@@ -35,13 +36,9 @@ def mini_batch(seeds: DataFrame, edges: DataFrame, fan_outs: list[int], seed: in
     return met.groupBy("id").agg(F.min("hop").alias("hop"))
 
 
-def places(nodes: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """id, idx: the place of each distinct id in their order, from 0. Ranks count in chunks of ids, so no task orders all nodes."""
-    rows = nodes.select("id").distinct().withColumn("__c", F.floor(F.col("id") / chunk))
-    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))
-    base = counts.select("__c", F.coalesce(F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__c").orderBy("id")) - 1
-    return rows.withColumn("__i", inside).join(base, "__c").select("id", (F.col("__base") + F.col("__i")).alias("idx"))
+def places(nodes: DataFrame) -> DataFrame:
+    """id, idx: the place of each distinct id in their order, from 0."""
+    return ranked_rows(nodes.select("id").distinct(), ["id"], "idx")
 
 
 def batch_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,14 +74,10 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def batches(nodes: DataFrame, size: int, seed: int | None = None) -> DataFrame:
-    """id, batch: slices of size nodes, by id or shuffled. Ranks count in chunks of the key, so no task orders all nodes."""
+    """id, batch: slices of size nodes, by id or shuffled. Places come from ranges of the key, so no task orders all nodes, however the ids are spread."""
     key = F.lpad(F.hex("id"), 16, "0") if seed is None else order_key("id", seed=seed)
-    rows = nodes.select("id", key.alias("k"))
-    rows = rows.withColumn("c", F.substring("k", 1, 2) if seed is not None else F.floor(F.col("id") / 65536).cast("string"))
-    counts = rows.groupBy("c").agg(F.count("*").alias("n"), F.min("k").alias("first"))
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("k", "id")) - 1
-    return rows.withColumn("r", rank).join(F.broadcast(base.select("c", "base")), "c").select("id", F.floor((F.col("base") + F.col("r")) / size).alias("batch"))
+    placed = ranked_rows(nodes.select("id", key.alias("k")), ["k", "id"], "__r")
+    return placed.select("id", F.floor(F.col("__r") / size).alias("batch"))
 
 
 def split(nodes: DataFrame, seed: int = 42) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Joins whose hot keys don't meet in one task."""
+"""Joins whose hot keys don't meet in one task, and ranks without a task that sees all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.sources.scratch import cutter
+
 
 def hot_split_join(left: DataFrame, right: DataFrame, key: str, rows: str, most_hot: int = 512, most_broadcast: int = 50_000) -> DataFrame:
     """Inner join on key where right has one row for each key, and counts left's rows for it in `rows`.
@@ -21,3 +25,18 @@ def hot_split_join(left: DataFrame, right: DataFrame, key: str, rows: str, most_
     by_broadcast = left.join(F.broadcast(hot_rows), key)
     rest = left.join(F.broadcast(hot_rows.select(key)), key, "left_anti").join(right.filter(~hot), key)
     return by_broadcast.unionByName(rest)
+
+
+def ranked_rows(rows: DataFrame, order: list[str], place: str, part_rows: int = 1 << 16, most_parts: int = 10_000) -> DataFrame:
+    """rows plus place: the number (from 0) of each in the given order.
+
+    Rows are dealt by sampled bounds of the order to as many ranges as their count asks for, so sparse, dense and hot keys all make even ranges, and are numbered
+    within them; only counts, of most_parts ranges at most, are added up in one task. The dealt rows are written once, as a second sampling might deal otherwise.
+    """
+    parts = max(1, min(most_parts, math.ceil(rows.count() / part_rows)))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    dealt = cutter(rows.sparkSession, "ranked")(dealt.withColumns({"__range": F.shiftright("__m", 33), "__at": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}), "dealt")
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    base = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__range", base.alias("__base"))
+    return dealt.join(F.broadcast(counts), "__range").withColumn(place, F.col("__base") + F.col("__at")).drop("__range", "__at", "__m", "__base")

@@ -235,10 +235,10 @@ def tree_explains_edges(spark, d):
     return tree.explains_edges(rows).select("doc_id", "src", "dst", "weight")
 
 
-@query("att_fold_flow", f"WITH {AP.ATTN} SELECT window_idx, i, round(flow, 6) AS flow FROM flow")
+@query("att_fold_flow", f"WITH {AP.ATTN} SELECT window_idx, i, flow FROM flow")
 def att_fold_flow(spark, d):
     """Flow by a fold over the cells as they lie."""
-    return folds.run_fold(A.layer_mean(tapes.attention(spark, d), tapes.LAYERS), "window_idx", folds.FlowFold(tapes.HEADS)).withColumn("flow", F.round(F.round("flow", 9), 6))
+    return folds.run_fold(A.layer_mean(tapes.attention(spark, d), tapes.LAYERS), "window_idx", folds.FlowFold(tapes.HEADS)).withColumn("flow", F.round("flow", 9))
 
 
 @query("att_fold_entropy", f"WITH {AP.ATTN}, e AS (SELECT window_idx, head, i, -sum((w + 1e-10) / t * ln((w + 1e-10) / t)) AS h FROM (SELECT *, sum(w + 1e-10) OVER (PARTITION BY window_idx, head, i) AS t FROM cells) GROUP BY ALL) SELECT window_idx, round(avg(h), 6) AS entropy FROM e WHERE window_idx IN (SELECT window_idx FROM size WHERE n = 32) GROUP BY window_idx")

@@ -33,10 +33,12 @@ def graph_summary(segments: DataFrame, edges: DataFrame, names: DataFrame, cut)
     tags = segments.groupBy("doc_id", "tag").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sum("c").alias("segments"), F.array_sort(F.collect_list(F.struct(F.col("tag").alias("name"), F.col("c").alias("n")))).alias("tags"))
     typed = edges.withColumn("edge_type", F.coalesce("edge_type", F.lit(0)).cast("int")).join(F.broadcast(names.select("edge_type", "name")), "edge_type", "left")
     e = typed.groupBy("doc_id", "name").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("edges"), F.array_sort(F.collect_list(F.struct("name", "n"))).alias("edge_types"))
-    key = lambda c: F.concat_ws("\u0001", F.col("doc_id").cast("string"), c)
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # its length first, so that no two pairs make one key
+    key = lambda c: F.concat(F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.length(doc).cast("string")), F.lit(":"), doc, F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")))
     comps = connected_components(segments.select(key("id").alias("id")), edges.select(key("src").alias("src"), key("dst").alias("dst")), cut)
-    parts = comps.groupBy(F.split_part("id", F.lit("\u0001"), F.lit(1)).alias("__d")).agg(F.count_distinct("comp").alias("__parts"))
-    rows = tags.join(e, "doc_id", "left").na.fill(0, ["edges"]).withColumn("__d", F.col("doc_id").cast("string")).join(parts, "__d")
+    parts = segments.select("doc_id", key("id").alias("id")).distinct().join(comps, "id").groupBy(F.col("doc_id").alias("__d")).agg(F.count_distinct("comp").alias("__parts"))
+    rows = tags.join(e, "doc_id", "left").na.fill(0, ["edges"])
+    rows = rows.join(parts, rows["doc_id"].eqNullSafe(parts["__d"]))
     none = F.array().cast("array<struct<name:string,n:bigint>>")
     return rows.select("doc_id", "segments", "edges", "tags", F.coalesce("edge_types", none).alias("edge_types"), (F.col("__parts") == 1).alias("connected"))
 

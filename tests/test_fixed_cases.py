@@ -85,3 +85,12 @@ def test_concepts(spark):
     }
     assert C.evolution(rows, gap=5, alike=0.3).filter("concept = 'kernel' AND conv_id = 1").select("changed").collect() == [(True,)]
     assert C.evolution(rows.limit(0)).count() == 0 and C.research(rows.limit(0)).count() == 0
+
+
+def test_ranks_of_sparse_and_hot_keys(spark):
+    from loomspark.operators.skew import ranked_rows
+
+    rows = [(k * 10**14, k % 3) for k in range(300)] + [(7, k) for k in range(400)]
+    placed = ranked_rows(spark.createDataFrame(rows, "a long, b long"), ["a", "b"], "at", part_rows=50).collect()
+    assert [(r.a, r.b) for r in sorted(placed, key=lambda r: r["at"])] == sorted(rows) and sorted(r["at"] for r in placed) == list(range(700))
+    assert ranked_rows(spark.createDataFrame([], "a long"), ["a"], "at").count() == 0
