@@ -18,20 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import NULL_ID, Scratch, hot_split_join
-from loomspark.llm.license_templates import NOTICES, TEMPLATES, TEXTS, TITLES, TWO_CLAUSES
+from loomspark.llm.license_templates import FAMILIES, MODIFIERS, TEMPLATES, TEXTS, TITLES, TWO_CLAUSES
 
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _terms(text: str) -> list[str]:
+    return re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))
+
+
 def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
-    """(template, term, weight / length) of each, the terms' idf, and that of any other term. Beside NOTICES further templates leave the
-    idf as it is: many wordings of a licence don't make its words less telling."""
-    counts = [Counter(re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))) for _, text in templates]
-    plain = set(NOTICES) <= set(templates)
-    df = Counter(t for k, c in enumerate(counts) if not plain or templates[k] in NOTICES for t in c)
-    n = len(NOTICES) if plain else len(templates)
-    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in sorted({t for c in counts for t in c})}
+    """(template, term, weight / length) of each, the terms' idf, and that of any other term. What counts for the idf is how many licences
+    hold a term in any template: many wordings of one licence don't make its words less telling."""
+    counts = [Counter(_terms(text)) for _, text in templates]
+    df = Counter(t for name in {n for n, _ in templates} for t in {t for (own, _), c in zip(templates, counts, strict=True) if own == name for t in c})
+    n = len({name for name, _ in templates})
+    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in sorted(df)}
     rows = []
     for k, c in enumerate(counts):
         length = math.sqrt(sum((f * idf[t]) ** 2 for t, f in c.items()))
@@ -39,8 +42,26 @@ def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int,
     return rows, idf, math.log(1 + n) + 1
 
 
+def telling(templates: list[tuple[str, str]]) -> tuple[dict[str, int], list[int], int]:
+    """A bit for each version and each of FAMILIES and MODIFIERS: those of terms, those that each template asks of a unit, and all of MODIFIERS.
+
+    A version is a number with a point, or one behind "version" or "v"; 2, 2.0, v2 and v2.0 are one version.
+    """
+    kinds, asked = [*MODIFIERS, *FAMILIES], []
+    for _, text in templates:
+        ts = _terms(text)
+        versions = {t.removesuffix(".0") for before, t in zip(["", *ts], ts) if re.fullmatch(r"\d+(\.\d+)?", t) and ("." in t or before in ("version", "v"))}
+        asked.append(versions | (set(ts) & {*MODIFIERS, *FAMILIES}))
+    kinds += sorted(set().union(*asked) - set(kinds))
+    bits = {t: 1 << k for k, t in enumerate(kinds)}
+    spelled = {v + t + end: b for t, b in bits.items() if t[0].isdigit() and "-" not in t for v in ("", "v") for end in ("", *([] if "." in t else [".0"]))}
+    return bits | spelled, [sum(bits[t] for t in a) for a in asked], sum(bits[t] for t in MODIFIERS)
+
+
 # Words too common in running text to look for; they stay outside the anchors first.
-COMMON = "the and of in to is or with are this that by all under mit a v from into your any for be at you it not may can if was its do so as on one use used file free work form 1 2 3 2.0 4.0 without person persons provided published must above following list other code library name names program version software copy copies source public general either later option found file conditions terms subject international".split()
+COMMON = "the and of in to is or with are this that by all under mit a v from into your any for be at you it not may can if was its do so as on one use used file free work form 1 2 3 2.0 4.0 without person persons provided published must above following list other code library name names program version software copy copies source public general either later option found file conditions terms subject international such some state over which while still given means names either except intent open available document documents individual organization contents using otherwise both appear package individual february march june november january list prior specific products forms materials legal free including deal charge fee sell merge copying written distribute distributed purpose".split()
+# A file of one of these names is a licence file, whatever its text.
+FILE_NAME = r"(?i)^(\w+-)?(licen[sc]e|copying|copyright)(-[\w-]+(\.\d+)?)?(\.(txt|md|rst|html?|lesser))?$"
 FOREIGN = ["mit"]  # anchors that another language's running text is full of
 CHUNK, FINE = 1024, 16  # terms a chunk; windows shorter than FINE start at every term, others at every eighth of their length and where a template's term fits
 
@@ -95,10 +116,6 @@ def _anchored(text: Column, weights: list[tuple[int, str, float]], threshold: fl
     return found
 
 
-def _terms(text: str) -> list[str]:
-    return re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))
-
-
 def _windows(hits: DataFrame, scratch: Scratch, templates: list[tuple[str, str]], weights: list[tuple[int, str, float]], threshold: float) -> DataFrame:
     """__id, n, unit, term: the terms of each window of n terms from term number unit on that lies around an anchor.
 
@@ -149,6 +166,10 @@ def _windows(hits: DataFrame, scratch: Scratch, templates: list[tuple[str, str]]
     return found.select("__id", F.explode("found").alias("w")).select("__id", "w.n", "w.unit", F.explode("w.terms").alias("term"))
 
 
+def _known(idf: dict[str, float], other: float, bits: dict[str, int]) -> list[tuple[str, float, int]]:
+    return [(t, idf.get(t, other), bits.get(t, 0)) for t in sorted(idf.keys() | bits.keys())]
+
+
 def _values(rows: list[tuple]) -> str:
     show = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) + ("D" if isinstance(v, float) else "")
     return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
@@ -167,9 +188,11 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
 
     A row's own licence is the template with the highest cosine, at least threshold, over its lines, its windows and its whole text; ties go
     to the earlier template, and "proprietary" is for rows that name no other licence, since licence texts reserve rights too. TITLES count
-    as whole lines and whole texts only. The row is a licence file of its directory if its first line or whole text reaches the threshold, if its
+    as whole lines and whole texts only. Whatever the cosine, a unit must hold the version and the telling words that its template holds
+    (FAMILIES, MODIFIERS), and no other MODIFIERS, so neighbouring versions and kinds aren't taken for each other. The row is a licence file of its directory if its first line or whole text reaches the threshold, if its
     best window is its very start, or if a text that grants a licence (TEXTS) begins within its first 40 terms. Of several in a directory
-    the highest score counts, then the smallest id. A row without its own takes that of the nearest directory on its path that has a
+    the highest score counts, then the smallest id. A file named as licence files are (FILE_NAME) whose text reaches no template is a
+    licence file of the licence "unknown" with null score; it counts after all others of its directory. A row without its own takes that of the nearest directory on its path that has a
     licence file, its own directory first, the root ("") last.
 
     Null or empty text matches nothing. A null path lies in the root. A null id counts as the smallest and comes back null; rows that repeat an
@@ -179,24 +202,29 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     scratch = Scratch(spark, "licenses")
     templates = templates or TEMPLATES
     weights, idf, other_idf = template_weights(templates)
+    bits, asked, modifiers = telling(templates)
     size = [-1 if t in TITLES else len(_terms(t[1])) for t in templates]
-    table = spark.sql(f"SELECT * FROM VALUES {_values([(*w, size[w[0]]) for w in weights])} AS t(template, term, weight, size)")
-    terms = spark.sql(f"SELECT * FROM VALUES {_values(sorted(idf.items()))} AS t(term, idf)")
+    table = spark.sql(f"SELECT * FROM VALUES {_values([(*w, size[w[0]], asked[w[0]]) for w in weights])} AS t(template, term, weight, size, asked)")
+    terms = spark.sql(f"SELECT * FROM VALUES {_values(_known(idf, other_idf, bits))} AS t(term, idf, bits)")
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id")
     rows = docs.select(key, F.col(text_col).alias("text"), F.coalesce(F.col(path_col), F.lit("")).alias("path"))
+    strange = F.regexp_replace("path", "^.*/", "").rlike(FILE_NAME) & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     hits = scratch.write(rows.select("__id", "text").filter(_anchored(F.col("text"), weights, threshold)), "hits")
     lines = hits.select("__id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line")).filter(_anchored(F.col("line"), weights, threshold))
     units = lines.unionByName(hits.select("__id", F.lit(-1).alias("unit"), F.col("text").alias("line")))
     words = units.select("__id", F.lit(0).alias("n"), "unit", F.explode(F.regexp_extract_all(_lower(F.col("line")), F.lit(f"({TERM})"))).alias("term"))
     words = words.unionByName(_windows(hits, scratch, templates, weights, threshold))
     counts = words.groupBy("__id", "n", "unit", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term", "left")
-    counts = scratch.write(counts.select("__id", "n", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other_idf))).alias("x")), "counts")
+    counts = counts.select("__id", "n", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(other_idf))).alias("x"), F.coalesce("bits", F.lit(0)).alias("bits"))
+    counts = scratch.write(counts, "counts")
     meets = (F.col("c.term") == F.col("t.term")) & ((F.col("n") == 0) | (F.col("n") == F.col("size")))
-    dots = counts.alias("c").join(F.broadcast(table.alias("t")), meets).groupBy("__id", "n", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count("*").alias("shared"))
+    dots = counts.alias("c").join(F.broadcast(table.alias("t")), meets).groupBy("__id", "n", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.max("asked").alias("asked"), F.count("*").alias("shared"))
     dots = dots.filter("shared > 1").drop("shared")  # one word alone ("mit", "from") names no licence
-    lengths = counts.groupBy("__id", "n", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    cosines = dots.join(lengths, ["__id", "n", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= threshold)
+    lengths = counts.groupBy("__id", "n", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.bit_or("bits").alias("bits"))
+    same = F.col("bits").bitwiseAND(F.col("asked")) == F.col("asked")
+    same = same & (F.col("bits").bitwiseAND(F.lit(modifiers)).bitwiseOR(F.col("asked")) == F.col("asked"))
+    cosines = dots.join(lengths, ["__id", "n", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter((F.col("score") >= threshold) & same)
     named = ~F.col("template").isin([k for k, (t, _) in enumerate(templates) if t == "proprietary"])
     grants = F.col("template").isin([k for k, t in enumerate(templates) if t in TEXTS or t in TWO_CLAUSES]) & (F.col("unit") < 40)
     own = cosines.groupBy("__id").agg(
@@ -207,7 +235,9 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     own = scratch.write(own.select("__id", F.col("best.score").alias("score"), F.bitwise_not("best.neg").alias("template"), (F.col("is_file") | F.col("best.first")).alias("is_file")), "own")
 
     scratch.drop("hits", "windows", "counts")
-    placed = rows.select("__id", _parent(F.col("path")).alias("dir")).join(own.hint("merge"), "__id", "left")
+    placed = rows.select("__id", _parent(F.col("path")).alias("dir"), strange.alias("strange")).join(own.hint("merge"), "__id", "left")
+    unknown = F.col("strange") & F.col("template").isNull()
+    placed = placed.select("__id", "dir", "score", F.when(unknown, len(templates)).otherwise(F.col("template")).alias("template"), (unknown | F.col("is_file")).alias("is_file"))
     placed = scratch.write(placed, "placed")
     scratch.drop("own")
     files = placed.filter("is_file").groupBy("dir").agg(F.max(F.struct("score", F.bitwise_not("__id").alias("neg"), "template")).alias("f"))
@@ -222,7 +252,7 @@ def scan_licenses(docs: DataFrame, path_col: str, templates: list[tuple[str, str
     nearest = scratch.write(nearest.join(dirs, "dir"), "nearest")
     scratch.drop("climb", "held")
 
-    name = F.element_at(F.array(*[F.lit(t) for t, _ in templates]), F.col("template") + 1)
+    name = F.element_at(F.array(*[F.lit(t) for t, _ in templates], F.lit("unknown")), F.col("template") + 1)
     real = lambda c: F.when(c != NULL_ID, c)
     mine = placed.filter("template IS NOT NULL").select("__id", name.alias("license"), "score", F.lit("own").alias("origin"), F.col("dir").alias("license_dir"), F.col("__id").alias("from_id"))
     without = placed.filter("template IS NULL").select("__id", "dir")
@@ -244,12 +274,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    weights, idf, other = template_weights(NOTICES)
+    weights, idf, other = template_weights(TEMPLATES)
+    bits, asked, modifiers = telling(TEMPLATES)
     plain = lambda rows: ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
     return rf"""
 WITH weights(template, term, weight) AS (VALUES {plain(weights)}),
-idfs(term, idf) AS (VALUES {plain(sorted(idf.items()))}),
-names(template, license) AS (VALUES {plain([(k, t) for k, (t, _) in enumerate(NOTICES)])}),
+idfs(term, idf, bits) AS (VALUES {plain(_known(idf, other, bits))}),
+names(template, license, asked) AS (VALUES {plain([(k, t, asked[k]) for k, (t, _) in enumerate(TEMPLATES)])}),
 rows AS (
   SELECT doc_id, coalesce(text, '') AS text,
          concat_ws('/', source, lang, floor(doc_id / 1000)::BIGINT::VARCHAR, floor(doc_id / 100)::BIGINT::VARCHAR) AS dir
@@ -260,18 +291,19 @@ units AS (
 words AS (
   SELECT doc_id, unit, unnest(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM units),
 counts AS (
-  SELECT w.doc_id, w.unit, w.term, count(*) * any_value(coalesce(i.idf, {other!r}))::DOUBLE AS x
+  SELECT w.doc_id, w.unit, w.term, count(*) * any_value(coalesce(i.idf, {other!r}))::DOUBLE AS x, any_value(coalesce(i.bits, 0))::BIGINT AS bits
   FROM words w LEFT JOIN idfs i ON w.term = i.term GROUP BY ALL),
-lengths AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS length FROM counts GROUP BY ALL),
+lengths AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS length, bit_or(bits) AS bits FROM counts GROUP BY ALL),
 dots AS (
   SELECT c.doc_id, c.unit, w.template, sum(c.x * w.weight::DOUBLE) AS dot
-  FROM counts c JOIN weights w ON c.term = w.term GROUP BY ALL),
+  FROM counts c JOIN weights w ON c.term = w.term GROUP BY ALL HAVING count(*) > 1),
 cosines AS (
-  SELECT d.doc_id, d.unit, d.template, round(dot / length, 6) AS score
-  FROM dots d JOIN lengths l ON d.doc_id = l.doc_id AND d.unit = l.unit WHERE round(dot / length, 6) >= 0.75),
+  SELECT d.doc_id, d.unit, d.template, round(dot / length, 6) AS score, n.license <> 'proprietary' AS named
+  FROM dots d JOIN lengths l ON d.doc_id = l.doc_id AND d.unit = l.unit JOIN names n ON d.template = n.template
+  WHERE round(dot / length, 6) >= 0.75 AND (l.bits & n.asked) = n.asked AND (l.bits & {modifiers} | n.asked) = n.asked),
 own AS (
   SELECT doc_id, bool_or(unit <= 0) AS is_file,
-         max(struct_pack(score := score, neg := -template)) AS best FROM cosines GROUP BY doc_id),
+         max(struct_pack(named := named, score := score, neg := -template)) AS best FROM cosines GROUP BY doc_id),
 placed AS (
   SELECT r.doc_id, r.dir, o.is_file, o.best.score AS score, -o.best.neg AS template FROM rows r LEFT JOIN own o ON r.doc_id = o.doc_id),
 files AS (
