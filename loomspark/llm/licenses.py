@@ -59,7 +59,7 @@ def telling(templates: list[tuple[str, str]]) -> tuple[dict[str, int], list[int]
 
 
 # Words too common in running text to look for; they stay outside the anchors first.
-COMMON = "the and of in to is or with are this that by all under mit a v from into your any for be at you it not may can if was its do so as on one use used file free work form 1 2 3 2.0 4.0 without person persons provided published must above following list other code library name names program version software copy copies source public general either later option found file conditions terms subject international such some state over which while still given means names either except intent open available document documents individual organization contents using otherwise both appear package individual february march june november january list prior specific products forms materials legal free including deal charge fee sell merge copying written distribute distributed purpose".split()
+COMMON = "1 2 3 the and of in to is or with are this that by all under mit a v from into your any for be at you it not may can if was its do so as on one use used file free work form 2.0 4.0 without person persons provided published must above following list other code library name names program version software copy copies source public general either later option found file conditions terms subject international such some state over which while still given means names either except intent open available document documents individual organization contents using otherwise both appear package individual february march june november january list prior specific products forms materials legal free including deal charge fee sell merge copying written distribute distributed purpose".split()
 # A file of one of these names is a licence file, whatever its text.
 FILE_NAME = r"(?i)^(\w+-)?(licen[sc]e|copying|copyright)(-[\w-]+(\.\d+)?)?(\.(txt|md|rst|html?|lesser))?$"
 FOREIGN = ["mit"]  # anchors that another language's running text is full of
