@@ -35,13 +35,15 @@ def token_positions(text: Column, tokens: Column) -> Column:
 def interval_map(tokens: DataFrame, segments: DataFrame, bin_size: int = 1024) -> DataFrame:
     """doc_id, tok_idx, seg_idx, n_segs: the last segment that each token overlaps, 0 where none does.
 
-    tokens: doc_id, tok_idx, begin, end; segments: doc_id, seg_idx, begin, end; half-open. Both meet by bins of positions.
+    tokens: doc_id, tok_idx, begin, end; segments: doc_id, seg_idx, begin, end; half-open. Both meet by bins of positions, and a pair that shares several bins
+    counts in the first of them, so one join and one aggregation with partial sums do it. Rows that repeat a token are one; a token without a position overlaps none.
     """
-    bins = lambda df: df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("begin") / bin_size), F.floor(F.greatest(F.col("end") - 1, F.col("begin")) / bin_size))))
-    s = bins(segments.select("doc_id", "seg_idx", F.col("begin"), F.col("end"))).withColumnsRenamed({"begin": "sb", "end": "se"})
-    hit = bins(tokens).join(s, ["doc_id", "bin"]).filter("begin < se AND end > sb").select("doc_id", "tok_idx", "seg_idx").distinct()
-    best = hit.groupBy("doc_id", "tok_idx").agg(F.max("seg_idx").alias("seg_idx"), F.count("*").alias("n_segs"))
-    return tokens.select("doc_id", "tok_idx").join(best, ["doc_id", "tok_idx"], "left").na.fill(0, ["seg_idx", "n_segs"])
+    first = lambda: F.floor(F.col("begin") / bin_size)
+    bins = lambda df: df.withColumns({"first": first(), "bin": F.explode_outer(F.sequence(first(), F.floor(F.greatest(F.col("end") - 1, F.col("begin")) / bin_size)))})
+    s = bins(segments.select("doc_id", "seg_idx", "begin", "end")).withColumnsRenamed({"begin": "sb", "end": "se", "first": "sf"})
+    met = bins(tokens.select("doc_id", "tok_idx", "begin", "end")).join(s, ["doc_id", "bin"], "left")
+    hit = F.when((F.col("begin") < F.col("se")) & (F.col("end") > F.col("sb")) & (F.col("bin") == F.greatest("first", "sf")), F.col("seg_idx"))
+    return met.groupBy("doc_id", "tok_idx").agg(F.max(hit).alias("seg_idx"), F.count(hit).alias("n_segs")).na.fill(0, ["seg_idx", "n_segs"])
 
 
 def uniform_map(tokens: DataFrame, k: int) -> DataFrame:

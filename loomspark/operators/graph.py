@@ -299,17 +299,25 @@ def _oriented(edges: DataFrame) -> DataFrame:
     """u, v: each undirected edge (src, dst in any order, loops left out) once, from the end of lower degree (ties by id), so that no node
     has more than about the root of twice the edges."""
     e = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return _from_lower_degree(e).select("u", "v", "at")
+
+
+def _from_lower_degree(e: DataFrame) -> DataFrame:
+    """u, v, at, turned and e's further columns, of distinct pairs src < dst: turned where u is dst."""
     deg = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     e = e.join(deg.withColumnsRenamed({"id": "src", "n": "a"}), "src").join(deg.withColumnsRenamed({"id": "dst", "n": "b"}), "dst")
     one, other = (F.struct(F.col(n).alias("n"), F.col(c).alias("i")) for n, c in (("a", "src"), ("b", "dst")))
-    return e.select(F.least(one, other).alias("from"), F.greatest(one, other).alias("at")).select(F.col("from.i").alias("u"), F.col("at.i").alias("v"), "at")
+    e = e.withColumns({"from": F.least(one, other), "at": F.greatest(one, other)}).withColumn("turned", F.col("from.i") != F.col("src"))
+    return e.select(F.col("from.i").alias("u"), F.col("at.i").alias("v"), "at", "turned", *[c for c in e.columns if c not in ("src", "dst", "a", "b", "from", "at", "turned")])
 
 
 def _triangles(e: DataFrame) -> DataFrame:
-    """u, v, w in the order of orientation."""
-    vw = e.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    wedges = e.select("u", "v", F.col("at").alias("x")).join(e.select("u", F.col("v").alias("w"), F.col("at").alias("y")), "u").filter("x < y").drop("x", "y")
-    return wedges.join(vw, ["v", "w"]).select("u", "v", "w")
+    """u, v, w in the order of orientation; further columns c of e come as c_uv, c_uw and c_vw."""
+    more = [c for c in e.columns if c not in ("u", "v", "at")]
+    named = lambda ends: [F.col(c).alias(f"{c}_{ends}") for c in more]
+    vw = e.select(F.col("u").alias("v"), F.col("v").alias("w"), *named("vw"))
+    wedges = e.select("u", "v", F.col("at").alias("x"), *named("uv")).join(e.select("u", F.col("v").alias("w"), F.col("at").alias("y"), *named("uw")), "u").filter("x < y")
+    return wedges.join(vw, ["v", "w"]).select("u", "v", "w", *[f"{c}_{ends}" for ends in ("uv", "uw", "vw") for c in more])
 
 
 def _sorted(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -340,11 +348,13 @@ def clustering(cells: DataFrame, group: str | None = None) -> DataFrame:
     at = lambda c: F.struct(group, F.col(c).alias("id")) if group else F.col(c)
     rows = cells.select(at("i").alias("i"), at("j").alias("j"))
     k = rows.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("k")).filter("k >= 2")
-    pairs = rows.filter("i <> j").select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") < F.col("j")).cast("int").alias("up")).groupBy("lo", "hi").agg(F.max("up").alias("up"), F.max(1 - F.col("up")).alias("down"))
-    t = triangles(pairs.select(F.col("lo").alias("src"), F.col("hi").alias("dst")))
-    for x, y in ("ab", "ac", "bc"):
-        t = t.join(pairs.select(F.col("lo").alias(x), F.col("hi").alias(y), F.col("up").alias(x + y), F.col("down").alias(y + x)), [x, y])
-    each = [F.struct(F.col(c).alias("id"), (F.col(c + x) * F.col(c + y) * (F.col(x + y) + F.col(y + x))).alias("n")) for c, x, y in ("abc", "bac", "cab")]
+    pairs = rows.filter("i <> j").select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), (F.col("i") < F.col("j")).cast("int").alias("up")).groupBy("src", "dst").agg(F.max("up").alias("up"), F.max(1 - F.col("up")).alias("down"))
+    e = _from_lower_degree(pairs)
+    # there: the edge from u to v is in the cells, back: that from v to u
+    e = e.select("u", "v", "at", F.when(F.col("turned"), F.col("down")).otherwise(F.col("up")).alias("there"), F.when(F.col("turned"), F.col("up")).otherwise(F.col("down")).alias("back"))
+    t = _triangles(e)
+    way = lambda x, y: F.col(f"there_{x}{y}") if x < y else F.col(f"back_{y}{x}")
+    each = [F.struct(F.col(x).alias("id"), (way(x, y) * way(x, z) * (way(y, z) + way(z, y))).alias("n")) for x, y, z in ("uvw", "vuw", "wuv")]
     closed = t.select(F.explode(F.array(*each)).alias("e")).select("e.*")
     loops = rows.filter("i = j").select(F.col("i").alias("id"))
     out = rows.filter("i <> j").join(loops.withColumnRenamed("id", "i"), "i", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -203,27 +204,30 @@ def listed(words: list[str]) -> str:
     return " and ".join(words) if len(words) < 3 else ", ".join(words[:-1]) + f", and {words[-1]}"
 
 
-def keyword_overlap(text_words: list[str], content: str) -> float:
-    """Words that the last 100 of a text share with the first 50 of a segment, over ten, at most .3."""
-    return min(len(set(text_words[-100:]) & set(content.lower().split()[:50])) / 10, 0.3)
-
-
 def guided_document(nodes: pd.DataFrame, links: dict[str, list[str]], seed: str = "") -> tuple[list[str], str]:
     """Order and text of a guided document: each time the best unvisited neighbour of what has been visited, else the most important one left.
 
     nodes: id, importance, segment_type, content, formatted, opening. Score: .3 importance + .4 a link to a visited node + .2 for the section's type +
-    keyword_overlap with the text written so far. Ties go to the smaller id. A header follows a segment of another type than the section's, or beyond 50 lines.
+    the keyword overlap (functions.text) of the text written so far. Ties go to the smaller id. A header follows a segment of another type than the section's, or beyond 50 lines.
     """
     rows = {r.id: r for r in nodes.itertuples()}
-    rest = sorted(rows, key=lambda i: (-rows[i].importance, i))
-    seen, order, section, lines = set(), [], "introduction", seed.count("\n")
+    rest = iter(sorted(rows, key=lambda i: (-rows[i].importance, i)))
+    heads = {i: set(r.content.lower().split()[:50]) for i, r in rows.items()}
+    linked_from: dict[str, list[str]] = {}
+    for i, ends in links.items():
+        for j in ends:
+            linked_from.setdefault(j, []).append(i)
+    seen, near, met, order, section, lines = set(), set(), Counter(), [], "introduction", seed.count("\n")
     parts, tail = [seed], seed.lower().split()
     while len(order) < len(rows):
-        near = sorted({j for i in seen for j in links.get(i, []) if j not in seen})
-        score = lambda i: 0.3 * rows[i].importance + 0.4 * sum(j in seen for j in links.get(i, [])) + 0.2 * (rows[i].segment_type == section) + (keyword_overlap(tail, rows[i].content) if order else 0)
+        written = set(tail[-100:]) if order else set()
+        score = lambda i: 0.3 * rows[i].importance + 0.4 * met[i] + 0.2 * (rows[i].segment_type == section) + (min(len(written & heads[i]) / 10, 0.3) if order else 0)  # noqa: B023, E731
         pick = max(near, key=lambda i: (score(i), [-ord(c) for c in i])) if near else next(i for i in rest if i not in seen)
         seen.add(pick)
         order.append(pick)
+        met.update(linked_from.get(pick, []))
+        near.discard(pick)
+        near.update(j for j in links.get(pick, []) if j not in seen)
         r = rows[pick]
         added = [r.opening, r.formatted]
         lines += sum(x.count("\n") + 1 for x in added)

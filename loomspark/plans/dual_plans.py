@@ -88,9 +88,9 @@ def ana_patterns(spark, d):
     "att_dual_results",
     f"""WITH RECURSIVE {AP.FOUND}, {AP.MERGED}, map AS (SELECT window_idx, i AS tok, i // 8 AS seg FROM v), sizes AS (SELECT window_idx, seg, count(*) AS k, min(tok) AS first, max(tok) AS last FROM map GROUP BY ALL), {PATTERNS}, {CROSS_SUMMARY[len(AP.MAPPED) + 2:]}, {COHESIONS}
 SELECT round(avg(pa.mean), 6) AS mean_node_attention, round(avg(clustering), 6) AS mean_clustering, round(avg(density), 6) AS mean_density, sum(hubs)::BIGINT AS total_hubs, round(avg(largest), 6) AS avg_component_size, count(*) AS windows_processed,
-  (SELECT round(avg(mean), 6) FROM cs) AS mean_cross_attention, (SELECT round(avg(consistency), 6) FROM cs) AS mean_consistency, (SELECT round(avg(strength), 6) FROM cs) AS mean_strength, true AS has_cross_attention,
+  (SELECT round(avg(mean), 6) FROM cs) AS mean_cross_attention, (SELECT round(avg(consistency), 6) FROM cs) AS mean_consistency, (SELECT round(avg(strength), 6) FROM cs) AS mean_strength, (SELECT count(*) > 0 FROM cs) AS has_cross_attention,
   (SELECT round(avg(overall), 6) FROM co) AS mean_cohesion, (SELECT round(var_pop(overall), 6) FROM co) AS cohesion_variance, (SELECT round(min(overall), 6) FROM co) AS min_cohesion, (SELECT round(max(overall), 6) FROM co) AS max_cohesion,
-  (SELECT count(*) FROM merged) AS dual_boundary_count, true AS has_node_attention FROM pa""",
+  (SELECT count(*) FROM merged) AS dual_boundary_count, count(*) > 0 AS has_node_attention FROM pa""",
 )
 def att_dual(spark, d):
     """The whole two-level analysis: patterns, cross-level attention, cohesion and merged boundaries, over all windows."""
@@ -319,7 +319,10 @@ def tree_pending(spark, d):
     return R.OpenTree(t).pending(one.unionByName(two), 2).select("doc_id", "seg_id")
 
 
-@query("tree_semantic_edges", f"WITH TAPES, {GP.TREE}, s AS (SELECT doc_id, seg_id AS src, lead(seg_id) OVER (PARTITION BY doc_id ORDER BY seg_id) AS dst FROM tree), k AS (SELECT doc_id, least(parent_id, seg_id) AS lo, greatest(parent_id, seg_id) AS hi FROM tree WHERE parent_id IS NOT NULL) SELECT s.doc_id, src, dst, 0.5::DOUBLE AS weight, 'semantic_similarity' AS type FROM s LEFT JOIN k ON k.doc_id = s.doc_id AND k.lo = least(src, dst) AND k.hi = greatest(src, dst) WHERE dst IS NOT NULL AND k.lo IS NULL")
+SEMANTIC = "s AS (SELECT doc_id, seg_id AS src, lead(seg_id) OVER (PARTITION BY doc_id ORDER BY seg_id) AS dst FROM tree), k AS (SELECT doc_id, least(parent_id, seg_id) AS lo, greatest(parent_id, seg_id) AS hi FROM tree WHERE parent_id IS NOT NULL), se AS (SELECT s.doc_id, src, dst FROM s LEFT JOIN k ON k.doc_id = s.doc_id AND k.lo = least(src, dst) AND k.hi = greatest(src, dst) WHERE dst IS NOT NULL AND k.lo IS NULL)"
+
+
+@query("tree_semantic_edges", f"WITH TAPES, {GP.TREE}, {SEMANTIC} SELECT doc_id, src, dst, 0.5::DOUBLE AS weight, 'semantic_similarity' AS type FROM se")
 def tree_semantic(spark, d):
     """Each segment to the next in pre-order, unless one is the other's parent."""
     from pyspark.sql import Window
@@ -334,7 +337,20 @@ def tree_sequential(spark, d):
     return R.sequential_edges(GP._tree(spark, d), symmetric=True).drop("type")
 
 
-@query("tree_preorder_edges")
+@query(
+    "tree_preorder_edges",
+    f"""WITH TAPES, {GP.TREE}, {SEMANTIC},
+links AS (SELECT doc_id, src, list(dst ORDER BY ord DESC, dst DESC) AS ends FROM (SELECT doc_id, parent_id AS src, seg_id AS dst, ord FROM tree WHERE parent_id IS NOT NULL UNION ALL SELECT doc_id, src, dst, 1048576 FROM se) GROUP BY ALL),
+maps AS MATERIALIZED (SELECT doc_id, map_from_entries(list(struct_pack(k := src, v := ends))) AS m FROM links GROUP BY doc_id),
+walk AS (
+  SELECT doc_id, ['0'] AS stack, []::VARCHAR[] AS done FROM T
+  UNION ALL
+  SELECT w.doc_id, list_concat(stack[1 : len(stack) - 1], CASE WHEN list_contains(done, stack[-1]) THEN [] ELSE coalesce(m.m[stack[-1]], []) END),
+         CASE WHEN list_contains(done, stack[-1]) THEN done ELSE list_append(done, stack[-1]) END
+  FROM walk w LEFT JOIN maps m ON m.doc_id = w.doc_id WHERE len(stack) > 0),
+ends AS (SELECT doc_id, unnest(done) AS id, generate_subscripts(done, 1) - 1 AS k FROM walk WHERE len(stack) = 0)
+SELECT doc_id, k::BIGINT AS k, id FROM ends""",
+)
 def tree_preorder_edges(spark, d):
     """Depth first over hierarchical edges, then semantic ones, from the root."""
     t = GP._tree(spark, d)

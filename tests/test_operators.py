@@ -1,4 +1,5 @@
 import os
+import random
 import sys
 
 import pandas as pd
@@ -145,6 +146,29 @@ def guided_nodes(**columns):
     return pd.DataFrame({**base, "formatted": base["content"], "opening": ["o"] * len(base["id"])})
 
 
+def test_guided_order_against_brute_force():
+    """Every step's choice, found anew by looking at all segments and all links."""
+    r = random.Random(7)
+    for n in (1, 2, 9, 25):
+        ids = [f"n{k:02}" for k in range(n)]
+        vocabulary = [f"w{k}" for k in range(30)]
+        nodes = pd.DataFrame({"id": ids, "importance": [r.randrange(4) / 4 for _ in ids], "segment_type": [r.choice(["example", "foundational", "general"]) for _ in ids], "content": [" ".join(r.choices(vocabulary, k=r.randrange(80))) for _ in ids], "opening": "", "formatted": ""})
+        nodes["formatted"] = nodes["content"]
+        links = {i: r.choices(ids, k=r.randrange(4)) for i in ids}
+        rows, seen, section, lines, tail = {x.id: x for x in nodes.itertuples()}, [], "introduction", 0, ["w1", "w2"]
+        while len(seen) < n:
+            near = [i for i in ids if i not in seen and any(i in links[j] for j in seen)]
+            value = lambda i: 0.3 * rows[i].importance + 0.4 * sum(j in seen for j in links[i]) + 0.2 * (rows[i].segment_type == section) + (min(len(set(tail[-100:]) & set(rows[i].content.split()[:50])) / 10, 0.3) if seen else 0)  # noqa: B023, E731
+            pick = min(near, key=lambda i: (-value(i), i)) if near else min((i for i in ids if i not in seen), key=lambda i: (-rows[i].importance, i))
+            seen.append(pick)
+            x = rows[pick]
+            tail, lines = tail + x.content.split(), lines + 2
+            if x.segment_type != section or lines >= 50:
+                header = f"\n{synth.HEADERS.get(x.segment_type, synth.OTHER_HEADER)}\n"
+                tail, section, lines = tail + header.lower().split(), x.segment_type, lines + header.count("\n")
+        assert synth.guided_document(nodes, links, "w1 w2")[0] == seen
+
+
 def test_guided_documents_visit_all():
     order, text = synth.guided_document(guided_nodes(), {"b": ["a"], "a": ["b"]})
     assert order == ["b", "a", "c"] and text.endswith("Document processing complete.\n")
