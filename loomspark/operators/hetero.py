@@ -120,14 +120,14 @@ def fetch(features: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def cache_report(requests: DataFrame, cached: DataFrame) -> DataFrame:
-    """calls, nodes, hits, hit_rate (hits over calls, so it may exceed 1) of requests (call, id)."""
+    """calls, nodes, hits, hit_rate (hits over calls, so it may exceed 1; null without calls) of requests (call, id)."""
     rows = requests.join(cached.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left")
-    return rows.agg(F.count_distinct("call").alias("calls"), F.count("*").alias("nodes"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).withColumn("hit_rate", F.col("hits") / F.col("calls"))
+    return rows.agg(F.count_distinct("call").alias("calls"), F.count("*").alias("nodes"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).withColumn("hit_rate", F.try_divide("hits", "calls"))
 
 
 def training_metrics(steps: DataFrame) -> DataFrame:
-    """loss (weighed by samples), mean_seconds, samples_per_second of steps (loss, samples, seconds)."""
-    return steps.agg((F.sum(F.col("loss") * F.col("samples")) / F.sum("samples")).alias("loss"), F.avg("seconds").alias("mean_seconds"), (F.sum("samples") / F.sum("seconds")).alias("samples_per_second"))
+    """loss (weighed by samples), mean_seconds, samples_per_second of steps (loss, samples, seconds); a rate over nothing is null."""
+    return steps.agg(F.try_divide(F.sum(F.col("loss") * F.col("samples")), F.sum("samples")).alias("loss"), F.avg("seconds").alias("mean_seconds"), F.try_divide(F.sum("samples"), F.sum("seconds")).alias("samples_per_second"))
 
 
 def accuracy(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:

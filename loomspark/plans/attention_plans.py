@@ -120,7 +120,7 @@ def att_coherence(spark, d):
     return A.coherence(A.entropy(_attn(spark, d), _sizes(spark, d), ["window_idx", "layer"])).withColumn("coherence", F.round("coherence", 6))
 
 
-@query("att_summary", f"WITH {FOUND}, {CONS}, {ENTROPY}, c AS (SELECT window_idx, 1 / (1 + var_pop(entropy)) AS c FROM ent GROUP BY window_idx) SELECT (SELECT count(*) FROM size) AS windows, (SELECT count(*) FROM cons) AS boundaries, (SELECT round(avg(entropy), 6) FROM ent) AS entropy, (SELECT round(avg(c), 6) FROM c) AS coherence")
+@query("att_summary", f"WITH {FOUND}, {CONS}, {ENTROPY}, c AS (SELECT window_idx, 1 / (1 + var_pop(entropy)) AS c FROM ent GROUP BY window_idx) SELECT (SELECT count(*) FROM size) AS windows, (SELECT count(*) FROM cons) AS boundaries, (SELECT round(coalesce(avg(entropy), 0.0), 6) FROM ent) AS entropy, (SELECT round(coalesce(avg(c), 1.0), 6) FROM c) AS coherence")
 def att_summary(spark, d):
     e = A.entropy(_attn(spark, d), _sizes(spark, d), ["window_idx", "layer"])
     parts = [_sizes(spark, d).agg(F.count("*").alias("windows")), A.consolidate(_found(spark, d), 0.05).agg(F.count("*").alias("boundaries")), e.agg(F.round(F.coalesce(F.avg("entropy"), F.lit(0.0)), 6).alias("entropy")), A.coherence(e).agg(F.round(F.coalesce(F.avg("coherence"), F.lit(1.0)), 6).alias("coherence"))]

@@ -87,7 +87,7 @@ def ana_patterns(spark, d):
 @query(
     "att_dual_results",
     f"""WITH RECURSIVE {AP.FOUND}, {AP.MERGED}, map AS (SELECT window_idx, i AS tok, i // 8 AS seg FROM v), sizes AS (SELECT window_idx, seg, count(*) AS k, min(tok) AS first, max(tok) AS last FROM map GROUP BY ALL), {PATTERNS}, {CROSS_SUMMARY[len(AP.MAPPED) + 2:]}, {COHESIONS}
-SELECT round(avg(pa.mean), 6) AS mean_node_attention, round(avg(clustering), 6) AS mean_clustering, round(avg(density), 6) AS mean_density, sum(hubs)::BIGINT AS total_hubs, round(avg(largest), 6) AS avg_component_size, count(*) AS windows_processed,
+SELECT round(avg(pa.mean), 6) AS mean_node_attention, round(avg(clustering), 6) AS mean_clustering, round(avg(density), 6) AS mean_density, coalesce(sum(hubs), 0)::BIGINT AS total_hubs, round(avg(largest), 6) AS avg_component_size, count(*) AS windows_processed,
   (SELECT round(avg(mean), 6) FROM cs) AS mean_cross_attention, (SELECT round(avg(consistency), 6) FROM cs) AS mean_consistency, (SELECT round(avg(strength), 6) FROM cs) AS mean_strength, (SELECT count(*) > 0 FROM cs) AS has_cross_attention,
   (SELECT round(avg(overall), 6) FROM co) AS mean_cohesion, (SELECT round(var_pop(overall), 6) FROM co) AS cohesion_variance, (SELECT round(min(overall), 6) FROM co) AS min_cohesion, (SELECT round(max(overall), 6) FROM co) AS max_cohesion,
   (SELECT count(*) FROM merged) AS dual_boundary_count, count(*) > 0 AS has_node_attention FROM pa""",

@@ -244,7 +244,7 @@ def ana_degree(spark, d):
     return r.select("id", "out_degree", "in_degree", F.round("out_centrality", 9).alias("out_centrality"), F.round("in_centrality", 9).alias("in_centrality"))
 
 
-@query("ana_density", f"WITH {E03}, n AS (SELECT count(*) AS nodes FROM nodes), e AS (SELECT count(*) AS edges FROM edges) SELECT nodes, edges, round(edges / (nodes * (nodes - 1)), 9) AS density, round(edges / (nodes * nodes), 9) AS density_all FROM n, e")
+@query("ana_density", f"WITH {E03}, n AS (SELECT count(*) AS nodes FROM nodes), e AS (SELECT count(*) AS edges FROM edges) SELECT nodes, edges, round(edges / nullif(nodes * (nodes - 1), 0), 9) AS density, round(edges / nullif(nodes * nodes, 0), 9) AS density_all FROM n, e")
 def ana_density(spark, d):
     r = G.density(_nodes(spark, d), _pairs(spark, d))
     return r.select("nodes", "edges", F.round("density", 9).alias("density"), F.round("density_all", 9).alias("density_all"))
@@ -350,8 +350,8 @@ def ana_cliques(spark, d):
     return G.triangles(e).withColumn("d", F.lit(None).cast("long")).unionByName(G.four_cliques(e))
 
 
-@query("ana_tag_shares", f"WITH TAPES, {TREE}, c AS (SELECT CASE WHEN has_code OR has_math THEN 'KEEP' ELSE 'track' END AS tag FROM tree WHERE level > 0) SELECT t.tag, count(c.tag) AS n, round(100 * count(c.tag) / (SELECT count(*) FROM c), 6) AS percent FROM (VALUES ('KEEP'), ('DELETE'), ('track')) t(tag) LEFT JOIN c ON c.tag = t.tag GROUP BY t.tag")
+@query("ana_tag_shares", f"WITH TAPES, {TREE}, c AS (SELECT CASE WHEN has_code OR has_math THEN 'KEEP' ELSE 'track' END AS tag FROM tree WHERE level > 0) SELECT t.tag, count(c.tag) AS n, round(100 * count(c.tag) / nullif((SELECT count(*) FROM c), 0), 6) AS percent FROM (VALUES ('KEEP'), ('DELETE'), ('track')) t(tag) LEFT JOIN c ON c.tag = t.tag GROUP BY t.tag")
 def ana_tag_shares(spark, d):
     counts = _tree(spark, d).filter("level > 0").groupBy("tag").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([("KEEP",), ("DELETE",), ("track",)], "tag string").join(counts, "tag", "left").na.fill(0, ["n"])
-    return every.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return every.withColumn("percent", F.round(F.try_divide(100 * F.col("n"), F.sum("n").over(Window.partitionBy())), 6))

@@ -355,7 +355,7 @@ def het_accuracy(spark, d):
     return r.withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("het_cache_report", "WITH c AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0) SELECT count(DISTINCT o_orderkey) AS calls, count(*) AS nodes, count(c.id) AS hits, round(count(c.id) / count(DISTINCT o_orderkey), 9) AS hit_rate FROM orders LEFT JOIN c ON o_custkey = c.id")
+@query("het_cache_report", "WITH c AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0) SELECT count(DISTINCT o_orderkey) AS calls, count(*) AS nodes, count(c.id) AS hits, round(count(c.id) / nullif(count(DISTINCT o_orderkey), 0), 9) AS hit_rate FROM orders LEFT JOIN c ON o_custkey = c.id")
 def het_cache(spark, d):
     req = tapes.table(spark, d, "orders").select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("id"))
     r = H.cache_report(req, tapes.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")))

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -38,6 +39,18 @@ def test_empty_tables(spark, empty_dir, name):
     assert catalogue.queries()[name](spark, empty_dir).count() == 0
 
 
+@pytest.mark.parametrize("name", ["ana_density", "ana_tag_shares", "att_summary", "het_cache_report"])
+def test_summaries_of_empty_tables(spark, empty_dir, name):
+    """Shares and rates of nothing are null or a stated value, as in the SQL, not an error."""
+    con = duckdb.connect()
+    for table in os.listdir(empty_dir):
+        con.execute(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{empty_dir}/{table}')")
+    found = con.execute(catalogue.oracle_sql()[name])
+    cols = [c[0] for c in found.description]
+    got = catalogue.queries()[name](spark, empty_dir).select(*cols).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall())) and got
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_null_and_repeated_rows(spark, odd_dir, name):
     assert catalogue.queries()[name](spark, odd_dir).count() > 0
