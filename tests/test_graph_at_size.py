@@ -7,3 +7,9 @@ def test_pattern_hubs_of_more_nodes_than_an_int_squares(spark):
     cells = spark.createDataFrame([(0, j, 1.0) for j in range(1, 6)], "i long, j long, w double")
     got = {r.id for r in G.pattern_hubs(cells, 50_000).collect()}
     assert got == {0, 1, 2, 3, 4, 5}
+
+
+def test_simplices_at_the_threshold(spark):
+    """(0.1 + 0.2) / 2 is a little more than 0.15 in doubles, 0.3 / 2 isn't: neither is over 0.15."""
+    cells = spark.createDataFrame([(7, 0, 1, 0.1), (7, 1, 0, 0.2), (8, 0, 1, 0.3), (9, 0, 1, 0.1), (9, 1, 0, 0.2001)], "g long, i long, j long, w double")
+    assert [r.g for r in G.simplices(cells, 32, 0.15, "g").filter("dim = 1").collect()] == [9]
