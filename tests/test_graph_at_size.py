@@ -1,6 +1,12 @@
 """Graph operators where counts, thresholds and paths differ from those of small tables."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from loomspark.operators import graph as G
+from loomspark.operators import vectors as V
+from loomspark.plans import catalogue
 
 
 def test_pattern_hubs_of_more_nodes_than_an_int_squares(spark):
@@ -13,3 +19,44 @@ def test_simplices_at_the_threshold(spark):
     """(0.1 + 0.2) / 2 is a little more than 0.15 in doubles, 0.3 / 2 isn't: neither is over 0.15."""
     cells = spark.createDataFrame([(7, 0, 1, 0.1), (7, 1, 0, 0.2), (8, 0, 1, 0.3), (9, 0, 1, 0.1), (9, 1, 0, 0.2001)], "g long, i long, j long, w double")
     assert [r.g for r in G.simplices(cells, 32, 0.15, "g").filter("dim = 1").collect()] == [9]
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("most_broadcast", [0, 100])
+def test_large_graphs_ranks_equal_small_ones(spark, tmp_path, directed, most_broadcast):
+    """Loops, repeated edges, null weights and ends, and nodes without edges: the same ranks by joins as in one task; edges are written once and never shuffled."""
+    ends = [(0, 1), (1, 2), (2, 2), (2, 0), (0, 1), (3, 0), (4, 4), (None, 1)]
+    edges = spark.createDataFrame([(5, a, b, None if a == 2 else 0.5 + k) for k, (a, b) in enumerate(ends)], "graph_id long, src long, dst long, weight double")
+    nodes = spark.createDataFrame([(5, i) for i in (0, 1, 2, 3, 4, 6, 6)], "graph_id long, id long")
+    steps = []
+
+    def cut(df, k):
+        steps.append(k)
+        df.write.parquet(f"{tmp_path}/{directed}-{k}")
+        return spark.read.parquet(f"{tmp_path}/{directed}-{k}")
+
+    small = {r.id: round(r.importance, 9) for r in G.pagerank(nodes, edges, iterations=20, tol=None, directed=directed).collect()}
+    large = {r.id: round(r.importance, 9) for r in G.pagerank_shuffled(nodes, edges, cut, directed=directed, most_broadcast=most_broadcast).collect()}
+    assert small == large and steps == ["edges", "nodes", *range(20)]
+
+
+def test_ranking_queries_send_large_graphs_to_joins(spark, sf_dir, monkeypatch):
+    """The queries of ranks go through `ranked`: a graph beyond a task's bound isn't gathered in one."""
+    seen = []
+    monkeypatch.setattr(G, "ranked", lambda nodes, edges, cut, **more: seen.append(1) or G.pagerank(nodes, edges, iterations=1, tol=None))
+    for name in ("ana_pagerank20", "ana_pagerank_directed", "ana_classify", "ana_importance_p75", "ana_importance_histogram"):
+        catalogue.queries()[name](spark, sf_dir)
+    assert len(seen) == 5
+
+
+def test_similar_pairs_by_slices(spark):
+    """A cell's products come in slices of bounded size, and blocks grow beyond 16 of them; the pairs are those of one product."""
+    vecs = np.random.default_rng(1).normal(size=(300, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    want = {(i, j) for i, j in zip(*np.nonzero(vecs @ vecs.T > 1.0)) if i < j}
+    got = V.similar_pairs(rows, 1.0, block_rows=8)
+    assert {(r.src, r.dst) for r in got.collect()} == want and got.count() == len(want)
+    assert V._grid(rows, 8, 8).agg({"y": "max"}).first()[0] == 15
+    batch = pa.table({"x": [0] * 600, "y": [1] * 600, "dim": [4] * 600, "id": [*range(300)] * 2, "vec": vecs.tolist() * 2, "is_row": [True] * 300 + [False] * 300}).to_batches()
+    parts = [b.num_rows for b in V._block_pairs(1.0, 3000)(iter(batch))]
+    assert len(parts) == 30 and sum(parts) == (vecs @ vecs.T > 1.0).sum()
