@@ -5,8 +5,10 @@ Null texts or token lists give nothing; tokens that no segment holds map to 0; e
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def clean_token(token: Column, kind: str = "auto") -> Column:
@@ -17,19 +19,36 @@ def clean_token(token: Column, kind: str = "auto") -> Column:
     return F.when(F.trim(bare) == "", token).otherwise(F.trim(bare)) if kind == "auto" else bare
 
 
+def _find_tokens(text: str | None, tokens: list | None) -> list | None:
+    """(tok, begin, end) of each token from one cursor."""
+    if tokens is None:
+        return None
+    out, cur = [], 0
+    for t in tokens:
+        begin = end = cur
+        if t is not None and text is not None and not (t.startswith("[") and t.endswith("]")):
+            bare = t.replace("##", "").replace("▁", " ").replace("Ġ", " ").strip(" ")
+            clean = bare or t
+            at = text.find(clean, cur) if clean else 0
+            if at >= 0:
+                begin, end = at, at + len(clean)
+        out.append((t, begin, end))
+        cur = end
+    return out
+
+
 def token_positions(text: Column, tokens: Column) -> Column:
-    """Array of (tok, begin, end) by search from the end of the one before; special [X] tokens and misses have no width at the cursor."""
-    start = F.struct(F.array().cast("array<struct<tok:string,begin:int,end:int>>").alias("out"), F.lit(0).alias("cur"))
+    """Array of (tok, begin, end) by search from the end of the one before; special [X] tokens and misses have no width at the cursor. A search goes on where the last
+    one ended, so a text costs its length, not its length times its tokens."""
+    kind = ArrayType(StructType([StructField("tok", StringType()), StructField("begin", IntegerType()), StructField("end", IntegerType())]))
 
-    def step(a: Column, t: Column) -> Column:
-        clean = clean_token(t)
-        special = t.startswith("[") & t.endswith("]")
-        at = F.call_function("locate", clean, text, a["cur"] + 1) - 1
-        hit = ~special & (at >= 0)
-        begin, end = F.when(hit, at).otherwise(a["cur"]), F.when(hit, at + F.length(clean)).otherwise(a["cur"])
-        return F.struct(F.concat(a["out"], F.array(F.struct(t.alias("tok"), begin.alias("begin"), end.alias("end")))).alias("out"), end.alias("cur"))
+    @F.arrow_udf(kind)
+    def found(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = (_find_tokens(x.as_py(), t.as_py()) for x, t in zip(texts, lists))
+        rows = [r if r is None else [{"tok": t, "begin": b, "end": e} for t, b, e in r] for r in rows]
+        return pa.array(rows, pa.list_(pa.struct([("tok", pa.string()), ("begin", pa.int32()), ("end", pa.int32())])))
 
-    return F.aggregate(tokens, start, step, lambda a: a["out"])
+    return found(text, tokens)
 
 
 def interval_map(tokens: DataFrame, segments: DataFrame, bin_size: int = 1024) -> DataFrame:
@@ -51,6 +70,15 @@ def uniform_map(tokens: DataFrame, k: int) -> DataFrame:
     return tokens.withColumn("seg_idx", F.ntile(k).over(Window.partitionBy("doc_id").orderBy("tok_idx")) - 1)
 
 
+def uniform_levels(tokens: DataFrame, ks: list[int]) -> DataFrame:
+    """doc_id, tok_idx, levels: each token's seg_idx of uniform_map at each number of runs, a map from its place in ks. One sort of the tokens' places serves all
+    levels, and nothing is gathered by token."""
+    w = Window.partitionBy("doc_id").orderBy("tok_idx")
+    rows = tokens.select("doc_id", "tok_idx", *[(F.ntile(k).over(w) - 1).alias(f"__{i}") for i, k in enumerate(ks)])
+    levels = F.map_from_arrays(F.array(*[F.lit(i) for i in range(len(ks))]), F.array(*[F.col(f"__{i}") for i in range(len(ks))]))
+    return rows.select("doc_id", "tok_idx", levels.alias("levels"))
+
+
 def window_slice(mapping: DataFrame, start: int, size: int) -> DataFrame:
     """doc_id, pos (0 to size - 1), seg_idx: a window of the mapping, 0 past its end."""
     own = mapping.filter((F.col("tok_idx") >= start) & (F.col("tok_idx") < start + size)).select("doc_id", (F.col("tok_idx") - start).alias("pos"), "seg_idx")

@@ -258,10 +258,8 @@ def tok_mask(spark, d):
 
 @query("tok_multi_level", f"WITH {AP.TOKENS} SELECT doc_id, tok_idx, '0=' || (ntile(4) OVER w - 1) || ',1=' || (ntile(8) OVER w - 1) AS levels FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY tok_idx)")
 def tok_levels(spark, d):
-    t = AP._tokens(spark, d)
-    both = L.uniform_map(t, 4).withColumn("level", F.lit(0)).unionByName(L.uniform_map(t, 8).withColumn("level", F.lit(1)))
     shown = F.array_join(F.transform(F.map_entries("levels"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",")
-    return AP._longs(L.multi_level(both).select("doc_id", "tok_idx", shown.alias("levels")), "tok_idx")
+    return AP._longs(L.uniform_levels(AP._tokens(spark, d), [4, 8]).select("doc_id", "tok_idx", shown.alias("levels")), "tok_idx")
 
 
 @query("vec_dual", f"WITH {GP.FLAT}, m AS (SELECT label, dim, avg(x) AS mean FROM flat WHERE vec_id % 5 <> 0 GROUP BY ALL) SELECT f.vec_id, f.dim, round(f.x, 6) AS own, CASE WHEN f.vec_id % 5 <> 0 THEN round(m.mean, 6) END AS node FROM flat f JOIN m ON f.label = m.label AND f.dim = m.dim")
