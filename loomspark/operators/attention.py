@@ -5,16 +5,20 @@ Where a function says nothing else: empty tables give empty tables (summaries ov
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from loomspark.sources.scratch import cutter
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 # fixed values
 BIAS = {"BOUNDARY": -0.5, "SPEAKER_BOUNDARY": -1.0, "REFERENCE": 0.3, "TOPIC_EVOLUTION": 0.2}
 EPS = 1e-10
+_DECIMALS = Context(prec=400, rounding=ROUND_HALF_UP)
 
 
 def layer_mean(attn: DataFrame, layers: int) -> DataFrame:
@@ -411,38 +415,48 @@ def window_segments(windows: DataFrame, segments: DataFrame, keys: list[str] | N
     return pos.join(segs, [*keys, "p"], "left").select(*keys, "win_idx", (F.col("p") - F.col("begin")).alias("pos"), F.coalesce("seg_idx", F.lit(0)).alias("seg_idx"))
 
 
-def adaptive_rank_history(spectra: DataFrame, least: int, most: int, first: float = 0.5, chunk: int = 512, cut=None) -> DataFrame:
+def _round9(x: float | None) -> float | None:
+    """As Spark's round to 9 decimals: halves of the shortest decimal go up."""
+    if x is None or not math.isfinite(x):
+        return x
+    return float(_DECIMALS.quantize(Decimal(repr(x)), Decimal("1e-9")))
+
+
+def _followed_ranks(least: int, most: int, first: float, chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of head and win. All that is kept from one to the next is the head, the sum of its complexities and their number."""
+        head, total, count = None, 0.0, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, chunk):
+                batch = whole.slice(at, chunk)
+                heads, made = batch["head"].to_pylist(), []
+                for h, n, c in zip(heads, batch["n"].to_pylist(), batch["c"]):
+                    if h != head:
+                        head, total, count = h, 0.0, 0
+                    target = first if not count else None if total is None else _round9(total / count)
+                    rank = most
+                    if c.is_valid:
+                        c = c.values.to_numpy(zero_copy_only=False)
+                        bound = None if target is None or not len(c) or np.isnan(c[-1]) else _round9(float(c[-1]) * (1 - target))
+                        rank = min(most, (0 if bound is None else int(np.count_nonzero(c < bound))) + 1)
+                    rank = max(least, rank)
+                    total, count = None if total is None or n is None else total + rank / n, count + 1
+                    made.append((rank, target, None if total is None else _round9(total / count)))
+                cols = [pa.array(x, t) for x, t in zip(zip(*made), (pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.record_batch([batch["head"], batch["win"], *cols], ["head", "win", "rank", "target", "mean"])
+
+    return run
+
+
+def adaptive_rank_history(spectra: DataFrame, least: int, most: int, first: float = 0.5, chunk: int = 512) -> DataFrame:
     """head, win, rank, target, mean: ranks that follow those of the head's earlier windows.
 
     spectra: head, win (from 0, without gaps), n (size of the matrix), s (array of its singular values in falling order). A window's target is the mean complexity, rank over n, of all
     windows before it (`first` for the first); its rank is the smallest k whose values sum to 1 - target of all, within bounds; mean is the mean complexity up to it.
-    A head's windows depend on each other in order, so they are folded: heads side by side, and a head's windows in chunks, of which the next one begins with
-    the sum and count that the last one left. A chunk of a head is what a task holds. Windows without values have rank `least`.
+    A head's windows depend on each other in order, so they are folded: heads side by side, and a head's windows sorted and streamed through one task, which holds a batch and
+    works on chunk rows at a time. The driver has one job, however many windows there are. Windows without values have rank `least`.
     """
-    cut = cut or cutter(spectra.sparkSession, "rank-history")
     cum = F.aggregate("s", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.round(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x, 9))))
-    rows = cut(spectra.select("head", "win", F.col("n").cast("double").alias("n"), cum.alias("c"), F.floor(F.col("win") / chunk).alias("chunk")), "spectra")
-    last = rows.agg(F.max("chunk")).first()[0]
-    state = rows.select("head").distinct().select("head", F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("count"))
-    out_type = "array<struct<win:bigint,rank:bigint,target:double,mean:double>>"
-    parts = [rows.limit(0).select("head", F.lit(0).cast("long").alias("win"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("target"), F.lit(0.0).alias("mean"))]
-    for k in range(-1 if last is None else last + 1):
-        held = rows.filter(F.col("chunk") == k).groupBy("head").agg(F.array_sort(F.collect_list(F.struct(F.col("win").cast("long").alias("win"), "n", "c"))).alias("ws")).join(state, "head")
-        start = F.struct(F.col("sum").alias("sum"), F.col("count").alias("count"), F.array().cast(out_type).alias("out"))
-
-        def step(a: Column, w: Column) -> Column:
-            target = F.when(a["count"] > 0, F.round(a["sum"] / a["count"], 9)).otherwise(F.lit(first))
-            short = F.size(F.filter(w["c"], lambda c: c < F.round(F.try_element_at(w["c"], F.lit(-1)) * (1 - target), 9)))
-            rank = F.greatest(F.lit(least), F.least(F.lit(most), short + 1)).cast("long")
-            total, count = a["sum"] + rank / w["n"], a["count"] + 1
-            made = F.struct(w["win"].alias("win"), rank.alias("rank"), target.alias("target"), F.round(total / count, 9).alias("mean"))
-            return F.struct(total.alias("sum"), count.alias("count"), F.concat(a["out"], F.array(made)).alias("out"))
-
-        done = cut(held.select("head", F.aggregate("ws", start, step).alias("a")), f"chunk-{k}")
-        state = state.join(done.select("head", F.col("a.sum").alias("s2"), F.col("a.count").alias("c2")), "head", "left").select("head", F.coalesce("s2", "sum").alias("sum"), F.coalesce("c2", "count").alias("count"))
-        state = cut(state, f"state-{k}")
-        parts.append(done.select("head", F.explode("a.out").alias("o")).select("head", "o.*"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    rows = spectra.filter("head IS NOT NULL AND win IS NOT NULL").select("head", F.col("win").cast("long").alias("win"), F.col("n").cast("double").alias("n"), cum.alias("c"))
+    out = StructType([rows.schema["head"], *(StructField(c, t) for c, t in (("win", LongType()), ("rank", LongType()), ("target", DoubleType()), ("mean", DoubleType())))])
+    return rows.repartition("head").sortWithinPartitions("head", "win", "n", "c").mapInArrow(_followed_ranks(least, most, first, chunk), out)
