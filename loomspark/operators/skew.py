@@ -40,3 +40,13 @@ def ranked_rows(rows: DataFrame, order: list[str], place: str, part_rows: int =
     base = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("__range", base.alias("__base"))
     return dealt.join(F.broadcast(counts), "__range").withColumn(place, F.col("__base") + F.col("__at")).drop("__range", "__at", "__m", "__base")
+
+
+def running_totals(rows: DataFrame, key: str, value: str, before: str, part_rows: int = 1 << 16, most_parts: int = 10_000) -> DataFrame:
+    """rows plus before: the sum of value over all rows with a smaller key (keys are distinct). Ranges as in ranked_rows; only their sums are added up in one task."""
+    parts = max(1, min(most_parts, math.ceil(rows.count() / part_rows)))
+    dealt = cutter(rows.sparkSession, "totals")(rows.repartitionByRange(parts, key).withColumn("__range", F.spark_partition_id()), "dealt")
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum")).select("__range", earlier(Window.orderBy("__range"), "__sum").alias("__base"))
+    own = dealt.withColumn("__own", earlier(Window.partitionBy("__range").orderBy(key), value))
+    return own.join(F.broadcast(sums), "__range").withColumn(before, F.col("__base") + F.col("__own")).drop("__range", "__base", "__own")

@@ -60,3 +60,31 @@ def test_similar_pairs_by_slices(spark):
     batch = pa.table({"x": [0] * 600, "y": [1] * 600, "dim": [4] * 600, "id": [*range(300)] * 2, "vec": vecs.tolist() * 2, "is_row": [True] * 300 + [False] * 300}).to_batches()
     parts = [b.num_rows for b in V._block_pairs(1.0, 3000)(iter(batch))]
     assert len(parts) == 30 and sum(parts) == (vecs @ vecs.T > 1.0).sum()
+
+
+def test_spread_sample_orders_few_edges(spark, monkeypatch):
+    """Only edges of the few src that hold the asked places are ordered; the sample is that of all edges in order, hubs and repeated edges too."""
+    pairs = sorted([(i % 97, (i * 31) % 89) for i in range(1500)] + [(5, j) for j in range(400)] + [(6, 1)] * 30)
+    e = spark.createDataFrame(pairs, "src long, dst long").repartition(7)
+    ordered = []
+    full = G.ranked_rows
+    monkeypatch.setattr(G, "ranked_rows", lambda rows, *more: ordered.append(rows.count()) or full(rows, *more))
+    for most in (20, 7, 1, 3000):
+        stride = max(1, len(pairs) // most)
+        assert sorted(map(tuple, G.spread_sample(e, most).collect())) == pairs[::stride][:most]
+    assert ordered[1] < len(pairs) / 2
+    assert G.spread_sample(e.limit(0)).count() == 0
+
+
+def test_stars_within_tasks(spark, tmp_path):
+    """A dense graph's edges leave a task as one star for each component, whatever the bound on what is held."""
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 200, 5000) * 4 + np.arange(5000) % 4 for _ in "ab")
+    batches = [pa.record_batch([a[i : i + 500], b[i : i + 500]], ["src", "dst"]) for i in range(0, 5000, 500)]
+    for most in (1 << 20, 600):
+        got = pa.Table.from_batches(G._local_forest(iter(batches), most))
+        ids, low = G._smallest_reached(got["src"].to_numpy(), got["dst"].to_numpy())
+        want, want_low = G._smallest_reached(a, b)
+        assert (ids == want).all() and (low == want_low).all() and (low == ids % 4).all()
+    assert pa.Table.from_batches(G._local_forest(iter(batches))).num_rows == 800 - 4
+    assert [(r.id, r.comp) for r in G.component_labels(spark.createDataFrame([*zip(a.tolist(), b.tolist())], "src long, dst long"), lambda df, k: df.localCheckpoint()).orderBy("id").limit(6).collect()] == [(i, i % 4) for i in range(6)]
