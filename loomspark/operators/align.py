@@ -5,7 +5,9 @@ Null texts or token lists give nothing; tokens that no segment holds map to 0; e
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -51,6 +53,71 @@ def token_positions(text: Column, tokens: Column) -> Column:
     return found(text, tokens)
 
 
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """Where each row begins in lists.flatten(), and its end; a null row is empty."""
+    return np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
+def joined_places(words: Column) -> Column:
+    """Array of (tok, begin, end) of an array of words without nulls, as if joined by one character. A row is worked on by itself, so no window orders its words."""
+
+    @F.arrow_udf("array<struct<tok:string,begin:bigint,end:bigint>>")
+    def placed(rows: pa.Array) -> pa.Array:
+        at, toks = _offsets(rows), rows.flatten()
+        size = pc.utf8_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.r_[0, np.cumsum(size + 1)]
+        begin = ends[:-1] - np.repeat(ends[at[:-1]], np.diff(at))
+        each = pa.StructArray.from_arrays([toks, pa.array(begin), pa.array(begin + size)], ["tok", "begin", "end"])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)
+
+    return placed(words)
+
+
+def _bins(row: np.ndarray, begin: np.ndarray, end: np.ndarray, bin_size: int) -> tuple[np.ndarray, ...]:
+    """Each range's (row, bin) as one key for every bin that it touches, its number, and the first of its bins."""
+    first = begin // bin_size
+    count = np.maximum(end - 1, begin) // bin_size - first + 1
+    of = np.repeat(np.arange(len(row)), count)
+    return row[of] << 32 | (first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)), of, first
+
+
+def _overlapped(row: np.ndarray, begin: np.ndarray, end: np.ndarray, seg_row: np.ndarray, seg: np.ndarray, sb: np.ndarray, se: np.ndarray, bin_size: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """For tokens (row, begin, end) the largest seg of the segments of their row that they overlap (0 without any), and how many these are. Both meet by bins."""
+    keys, of, first = _bins(seg_row, sb, se, bin_size)
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    best, n = np.full(len(row), np.iinfo(np.int64).min), np.zeros(len(row), np.int64)
+    for k in range(0, len(row), most):
+        part = slice(k, k + most)
+        met, tok, tok_first = _bins(row[part], begin[part], end[part], bin_size)
+        low = np.searchsorted(keys, met)
+        count = np.searchsorted(keys, met, "right") - low
+        bin_, t = np.repeat(met & 0xFFFFFFFF, count), np.repeat(tok, count)
+        s = of[np.arange(len(t)) + np.repeat(low - np.cumsum(count) + count, count)]
+        # a pair that shares several bins counts in the first of them
+        hit = (begin[part][t] < se[s]) & (end[part][t] > sb[s]) & (bin_ == np.maximum(tok_first[t], first[s]))
+        np.maximum.at(best, t[hit] + k, seg[s[hit]])
+        n += np.bincount(t[hit] + k, minlength=len(row))
+    return np.where(n > 0, best, 0), n
+
+
+def interval_hits(tokens: Column, segments: Column, bin_size: int = 256) -> Column:
+    """interval_map where a row holds a text's tokens, array of (begin, end, ...), and segments, array of (seg_idx, begin, end), positions from 0 and none null: array of (seg_idx, n_segs)
+    in the order of the tokens. Nothing leaves its row, so nothing is shuffled."""
+
+    @F.arrow_udf("array<struct<seg_idx:bigint,n_segs:bigint>>")
+    def found(begins: pa.Array, ends: pa.Array, segs: pa.Array, sbs: pa.Array, ses: pa.Array) -> pa.Array:
+        flat = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        at, seg_at = _offsets(begins), _offsets(segs)
+        rows = np.arange(len(begins))
+        best, n = _overlapped(np.repeat(rows, np.diff(at)), flat(begins), flat(ends), np.repeat(rows, np.diff(seg_at)), flat(segs), flat(sbs), flat(ses), bin_size)
+        each = pa.StructArray.from_arrays([pa.array(best), pa.array(n)], ["seg_idx", "n_segs"])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)
+
+    longs = lambda c, f: F.transform(c, lambda x: x[f].cast("long"))
+    return found(longs(tokens, "begin"), longs(tokens, "end"), longs(segments, "seg_idx"), longs(segments, "begin"), longs(segments, "end"))
+
+
 def interval_map(tokens: DataFrame, segments: DataFrame, bin_size: int = 1024) -> DataFrame:
     """doc_id, tok_idx, seg_idx, n_segs: the last segment that each token overlaps, 0 where none does.
 
