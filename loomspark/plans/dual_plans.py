@@ -204,13 +204,13 @@ tc AS (SELECT doc_id, position, avg(strength) AS strength, min(type) AS type, co
 def att_text_flow(spark, d):
     """Attention flow over the words of every transcript."""
     tokens = TA.tokens_of(tapes.transcripts(spark, d))
-    return TA.text_flow(TA.banded_attention(tokens), tokens).withColumn("flow", F.round("flow", 6))
+    return TA.text_flow(TA.banded_attention(tokens, ordered=True), tokens).withColumn("flow", F.round("flow", 6))
 
 
 @query("att_text_boundaries", f"WITH TAPES, {TEXT_FLOW} SELECT doc_id, position, round(strength, 6) AS strength, type, n FROM tc")
 def att_text_boundaries(spark, d):
     tokens = TA.tokens_of(tapes.transcripts(spark, d))
-    return TA.text_boundaries(TA.text_flow(TA.banded_attention(tokens), tokens)).withColumn("strength", F.round("strength", 6))
+    return TA.text_boundaries(TA.text_flow(TA.banded_attention(tokens, ordered=True), tokens)).withColumn("strength", F.round("strength", 6))
 
 
 @query(
