@@ -29,6 +29,12 @@ def normalised(edges: DataFrame) -> DataFrame:
     return ends.select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
 
 
+def _degrees(rows: DataFrame) -> DataFrame:
+    """id, d, rows of undirected edges (src, dst, weight), each there once: the sum of its node's weights, a loop's once, and how many they are. Each end is added up where it lies."""
+    ends = [rows.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"), F.count("*").alias("rows")), rows.filter("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("d"), F.count("*").alias("rows"))]
+    return ends[0].unionByName(ends[1]).groupBy("id").agg(F.sum("d").alias("d"), F.sum("rows").alias("rows"))
+
+
 def _block(column: pa.Array, b: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, b)
 
@@ -68,19 +74,49 @@ def smallest_eigenvectors(matrix: DataFrame, k: int, rounds: int = 60, tolerance
     """
     cut = cut or cutter(matrix.sparkSession, "spectral")
     matrix = cut(matrix, "matrix")
-    nodes = matrix.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("rows"))
+    nodes = cut(matrix.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("rows")), "nodes")
+    return _iterated(nodes, lambda block, width: _summed(hot_split_join(matrix, block.withColumnRenamed("id", "dst"), "dst", "rows"), "src", width), k, rounds, tolerance, extra, cut)
+
+
+def smallest_eigenvectors_of_edges(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-7, extra: int = 2, cut: Callable[[DataFrame, int], DataFrame] | None = None, most_broadcast: int = 1_000_000) -> tuple[DataFrame, np.ndarray]:
+    """smallest_eigenvectors of normalised(edges), where the matrix is never made: edges are written once, each stands for both ways, and degrees divide the vectors instead.
+
+    Up to most_broadcast nodes, which are counted, vectors go to the edges by broadcast and only sums by task and node are shuffled; beyond, by hot_split_join. Repeated edges
+    add up in the sums.
+    """
+    cut = cut or cutter(edges.sparkSession, "spectral")
+    rows = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND weight > 0").select("src", "dst", F.col("weight").cast("double").alias("w"))
+    rows = cut(rows, "edges")
+    nodes = cut(_degrees(rows.withColumnRenamed("w", "weight")).withColumn("d", F.sqrt("d")), "nodes")
+
+    def times(block: DataFrame, width: int) -> DataFrame:
+        scaled = block.select("id", "rows", F.transform("v", lambda x: x / F.col("d")).alias("v"))
+        ways = [("src", "dst", rows), ("dst", "src", rows.filter("src <> dst"))]
+        parts = [_summed(hot_split_join(r, scaled.withColumnRenamed("id", a), a, "rows", most_broadcast=most_broadcast), b, width) for a, b, r in ways]
+        sums = parts[0].unionByName(parts[1]).groupBy("id").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(width)])
+        return sums.join(nodes.select("id", "d"), "id").select("id", *[(F.col(f"s{c}") / F.col("d")).alias(f"s{c}") for c in range(width)])
+
+    return _iterated(nodes, times, k, rounds, tolerance, extra, cut)
+
+
+def _summed(met: DataFrame, end: str, width: int) -> DataFrame:
+    return met.groupBy(F.col(end).alias("id")).agg(*[F.sum(F.col("w") * F.get("v", F.lit(c))).alias(f"s{c}") for c in range(width)])
+
+
+def _iterated(nodes: DataFrame, times: Callable[[DataFrame, int], DataFrame], k: int, rounds: int, tolerance: float, extra: int, cut: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, np.ndarray]:
+    """The block iteration: nodes (id and what goes along), times(block, width): (id, s0, s1, ...), the matrix times the block."""
     n = nodes.count()
     b = min(n, k + extra)
+    along = [c for c in nodes.columns if c != "id"]
     if not n:
-        return matrix.select(F.col("src").alias("id"), F.array().cast("array<double>").alias("v")), np.empty(0)
+        return nodes.select("id", F.array().cast("array<double>").alias("v")), np.empty(0)
     start = F.array(*[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 20)) / (1 << 20) - 0.5 for c in range(b)])
-    block = cut(nodes.select("id", "rows", start.alias("v")), "start")
+    block = cut(nodes.select("id", *along, start.alias("v")), "start")
     last = np.full(b, np.inf)
     for round_ in range(rounds):
-        met = hot_split_join(matrix, block.select(F.col("id").alias("dst"), "v", "rows"), "dst", "rows")
-        sums = met.groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.get("v", F.lit(c))).alias(f"s{c}") for c in range(b)])
+        sums = times(block, b)
         # (2 I - L) v = v + W v: all its eigenvalues lie between 0 and 2
-        moved = block.join(sums, "id").select("id", "rows", F.col("v").alias("old"), F.array(*[F.get("v", F.lit(c)) + F.col(f"s{c}") for c in range(b)]).alias("v"))
+        moved = block.join(sums, "id").select("id", *along, F.col("v").alias("old"), F.array(*[F.get("v", F.lit(c)) + F.col(f"s{c}") for c in range(b)]).alias("v"))
         moved = cut(moved, f"moved-{round_}")
         oo, ov, vv = _products(moved, b)
         # eigenvalues of the operator on the span of old: oo x l = ov x
@@ -90,7 +126,7 @@ def smallest_eigenvectors(matrix: DataFrame, k: int, rounds: int = 60, tolerance
         turn = np.linalg.solve(root.T, vectors[:, ::-1])
         values = values[::-1]
         scale = np.sqrt(np.maximum(np.einsum("ab,ac,cb->b", turn, vv, turn), 1e-300))
-        block = moved.select("id", "rows", _times("v", turn / scale).alias("v"))
+        block = moved.select("id", *along, _times("v", turn / scale).alias("v"))
         if np.abs(values - last)[: min(k, b)].max() < tolerance:
             break
         last = values
@@ -104,7 +140,7 @@ def spectral_clusters(edges: DataFrame, clusters: int, rounds: int = 24, toleran
     assigns all rows and averages them, and stops when no centre moves.
     """
     cut = cut or cutter(edges.sparkSession, "spectral-clusters")
-    vectors, _ = smallest_eigenvectors(normalised(edges), clusters, rounds, tolerance)
+    vectors, _ = smallest_eigenvectors_of_edges(edges, clusters, rounds, tolerance)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = cut(vectors.withColumn("length", length).select("id", F.when(F.col("length") > 0, F.transform("v", lambda x: x / F.col("length"))).otherwise(F.col("v")).alias("v")), "rows")
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(1000).collect()], float)  # the bound of what the driver sees
