@@ -88,3 +88,31 @@ def test_stars_within_tasks(spark, tmp_path):
         assert (ids == want).all() and (low == want_low).all() and (low == ids % 4).all()
     assert pa.Table.from_batches(G._local_forest(iter(batches))).num_rows == 800 - 4
     assert [(r.id, r.comp) for r in G.component_labels(spark.createDataFrame([*zip(a.tolist(), b.tolist())], "src long, dst long"), lambda df, k: df.localCheckpoint()).orderBy("id").limit(6).collect()] == [(i, i % 4) for i in range(6)]
+
+
+def test_components_contract_by_rounds(spark):
+    """What all rounds write is a few times the first round's edges and ids, however far apart the ids of a component are; chains in the ids' order, stars,
+    texts as ids and shuffled labels give the same components."""
+    from loomspark.sources.scratch import cutter
+
+    rng = np.random.default_rng(4)
+    mixed, drawn = rng.permutation(1000).tolist(), rng.integers(2000, 2600, (400, 2)).tolist()
+    edges = [*zip(mixed, mixed[1:])] + [(a, b) for a, b in drawn if a != b]
+    ids, low = G._smallest_reached(*np.array(edges).T)
+    rows = {}
+
+    def cut(df, step, write=cutter(spark, "rounds")):
+        out = write(df, step)
+        rows[step] = out.count()
+        return out
+
+    e = spark.createDataFrame([(f"{a:04}", f"{b:04}") for a, b in edges], "src string, dst string")
+    got = {(r.id, r.comp) for r in G.component_labels(e, cut).collect()}
+    assert got == {(f"{i:04}", f"{c:04}") for i, c in zip(ids.tolist(), low.tolist())}
+    assert sum(rows.values()) < 4 * (2 * len(edges) + len(ids)), rows
+    ordered = [(k, k + 1) for k in range(150)] + [(290, k) for k in range(200, 300) if k != 290]
+    for kind, most in (("long", 0), ("string", 50_000)):
+        name = (lambda x: x) if kind == "long" else (lambda x: f"{x:03}")
+        e = spark.createDataFrame([(name(a), name(b)) for a, b in ordered], f"src {kind}, dst {kind}").repartition(6)
+        got = {(r.id, r.comp) for r in G.component_labels(e, cutter(spark, "t"), most).collect()}
+        assert got == {(name(k), name(0)) for k in range(151)} | {(name(k), name(200)) for k in range(200, 300)}
