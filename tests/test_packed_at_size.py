@@ -7,6 +7,7 @@ import pytest
 from loomspark.operators import graph as G
 from loomspark.operators import packed as P
 from loomspark.operators import vectors as V
+from loomspark.plans import catalogue
 from loomspark.sources.scratch import cutter
 
 
@@ -43,6 +44,16 @@ def test_large_graphs_ranks_make_no_rows_of_edges(spark, monkeypatch, directed,
     assert len(joined) == (0 if most_broadcast > 100 else 2)
 
 
+@pytest.mark.parametrize("name", ["ana_pagerank_directed", "ana_importance_p75", "ana_importance_histogram"])
+def test_ranking_queries_pack_their_pairs(spark, sf_dir, monkeypatch, name):
+    """The queries hand packed pairs over, so that no row is made for a pair; the old ones handed rows over."""
+    seen = []
+    full = G.ranked
+    monkeypatch.setattr(G, "ranked", lambda *args, chunks, **more: seen.append((chunks.columns, more)) or full(*args, chunks=chunks, **more))
+    assert catalogue.queries()[name](spark, sf_dir).count() > 0
+    assert seen == [(["graph_id", "n", "ids", "a", "b", "w"], {"directed": True} if name.endswith("directed") else {})]
+
+
 def test_similar_chunks_are_the_pairs(spark):
     vecs = np.random.default_rng(1).normal(size=(300, 4))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
