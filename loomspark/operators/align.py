@@ -5,6 +5,8 @@ Null texts or token lists give nothing; tokens that no segment holds map to 0; e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -118,6 +120,37 @@ def interval_hits(tokens: Column, segments: Column, bin_size: int = 256) -> Colu
     return found(longs(tokens, "begin"), longs(tokens, "end"), longs(segments, "seg_idx"), longs(segments, "begin"), longs(segments, "end"))
 
 
+def _window_hits(step: int, span: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, sizes of its words) word by word, at most `most` words at once, also within a long text."""
+        for batch in batches:
+            offsets, sizes = _offsets(batch.column(1)), batch.column(1).flatten()
+            base = 0  # where the text that goes on from the slice before stands
+            for low in range(0, len(sizes), most):
+                at = np.arange(low, min(low + most, len(sizes)))
+                row = np.searchsorted(offsets, at, "right") - 1
+                size = sizes.slice(low, len(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(size + 1)
+                first = np.maximum(offsets[row], low) - low  # the text's first word of the slice
+                begin = ends - size - 1 - (ends[first] - size[first] - 1)
+                begin[row == row[0]] += base if offsets[row[0]] < low else 0
+                end = begin + size
+                base = int(end[-1]) + 1
+                last, least = -(-end // step) - 1, np.maximum((begin - span) // step + 1, 0)
+                n = np.maximum(last - least + 1, 0)
+                ids = batch.column(0).take(pa.array(row))
+                yield pa.record_batch([ids, pa.array(at - offsets[row]), pa.array(np.where(n > 0, last, 0)), pa.array(n)], ["doc_id", "tok_idx", "seg_idx", "n_segs"])
+
+    return run
+
+
+def window_hits(rows: DataFrame, doc_id: str, words: Column, step: int, span: int, most: int = 1 << 17) -> DataFrame:
+    """doc_id, tok_idx, seg_idx, n_segs: interval_map of each text's words, as if joined by one character, with the windows of `span` characters that begin every `step` (at most span) of them.
+    The windows that a word overlaps follow from where it stands, so only the words' sizes leave the text, and a task holds a batch of these and a slice of results. Null words are left out."""
+    sizes = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.transform(F.filter(words, lambda w: w.isNotNull()), lambda w: F.length(w)).alias("sizes"))
+    return sizes.mapInArrow(_window_hits(step, span, most), "doc_id long, tok_idx long, seg_idx long, n_segs long")
+
+
 def interval_map(tokens: DataFrame, segments: DataFrame, bin_size: int = 1024) -> DataFrame:
     """doc_id, tok_idx, seg_idx, n_segs: the last segment that each token overlaps, 0 where none does.
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomspark.operators import align as L
@@ -60,6 +61,22 @@ def test_interval_map_shuffles_nothing(spark, sf_dir):
     assert "Exchange" not in plan
 
 
+def test_window_hits_by_slices(spark, sf_dir):
+    """As interval_hits, with texts cut by slices, without words and null; no result of a batch is held as a whole."""
+    rng = random.Random(9)
+    texts = [(k, [rng.choice(["a", "", "wörd", "x" * 500, "yz"]) + "q" for _ in range(n)]) for k, n in enumerate([0, 3, 700, 1, 64, 40])] + [(9, None)]
+    rows = spark.createDataFrame(texts, "doc_id long, w array<string>").coalesce(1)
+    old = rows.select("doc_id", L.joined_places(F.col("w")).alias("t")).filter(F.size("t") > 0)
+    segs = F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("t", -1)["end"] - 1, F.lit(200).cast("long")), lambda b: F.struct(F.floor(b / 200).alias("seg_idx"), b.alias("begin"), (b + 230).alias("end")))
+    want = sorted(map(tuple, old.select("doc_id", F.posexplode(L.interval_hits(F.col("t"), segs)).alias("k", "h")).select("doc_id", "k", "h.*").collect()))
+    for most in (1, 64, 1 << 17):
+        assert sorted(map(tuple, L.window_hits(rows, "doc_id", F.col("w"), 200, 230, most).collect())) == want and len(want) == 808
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([[1] * 1000, [2] * 5])], ["doc_id", "sizes"])
+    assert [b.num_rows for b in L._window_hits(200, 230, 300)(iter([batch]))] == [300, 300, 300, 105]
+    plan = catalogue.queries()["tok_interval_map"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_joined_places(spark):
     rows = spark.createDataFrame([(["ä", "", "xyz"],), (None,), ([],), (["b"],)], "w array<string>")
     got = [r[0] and [tuple(x) for x in r[0]] for r in rows.select(L.joined_places(F.col("w"))).collect()]
