@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators import packed
 from loomspark.operators.skew import hot_split_join
 from loomspark.sources.scratch import cutter
 
@@ -103,6 +104,21 @@ def _summed(met: DataFrame, end: str, width: int) -> DataFrame:
     return met.groupBy(F.col(end).alias("id")).agg(*[F.sum(F.col("w") * F.get("v", F.lit(c))).alias(f"s{c}") for c in range(width)])
 
 
+def _start(c: int) -> Column:
+    """A node's first number in column c: a hash of its id."""
+    return F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 20)) / (1 << 20) - 0.5
+
+
+def _turned(oo: np.ndarray, ov: np.ndarray, vv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, largest first, of the operator on the span of old, oo x l = ov x, and what turns v to their vectors at length 1."""
+    b = len(oo)
+    root = np.linalg.cholesky((oo + oo.T) / 2 + 1e-13 * np.trace(oo) / b * np.eye(b))
+    inner = np.linalg.solve(root, np.linalg.solve(root, (ov + ov.T) / 2).T)
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    turn = np.linalg.solve(root.T, vectors[:, ::-1])
+    return values[::-1], turn / np.sqrt(np.maximum(np.einsum("ab,ac,cb->b", turn, vv, turn), 1e-300))
+
+
 def _iterated(nodes: DataFrame, times: Callable[[DataFrame, int], DataFrame], k: int, rounds: int, tolerance: float, extra: int, cut: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, np.ndarray]:
     """The block iteration: nodes (id and what goes along), times(block, width): (id, s0, s1, ...), the matrix times the block."""
     n = nodes.count()
@@ -110,7 +126,7 @@ def _iterated(nodes: DataFrame, times: Callable[[DataFrame, int], DataFrame], k:
     along = [c for c in nodes.columns if c != "id"]
     if not n:
         return nodes.select("id", F.array().cast("array<double>").alias("v")), np.empty(0)
-    start = F.array(*[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 20)) / (1 << 20) - 0.5 for c in range(b)])
+    start = F.array(*[_start(c) for c in range(b)])
     block = cut(nodes.select("id", *along, start.alias("v")), "start")
     last = np.full(b, np.inf)
     for round_ in range(rounds):
@@ -119,28 +135,55 @@ def _iterated(nodes: DataFrame, times: Callable[[DataFrame, int], DataFrame], k:
         moved = block.join(sums, "id").select("id", *along, F.col("v").alias("old"), F.array(*[F.get("v", F.lit(c)) + F.col(f"s{c}") for c in range(b)]).alias("v"))
         moved = cut(moved, f"moved-{round_}")
         oo, ov, vv = _products(moved, b)
-        # eigenvalues of the operator on the span of old: oo x l = ov x
-        root = np.linalg.cholesky((oo + oo.T) / 2 + 1e-13 * np.trace(oo) / b * np.eye(b))
-        inner = np.linalg.solve(root, np.linalg.solve(root, (ov + ov.T) / 2).T)
-        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-        turn = np.linalg.solve(root.T, vectors[:, ::-1])
-        values = values[::-1]
-        scale = np.sqrt(np.maximum(np.einsum("ab,ac,cb->b", turn, vv, turn), 1e-300))
-        block = moved.select("id", *along, _times("v", turn / scale).alias("v"))
+        values, turn = _turned(oo, ov, vv)
+        block = moved.select("id", *along, _times("v", turn).alias("v"))
         if np.abs(values - last)[: min(k, b)].max() < tolerance:
             break
         last = values
     return cut(block.select("id", F.slice("v", 1, min(k, b)).alias("v")), "vectors"), 2 - values[: min(k, b)]
 
 
-def spectral_clusters(edges: DataFrame, clusters: int, rounds: int = 24, tolerance: float = 1e-4, steps: int = 20, cut: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def smallest_eigenvectors_of_chunks(chunks: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-7, extra: int = 2, cut: Callable[[DataFrame, int], DataFrame] | None = None, most_held: int = 1 << 23) -> tuple[DataFrame, np.ndarray]:
+    """smallest_eigenvectors of packed edges (`packed.pack`) with weights over 0, which are written once and never become rows.
+
+    Up to most_held numbers of a block (nodes, which are counted, times k + extra) the driver holds it and sends it to the chunks each round; beyond, smallest_eigenvectors_of_edges.
+    """
+    cut = cut or cutter(chunks.sparkSession, "spectral", **packed.PAGES)
+    chunks = cut(chunks, "chunks")
+    nodes = cut(packed.ends(chunks), "ends")
+    n = nodes.count()
+    b = min(n, k + extra)
+    if not n or n * b > most_held:
+        return smallest_eigenvectors_of_edges(packed.unpack(chunks), k, rounds, tolerance, extra, cut)
+    rows = nodes.select("id", *[_start(c).alias(f"s{c}") for c in range(b)]).toArrow().sort_by("id")
+    ids = rows["id"].to_numpy()
+    block = np.stack([rows[f"s{c}"].to_numpy() for c in range(b)])
+    del rows
+    product = packed.product(chunks, ids)
+    d = np.sqrt(product(np.ones((1, n)))[0])
+    last = np.full(b, np.inf)
+    for _ in range(rounds):
+        moved = block + product(block / d) / d
+        values, turn = _turned(block @ block.T, block @ moved.T, moved @ moved.T)
+        block = turn.T @ moved
+        if np.abs(values - last)[: min(k, b)].max() < tolerance:
+            break
+        last = values
+    width = min(k, b)
+    v = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(block[:width].T.ravel()))
+    return cut(chunks.sparkSession.createDataFrame(pa.table([pa.array(ids), v], ["id", "v"])), "vectors"), 2 - values[:width]
+
+
+def spectral_clusters(edges: DataFrame, clusters: int, rounds: int = 24, tolerance: float = 1e-4, steps: int = 20, cut: Callable[[DataFrame, int], DataFrame] | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """id, cluster (from 0, by the smallest id that it holds) of every node of the undirected weighted edges (src, dst, weight).
 
     Rows of the eigenvectors at length 1 are grouped by k-means. Its first centres are those of a sample of at most 1000 nodes, by a hash, taken farthest first; each step
-    assigns all rows and averages them, and stops when no centre moves.
+    assigns all rows and averages them, and stops when no centre moves. chunks: the edges packed, with weights over 0; otherwise edges between longs are packed here.
     """
     cut = cut or cutter(edges.sparkSession, "spectral-clusters")
-    vectors, _ = smallest_eigenvectors_of_edges(edges, clusters, rounds, tolerance)
+    if chunks is None and all(f.dataType.typeName() in ("byte", "short", "integer", "long") for f in edges.select("src", "dst").schema):
+        chunks = packed.pack(edges.filter("src IS NOT NULL AND dst IS NOT NULL AND weight > 0").select(F.lit(0).alias("graph_id"), "src", "dst", "weight"))
+    vectors, _ = smallest_eigenvectors_of_edges(edges, clusters, rounds, tolerance) if chunks is None else smallest_eigenvectors_of_chunks(chunks, clusters, rounds, tolerance)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = cut(vectors.withColumn("length", length).select("id", F.when(F.col("length") > 0, F.transform("v", lambda x: x / F.col("length"))).otherwise(F.col("v")).alias("v")), "rows")
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(1000).collect()], float)  # the bound of what the driver sees

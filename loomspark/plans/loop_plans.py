@@ -68,7 +68,7 @@ def tree_frontier(spark, d):
 @query("graph_spectral_clusters")
 def graph_spectral_clusters(spark, d):
     """Eight clusters of the graph of similar vectors."""
-    return spectral.spectral_clusters(GP._pairs(spark, d), 8).withColumn("cluster", F.col("cluster").cast("long"))
+    return spectral.spectral_clusters(GP._pairs(spark, d), 8, chunks=GP._chunks(spark, d)).withColumn("cluster", F.col("cluster").cast("long"))
 
 
 @query(
